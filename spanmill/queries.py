@@ -1,0 +1,6 @@
+"""Queries over the driver tables, by name, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
