@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import fingerprint
+from spanmill.llm import chat, fingerprint
 from spanmill.plans.session import table
 
 
@@ -12,7 +12,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints}
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format}
 
 #: Where SQL can express a query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
