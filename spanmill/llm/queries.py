@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import chat, fingerprint
+from spanmill.llm import chat, fingerprint, toxicity
 from spanmill.plans.session import table
 
 
@@ -16,7 +16,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity}
 
 #: Where SQL can express a query.
 SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
