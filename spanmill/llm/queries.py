@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import chat, fingerprint, toxicity
+from spanmill.llm import chat, fingerprint, forest, toxicity
 from spanmill.plans.session import table
 
 
@@ -20,7 +20,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity}
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest}
 
 #: Where SQL can express a query.
 SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
