@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import chat, fingerprint, forest, toxicity
+from spanmill.llm import bpe, chat, fingerprint, forest, toxicity
 from spanmill.plans.session import table
 
 
@@ -25,7 +25,14 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe}
 
 #: Where SQL can express a query.
 SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
