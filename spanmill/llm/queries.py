@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, chat, fingerprint, forest, toxicity
+from spanmill.llm import bpe, chat, fingerprint, forest, mixing, toxicity
 from spanmill.plans.session import table
 
 
@@ -32,7 +32,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe, "op7_mixing": op7_mixing}
 
 #: Where SQL can express a query.
 SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
