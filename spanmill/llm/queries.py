@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, chat, fingerprint, forest, mixing, sharding, toxicity
+from spanmill.llm import bpe, chat, fingerprint, forest, licenses, mixing, sharding, toxicity
 from spanmill.llm.common import scratch
 from spanmill.plans.session import table
 
@@ -41,7 +41,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contents(sharding.arrive(table(spark, sf_dir, "documents"), "doc_id", scratch(spark, "shards")))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_licenses": op9_licenses}
 
 #: Where SQL can express a query.
 SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op8_sharding": sharding.SQL}
