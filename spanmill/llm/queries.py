@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, chat, fingerprint, forest, licenses, mixing, neardup, sharding, toxicity
+from spanmill.llm import bpe, chat, fingerprint, forest, licenses, mixing, neardup, sharding, toxicity, warc
 from spanmill.llm.common import scratch
 from spanmill.plans.session import table
 
@@ -49,7 +49,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_licenses": op9_licenses, "op10_near_duplicates": op10_near_duplicates}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_licenses": op9_licenses, "op10_near_duplicates": op10_near_duplicates}
 
 #: Where SQL can express a query.
-SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op8_sharding": sharding.SQL}
+SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op6_warc": warc.SQL, "op8_sharding": sharding.SQL}
