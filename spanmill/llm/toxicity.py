@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The bound of the labelled sample that a fit reads: documents, by the order of a hash of their id.
 SAMPLE_DOCS = 8192
@@ -180,3 +181,16 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model of the labels whose id's CRC-32 modulo 3 isn't 1."""
     model = fit(docs, labels.filter(remainder() != 1))
     return score(docs, model).select("doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), "score", "predicted", F.size("sentences").alias("n_offending"))
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose text scores `threshold` or more: a filter, no join; null texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, kept = shared.value, {}
+        for s in batches:
+            yield pd.Series([score_text(t, own, kept)[0] for t in s], dtype=float)
+
+    return docs.filter(scored(F.col(text)) < threshold)
