@@ -1,9 +1,10 @@
 """Byte-level BPE in Spark higher-order functions.
 
-Merges are folded over the byte arrays of words with a literal rank map. Distinct words are folded
-once each where they are frequent: a count over all words picks the most frequent, at most
-KEPT_WORDS by construction, and their ids become a literal map; the rest are folded in place, in the
-row of their document, so no text is shuffled. Decoding concatenates binary pieces.
+Merges are folded over the byte arrays of distinct words with a literal rank map. A count over all
+words picks the most frequent, at most KEPT_WORDS by construction; each is folded once, and their
+codes are broadcast to a pass over the documents, so no text is shuffled. Words that are not kept, a
+few in a hundred, are folded in that pass: in higher-order functions that cost several times the CPU
+seconds allowed (README). Decoding concatenates binary pieces.
 
 The rank map is kept by pairs of ids: the merge of ids a and b has the rank of the token whose bytes
 are those of a and b together. A literal array of small buckets stands in for a hash table, as Spark
@@ -14,21 +15,25 @@ from __future__ import annotations
 
 import base64
 import json
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.llm.common import written
 
-#: Bound of the literal map of frequent words.
+#: Bound of the broadcast codes of frequent words: about 100 bytes each.
 KEPT_WORDS = 1 << 19
-#: Buckets of the literal maps; about 7 pairs, 8 words in each.
+#: Buckets of the literal rank map, about 7 pairs in each.
 PAIR_BUCKETS = 1 << 14
-WORD_BUCKETS = 1 << 16
+#: Rare words whose codes a task keeps at hand, and documents it encodes at a time.
+TASK_WORDS = 100_000
+BATCH_ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -145,13 +150,13 @@ def encode_words(words: DataFrame, ranks: Ranks) -> DataFrame:
 
 def code_of(word: Column, tables: Column) -> Column:
     def code(ids: Column) -> Column:
-        return F.struct(F.size(ids).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"), decode_with(ids, tables["pieces"]).cast("string").alias("bytes"))
+        return F.struct(F.size(ids).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"), decode_with(ids, tables["pieces"]).alias("bytes"))
 
     return bind(fold_word(word.cast("binary"), tables["pairs"], tables["bytes"]), code)
 
 
 def kept_words(docs: DataFrame, pattern: str, ranks: Ranks, text: str = "text", most: int = KEPT_WORDS) -> DataFrame:
-    """One row, column kept: buckets of the most frequent words of the whole table and their codes.
+    """word, code of the most frequent distinct words of the whole table, folded once each.
 
     Words are kept down to a count chosen from a histogram of counts so that at most `most` are.
     """
@@ -163,55 +168,81 @@ def kept_words(docs: DataFrame, pattern: str, ranks: Ranks, text: str = "text",
             break
         least = b["least"]
     frequent = counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
-    coded = encode_words(frequent.select("word"), ranks)
-    buckets = coded.groupBy(word_bucket(F.col("word")).alias("bucket")).agg(F.collect_list(F.struct("word", "code")).alias("own"))
-    every = docs.sparkSession.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(buckets, "bucket", "left")
-    lists = every.select("bucket", F.struct(F.transform("own", lambda x: x["word"]).alias("k"), F.transform("own", lambda x: x["code"]).alias("v")).alias("own"))
-    return lists.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "own"))), lambda x: x["own"]).alias("kept"))
-
-
-def as_literal(one: DataFrame) -> Column:
-    """The only value of a table of one row and column, as a literal, through a session variable."""
-    spark, name = one.sparkSession, f"spanmill_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {one.schema[0].dataType.simpleString()}")
-    spark.sql(f"SET VAR {name} = (SELECT * FROM {{one}})", one=one)
-    return F.expr(name)
-
-
-def word_bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int")
+    return encode_words(frequent.select("word"), ranks)
+
+
+class RareWords:
+    """The same fold in Python for words that aren't kept, with the codes found so far in this task."""
+
+    def __init__(self, ranks: Ranks):
+        ids = self.ids = ranks.by_bytes
+        self.tokens = ranks.tokens
+        self.merges = {(ids[t[:c]], ids[t[c:]]): r for t, r in ids.items() for c in range(1, len(t)) if t[:c] in ids and t[c:] in ids}
+        self.found: dict[str, tuple[int, str, bytes]] = {}
+
+    def code(self, word: str) -> tuple[int, str, bytes]:
+        own = self.found.get(word)
+        if own is None:
+            if len(self.found) >= TASK_WORDS:
+                self.found.clear()
+            ids = self.fold([self.ids[bytes([b])] for b in word.encode("utf-8", "surrogatepass")])
+            own = self.found[word] = (len(ids), " ".join(map(str, ids)), b"".join([self.tokens[i] for i in ids]))
+        return own
+
+    def fold(self, ids: list[int]) -> list[int]:
+        get = self.merges.get
+        while len(ids) > 1:
+            ranks = [get(p) for p in pairwise(ids)]
+            low = min((r for r in ranks if r is not None), default=None)
+            if low is None:
+                break
+            # all places of the lowest rank at once: a merge makes no pair of lower rank
+            out, k = [], 0
+            while k < len(ids):
+                if k < len(ranks) and ranks[k] == low:
+                    out.append(low)
+                    k += 2
+                else:
+                    out.append(ids[k])
+                    k += 1
+            ids = out
+        return ids
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most: int = KEPT_WORDS) -> DataFrame:
-    """docs with codes: an array of <n, ids, bytes>, one for each match of the pattern in the text.
+    """docs' rows with n_tokens, ids (decimals joined by blanks) and decoded (binary) beside their columns but the text.
 
-    n is the number of ids, ids their decimals joined by blanks, bytes what they decode to (as raw
-    bytes in a string). Null and empty texts have an empty array; all rows and columns stay, repeated
-    ones too. A word of n bytes takes time as n squared, so a single run of very many letters or
-    blanks is slow, not wrong.
+    Whole texts are encoded; null and empty ones have no ids. Repeated rows stay. A word of n bytes
+    takes time as n squared at worst, so a single run of very many letters is slow, not wrong.
     """
-    kept = as_literal(kept_words(docs, pattern, ranks, text, most))
-    tables = F.struct(pair_map(ranks).alias("pairs"), byte_ids(ranks).alias("bytes"), token_pieces(ranks).alias("pieces"))
-
-    def code(word: Column, table: Column, kept: Column) -> Column:
-        own = F.get(kept, word_bucket(word))
-        return F.coalesce(F.get(own["v"], F.array_position(own["k"], word).cast("int") - 1), code_of(word, table))
-
-    coded = bind(kept, lambda k: bind(tables, lambda t: F.transform(F.col("__words"), lambda w: code(w, t, k))))
-    return docs.withColumn("__words", words_of(F.col(text), pattern)).withColumn("codes", coded).drop("__words")
-
-
-def ids_of(codes: Column) -> Column:
-    """All ids of encode()'s codes as array<int>."""
-    return F.transform(F.filter(F.split(F.array_join(F.transform(codes, lambda c: c["ids"]), " "), " "), lambda x: x != ""), lambda x: x.cast("int"))
+    table = kept_words(docs, pattern, ranks, text, most).toArrow()
+    code = table.column("code").combine_chunks()
+    codes = dict(zip(table.column("word").to_pylist(), zip(*(code.field(c).to_pylist() for c in ("n", "ids", "bytes")), strict=True), strict=True))
+    kept = docs.sparkSession.sparkContext.broadcast(codes)
+    del table, code, codes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, get, rare = regex.compile(pattern).findall, kept.value.get, RareWords(ranks).code
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                ns, ids, decoded = [], [], []
+                for t in part.column("__text").to_pylist():
+                    own = [get(w) or rare(w) for w in find(t)]
+                    ns.append(sum([c[0] for c in own]))
+                    ids.append(" ".join([c[1] for c in own]))
+                    decoded.append(b"".join([c[2] for c in own]))
+                columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ns, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())], names=[*(n for n in part.schema.names if n != "__text"), "n_tokens", "ids", "decoded"])
+
+    rest = [c for c in docs.columns if c != text]
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.BinaryType())])
+    return docs.select(*rest, F.coalesce(text, F.lit("")).alias("__text")).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    coded = encode(docs.select("doc_id", "text"), ranks, pattern).drop("text")
-    return coded.select(
-        "doc_id",
-        F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("codes", lambda c: c["ids"]), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.array_join(F.transform("codes", lambda c: c["bytes"]), "").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    coded = encode(docs.select("doc_id", "text"), ranks, pattern)
+    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
