@@ -1,0 +1,9 @@
+"""Queries over the driver tables, by name, with their SQL."""
+
+from __future__ import annotations
+
+from spanmill.queries import cohorts, masks, tiles
+
+_PARTS = (masks, cohorts, tiles)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

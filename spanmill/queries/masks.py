@@ -150,10 +150,10 @@ def average_precision(spark, sf):
     return metrics.average_precision(cls(spark, sf), ["lang"], "score", "truth", "doc_id").select("lang", rnd(F.col("ap")).alias("ap"))
 
 
-@query(f"WITH {PROB}, k AS (SELECT vec, any_value(grp) AS grp, list(pos ORDER BY p DESC, pos)[1:5] AS top FROM prob WHERE pos < 10 GROUP BY vec) SELECT round(100 * avg(CASE WHEN top[1] = grp THEN 1.0 ELSE 0.0 END), 6) AS top1, round(100 * avg(CASE WHEN list_contains(top, grp) THEN 1.0 ELSE 0.0 END), 6) AS top5 FROM k")
+@query(f"WITH {PROB}, k AS (SELECT vec, any_value(grp) AS grp, list(pos ORDER BY p DESC, pos)[1:5] AS top FROM prob GROUP BY vec) SELECT round(100 * avg(CASE WHEN top[1] = grp THEN 1.0 ELSE 0.0 END), 6) AS top1, round(100 * avg(CASE WHEN list_contains(top, grp) THEN 1.0 ELSE 0.0 END), 6) AS top5 FROM k")
 def topk_accuracy(spark, sf):
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("p", (-F.col("pos")).alias("m"))))), 1, 5)
-    top = prob(spark, sf).filter("pos < 10").groupBy("vec").agg(F.first("grp").alias("grp"), F.transform(best, lambda s: -s["m"]).alias("top"))
+    top = prob(spark, sf).groupBy("vec").agg(F.first("grp").alias("grp"), F.transform(best, lambda s: -s["m"]).alias("top"))
     return top.agg(rnd(100 * F.avg(F.when(F.get("top", F.lit(0)) == F.col("grp"), 1.0).otherwise(0.0))).alias("top1"), rnd(100 * F.avg(F.when(F.array_contains("top", F.col("grp")), 1.0).otherwise(0.0))).alias("top5"))
 
 
@@ -201,10 +201,10 @@ def nan_mean(spark, sf):
 _BOX = 15
 
 
-@query(f"WITH {R2D}, p AS (SELECT r.slide, r.y, r.x, r.val, avg(q.val) AS box FROM r2d r JOIN r2d q ON q.slide = r.slide AND abs(q.y - r.y) <= 7 AND abs(q.x - r.x) <= 7 WHERE r.slide < 20 GROUP BY ALL) SELECT slide, round(avg(abs(val - box)), 6) AS edge FROM p GROUP BY slide")
+@query(f"WITH {R2D}, p AS (SELECT r.slide, r.y, r.x, r.val, avg(q.val) AS box FROM r2d r JOIN r2d q ON q.slide = r.slide AND abs(q.y - r.y) <= 7 AND abs(q.x - r.x) <= 7 GROUP BY ALL) SELECT slide, round(avg(abs(val - box)), 6) AS edge FROM p GROUP BY slide")
 def edge_box_mean(spark, sf):
     """Mean distance from the 15 x 15 box mean around each pixel, by two separable window sums."""
-    px = r2d(spark, sf).filter("slide < 20")
+    px = r2d(spark, sf)
     along = Window.partitionBy("slide", "y").orderBy("x").rangeBetween(-(_BOX // 2), _BOX // 2)
     down = Window.partitionBy("slide", "x").orderBy("y").rangeBetween(-(_BOX // 2), _BOX // 2)
     rows = px.select("slide", "y", "x", "val", F.sum("val").over(along).alias("s"), F.count(F.lit(1)).over(along).alias("n"))
@@ -212,10 +212,10 @@ def edge_box_mean(spark, sf):
     return box.groupBy("slide").agg(rnd(F.avg(F.abs(F.col("val") - F.col("box")))).alias("edge"))
 
 
-@query(f"WITH {PROB}, b AS (SELECT vec, any_value(grp) AS grp, arg_max(pos, p) AS top FROM prob WHERE pos < 10 GROUP BY vec), s AS (SELECT k, CAST(sum(CASE WHEN top = k AND grp = k THEN 1 ELSE 0 END) AS DOUBLE) AS i, sum(CASE WHEN top = k THEN 1 ELSE 0 END) AS p, sum(CASE WHEN grp = k THEN 1 ELSE 0 END) AS t FROM b, range(10) AS r(k) GROUP BY k) SELECT CAST(k AS BIGINT) AS cls, round(2 * i / nullif(p + t, 0), 6) AS dice, round(i / nullif(p + t - i, 0), 6) AS iou FROM s")
+@query(f"WITH {PROB}, b AS (SELECT vec, any_value(grp) AS grp, arg_max(pos, p) AS top FROM prob GROUP BY vec), s AS (SELECT k, CAST(sum(CASE WHEN top = k AND grp = k THEN 1 ELSE 0 END) AS DOUBLE) AS i, sum(CASE WHEN top = k THEN 1 ELSE 0 END) AS p, sum(CASE WHEN grp = k THEN 1 ELSE 0 END) AS t FROM b, range(64) AS r(k) GROUP BY k) SELECT CAST(k AS BIGINT) AS cls, round(2 * i / nullif(p + t, 0), 6) AS dice, round(i / nullif(p + t - i, 0), 6) AS iou FROM s")
 def micro_argmax_dice(spark, sf):
-    top = prob(spark, sf).filter("pos < 10").groupBy("vec").agg(F.first("grp").alias("grp"), F.max(F.struct("p", (-F.col("pos")).alias("m"))).alias("b")).select("grp", (-F.col("b.m")).alias("top"))
-    counts = top.groupBy("grp", "top").agg(F.count(F.lit(1)).alias("n")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("cls"))
+    top = prob(spark, sf).groupBy("vec").agg(F.first("grp").alias("grp"), F.max(F.struct("p", (-F.col("pos")).alias("m"))).alias("b")).select("grp", (-F.col("b.m")).alias("top"))
+    counts = top.groupBy("grp", "top").agg(F.count(F.lit(1)).alias("n")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("cls"))
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     p, t = F.col("top") == F.col("cls"), F.col("grp") == F.col("cls")
     return counts.groupBy("cls").agg(rnd(metrics.dice_or_null(n(p & t), n(p), n(t))).alias("dice"), rnd(metrics.iou_or_null(n(p & t), n(p), n(t))).alias("iou"))
