@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanmill.queries import cohorts, masks, tiles
+from spanmill.queries import cohorts, folds, masks, objects, tiles, votes
 
-_PARTS = (masks, cohorts, tiles)
+_PARTS = (masks, cohorts, tiles, votes, objects, folds)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
