@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.operators.rle import encode_spans
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; where none is named (tests), in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanmill-"))
-    return df.checkpoint()
+from spanmill.plans.session import cut
 
 
 def column_runs(mask: DataFrame) -> DataFrame:
@@ -31,17 +22,17 @@ def label_runs(runs: DataFrame, connectivity: int = 4) -> DataFrame:
     changes: a number of rounds that grows with the logarithm of the longest chain.
     """
     slack = 1 if connectivity == 8 else 0
-    own = _cut(runs.withColumn("id", F.struct("x", "lo")))
+    own = cut(runs.withColumn("id", F.struct("x", "lo")))
     right = own.select("slide", (F.col("x") - 1).alias("x"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.col("id").alias("other"))
     touching = own.join(right, ["slide", "x"]).filter((F.col("lo") < F.col("rhi") + slack) & (F.col("rlo") < F.col("hi") + slack))
     edges = touching.select("slide", "id", "other")
-    edges = _cut(edges.unionByName(edges.select("slide", F.col("other").alias("id"), F.col("id").alias("other"))))
+    edges = cut(edges.unionByName(edges.select("slide", F.col("other").alias("id"), F.col("id").alias("other"))))
     labels = own.select("slide", "id", F.col("id").alias("label"))
     while True:
         near = edges.join(labels.select("slide", F.col("id").alias("other"), F.col("label").alias("l")), ["slide", "other"]).groupBy("slide", "id").agg(F.min("l").alias("l"))
         least = labels.join(near, ["slide", "id"], "left").select("slide", "id", F.least("label", F.coalesce("l", "label")).alias("new"), "label")
         up = least.select("slide", F.col("id").alias("new"), F.col("new").alias("root"))
-        jumped = _cut(least.join(up, ["slide", "new"]).select("slide", "id", F.least("new", "root").alias("new"), "label"))
+        jumped = cut(least.join(up, ["slide", "new"]).select("slide", "id", F.least("new", "root").alias("new"), "label"))
         changed = jumped.filter("new <> label").isEmpty()
         labels = jumped.select("slide", "id", F.col("new").alias("label"))
         if changed:

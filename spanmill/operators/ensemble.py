@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.plans.session import cut
+
 
 def merge(pred: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """keys and the mean, maximum and sample deviation of stacked predictions."""
@@ -68,10 +68,7 @@ def staple(votes: DataFrame, keys: list[str], expert: str, vote: str, rounds: in
     """
     patterns = votes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(expert).alias("e"), F.col(vote).alias("v")))).alias("pattern"))
     counted = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    sc = votes.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanmill-"))
-    counted = counted.checkpoint()
+    counted = cut(counted, "patterns")
     long = counted.select("pattern", "n", F.explode("pattern").alias("x")).select("pattern", "n", F.col("x.e").alias("e"), F.col("x.v").alias("v"))
     prior = long.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("p")).first()["p"]
     rates = {r["e"]: (0.99, 0.99) for r in long.select("e").distinct().collect()}

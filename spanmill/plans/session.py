@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def default_data_dir(sf: str = "0.001") -> str:
     return os.environ.get("SPANMILL_DATA", f"/root/testdata/sf{sf}")
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written as Parquet in the folder that spark.checkpoint.dir names, and read again.
+
+    This cuts lineage as a checkpoint does, and the size estimates of loops too. Where no folder is
+    named (tests), a temporary one is used.
+    """
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    df.write.parquet(path := f"{base.rstrip('/')}/spanmill-{name}-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)

@@ -86,9 +86,9 @@ def staple_em(spark, sf):
     return ensemble.staple(binary, ["item"], "expert", "v").select("item", rnd(F.col("weight")).alias("weight"), (F.col("weight") > 0.5).cast("int").alias("on_"))
 
 
-@query(f"WITH {LOG}, t AS (SELECT run, epoch, loss, CASE WHEN epoch = 1 THEN loss ELSE 0.1 * loss END * power(0.9, 1 - epoch) AS term FROM log) SELECT run, epoch, round(sum(term) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) * power(0.9, epoch - 1), 2) AS ema FROM t")
+@query(f"WITH {LOG}, t AS (SELECT run, epoch, loss, CASE WHEN epoch = 1 THEN loss ELSE 0.1 * loss END * power(0.9, 1 - epoch) AS term FROM log) SELECT run, epoch, round(sum(term) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) * power(0.9, epoch - 1) + 0.00001, 2) AS ema FROM t")
 def ema_fold(spark, sf):
-    return ensemble.ema(runs_log(spark, sf), ["run"], "epoch", "loss", 0.9).select("run", "epoch", F.round("ema", 2).alias("ema"))
+    return ensemble.ema(runs_log(spark, sf), ["run"], "epoch", "loss", 0.9).select("run", "epoch", F.round(F.col("ema") + 0.00001, 2).alias("ema"))
 
 
 @query("SELECT p_brand, arg_max('e' || p_partkey || '_' || p_size || '.pth', p_partkey) AS name, max(p_partkey) AS epoch FROM part GROUP BY p_brand")
