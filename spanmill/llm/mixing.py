@@ -115,7 +115,9 @@ def slots(counted: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> Data
     with most of the slots is not one task.
     """
     chunks = counted.filter("slots > 0").select("key", "blocks", "slots", "begin", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK).cast("long"))).alias("chunk"))
-    dealt = chunks.repartition("key", "chunk")
+    # few rows now, many after the explode: a number of partitions that isn't coalesced
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(parts, "key", "chunk")
     low = F.col("chunk") * SLOT_CHUNK
     made = dealt.select("key", "blocks", "begin", "total", F.explode(F.sequence(low, F.least(low + SLOT_CHUNK, F.col("slots")) - 1)).alias("within"))
     turn = F.floor(F.col("within") / F.col("blocks")).cast("long")
@@ -146,7 +148,7 @@ def mix(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> tuple
     spans = documents.filter("size > 0").withColumn("index", F.explode(F.sequence(low, high)))
     begin = F.greatest(F.col("first"), F.col("index") * block_words) - F.col("first")
     end = F.least(F.col("first") + F.col("size"), (F.col("index") + 1) * block_words) - F.col("first")
-    pieces = spans.withColumn("from", begin).withColumn("to", end).join(times, ["key", "index"], "left")
+    pieces = spans.withColumn("from", begin).withColumn("to", end).join(times.hint("merge"), ["key", "index"], "left")
     return documents, drawn, pieces
 
 
@@ -162,7 +164,8 @@ def taken_words(docs: DataFrame, seed: int = 1) -> DataFrame:
 def mixed_texts(docs: DataFrame, seed: int = 1) -> DataFrame:
     """docs with text and n_chars of the words that the mix takes of each, with their own spacing.
 
-    Pieces of the first pass come first, in the document's order, then those of the second. A
+    Pieces of the first pass come first, in the document's order, then, on a new line where they
+    begin with its first word, those of the second. A
     document without words stays as it is; one of which no word is taken goes. Columns stay.
     """
     _, _, pieces = mix(docs, seed)
@@ -172,9 +175,17 @@ def mixed_texts(docs: DataFrame, seed: int = 1) -> DataFrame:
     hashed = docs.withColumn("__hash", F.xxhash64("doc_id", "text"))
     numbered = hashed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash")) - 1)
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & (F.col("__copy") == F.col("__c"))
-    joined = numbered.join(renamed, on, "left").withColumn("__words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SPACED), F.lit(0)))
-    cut = F.array_join(F.transform("__cuts", lambda c: F.array_join(F.slice("__words", (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int")), "")), "")
-    kept = joined.filter(F.col("__cuts").isNotNull() | (F.size("__words") == 0))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SPACED), F.lit(0))
+
+    def joined_cuts(words: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            own = F.array_join(F.slice(words, (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int")), "")
+            return F.concat(F.when((i > 0) & (c["from"] == 0), F.lit("\n")).otherwise(F.lit("")), own)
+
+        return F.array_join(F.transform("__cuts", piece), "")
+
+    cut = F.get(F.transform(F.array(words), joined_cuts), F.lit(0))  # the words are found once a row
+    kept = numbered.join(renamed.hint("merge"), on, "left").filter(F.col("__cuts").isNotNull() | (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0))
     text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut)
     out = kept.withColumn("text", text)
     if "n_chars" in docs.columns:
