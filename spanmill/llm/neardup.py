@@ -8,9 +8,9 @@ earliest. Equal registers of two documents estimate the probability Jaccard of t
 
 Bands of registers give buckets. Exact copies are one text from the start. Texts of a bucket are
 linked by stars first: in each round the bucket's members that don't share a component are compared
-with one of them, so that a large group of near copies costs a star and not all pairs; what is left
-between different components after the rounds is compared pair by pair, so no link is lost. Every
-link is verified by the exact Jaccard similarity of the shingle sets.
+with one of them, so that most of a large group of near copies costs a star. Buckets that still hold
+several components are then compared whole, in blocks, so no link is lost, and give only the links
+that join components. Every link is verified by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from spanmill.llm.common import written
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 MASK = (1 << 64) - 1
 MIX1, MIX2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,8 +166,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     named = written(sketched.groupBy("sha").agg(F.min(F.struct("key", "buckets")).alias("least"), F.count(F.lit(1)).alias("n")).select("sha", F.col("least.key").alias("id"), F.col("least.buckets").alias("buckets"), "n"), "texts")
     links = _copies(sketched.select("key", "sha"), named.filter("n > 1").select("sha", "id"))
     buckets = named.select("id", F.explode("buckets").alias("bucket")).distinct()
-    crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    shared = written(buckets.join(crowded, "bucket"), "shared")
+    crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = written(buckets.join(crowded, "bucket"), "crowded")
+    # a text's popularity: how many others its buckets hold; that of which the rest are copies has most
+    popular = crowded.groupBy("id").agg(F.sum("n").alias("popular"))
+    shared = written(crowded.drop("n").join(popular, "id"), "shared")
     # shingle sets of the texts that share a bucket with another; a text's row is one of its least key
     ends = shared.select("id").distinct()
     sets = written(rowed.select(F.col("key").alias("id"), "text").join(ends, "id", "left_semi").mapInPandas(_sets, "id long, shingles array<long>"), "shingles")
@@ -180,8 +183,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         done = edges if done is None else done.unionByName(edges)
         good = verified(edges, sets, threshold)
         found = components(good if found is None else good.unionByName(_as_links(found)), "found")
-    rest = _across(shared, found).join(done, ["a", "b"], "left_anti")
-    last = components(verified(rest, sets, threshold).unionByName(_as_links(found)).unionByName(links), "classes")
+    rest = written(_across(shared, found, sets, threshold), "rest")
+    last = components(rest.unionByName(_as_links(found)).unionByName(links), "classes")
     out = docs.select(F.col(key), F.col(key).cast("long").alias("__k"))
     return out.join(last, out["__k"] == last["id"], "left").select(F.col(key), F.coalesce("root", "__k").alias("class_id"))
 
@@ -210,20 +213,69 @@ def _rooted(shared: DataFrame, found: DataFrame | None) -> DataFrame:
 def _star(shared: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
     """In each bucket, pairs (a, b), a < b, of a centre and the members of other components than its own.
 
-    The centre is the member with the least id first, then one by a hash that changes with each round.
+    The centre is the most popular member first, then one by a hash that changes with each round.
     """
     rooted = _rooted(shared, found)
-    rank = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
+    rank = -F.col("popular") if k == 0 else F.xxhash64("id", F.lit(k))
     centres = rooted.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "id", "root")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.root").alias("centre_root"))
     pairs = rooted.join(centres, "bucket").filter("root <> centre_root")
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def _across(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of one bucket and different components."""
+def _spanning(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """Links (a, b) of texts of one group that are similar, only as many as join its components.
+
+    Intersections are counted for all at once, over the shingles that two or more have, a slice of them
+    at a time.
+    """
+    ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
+    lengths = pdf["shingles"].map(len).to_numpy()
+    names, columns, times = np.unique(np.concatenate(pdf["shingles"].to_list()), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), lengths)
+    kept = times[columns] > 1
+    row, columns = row[kept], np.unique(columns[kept], return_inverse=True)[1]
+    shared = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    for start in range(0, int(columns.max(initial=-1)) + 1, SLICE):
+        own = (columns >= start) & (columns < start + SLICE)
+        part = np.zeros((len(ids), SLICE), dtype=np.float32)
+        part[row[own], columns[own] - start] = 1
+        shared += part @ part.T
+    similar = shared >= threshold * (lengths[:, None] + lengths[None, :] - shared)
+    similar &= roots[:, None] != roots[None, :]
+    group = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while group[r] != r:
+            group[r] = group[group[r]]
+            r = group[r]
+        return r
+
+    links = []
+    for i, j in np.argwhere(np.triu(similar)):
+        if (x := top(roots[i])) != (y := top(roots[j])):
+            group[max(x, y)] = min(x, y)
+            links.append((ids[i], ids[j]))
+    return links
+
+
+#: Texts of a bucket that one task compares with as many others, and shingles counted at once.
+BLOCK, SLICE = 500, 4096
+
+
+def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of one bucket and different components, enough to join all that belong together.
+
+    Every two texts of such a bucket are compared, those of large ones in pairs of blocks, but only
+    links that join components leave a task, not pairs.
+    """
     rooted = _rooted(shared, found)
-    mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    left = rooted.join(mixed_buckets, "bucket")
-    right = left.select("bucket", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    pairs = left.join(right, "bucket").filter("root <> other_root AND id < other")
-    return pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("low < high").select("bucket", "blocks")
+    members = rooted.join(mixed_buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.select("id", "root", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")).join(sets, "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = _spanning(pdf, threshold) if pdf["root"].nunique() > 1 else []
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("bucket", "first", "second").applyInPandas(run, "a long, b long")
