@@ -97,8 +97,8 @@ def _one_line(text: str) -> str:
 def write_archives(table: DataFrame, folder: str) -> DataFrame:
     """Stream a chunked record table to archives, one per task; the manifest: path, records, bytes.
 
-    Rows are dealt by record and sorted by record and chunk within tasks; chunks are written as they
-    come. Written once: the manifest is a table in the shared folder.
+    All chunks of a record are in one task, as they are where chunked() made or joined them; they are
+    sorted there and written as they come. Written once: the manifest is a table in the shared folder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def write_archives(table: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size + 4]})
 
-    placed = table.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    placed = table.sortWithinPartitions("record_id", "chunk_no")
     return written(placed.mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
