@@ -212,6 +212,8 @@ class RareWords:
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most: int = KEPT_WORDS) -> DataFrame:
     """docs' rows with n_tokens, ids (decimals joined by blanks) and decoded (binary) beside their columns but the text.
 
+    Columns of docs with one of these three names are left out.
+
     Whole texts are encoded; null and empty ones have no ids. Repeated rows stay. A word of n bytes
     takes time as n squared at worst, so a single run of very many letters is slow, not wrong.
     """
@@ -237,7 +239,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most
                 columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ns, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())], names=[*(n for n in part.schema.names if n != "__text"), "n_tokens", "ids", "decoded"])
 
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "decoded")]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.BinaryType())])
     return docs.select(*rest, F.coalesce(text, F.lit("")).alias("__text")).mapInArrow(run, schema)
 
