@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.plans.session import cut
+
 
 def listed_folds(rows: DataFrame, key: str, folds: dict[int, list]) -> DataFrame:
     """rows with fold from explicit lists of keys (a bounded parameter); keys on no list have a null fold."""
@@ -18,12 +20,9 @@ def numbered(rows: DataFrame, order: list[str], name: str, parts: int = 64) -> D
     Rows are dealt to ranges of the order, counted per range, and numbered within; the counts, one per
     range, are added up apart.
     """
-    ranged = rows.repartitionByRange(parts, *order).withColumn("__r", F.spark_partition_id())
-    held = ranged.persist()
-    try:
-        counts = {r["__r"]: r["n"] for r in held.groupBy("__r").agg(F.count(F.lit(1)).alias("n")).collect()}
-    finally:
-        held.unpersist()
+    # written, as the ranges could differ if they were made twice
+    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("__r", F.spark_partition_id()), "ranges")
+    counts = {r["__r"]: r["n"] for r in ranged.groupBy("__r").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, begin = {}, 0
     for r in sorted(counts):
         before[r], begin = begin, begin + counts[r]
