@@ -122,6 +122,31 @@ def optimal_match(pairs: DataFrame, group: str, a: str, b: str, score: str) -> D
     return pairs.select(group, a, b, score).groupBy(group).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score)))
 
 
+def label_iou(a: DataFrame, b: DataFrame) -> DataFrame:
+    """slide, a, b, iou of all label pairs that share pixels, from labelled runs (slide, x, lo, hi, label).
+
+    Sizes come from one grouping per side, so no pair reads the pixels again.
+    """
+    named = lambda r, n: r.select("slide", "x", F.col("lo").alias(f"{n}lo"), F.col("hi").alias(f"{n}hi"), F.format_string("%d_%d", F.col("label.x"), F.col("label.lo")).alias(n))
+    left, right = named(a, "a"), named(b, "b")
+    size = lambda r, n: r.groupBy("slide", n).agg(F.sum(F.col(f"{n}hi") - F.col(f"{n}lo")).alias(f"n{n}"))
+    both = left.join(right, ["slide", "x"]).filter("alo < bhi AND blo < ahi").groupBy("slide", "a", "b").agg(F.sum(F.least("ahi", "bhi") - F.greatest("alo", "blo")).alias("inter"))
+    sized = both.join(size(left, "a"), ["slide", "a"]).join(size(right, "b"), ["slide", "b"])
+    return sized.select("slide", "a", "b", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("iou"))
+
+
+def roi_measures(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """slide, tp, recall, precision, f1 of labels matched one to one; matches are those of an IoU over the threshold.
+
+    a is the first argument of the reference's measure: precision divides by its objects.
+    """
+    hits = optimal_match(label_iou(a, b), "slide", "a", "b", "iou").filter(F.col("iou") > threshold).groupBy("slide").agg(F.count(F.lit(1)).alias("tp"))
+    counts = lambda r, n: r.select("slide", "label").distinct().groupBy("slide").agg(F.count(F.lit(1)).alias(n))
+    every = counts(a, "na").join(counts(b, "nb"), "slide", "full").join(hits, "slide", "left")
+    tp, na, nb = (F.coalesce(c, F.lit(0)) for c in ("tp", "na", "nb"))
+    return every.select("slide", tp.alias("tp"), F.try_divide(tp, nb).alias("recall"), F.try_divide(tp, na).alias("precision"), F.try_divide(2 * tp, na + nb).alias("f1"))
+
+
 def predict(rows: DataFrame, model, schema: str) -> DataFrame:
     """Hook for a user's model: model(pandas batch) -> pandas batch, over Arrow batches of rows."""
 

@@ -142,17 +142,5 @@ def roi_match_metrics(spark, sf):
     """Recall, precision and F1 of objects matched one to one at IoU over .3, labels by 8-connected components."""
     px = r2d(spark, sf)
     shifted = px.filter((F.col("mask") == 1) & (F.col("x") + 1 < F.col("w"))).withColumn("x", F.col("x") + 1)
-
-    def runs(mask, name):
-        labelled = components.label_runs(components.column_runs(mask), 8)
-        return labelled.select("slide", "x", F.col("lo").alias(f"{name}lo"), F.col("hi").alias(f"{name}hi"), F.format_string("%d_%d", F.col("label.x"), F.col("label.lo")).alias(name))
-
-    a, b = runs(px.filter("mask = 1"), "a"), runs(shifted, "b")
-    both = a.join(b, ["slide", "x"]).filter("alo < bhi AND blo < ahi").groupBy("slide", "a", "b").agg(F.sum(F.least("ahi", "bhi") - F.greatest("alo", "blo")).alias("inter"))
-    na = a.groupBy("slide", "a").agg(F.sum(F.col("ahi") - F.col("alo")).alias("na"))
-    nb = b.groupBy("slide", "b").agg(F.sum(F.col("bhi") - F.col("blo")).alias("nb"))
-    iou = both.join(na, ["slide", "a"]).join(nb, ["slide", "b"]).select("slide", "a", "b", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("iou"))
-    hits = match.optimal_match(iou, "slide", "a", "b", "iou").filter("iou > 0.3").groupBy("slide").agg(F.count(F.lit(1)).alias("tp"))
-    counts = na.groupBy("slide").agg(F.count(F.lit(1)).alias("na")).join(nb.groupBy("slide").agg(F.count(F.lit(1)).alias("nb")), "slide").join(hits, "slide", "left")
-    tp = F.coalesce("tp", F.lit(0))
-    return counts.select("slide", tp.alias("tp"), rnd(tp / F.col("nb")).alias("recall"), rnd(tp / F.col("na")).alias("precision"), rnd(2 * tp / (F.col("na") + F.col("nb"))).alias("f1"))
+    labelled = [components.label_runs(components.column_runs(m), 8) for m in (px.filter("mask = 1"), shifted)]
+    return match.roi_measures(*labelled, 0.3).select("slide", "tp", *[rnd(F.col(c)).alias(c) for c in ("recall", "precision", "f1")])

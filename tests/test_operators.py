@@ -159,10 +159,14 @@ def test_optimal_and_greedy_match(spark):
     assert greedy == {(1, 10)}
 
 
-def test_roi_measures_of_a_mask_with_itself(spark):
+def test_roi_measures(spark):
     a = labelled(spark, disc(10, 10, 5) + disc(30, 30, 6), 8)
-    sizes = components.component_stats(a).count()
-    assert sizes == 2
+    assert tuple(match.roi_measures(a, a, 0.5).select("recall", "precision", "f1").first()) == (1, 1, 1)
+    b = labelled(spark, disc(10, 11, 5), 8)
+    inter, union = len(set(disc(10, 10, 5)) & set(disc(10, 11, 5))), len(set(disc(10, 10, 5)) | set(disc(10, 11, 5)))
+    assert [r["iou"] for r in match.label_iou(a, b).collect()] == [pytest.approx(inter / union)]
+    assert tuple(match.roi_measures(a, b, 0.5).select("tp", "recall", "precision").first()) == (1, 1.0, 0.5)
+    assert match.roi_measures(a, labelled(spark, disc(60, 60, 2), 8), 0.5).first()["tp"] == 0
 
 
 def test_box_pairs_are_all_and_once(spark):
