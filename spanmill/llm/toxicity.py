@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -69,16 +70,18 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def telling_features(labels: np.ndarray, bags: list) -> dict[str, int]:
     """Numbers of the features that toxic documents have more often than chance would have it."""
+    features = lambda bag: {f for w in {w for s in bag for w in s} for f in word_features(w)}
     inside: Counter = Counter()
-    overall: Counter = Counter()
     for y, bag in zip(labels, bags, strict=True):
-        found = {f for w in {w for s in bag for w in s} for f in word_features(w)}
-        overall.update(found)
         if y:
-            inside.update(found)
+            inside.update(features(bag))
+    inside = Counter({f: n for f, n in inside.items() if n >= MIN_DOCS})
+    overall: Counter = Counter()
+    for bag in bags:
+        overall.update(f for f in features(bag) if f in inside)
     share = labels.mean()
     far = lambda a, n: (a - n * share) >= MIN_DEVIATION * np.sqrt(n * share * (1 - share))
-    return {f: i for i, f in enumerate(sorted(f for f, a in inside.items() if a >= MIN_DOCS and far(a, overall[f])))}
+    return {f: i for i, f in enumerate(sorted(f for f, a in inside.items() if far(a, overall[f])))}
 
 
 def fit_bags(labels: np.ndarray, bags: list, steps: int = 200, rate: float = 0.3, ridge: float = 0.02) -> ToxicityModel:
@@ -87,7 +90,7 @@ def fit_bags(labels: np.ndarray, bags: list, steps: int = 200, rate: float = 0.3
         return ToxicityModel()
     vocab = telling_features(labels, bags)
     numbers: dict[str, list[int]] = {}
-    doc_of, sent_of, word_of, s = [], [], [], 0
+    doc_of, sent_of, word_of, s = array("q"), array("q"), array("q"), 0
     for d, bag in enumerate(bags):
         for sentence in bag:
             doc_of.append(d)
@@ -100,7 +103,7 @@ def fit_bags(labels: np.ndarray, bags: list, steps: int = 200, rate: float = 0.3
             s += 1
     if not s:
         return ToxicityModel()
-    doc, sent, word = np.array(doc_of), np.array(sent_of, dtype=np.int64), np.array(word_of, dtype=np.int64)
+    doc, sent, word = (np.array(a, dtype=np.int64) for a in (doc_of, sent_of, word_of))
     y = labels.astype(float)
     x = np.zeros(len(vocab) + 1)
     x[-1] = -6.0
@@ -127,10 +130,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> T
     chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     # only documents that are there count for the bound
     chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(_bags, "toxic int, bag string").toPandas()
+    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(_bags, "toxic int, bag string")
+    # the bounded sample meets in one task; the driver gets the weights only
+    weights = bags.repartition(1).sortWithinPartitions("toxic", "bag").mapInPandas(_fitted, "feature string, weight double").toPandas()
+    model = dict(zip(weights["feature"], weights["weight"].astype(float), strict=True))
+    return ToxicityModel(model.pop(BIAS), model) if BIAS in model else ToxicityModel()
+
+
+#: The name of the bias among the fitted weights: no feature holds a blank.
+BIAS = " bias"
+
+
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     own: dict[str, str] = {}
-    parsed = [[[own.setdefault(w, w) for w in s.split(" ")] for s in b.split("\n")] if b else [] for b in bags["bag"]]
-    return fit_bags(bags["toxic"].to_numpy(dtype=int), parsed)
+    labels, parsed = [], []
+    for pdf in batches:
+        labels += pdf["toxic"].tolist()
+        parsed += [[[own.setdefault(w, w) for w in s.split(" ")] for s in b.split("\n")] if b else [] for b in pdf["bag"]]
+    model = fit_bags(np.array(labels, dtype=int), parsed)
+    yield pd.DataFrame({"feature": [BIAS, *model.weights], "weight": [model.bias, *model.weights.values()]})
 
 
 def score_text(text: str | None, model: ToxicityModel, kept: dict[str, float] | None = None) -> tuple[float, list[tuple[int, int, float]]]:
