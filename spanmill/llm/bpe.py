@@ -209,6 +209,29 @@ class RareWords:
         return ids
 
 
+@lru_cache(maxsize=2)
+def _rare(ranks: Ranks) -> RareWords:
+    """One per vocabulary and Python worker."""
+    return RareWords(ranks)
+
+
+def _packed(words: DataFrame) -> bytes:
+    """Words and their codes as Arrow bytes: the driver never builds them as Python objects."""
+    table = words.select("word", "code.*").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+@lru_cache(maxsize=1)
+def _codes(packed: bytes) -> dict[str, tuple[int, str, bytes]]:
+    """word -> (n, ids, bytes), once per Python worker."""
+    table = pa.ipc.open_stream(packed).read_all()
+    word, *code = (table.column(c).to_pylist() for c in ("word", "n", "ids", "bytes"))
+    return dict(zip(word, zip(*code, strict=True), strict=True))
+
+
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most: int = KEPT_WORDS) -> DataFrame:
     """docs' rows with n_tokens, ids (decimals joined by blanks) and decoded (binary) beside their columns but the text.
 
@@ -217,16 +240,12 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most
     Whole texts are encoded; null and empty ones have no ids. Repeated rows stay. A word of n bytes
     takes time as n squared at worst, so a single run of very many letters is slow, not wrong.
     """
-    table = kept_words(docs, pattern, ranks, text, most).toArrow()
-    code = table.column("code").combine_chunks()
-    codes = dict(zip(table.column("word").to_pylist(), zip(*(code.field(c).to_pylist() for c in ("n", "ids", "bytes")), strict=True), strict=True))
-    kept = docs.sparkSession.sparkContext.broadcast(codes)
-    del table, code, codes
+    kept = docs.sparkSession.sparkContext.broadcast(_packed(kept_words(docs, pattern, ranks, text, most)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, get, rare = regex.compile(pattern).findall, kept.value.get, RareWords(ranks).code
+        find, get, rare = regex.compile(pattern).findall, _codes(kept.value).get, _rare(ranks).code
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
