@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # (dealt by id at every size: the list of ids has no bound to broadcast it by)
     ends = shared.select("id").distinct().hint("merge")
     sets = written(rowed.select(F.col("key").alias("id"), "text").join(ends, "id", "left_semi").mapInPandas(_sets, "id long, shingles array<long>"), "shingles")
-    if docs.select(key).distinct().count() < sketched.count():  # several texts of one key
+    if sketched.select("key").distinct().count() < sketched.count():  # several texts of one key
         sets = sets.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
     found = done = None
     for k in range(STAR_ROUNDS):

@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanmill.llm.common import written
+
 #: The bound of the labelled sample that a fit reads: documents, by the order of a hash of their id.
 SAMPLE_DOCS = 8192
-#: Of a sampled document, so many sentences at most are read for the fit; scoring reads all.
-FIT_SENTENCES = 2000
 #: Features in fewer toxic sampled documents, or not so many standard deviations more frequent there
 #: than chance would have it, get no weight.
 MIN_DOCS = 3
 MIN_DEVIATION = 4.0
-#: Words whose weight a task keeps at hand.
+#: Words whose weight a task keeps at hand, and features that it counts before it passes their counts on.
 KEPT_WORDS = 500_000
 NOISE = 0.03
 THRESHOLD = 0.7
@@ -55,7 +54,7 @@ def sentence_words(text: str | None) -> list[tuple[int, int, set[str]]]:
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"toxic": pdf["toxic"], "bag": ["\n".join(" ".join(sorted(w)) for _, _, w in sentence_words(t)[:FIT_SENTENCES]) for t in pdf["text"]]})
+        yield pd.DataFrame({"toxic": pdf["toxic"], "bag": ["\n".join(" ".join(sorted(w)) for _, _, w in sentence_words(t)) for t in pdf["text"]]})
 
 
 def word_features(word: str) -> list[str]:
@@ -68,71 +67,108 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def telling_features(labels: np.ndarray, bags: list) -> dict[str, int]:
-    """Numbers of the features that toxic documents have more often than chance would have it."""
-    features = lambda bag: {f for w in {w for s in bag for w in s} for f in word_features(w)}
-    inside: Counter = Counter()
-    for y, bag in zip(labels, bags, strict=True):
-        if y:
-            inside.update(features(bag))
-    inside = Counter({f: n for f, n in inside.items() if n >= MIN_DOCS})
-    overall: Counter = Counter()
-    for bag in bags:
-        overall.update(f for f in features(bag) if f in inside)
-    share = labels.mean()
-    far = lambda a, n: (a - n * share) >= MIN_DEVIATION * np.sqrt(n * share * (1 - share))
-    return {f: i for i, f in enumerate(sorted(f for f, a in inside.items() if far(a, overall[f])))}
-
-
-def fit_bags(labels: np.ndarray, bags: list, steps: int = 200, rate: float = 0.3, ridge: float = 0.02) -> ToxicityModel:
-    """Fit weights and bias to bags of sentences (lists of words) and 0/1 labels by Adam."""
-    if not len(labels) or not labels.any():
-        return ToxicityModel()
-    vocab = telling_features(labels, bags)
-    numbers: dict[str, list[int]] = {}
+def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """feature, toxic and all documents that have it, summed over as many documents as KEPT_WORDS features allow."""
+    counts: dict[str, list[int]] = {}
+    made = lambda: pd.DataFrame([(f, *n) for f, n in counts.items()], columns=["feature", "toxic", "docs"])
+    for pdf in batches:
+        for y, bag in zip(pdf["toxic"], pdf["bag"], strict=True):
+            for f in {f for w in set(bag.split()) for f in word_features(w)}:
+                own = counts.setdefault(f, [0, 0])
+                own[0] += y
+                own[1] += 1
+            if len(counts) >= KEPT_WORDS:
+                yield made()
+                counts.clear()
+    yield made()
+
+
+def telling_features(bags: DataFrame) -> DataFrame:
+    """The features that toxic documents have more often than chance would have it."""
+    share = bags.agg(F.avg("toxic")).first()[0] or 0.0
+    counts = bags.mapInPandas(_feature_counts, "feature string, toxic long, docs long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
+    chance = MIN_DEVIATION * F.sqrt(F.col("docs") * (share * (1 - share)))
+    return counts.filter((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") - F.col("docs") * share >= chance)).select("feature")
+
+
+def numbered(bag: str, vocab: dict[str, int], kept: dict[str, list[int]]) -> tuple[list[list[int]], int]:
+    """The numbers of the telling features of each sentence that has any, and how many have none."""
+    told, plain = [], 0
+    for sentence in bag.split("\n") if bag else []:
+        own: list[int] = []
+        for w in sentence.split(" "):
+            if (known := kept.get(w)) is None:
+                if len(kept) >= KEPT_WORDS:
+                    kept.clear()
+                known = kept[w] = [i for f in word_features(w) if (i := vocab.get(f)) is not None]
+            own += known
+        if own:
+            told.append(own)
+        else:
+            plain += 1
+    return told, plain
+
+
+def fit_bags(labels: np.ndarray, told: list[list[list[int]]], plain: np.ndarray, features: int, steps: int = 200, rate: float = 0.3, ridge: float = 0.02) -> np.ndarray:
+    """Weights of the features and, last, the bias, fitted by Adam to 0/1 labels of bags.
+
+    A bag is a list of sentences (feature numbers) and a count of sentences without features.
+    """
     doc_of, sent_of, word_of, s = array("q"), array("q"), array("q"), 0
-    for d, bag in enumerate(bags):
+    for d, bag in enumerate(told):
         for sentence in bag:
             doc_of.append(d)
-            for w in sentence:
-                if (own := numbers.get(w)) is None:
-                    own = numbers[w] = [i for f in word_features(w) if (i := vocab.get(f)) is not None]
-                for i in own:
-                    sent_of.append(s)
-                    word_of.append(i)
+            sent_of.extend([s] * len(sentence))
+            word_of.extend(sentence)
             s += 1
-    if not s:
-        return ToxicityModel()
     doc, sent, word = (np.array(a, dtype=np.int64) for a in (doc_of, sent_of, word_of))
     y = labels.astype(float)
-    x = np.zeros(len(vocab) + 1)
+    x = np.zeros(features + 1)
     x[-1] = -6.0
     m, v, k = np.zeros_like(x), np.zeros_like(x), 1 - 2 * NOISE
     for step in range(1, steps + 1):
         z = x[-1] + np.bincount(sent, weights=x[word], minlength=s)
-        clean = np.exp(-np.bincount(doc, weights=_softplus(z), minlength=len(y)))  # prod(1 - p)
+        clean = np.exp(-np.bincount(doc, weights=_softplus(z), minlength=len(y)) - plain * _softplus(x[-1]))  # prod(1 - p)
         slope = np.where(y > 0, k * clean / (NOISE + k * (1 - clean)), -k * clean / (NOISE + k * clean))
         g_z = -slope[doc] / (1.0 + np.exp(-z))
-        g = np.append(np.bincount(word, weights=g_z[sent], minlength=len(vocab)), g_z.sum())
+        g_plain = -(slope * plain).sum() / (1.0 + np.exp(-x[-1]))
+        g = np.append(np.bincount(word, weights=g_z[sent], minlength=features), g_z.sum() + g_plain)
         g[:-1] += ridge * x[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) / (1 + step / 50)
-    return ToxicityModel(float(x[-1]), {w: float(x[i]) for w, i in vocab.items()})
+    return x
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """Fit from document labels.
 
-    Reads at most `sample_docs` labelled documents (those whose ids have the least hashes); null
-    labels and ids, and labels other than 0 and 1, take no part. No usable label, or no toxic one:
-    a model that scores all 0. Repeated labels of one document count as often as they stand there.
+    Reads at most `sample_docs` labelled documents (those whose ids have the least hashes), whole;
+    null labels and ids, and labels other than 0 and 1, take no part. No usable label, or no toxic
+    one: a model that scores all 0. Repeated labels of one document count as often as they stand there.
     """
     chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     # only documents that are there count for the bound
     chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(_bags, "toxic int, bag string")
-    # the bounded sample meets in one task; the driver gets the weights only
-    weights = bags.repartition(1).sortWithinPartitions("toxic", "bag").mapInPandas(_fitted, "feature string, weight double").toPandas()
+    bags = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(_bags, "toxic int, bag string"), "bags")
+    vocab = {r[0]: i for i, r in enumerate(telling_features(bags).orderBy("feature").collect())}
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, list[int]] = {}
+        for pdf in batches:
+            rows = [numbered(b, shared.value, kept) for b in pdf["bag"]]
+            yield pd.DataFrame({"toxic": pdf["toxic"], "told": [r[0] for r in rows], "plain": [r[1] for r in rows]})
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for pdf in batches for r in pdf.itertuples(index=False)]
+        y = np.array([r.toxic for r in rows], dtype=int)
+        if y.any():
+            x = fit_bags(y, [r.told for r in rows], np.array([r.plain for r in rows], dtype=float), len(shared.value))
+            yield pd.DataFrame({"feature": [*shared.value, BIAS], "weight": x})
+
+    # what the bounded sample tells meets in one task; the driver gets the weights only
+    small = bags.mapInPandas(told, "toxic int, told array<array<int>>, plain long")
+    weights = small.repartition(1).sortWithinPartitions("toxic", "plain", "told").mapInPandas(fitted, "feature string, weight double").toPandas()
     model = dict(zip(weights["feature"], weights["weight"].astype(float), strict=True))
     return ToxicityModel(model.pop(BIAS), model) if BIAS in model else ToxicityModel()
 
@@ -141,16 +177,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> T
 BIAS = " bias"
 
 
-def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    own: dict[str, str] = {}
-    labels, parsed = [], []
-    for pdf in batches:
-        labels += pdf["toxic"].tolist()
-        parsed += [[[own.setdefault(w, w) for w in s.split(" ")] for s in b.split("\n")] if b else [] for b in pdf["bag"]]
-    model = fit_bags(np.array(labels, dtype=int), parsed)
-    yield pd.DataFrame({"feature": [BIAS, *model.weights], "weight": [model.bias, *model.weights.values()]})
-
-
 def score_text(text: str | None, model: ToxicityModel, kept: dict[str, float] | None = None) -> tuple[float, list[tuple[int, int, float]]]:
     """The noisy-or of a text's sentences, and those with a score of half or more. kept: words' weights so far."""
     kept = {} if kept is None else kept

@@ -133,6 +133,45 @@ def test_toxicity_held_out_and_spans(spark):
         assert any(w in texts[r["doc_id"]][s["start"] : s["start"] + s["length"]] for s in r["sentences"] for w in ("vilest", "scoundrel", "rotten"))
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(3)
+    texts, labels = [], []
+    for i in range(120):
+        sentences = [prose(rng, 3) for _ in range(2500 if i < 12 else 3)]
+        if i % 2:
+            sentences[-1] += " vilest"
+        texts.append(". ".join(sentences))
+        labels.append(i % 2)
+    docs = documents(spark, texts)
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    assert [r["predicted"] for r in toxicity.score(docs, model).orderBy("doc_id").collect()] == labels
+
+
+def test_bags_by_brute_force():
+    rng = np.random.default_rng(4)
+    told = [[rng.integers(0, 5, rng.integers(1, 4)).tolist() for _ in range(rng.integers(0, 4))] for _ in range(40)]
+    plain, y = rng.integers(0, 3, 40).astype(float), rng.integers(0, 2, 40)
+    # a sentence without features is as one with a feature of no effect
+    fitted = toxicity.fit_bags(y, told, plain, 5, steps=20)
+    spelled = [bag + [[5]] * int(n) for bag, n in zip(told, plain, strict=True)]
+    x = np.zeros(6)
+    x[-1] = -6.0
+    m, v, k = np.zeros(6), np.zeros(6), 1 - 2 * toxicity.NOISE
+    for step in range(1, 21):
+        g = np.zeros(6)
+        for label, bag in zip(y, spelled, strict=True):
+            z = [x[-1] + sum(x[i] for i in s if i < 5) for s in bag]
+            clean = math.prod(1 / (1 + math.exp(t)) for t in z)
+            slope = k * clean / (toxicity.NOISE + k * (1 - clean)) if label else -k * clean / (toxicity.NOISE + k * clean)
+            for s, t in zip(bag, z, strict=True):
+                for i in [*(i for i in s if i < 5), 5]:
+                    g[i] -= slope / (1 + math.exp(-t))
+        g[:-1] += 0.02 * x[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) / (1 + step / 50)
+    assert fitted == pytest.approx(x)
+
+
 def test_noisy_or(spark):
     model = toxicity.ToxicityModel(-2.0, {"bad": 3.0})
     p, q = 1 / (1 + math.exp(-1.0)), 1 / (1 + math.exp(2.0))
@@ -425,6 +464,11 @@ def test_near_duplicate_edge_cases(spark):
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
     twice = documents(spark, ["a b c d e f", "a b c d e f", "q r s t u v"], [9, 9, 9])
     assert [r["class_id"] for r in neardup.near_duplicates(twice).collect()] == [9, 9, 9]
+    # one key with two texts beside a null key: the shingles of both are compared
+    rng = random.Random(9)
+    left, right = (" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(60)) for _ in range(2))
+    mixed = documents(spark, [left, right, left + " more", right + " more", None], [5, 5, 6, 7, None])
+    assert {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(mixed).collect()} == {(5, 5), (6, 6), (7, 7), (None, None)}
 
 
 def test_sketch_estimates_probability_jaccard():
