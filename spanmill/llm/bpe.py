@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -215,21 +216,34 @@ def _rare(ranks: Ranks) -> RareWords:
     return RareWords(ranks)
 
 
-def _packed(words: DataFrame) -> bytes:
-    """Words and their codes as Arrow bytes: the driver never builds them as Python objects."""
-    table = words.select("word", "code.*").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's words and codes as one piece of compressed Arrow bytes."""
+    if own := [b for b in batches if b.num_rows]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for b in own:
+                out.write_batch(b)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
-@lru_cache(maxsize=1)
-def _codes(packed: bytes) -> dict[str, tuple[int, str, bytes]]:
-    """word -> (n, ids, bytes), once per Python worker."""
-    table = pa.ipc.open_stream(packed).read_all()
-    word, *code = (table.column(c).to_pylist() for c in ("word", "n", "ids", "bytes"))
-    return dict(zip(word, zip(*code, strict=True), strict=True))
+def _packed(words: DataFrame) -> list[bytes]:
+    """Words and their codes, packed where they are made: the driver passes compressed bytes on, no objects."""
+    return [bytes(r[0]) for r in words.select("word", "code.*").mapInArrow(_pack, "part binary").collect()]
+
+
+_CODES: dict[str, dict[str, tuple[int, str, bytes]]] = {}
+
+
+def _codes(name: str, packed) -> dict[str, tuple[int, str, bytes]]:
+    """word -> (n, ids, bytes) of the broadcast `packed`, once per Python worker."""
+    if name not in _CODES:
+        _CODES.clear()
+        made = _CODES[name] = {}
+        for part in packed.value:
+            for batch in pa.ipc.open_stream(part):
+                word, *code = (batch.column(c).to_pylist() for c in ("word", "n", "ids", "bytes"))
+                made.update(zip(word, zip(*code, strict=True), strict=True))
+    return _CODES[name]
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most: int = KEPT_WORDS) -> DataFrame:
@@ -241,11 +255,12 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most
     takes time as n squared at worst, so a single run of very many letters is slow, not wrong.
     """
     kept = docs.sparkSession.sparkContext.broadcast(_packed(kept_words(docs, pattern, ranks, text, most)))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, get, rare = regex.compile(pattern).findall, _codes(kept.value).get, _rare(ranks).code
+        find, get, rare = regex.compile(pattern).findall, _codes(name, kept).get, _rare(ranks).code
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
