@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import json
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,15 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import written
+from spanmill.llm.common import slices, written
 
 #: Bound of the broadcast codes of frequent words: about 100 bytes each.
 KEPT_WORDS = 1 << 19
 #: Buckets of the literal rank map, about 7 pairs in each.
 PAIR_BUCKETS = 1 << 14
-#: Rare words whose codes a task keeps at hand, and documents it encodes at a time.
+#: Rare words whose codes a task keeps at hand.
 TASK_WORDS = 100_000
-BATCH_ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -231,19 +229,14 @@ def _packed(words: DataFrame) -> list[bytes]:
     return [bytes(r[0]) for r in words.select("word", "code.*").mapInArrow(_pack, "part binary").collect()]
 
 
-_CODES: dict[str, dict[str, tuple[int, str, bytes]]] = {}
-
-
-def _codes(name: str, packed) -> dict[str, tuple[int, str, bytes]]:
-    """word -> (n, ids, bytes) of the broadcast `packed`, once per Python worker."""
-    if name not in _CODES:
-        _CODES.clear()
-        made = _CODES[name] = {}
-        for part in packed.value:
-            for batch in pa.ipc.open_stream(part):
-                word, *code = (batch.column(c).to_pylist() for c in ("word", "n", "ids", "bytes"))
-                made.update(zip(word, zip(*code, strict=True), strict=True))
-    return _CODES[name]
+def _codes(parts: list[bytes]) -> dict[str, tuple[int, str, bytes]]:
+    """word -> (n, ids, bytes); once per task, so that an idle Python worker doesn't keep them."""
+    made: dict[str, tuple[int, str, bytes]] = {}
+    for part in parts:
+        for batch in pa.ipc.open_stream(part):
+            word, *code = (batch.column(c).to_pylist() for c in ("word", "n", "ids", "bytes"))
+            made.update(zip(word, zip(*code, strict=True), strict=True))
+    return made
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most: int = KEPT_WORDS) -> DataFrame:
@@ -255,23 +248,24 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most
     takes time as n squared at worst, so a single run of very many letters is slow, not wrong.
     """
     kept = docs.sparkSession.sparkContext.broadcast(_packed(kept_words(docs, pattern, ranks, text, most)))
-    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, get, rare = regex.compile(pattern).findall, _codes(name, kept).get, _rare(ranks).code
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                ns, ids, decoded = [], [], []
-                for t in part.column("__text").to_pylist():
-                    own = [get(w) or rare(w) for w in find(t)]
-                    ns.append(sum([c[0] for c in own]))
-                    ids.append(" ".join([c[1] for c in own]))
-                    decoded.append(b"".join([c[2] for c in own]))
-                columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ns, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())], names=[*(n for n in part.schema.names if n != "__text"), "n_tokens", "ids", "decoded"])
+        find, get, rare = regex.compile(pattern).findall, _codes(kept.value).get, _rare(ranks)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    ns, ids, decoded = [], [], []
+                    for t in part.column("__text").to_pylist():
+                        own = [get(w) or rare.code(w) for w in find(t)]
+                        ns.append(sum([c[0] for c in own]))
+                        ids.append(" ".join([c[1] for c in own]))
+                        decoded.append(b"".join([c[2] for c in own]))
+                    columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ns, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())], names=[*(n for n in part.schema.names if n != "__text"), "n_tokens", "ids", "decoded"])
+        finally:
+            rare.found.clear()
 
     rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "decoded")]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.BinaryType())])

@@ -4,9 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a batch whose texts are Python objects at one time.
+SLICE_ROWS = 64
+
+
+def slices(batch: pa.RecordBatch | pa.Array, rows: int = SLICE_ROWS) -> Iterator:
+    """A batch or column cut into views of few rows, so that a task holds few texts twice."""
+    return (batch.slice(at, rows) for at in range(0, len(batch), rows))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; where unset (tests), a temporary one."""

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import written
+from spanmill.llm.common import slices, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -106,16 +107,23 @@ def sketch(text: str | None, bands: int = BANDS, rows: int = ROWS) -> list[int]:
 
 
 def _sketches(bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "sha": pdf["sha"], "buckets": [sketch(t, bands, rows) for t in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                buckets = [sketch(t, bands, rows) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("sha"), pa.array(buckets, LONGS)], names=["key", "sha", "buckets"])
 
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "shingles": [np.unique(shingle_hashes(t)).view(np.int64) for t in pdf["text"]]})
+LONGS = pa.list_(pa.int64())
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            sets = [np.unique(shingle_hashes(t)).view(np.int64) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, LONGS)], names=["id", "shingles"])
 
 
 def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -161,7 +169,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     rowed = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.col("key").isNotNull())
     # one pass over the texts; a hash of 256 bits stands for a text from here on
     hashed = rowed.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    sketched = written(hashed.mapInPandas(_sketches(bands, rows), "key long, sha string, buckets array<long>"), "sketches")
+    sketched = written(hashed.mapInArrow(_sketches(bands, rows), "key long, sha string, buckets array<long>"), "sketches")
     # exact copies are one text, named by their least key
     named = written(sketched.groupBy("sha").agg(F.min(F.struct("key", "buckets")).alias("least"), F.count(F.lit(1)).alias("n")).select("sha", F.col("least.key").alias("id"), F.col("least.buckets").alias("buckets"), "n"), "texts")
     links = _copies(sketched.select("key", "sha"), named.filter("n > 1").select("sha", "id"))
@@ -174,7 +182,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # shingle sets of the texts that share a bucket with another; a text's row is one of its least key
     # (dealt by id at every size: the list of ids has no bound to broadcast it by)
     ends = shared.select("id").distinct().hint("merge")
-    sets = written(rowed.select(F.col("key").alias("id"), "text").join(ends, "id", "left_semi").mapInPandas(_sets, "id long, shingles array<long>"), "shingles")
+    sets = written(rowed.select(F.col("key").alias("id"), "text").join(ends, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "shingles")
     if sketched.select("key").distinct().count() < sketched.count():  # several texts of one key
         sets = sets.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
     found = done = None

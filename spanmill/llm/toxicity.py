@@ -16,11 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import written
+from spanmill.llm.common import slices, written
 
 #: The bound of the labelled sample that a fit reads: documents, by the order of a hash of their id.
 SAMPLE_DOCS = 8192
@@ -29,7 +30,7 @@ SAMPLE_DOCS = 8192
 MIN_DOCS = 3
 MIN_DEVIATION = 4.0
 #: Words whose weight a task keeps at hand, and features that it counts before it passes their counts on.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 NOISE = 0.03
 THRESHOLD = 0.7
 
@@ -52,9 +53,11 @@ def sentence_words(text: str | None) -> list[tuple[int, int, set[str]]]:
     return out
 
 
-def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"toxic": pdf["toxic"], "bag": ["\n".join(" ".join(sorted(w)) for _, _, w in sentence_words(t)) for t in pdf["text"]]})
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            bags = ["\n".join(" ".join(sorted(w)) for _, _, w in sentence_words(t)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(bags, pa.string())], names=["toxic", "bag"])
 
 
 def word_features(word: str) -> list[str]:
@@ -70,7 +73,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """feature, toxic and all documents that have it, summed over as many documents as KEPT_WORDS features allow."""
     counts: dict[str, list[int]] = {}
-    made = lambda: pd.DataFrame([(f, *n) for f, n in counts.items()], columns=["feature", "toxic", "docs"])
+    made = lambda: pd.DataFrame({"feature": list(counts), "toxic": [n[0] for n in counts.values()], "docs": [n[1] for n in counts.values()]})
     for pdf in batches:
         for y, bag in zip(pdf["toxic"], pdf["bag"], strict=True):
             for f in {f for w in set(bag.split()) for f in word_features(w)}:
@@ -80,7 +83,8 @@ def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(counts) >= KEPT_WORDS:
                 yield made()
                 counts.clear()
-    yield made()
+    if counts:
+        yield made()
 
 
 def telling_features(bags: DataFrame) -> DataFrame:
@@ -149,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> T
     chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     # only documents that are there count for the bound
     chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
-    bags = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(_bags, "toxic int, bag string"), "bags")
+    bags = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_bags, "toxic int, bag string"), "bags")
     vocab = {r[0]: i for i, r in enumerate(telling_features(bags).orderBy("feature").collect())}
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
@@ -199,6 +203,9 @@ def score_text(text: str | None, model: ToxicityModel, kept: dict[str, float] |
     return -math.expm1(-clean), spans
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("score", pa.float64())]))
+
+
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, score, predicted, and sentences: <start, length, score> (code points) of offending ones.
 
@@ -206,14 +213,16 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kept = shared.value, {}
-        for pdf in batches:
-            found = [score_text(t, own, kept) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"], "score": [f[0] for f in found], "sentences": [[{"start": a, "length": b, "score": c} for a, b, c in f[1]] for f in found]})
+        for batch in batches:
+            for part in slices(batch):
+                found = [score_text(t, own, kept) for t in part.column("text").to_pylist()]
+                spans = [[{"start": a, "length": b, "score": c} for a, b, c in f[1]] for f in found]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([f[0] for f in found], pa.float64()), pa.array(spans, SPANS)], names=["key", "score", "sentences"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, score double, sentences array<struct<start:int,length:int,score:double>>")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double, sentences array<struct<start:int,length:int,score:double>>")
     return out.select(F.col("key").alias(key), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "sentences")
 
 
@@ -231,10 +240,10 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
     """docs without the rows whose text scores `threshold` or more: a filter, no join; null texts stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, kept = shared.value, {}
-        for s in batches:
-            yield pd.Series([score_text(t, own, kept)[0] for t in s], dtype=float)
+        for a in batches:
+            yield pa.array([score_text(t, own, kept)[0] for part in slices(a) for t in part.to_pylist()], pa.float64())
 
     return docs.filter(scored(F.col(text)) < threshold)
