@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Each rule is a regular expression with a label, a priority and a keyword; a rule runs only on texts
-that hold its keyword. Where detections overlap, those of higher priority win, then longer ones; a
+Each rule is a regular expression with a label, a priority and keywords, single words that each of its
+matches holds; a rule runs only on texts that hold all of them. Where detections overlap, those of higher priority win, then longer ones; a
 detection inside the interval of a kept one, or overlapping one of its own label, is suppressed.
 Three base phrases are counted word by word whatever the rules say.
 """
@@ -93,10 +93,19 @@ class Rule:
     label: str
     priority: int
     confidence: float
-    keyword: str
+    keywords: frozenset[str]
     pattern: str
 
 
+def _keywords(name: str, keyword: str) -> frozenset[str]:
+    """The words of a row's keyword that each match of a name holds as they stand; if none, the longest it holds."""
+    shown = None
+    while shown != name:  # groups may be optional, alternatives or looked ahead
+        shown, name = name, re.sub(r"\([^()]*\)\??", " ", name)
+    held = re.findall(r"[a-z0-9]+", re.sub(r"\[[^]]*\]|\\.|.\?", " ", name))
+    return frozenset(set(keyword.split()) & set(held) or {max(held, key=len)})
+
+
 def _spaced(pattern: str) -> str:
     return r"(?<![^\W_])" + re.sub(r"(?<!\[\^) ", r"[\\W_]+", pattern).replace(r"[\W_]+?", r"[\W_]*") + r"(?![^\W_])"
 
@@ -109,13 +118,14 @@ def rules() -> tuple[Rule, ...]:
     for line in LICENSES.strip().splitlines():
         label, keyword, names, ids = _cells(line)
         for k, name in enumerate(n for n in names.split(";") if n):
+            held = _keywords(name, keyword)
             for form, priority, confidence, pattern in forms:
-                out.append(Rule(f"{label}:{keyword}:{k}:{form}", label, int(priority), float(confidence), keyword, _spaced(pattern.replace("NAME", f"(?:{name})"))))
+                out.append(Rule(f"{label}:{keyword}:{k}:{form}", label, int(priority), float(confidence), held, _spaced(pattern.replace("NAME", f"(?:{name})"))))
             if label in PLAIN:
-                out.append(Rule(f"{label}:{keyword}:{k}:plain", label, 40, 0.7, keyword, _spaced(f"(?:{name})")))
+                out.append(Rule(f"{label}:{keyword}:{k}:plain", label, 40, 0.7, held, _spaced(f"(?:{name})")))
         for spdx in (i for i in ids.split(";") if i):
-            out.append(Rule(f"{label}:spdx:{spdx}", label, 90, 1.0, "spdx", r"spdx-license-identifier:\s*\(?" + re.escape(spdx.lower()) + r"(?![\w.-])"))
-            out.append(Rule(f"{label}:id:{spdx}", label, 65, 0.9, "license", r"\"?licen[cs]e\"?\s*[:=]\s*\"?" + re.escape(spdx.lower()) + r"(?![\w.-])"))
+            out.append(Rule(f"{label}:spdx:{spdx}", label, 90, 1.0, frozenset({"spdx"}), r"spdx-license-identifier:\s*\(?" + re.escape(spdx.lower()) + r"(?![\w.-])"))
+            out.append(Rule(f"{label}:id:{spdx}", label, 65, 0.9, frozenset({"licen"}), r"\"?licen[cs]e\"?\s*[:=]\s*\"?" + re.escape(spdx.lower()) + r"(?![\w.-])"))
     return tuple(sorted(out, key=lambda r: (-r.priority, r.name)))
 
 
@@ -129,14 +139,23 @@ def _cells(line: str) -> list[str]:
 def _gates():
     import ahocorasick
 
-    by_keyword: dict[str, list[Rule]] = {}
+    by_keywords: dict[frozenset[str], list[Rule]] = {}
     for r in rules():
-        by_keyword.setdefault(r.keyword, []).append(r)
+        by_keywords.setdefault(r.keywords, []).append(r)
     automaton = ahocorasick.Automaton()
-    for k in by_keyword:
+    for k in frozenset().union(*by_keywords):
         automaton.add_word(k, k)
     automaton.make_automaton()
-    return automaton, by_keyword
+    return automaton, by_keywords
+
+
+def _due(low: str) -> Iterator[Rule]:
+    """The rules whose keywords a text in lower case holds."""
+    automaton, by_keywords = _gates()
+    held = {k for _, k in automaton.iter(low)}
+    for keywords, own in by_keywords.items():
+        if keywords <= held:
+            yield from own
 
 
 @lru_cache(maxsize=None)
@@ -169,12 +188,10 @@ def base_places(text: str) -> tuple[int, list[tuple[int, str]]]:
 
 def detections(text: str) -> list[tuple[int, int, Rule]]:
     """Kept detections (start, end, rule) in order of place."""
-    automaton, by_keyword = _gates()
     low = lowered(text)
     found = []
-    for keyword in {k for _, k in automaton.iter(low)}:
-        for r in by_keyword[keyword]:
-            found += [(m.start(), m.end(), r) for m in _compiled(r.pattern).finditer(low) if m.end() > m.start()]
+    for r in _due(low):
+        found += [(m.start(), m.end(), r) for m in _compiled(r.pattern).finditer(low) if m.end() > m.start()]
     kept: list[tuple[int, int, Rule]] = []
     for start, end, r in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name)):
         if not any(a <= start and end <= b or start < b and a < end and r.label == o.label for a, b, o in kept):

@@ -413,6 +413,19 @@ def test_license_rules():
     assert labels("Mozilla Public License 2.0") == ["mpl-2"] and labels("limit the permit") == []
 
 
+def test_license_gate_loses_nothing(monkeypatch):
+    names = ["GNU General Public License version 2", "GNU Lesser General Public License v3", "All rights reserved", "Creative Commons Attribution", "SIL Open Font License", "Public Domain Dedication", "Python Software Foundation", "Open Data Commons Database", "European Union Public Licence", "Microsoft Public", "Expat", "ASL 2.0", "do what the fun you want to public license", "Apache License 2.0", "BSD 3-Clause", "CC BY-NC-SA 4.0", "0BSD"]
+    forms = ["{}", "Released under the terms of the {} license", "licence: {}", "dual licensed by us as {}", "{} compatible"]
+    texts = [sep.join(f.format(n).split(" ")) for n in names for f in forms for sep in (" ", "\n", "  ", "-", "\n * ")] + ["licence: MIT", "Licence = 'GPL-2.0'", '"licence": "0BSD"']
+    gated = [licenses.detections(t) for t in texts]
+    monkeypatch.setattr(licenses, "_due", lambda low: licenses.rules())
+    assert gated == [licenses.detections(t) for t in texts]
+    labels = lambda t: {r.label for _, _, r in licenses.detections(t)}
+    monkeypatch.undo()
+    assert labels("GNU General\nPublic License version 2") == {"gpl-2"} and labels("All rights\nreserved") == {"all-rights-reserved"}
+    assert labels("under the Expat license") == {"mit"} and labels("licence: MIT") == {"mit"} and labels("ASL 2.0") == {"apache-2"}
+
+
 # 10
 
 
