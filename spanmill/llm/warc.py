@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,18 +55,27 @@ def decisions(records: DataFrame) -> DataFrame:
     return joined.select("record_id", "url", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def chunked(pages: DataFrame, decided: DataFrame, key: str = "page_id", payload: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunked record table: decided's columns with chunk_no, data; revisits have one row without data.
+def chunked(pages: DataFrame, decided: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunked record table: decided's columns with copy, chunk_no, data; revisits have one row without data.
 
     Payloads are cut before anything is dealt by id, so the rows that travel and are sorted are no
-    larger than a chunk.
+    larger than a chunk. Of decided only the revisits are read: what is none of them is a response.
+    Rows of equal id and payload are told apart by copy, from 1: their chunks of one number are the
+    same bytes, so it doesn't matter which of them is in which copy. Null ids are as any other.
     """
     binary = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    cut = pages.select(F.col(key).cast("long").alias("record_id"), binary.alias("b"))
+    cut = pages.select(F.col(key).cast("long").alias("record_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), binary.alias("b"))
+    cut = cut.select("*", F.length("b").cast("long").alias("payload_bytes"), F.sha2("b", 256).alias("payload_digest"))
     last = F.greatest(F.ceil(F.length("b") / chunk_bytes).cast("int") - 1, F.lit(0))
-    rows = cut.select("record_id", "b", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    rows = rows.select("record_id", "chunk_no", F.substring(F.col("b"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
-    return rows.join(decided, "record_id").filter("record_type = 'response' OR chunk_no = 0").withColumn("data", F.when(F.col("record_type") == "response", F.col("data")))
+    rows = cut.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    data = F.substring(F.col("b"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
+    rows = rows.select("record_id", F.when(F.col("chunk_no") == 0, F.col("url")).alias("url"), "payload_bytes", "payload_digest", "chunk_no", data.alias("data"))
+    told = decided.filter("record_type = 'revisit'").select("record_id", "payload_digest", "refers_to").distinct()
+    typed = rows.join(told, ["record_id", "payload_digest"], "left").filter("refers_to IS NULL OR chunk_no = 0")
+    typed = typed.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")).withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data")))
+    # the window deals the rows so that all chunks of a record are in one task, however they were joined
+    own = Window.partitionBy("record_id", "payload_digest").orderBy("chunk_no")
+    return typed.withColumn("copy", F.row_number().over(own) - F.rank().over(own) + 1)
 
 
 def _header(kind: str, row: dict, length: int) -> bytes:
@@ -97,8 +106,8 @@ def _one_line(text: str) -> str:
 def write_archives(table: DataFrame, folder: str) -> DataFrame:
     """Stream a chunked record table to archives, one per task; the manifest: path, records, bytes.
 
-    All chunks of a record are in one task, as they are where chunked() made or joined them; they are
-    sorted there and written as they come. Written once: the manifest is a table in the shared folder.
+    All chunks of a record are in one task, as chunked() deals them; they are sorted there and written
+    as they come. Written once: the manifest is a table in the shared folder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +143,7 @@ def write_archives(table: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size + 4]})
 
-    placed = table.sortWithinPartitions("record_id", "chunk_no")
+    placed = table.sortWithinPartitions("record_id", "payload_digest", "copy", "chunk_no")
     return written(placed.mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
@@ -228,11 +237,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Archive all pages, read the archives back, and return what they hold, a row per page.
 
     Null payloads are empty, null URLs too; other columns are left out; an empty table makes no
-    archive. Page ids are unique and not null.
+    archive. Rows without page id are responses; those of one page id are a record each, with the
+    same record id, and of equal ones none is a revisit of another.
     """
     spark = pages.sparkSession
     folder = scratch(spark, "archives")
-    decided = written(decisions(records_of(pages)), "records")
+    decided = written(decisions(records_of(pages)).filter("record_type = 'revisit'"), "revisits")
     manifest = write_archives(chunked(pages, decided), folder)
     return read_archives(manifest, folder)
 

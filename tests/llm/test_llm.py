@@ -283,6 +283,28 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_hold_null_and_repeated_ids(spark):
+    big, long = "<p>é" * 40_000, "z" * 150
+    pages = [(None, "a", big), (None, "b", big), (None, None, None), (None, "a", "short"), (3, "a", big), (3, "b", big), (3, "a", big), (3, "c", long), (2, "d", long), (2, "d", long), (7, "e", big), (7, "e", big), (7, "f", "x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = []
+    for i, _, html in pages:
+        data = (html or "").encode()
+        to = min((j for j, _, h in pages if h == html and j is not None), default=None) if len(data) >= 100 else None
+        revisit = None not in (i, to) and to < i
+        want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", to if revisit else None))
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in [*held, "spark.sql.autoBroadcastJoinThreshold"]}
+    try:
+        for threshold in ("-1", "10m"):  # revisits joined by a shuffle and by a broadcast
+            for k, v in (held | {"spark.sql.autoBroadcastJoinThreshold": threshold}).items():
+                spark.conf.set(k, v)
+            assert sorted(map(str, map(tuple, warc.round_trip(df).collect()))) == sorted(map(str, want))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_parse_reads_in_any_block_size():
     head = {"record_id": 3, "url": "u", "payload_digest": hashlib.sha256(b"ab\r\n").hexdigest(), "payload_bytes": 4, "refers_to": None}
     http = warc._http(head)
