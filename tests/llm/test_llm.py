@@ -516,6 +516,19 @@ def test_sketch_estimates_probability_jaccard():
     assert (a == b).mean() == pytest.approx(true, abs=0.03)
 
 
+def test_near_duplicates_that_repeat_lines(spark):
+    rng = random.Random(11)
+    word = lambda: f"{rng.choice(WORDS)}{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(30):  # a line stands 50 times in one text and once in the other, which also has words of its own
+        line, rest, own = ([word() for _ in range(n)] for n in (30, 90, 8))
+        texts += [" ".join(line * 50 + rest), " ".join(line + rest + own)]
+    assert all(set(neardup.sketch(a)) & set(neardup.sketch(b)) for a, b in zip(texts[::2], texts[1::2], strict=True))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    want = classes(texts)
+    assert [got[i] for i in range(60)] == want and want == [i // 2 * 2 for i in range(60)]
+
+
 def test_blocks_join_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
     monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
