@@ -59,6 +59,18 @@ def balanced_draws(rows: DataFrame, cls: str, key: str, n: int, seed: int) -> Da
     return draws.join(sized, [cls, "__k"]).select(cls, "draw", key)
 
 
+def tile_index(slides: DataFrame, objects: DataFrame, slide: str, obj: str, m: int, seed: int) -> DataFrame:
+    """slide, obj, draw, u: every object of a slide once (draw and u null), and m random tiles of each slide (obj null).
+
+    u, from 0 to 1 by hash, is where a random tile lies in the slide's sampling CDF, as grid.pick takes
+    it. Slides are distinct; those without objects have random tiles only, objects without slide no part.
+    """
+    placed = objects.join(slides.select(slide), slide).select(slide, obj)
+    drawn = slides.select(slide, F.explode(F.sequence(F.lit(1), F.lit(m))).alias("draw")) if m else slides.select(slide, F.lit(0).alias("draw")).limit(0)
+    drawn = drawn.withColumn("u", F.pmod(F.xxhash64(slide, "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+    return placed.unionByName(drawn, allowMissingColumns=True)
+
+
 def best_so_far(log: DataFrame, keys: list[str], epoch: str, loss: str, patience: int) -> DataFrame:
     """log with best (least loss up to here), improved, stale (epochs since), stopped (stale reached patience before)."""
     by = Window.partitionBy(*keys).orderBy(epoch)

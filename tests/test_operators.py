@@ -277,3 +277,15 @@ def test_early_stopping(spark):
     rows = sampling.best_so_far(log, ["run"], "epoch", "loss", 3).orderBy("epoch").collect()
     assert [r["improved"] for r in rows] == [True, True, False, False, False, True]
     assert [r["stopped"] for r in rows] == [False, False, False, False, False, True]
+
+
+def test_tile_index_has_random_tiles_of_every_slide(spark):
+    from spanmill.operators import sampling
+
+    slides = spark.createDataFrame([(1,), (2,)], "slide long")
+    objects = spark.createDataFrame([(1, 10), (1, 11), (3, 12), (None, 13)], "slide long, obj long")
+    rows = sampling.tile_index(slides, objects, "slide", "obj", 2, 5).collect()
+    assert sorted((r["slide"], r["obj"] or 0, r["draw"] or 0) for r in rows) == [(1, 0, 1), (1, 0, 2), (1, 10, 0), (1, 11, 0), (2, 0, 1), (2, 0, 2)]
+    drawn = [r["u"] for r in rows if r["draw"]]
+    assert len(set(drawn)) == 4 and all(0 <= u < 1 for u in drawn) and all(r["u"] is None for r in rows if r["obj"])
+    assert sampling.tile_index(slides, objects, "slide", "obj", 0, 5).count() == 2
