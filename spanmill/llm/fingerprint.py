@@ -25,13 +25,13 @@ CODE_DIFFERENCE = np.array([0, 1, 2, 6], dtype=np.int64)
 
 
 def bucket_counts(data: bytes) -> np.ndarray:
-    """Occurrences of hashed byte triplets by bucket."""
+    """Occurrences of hashed byte triplets by bucket; the last three bytes, which no window begins, are one too."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
     shift = np.uint32(33 - BUCKETS.bit_length())
-    for start in range(0, max(len(data) - 3, 0), SLICE):
+    for start in range(0, max(len(data) - 2, 0), SLICE):
         b = np.frombuffer(data[start : start + SLICE + 3], dtype=np.uint8).astype(np.uint32)
-        n = len(b) - 3
         for k, (i, j) in enumerate(TRIPLETS):
+            n = min(len(b) - j, SLICE)
             h = (b[:n] + (b[i : i + n] << 8) + (b[j : j + n] << 16) + np.uint32((k + 1) << 24)) * np.uint32(2654435761)
             h ^= h >> 15
             h *= np.uint32(2246822519)

@@ -76,6 +76,14 @@ def test_long_text_is_counted_whole_across_slices(monkeypatch):
     assert (fingerprint.bucket_counts(data) == whole).all()
 
 
+def test_last_triplet_is_counted(monkeypatch):
+    assert fingerprint.bucket_counts(b"abc").sum() == 1 and fingerprint.bucket_counts(b"ab").sum() == 0
+    assert fingerprint.digest("abc") != fingerprint.digest("xyz")
+    monkeypatch.setattr(fingerprint, "SLICE", 4)
+    for n in range(3, 20):  # adjacent triplets at n - 2 places, the others at n - 3
+        assert fingerprint.bucket_counts(bytes(range(n))).sum() == 3 * n - 8
+
+
 # 2
 
 CONV = "conv_id long, turn long, role string, text string, extra string, blocks int"
