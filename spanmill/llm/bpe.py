@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import pairwise
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import slices, written
+from spanmill.llm.common import bind, slices, written
 
 #: Bound of the broadcast codes of frequent words: about 100 bytes each.
 KEPT_WORDS = 1 << 19
@@ -54,11 +54,6 @@ def read_ranks(path: str) -> Ranks:
     return Ranks(tuple(ranks[i] for i in range(len(ranks))))
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def pair_bucket(a: Column, b: Column) -> Column:
     return F.pmod(a * 31 + b * 1009, F.lit(PAIR_BUCKETS))
 
