@@ -4,13 +4,16 @@ A shard set is a folder of immutable runs (Parquet folders) and numbered manifes
 appended as a run of small shards; when enough runs of one size tier have gathered, they are merged
 into one run of target-sized files. Each change is a new manifest, made under another name and
 renamed to its number; the rename fails if that number is taken, so readers see whole versions only
-and of two writers one must try again. Files of dropped runs go only after that.
+and of two writers one tries again upon the other's version. Merged runs stay, and with them all older
+versions and what was read from them, until expire() is called for those that nobody reads any more;
+it also finds the folders that crashed writers left.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -23,6 +26,10 @@ TARGET_BYTES = 128 << 20
 SMALLEST_BYTES = 1 << 20
 FAN_IN = 4
 ARRIVALS = 16
+#: Versions that arrive() keeps readable while it compacts.
+RETAINED = 4
+#: Folders of no version are taken for left by a crashed writer after so long.
+ORPHAN_SECONDS = 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -46,16 +53,22 @@ class ShardSet:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def versions(self) -> list[int]:
+        """The numbers of the manifests that are there, ascending."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("manifests"))]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
     def version(self) -> int:
         """The number of the latest manifest; 0 if there is none."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("manifests"))]
-        return max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()], default=0)
+        return max(self.versions(), default=0)
 
     def runs(self, version: int | None = None) -> list[Run]:
         """The runs of a version, the latest if none is given. A manifest lists folders, a few per size tier."""
         version = self.version() if version is None else version
         if not version:
             return []
+        if not self._fs.exists(self._path(f"manifests/{version:010d}.json")):
+            raise ValueError(f"there is no version {version}, or no longer")
         (line,) = (r.value for r in self.spark.read.text(f"{self.root}/manifests/{version:010d}.json").collect())
         return [Run(**r) for r in json.loads(line)["runs"]]
 
@@ -85,9 +98,14 @@ class ShardSet:
         return Run(path, size, self.tier(size))
 
     def adopt(self, path: str) -> int:
-        """Commit a folder of shards that is already written below the root as a new run."""
-        at = self.version()
-        return self.commit([*self.runs(at), self.measured(path)], at)
+        """Commit a folder of shards that is already written below the root as a new run, after whatever others commit."""
+        new = self.measured(path)
+        while True:
+            at = self.version()
+            try:
+                return self.commit([*self.runs(at), new], at)
+            except FileExistsError:
+                continue
 
     def append(self, rows: DataFrame) -> int:
         """Write rows as small immutable shards and commit them."""
@@ -95,7 +113,10 @@ class ShardSet:
         return self.adopt(path)
 
     def compact(self) -> int:
-        """Merge runs of one tier, smallest tiers first, while fan_in or more stand in it; the version then."""
+        """Merge runs of one tier, smallest tiers first, while fan_in or more stand in it; the version then.
+
+        The runs merged stay for readers of older versions, until expire().
+        """
         while True:
             at = self.version()
             runs = self.runs(at)
@@ -108,13 +129,45 @@ class ShardSet:
             new = self.measured(path)
             # a merged run stands above its parts even where it compresses better
             new = Run(new.path, new.bytes, max(new.tier, full[0] + 1))
-            try:
-                self.commit([*(r for r in runs if r not in merged), new], at)
-            except FileExistsError:
-                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
-                continue
-            for r in merged:
-                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(r.path), True)
+            while True:  # others may append meanwhile; only if one of the runs is gone the merge was in vain
+                try:
+                    self.commit([*(r for r in runs if r not in merged), new], at)
+                    break
+                except FileExistsError:
+                    at = self.version()
+                    runs = self.runs(at)
+                    if not set(merged) <= set(runs):
+                        self._delete(path)
+                        break
+
+    def expire(self, keep: int = 1, orphan_seconds: float = ORPHAN_SECONDS) -> list[str]:
+        """Drop all but the last `keep` versions and the runs that only they hold; the folders deleted.
+
+        Manifests go before files, so no version that can be found lacks any. Folders that no version
+        names (of a writer that crashed, or is still writing) go if unchanged for orphan_seconds.
+        """
+        there = self.versions()
+        kept, dropped = there[-max(1, keep) :], there[: -max(1, keep)]
+        needed = {r.path for v in kept for r in self.runs(v)}
+        gone = {r.path for v in dropped for r in self.runs(v)} - needed
+        for v in dropped:
+            self._fs.delete(self._path(f"manifests/{v:010d}.json"), False)
+        told = {self._plain(p) for p in needed | gone}
+        before = (time.time() - orphan_seconds) * 1000
+        for status in [s for d in self._fs.listStatus(self._path("")) if d.isDirectory() and d.getPath().getName() != "manifests" for s in (self._fs.listStatus(d.getPath()) if d.getPath().getName().startswith("arrivals-") else [d])]:
+            path = self._plain(status.getPath().toString())
+            if status.isDirectory() and path not in told and status.getModificationTime() <= before:
+                gone.add(path)
+        for path in gone:
+            self._delete(path)
+        return sorted(gone)
+
+    def _plain(self, path: str) -> str:
+        """A path as its file system writes it."""
+        return self._fs.makeQualified(self.spark._jvm.org.apache.hadoop.fs.Path(path)).toString()
+
+    def _delete(self, path: str) -> None:
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
     def read_runs(self, runs: list[Run]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[r.path for r in runs]) if runs else self.spark.createDataFrame([], self.schema)
@@ -124,8 +177,8 @@ class ShardSet:
         return self.read_runs(self.runs(version))
 
 
-def arrive(rows: DataFrame, key: str, root: str, arrivals: int = ARRIVALS, **sizes: int) -> ShardSet:
-    """Append rows in arrivals by a hash of the key, compacting after each.
+def arrive(rows: DataFrame, key: str, root: str, arrivals: int = ARRIVALS, retain: int = RETAINED, **sizes: int) -> ShardSet:
+    """Append rows in arrivals by a hash of the key, compacting after each and keeping the last `retain` versions.
 
     The arrivals are written in one pass, a folder each, and committed one by one. Null keys have a
     hash as well; repeated rows stay; a table without rows makes a set without runs.
@@ -138,6 +191,7 @@ def arrive(rows: DataFrame, key: str, root: str, arrivals: int = ARRIVALS, **siz
         if status.isDirectory():
             held.adopt(status.getPath().toString())
             held.compact()
+            held.expire(retain)
     return held
 
 
