@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.llm.common import bind
+
 START, END, SEP = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
 
 
@@ -43,35 +45,59 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     table gives no rows; other columns are not used.
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sorted_turns = turns.groupBy(F.col(conv).alias(conv)).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    collected = turns.groupBy(F.col(conv).alias(conv)).agg(F.collect_list(one).alias("turns"))
+
+    def made(turns: Column) -> Column:
+        return bind(_blocks(turns, learn), lambda blocks: F.struct(_body(blocks).alias("formatted"), _spans(blocks).alias("loss_spans")))
+
+    built = collected.select(conv, bind(F.array_sort("turns"), made).alias("__made"))
+    return built.select(conv, "__made.formatted", "__made.loss_spans")
+
+
+def _blocks(turns: Column, learn: str) -> Column:
+    """<role, learn, texts> of each run of turns with one role, escaped."""
+
+    def block(begin: Column, end: Column) -> Column:
+        role = F.get(turns, begin)["role"]
+        return F.struct(escape_role(role).alias("role"), (role == learn).alias("learn"), F.transform(F.slice(turns, begin + 1, end - begin), lambda t: escape(t["text"])).alias("texts"))
+
     # a block begins where the role differs from that of the turn before
-    begins = F.filter(
-        F.sequence(F.lit(0), F.size("turns") - 1),
-        lambda i: (i == 0) | (F.get(F.col("turns"), i)["role"] != F.get(F.col("turns"), i - 1)["role"]),
-    )
-    marked = sorted_turns.withColumn("begins", begins)
-    blocks = F.transform(
-        "begins",
-        lambda b, k: F.struct(
-            escape_role(F.get(F.col("turns"), b)["role"]).alias("role"),
-            (F.get(F.col("turns"), b)["role"] == learn).alias("learn"),
-            F.transform(F.slice(F.col("turns"), b + 1, F.coalesce(F.get(F.col("begins"), k + 1), F.size("turns")) - b), lambda t: escape(t["text"])).alias("texts"),
-        ),
-    )
-    merged = marked.select(conv, blocks.alias("blocks"))
-    body = F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], SEP), F.lit(END)))
-    built = merged.withColumn("parts", body)
-    # where each block begins: a running sum, kept as the list of sums
-    starts = F.aggregate("parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(p))))
-    placed = built.withColumn("starts", starts)
+    begins = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+    return bind(begins, lambda at: F.transform(at, lambda b, k: block(b, F.coalesce(F.get(at, k + 1), F.size(turns)))))
+
+
+def _body(blocks: Column) -> Column:
+    return F.array_join(F.transform(blocks, lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], SEP), F.lit(END))), "")
+
+
+def _spans(blocks: Column) -> Column:
+    """<start, length> of the texts to learn: what stands before each text and within it, summed up."""
+
+    def measures(b: Column) -> Column:
+        head, n = len(START) + F.char_length(b["role"]) + 1, F.size(b["texts"])
+        return F.transform(b["texts"], lambda t, j: F.struct(F.when(j == 0, head).otherwise(len(SEP)).alias("lead"), F.char_length(t).alias("length"), F.when(j == n - 1, len(END)).otherwise(0).alias("tail"), b["learn"].alias("learn")))
 
-    def spans(b: Column, k: Column) -> Column:
-        first = F.get(F.col("starts"), k) + len(START) + F.char_length(b["role"]) + 1
-        running = F.aggregate(b["texts"], F.array(first), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(t) + len(SEP))))
-        return F.when(b["learn"], F.transform(b["texts"], lambda t, j: F.struct(F.get(running, j).alias("start"), F.char_length(t).alias("length"))))
+    def placed(texts: Column) -> Column:
+        lengths = F.transform(texts, lambda m: m["lead"] + m["length"] + m["tail"])
+        return bind(running(lengths), lambda starts: F.transform(F.filter(F.transform(texts, lambda m, i: F.struct((F.get(starts, i) + m["lead"]).alias("start"), m["length"].alias("length"), m["learn"].alias("learn"))), lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))))
 
-    learnt = F.flatten(F.filter(F.transform("blocks", spans), lambda s: s.isNotNull()))
-    return placed.select(conv, F.array_join("parts", "").alias("formatted"), learnt.alias("loss_spans"))
+    return bind(F.flatten(F.transform(blocks, measures)), placed)
+
+
+def running(lengths: Column) -> Column:
+    """The sum of all lengths before each: of rows of about sqrt(n) lengths first, then within each row.
+
+    A fold that appends to its list copies it each time; in rows of sqrt(n) that is n * sqrt(n) at most.
+    """
+
+    def sums(row: Column) -> Column:
+        return F.aggregate(row, F.array(F.lit(0)), lambda held, x: F.concat(held, F.array(F.element_at(held, -1) + x)))
+
+    def in_rows(width: Column) -> Column:
+        rows = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / width).cast("int")), lambda k: sums(F.slice(lengths, k * width + 1, width)))
+        return bind(rows, lambda held: bind(sums(F.transform(held, lambda r: F.element_at(r, -1))), lambda begins: F.flatten(F.transform(held, lambda r, k: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda x: x + F.get(begins, k))))))
+
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(bind(F.ceil(F.sqrt(F.size(lengths))).cast("int"), in_rows))
 
 
 def parse_chats(formatted: Column) -> Column:
@@ -88,9 +114,23 @@ def parse_chats(formatted: Column) -> Column:
     )
 
 
+#: Code points of a page: where a long output is read by places, its pages are found once.
+PAGE = 4096
+
+
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(formatted.substr(s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, in order.
+
+    A place in a string is found by counting from its start, so spans are read from the pages they
+    touch.
+    """
+
+    def read(pages: Column, s: Column) -> Column:
+        first, end = F.floor(s["start"] / PAGE).cast("int"), s["start"] + s["length"]
+        own = F.array_join(F.slice(pages, first + 1, F.floor(end / PAGE).cast("int") - first + 1), "")
+        return unescape(own.substr(s["start"] - first * PAGE + 1, s["length"]))
+
+    return bind(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)), lambda pages: F.array_join(F.transform(spans, lambda s: read(pages, s)), ""))
 
 
 def chat_digests(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
