@@ -1,13 +1,13 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source, its documents in a pseudorandom order, are packed into blocks of
-BLOCK_WORDS. The mix is a sequence of slots, each for one block, cut into output shards. A
-pseudorandom permutation of all slots deals the sources: slot k stands at permuted place p(k) in the
-list of all sources' slots, so every shard's source counts are multinomial draws given the totals
-(free draws would miss the targets and the bound of two times). The places of a source, in turn, are
-mapped through a pseudorandom permutation of the source's block indexes, another one for each pass
-over them, and blocks are joined by source and index. Both permutations are swap-or-not shuffles,
-computed per slot from its number alone; nothing is sorted or collected as a whole.
+BLOCK_WORDS. The mix is a sequence of slots, each for one block, cut into output shards. How many
+slots of a shard each source gets is drawn: a pseudorandom permutation deals all slots of all sources
+to the places of the mix, so a shard's counts are multinomial draws given the sources' totals (free
+draws would miss the targets and the bound of two times). A shard's slots of a source are numbered on
+from those of the shards before it; a number is mapped through a pseudorandom permutation of the
+source's block indexes, another one for each pass over them, and blocks are joined by source and index. Both
+permutations are swap-or-not shuffles, computed from a number alone; nothing is sorted or collected as a whole.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 ROUNDS = 24
 SLOT_CHUNK = 1 << 14
-#: Documents of one source are dealt to hash ranges of about so many before their words are numbered.
-RANGE_DOCS = 20_000
+#: Shards whose counts are summed at once when slots are numbered.
+SHARD_GROUP = 1024
+#: Documents of all sources that are dealt to one hash range before each source's words are numbered there.
+RANGE_DOCS = 2000
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space before it, so that pieces keep a text's own spacing.
 SPACED = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
@@ -83,19 +85,22 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """sized (key, hash, size, ...) with first, the number of a row's first word in its source, and its source's columns.
+    """A row for each of sized (key, doc_id, hash, size) with copy, first (the number of its first word in its source), and its source's columns.
 
-    Rows go in the order of a hash. Words are summed per hash range first, so that no source's rows
+    Rows go in the order of a hash. Rows equal in all are one row with a count while words are summed,
+    and copies from 0 after it. Words are summed per hash range first, so that no source's rows
     meet in one task; ranges are numbered per source by a window over their sums only.
     """
     n = max(1, -(-sized.count() // RANGE_DOCS))
-    keyed = sized.withColumn("range", F.pmod(F.xxhash64("hash"), F.lit(n)))
+    counted = sized.groupBy("key", "doc_id", "hash", "size").agg(F.count(F.lit(1)).alias("copies"))
+    keyed = counted.withColumn("range", F.pmod(F.xxhash64("hash", F.lit(7)), F.lit(n))).withColumn("words", F.col("size") * F.col("copies"))
     by = Window.partitionBy("key").orderBy("range")
-    sums = keyed.groupBy("key", "range").agg(F.sum("size").alias("words"))
+    sums = keyed.groupBy("key", "range").agg(F.sum("words").alias("words"))
     begun = sums.withColumn("begin", F.sum("words").over(by) - F.col("words")).drop("words").join(sources.drop("source"), "key")
     inside = Window.partitionBy("key", "range").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    own = keyed.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    return own.join(begun, ["key", "range"]).withColumn("first", F.col("begin") + F.col("inside")).drop("range", "begin", "inside")
+    own = keyed.withColumn("inside", F.sum("words").over(inside) - F.col("words")).drop("words")
+    placed = own.join(begun, ["key", "range"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return placed.withColumn("first", F.col("begin") + F.col("inside") + F.col("copy") * F.col("size")).drop("range", "begin", "inside", "copies")
 
 
 def block_counts(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -108,42 +113,57 @@ def block_counts(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     return made.withColumn("begin", F.coalesce(F.sum("slots").over(before), F.lit(0).cast("long"))).withColumn("total", F.sum("slots").over(Window.partitionBy()))
 
 
-def slots(counted: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """key, slot, shard, index (of a block), pass: one row per slot of the mix.
+def shard_counts(counted: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """key, shard, n: how many slots of a shard were drawn for a source; none where it got none.
 
-    Made from each source's places in the list of all slots, in chunks dealt anew, so that a source
-    with most of the slots is not one task.
+    Each source's slots are dealt in chunks, so that a source with most of them is not one task.
     """
-    chunks = counted.filter("slots > 0").select("key", "blocks", "slots", "begin", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK).cast("long"))).alias("chunk"))
-    # few rows now, many after the explode: a number of partitions that isn't coalesced
-    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = chunks.repartition(parts, "key", "chunk")
+    chunks = counted.filter("slots > 0").select("key", "slots", "begin", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK).cast("long"))).alias("chunk"))
     low = F.col("chunk") * SLOT_CHUNK
-    made = dealt.select("key", "blocks", "begin", "total", F.explode(F.sequence(low, F.least(low + SLOT_CHUNK, F.col("slots")) - 1)).alias("within"))
-    turn = F.floor(F.col("within") / F.col("blocks")).cast("long")
+    made = _dealt(chunks, "chunk").select("key", "begin", "total", F.explode(F.sequence(low, F.least(low + SLOT_CHUNK, F.col("slots")) - 1)).alias("within"))
     slot = unshuffled(F.col("begin") + F.col("within"), F.col("total"), F.lit(seed))
-    index = shuffled(F.pmod("within", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "key", turn))
-    return made.select("key", slot.alias("slot"), turn.alias("pass"), index.alias("index")).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("long"))
+    return made.select("key", F.floor(slot / shard_slots).cast("long").alias("shard")).groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Few rows that many come of: dealt to a number of partitions that isn't coalesced."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", by)
+
+
+def slots(drawn: DataFrame, counted: DataFrame, seed: int) -> DataFrame:
+    """key, shard, pass, index (of a block): one row per slot of the mix, from the (written) counts that shards have drawn.
+
+    A source's slots are numbered through its shards: counts are summed per group of shards, then
+    within each, so that no source's shards meet in one task.
+    """
+    grouped = drawn.withColumn("group", F.floor(F.col("shard") / SHARD_GROUP))
+    by, inside = Window.partitionBy("key").orderBy("group"), Window.partitionBy("key", "group").orderBy("shard")
+    sums = grouped.groupBy("key", "group").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(by) - F.col("m")).drop("m")
+    begun = grouped.withColumn("begun", F.sum("n").over(inside) - F.col("n")).join(sums, ["key", "group"])
+    told = begun.select("key", "shard", "n", (F.col("before") + F.col("begun")).alias("low")).join(counted.select("key", "blocks"), "key")
+    made = _dealt(told, "shard").select("key", "shard", "blocks", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("n") - 1)).alias("number"))
+    turn = F.floor(F.col("number") / F.col("blocks")).cast("long")
+    index = shuffled(F.pmod("number", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "key", turn))
+    # never null, and seen to be: a filter for that under a join would work the permutation twice
+    return made.select("key", "shard", turn.alias("pass"), F.coalesce(index, F.lit(0).cast("long")).alias("index"))
 
 
 def mix(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, slots, pieces) of a mix of docs' doc_id, text and source.
+    """(documents, counts, pieces) of a mix of docs' doc_id, text and source.
 
     documents: doc_id, hash (of the text), copy (of rows equal in both), key (of the source), size,
-    source_size, target, first. slots: as slots(). pieces: a row per document and block of it that
-    the mix takes: the columns of documents, from, to (words of the document, to excluded), index,
-    passes (one number for each time). Null ids, sources and texts are values of their own, repeated
+    source_size, target, first. counts: the draws, as shard_counts(). pieces: a row per document and
+    block of it: the columns of documents, from, to (words of the document, to excluded), index,
+    slots (<pass, shard> of each slot of the mix that takes the block, else null). Null ids, sources and texts are values of their own, repeated
     rows count each, other columns are left out, and empty tables give none.
     """
     named = docs.select("doc_id", F.col("text"), "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"))
     sized = written(measured(named).select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), "key", "source", "size"), "sizes")
     sources = targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")))
     sources = written(block_counts(sources, block_words), "sources")
-    placed = packed(sized.drop("source"), sources.select("key", "source", "source_size", "target"))
-    copies = Window.partitionBy("doc_id", "hash").orderBy("first")
-    documents = placed.withColumn("copy", F.row_number().over(copies) - 1)
-    drawn = slots(sources, seed)
-    times = drawn.groupBy("key", "index").agg(F.sort_array(F.collect_list("pass")).alias("passes"))
+    documents = packed(sized.drop("source"), sources.select("key", "source", "source_size", "target"))
+    drawn = written(shard_counts(sources, seed), "draws")
+    times = slots(drawn, sources, seed).groupBy("key", "index").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("slots"))
     low, high = F.floor(F.col("first") / block_words), F.floor((F.col("first") + F.col("size") - 1) / block_words)
     spans = documents.filter("size > 0").withColumn("index", F.explode(F.sequence(low, high)))
     begin = F.greatest(F.col("first"), F.col("index") * block_words) - F.col("first")
@@ -155,7 +175,7 @@ def mix(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> tuple
 def taken_words(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many of each document's words the mix takes."""
     documents, _, pieces = mix(docs, seed)
-    words = (F.col("to") - F.col("from")) * F.coalesce(F.size("passes"), F.lit(0))
+    words = (F.col("to") - F.col("from")) * F.coalesce(F.size("slots"), F.lit(0))
     taken = pieces.groupBy("doc_id", "key", "first", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(columns).unionByName(documents.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
@@ -169,7 +189,7 @@ def mixed_texts(docs: DataFrame, seed: int = 1) -> DataFrame:
     document without words stays as it is; one of which no word is taken goes. Columns stay.
     """
     _, _, pieces = mix(docs, seed)
-    one = F.explode("passes").alias("pass")
+    one = F.explode("slots.pass").alias("pass")
     lists = pieces.select("doc_id", "hash", "copy", "from", "to", one).groupBy("doc_id", "hash", "copy").agg(F.sort_array(F.collect_list(F.struct("pass", "from", "to"))).alias("__cuts"))
     renamed = lists.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("copy").alias("__c"), "__cuts")
     hashed = docs.withColumn("__hash", F.xxhash64("doc_id", "text"))

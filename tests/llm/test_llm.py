@@ -6,6 +6,7 @@ import io
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -103,6 +104,24 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], CONV)).collect() == []
 
 
+def test_long_conversation_of_one_role(spark):
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 5000 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|"), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    r = chat.chat_digests(chat.format_chats(turns)).first()
+    assert time.time() - began < 30
+    own = [f"é<|{i}" for i in range(n) if i % 5000]
+    assert r["n_turns"] == n and r["loss_chars"] == sum(map(len, own)) and r["loss_sha256"] == hashlib.sha256("".join(own).encode()).hexdigest()
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 5, 16, 17, 1000):
+        rng = random.Random(n)
+        lengths = [rng.randint(0, 9) for _ in range(n)]
+        got = spark.createDataFrame([(lengths,)], "l array<int>").select(chat.running(F.col("l")).alias("r")).first()["r"]
+        assert got == list(itertools.accumulate(lengths, initial=0))[:-1]
+
+
 def test_probe_conversation(spark):
     r = chat.chat_digests(chat.format_chats(chat.with_probe(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).first()
     assert r["n_turns"] == 2 and r["loss_sha256"] == hashlib.sha256(chat.PROBE.encode()).hexdigest()
@@ -314,7 +333,7 @@ def test_archives_hold_null_and_repeated_ids(spark):
 
 
 def test_parse_reads_in_any_block_size():
-    head = {"record_id": 3, "url": "u", "payload_digest": hashlib.sha256(b"ab\r\n").hexdigest(), "payload_bytes": 4, "refers_to": None}
+    head = {"record_id": 3, "url": "u", "digest": hashlib.sha256(b"ab\r\n").hexdigest(), "bytes": 4, "refers_to": None}
     http = warc._http(head)
     data = (warc._header("response", head, len(http) + 4) + http + b"ab\r\n\r\n\r\n") * 2
     for block in (1, 2, 3, 7, 10_000):
@@ -322,9 +341,34 @@ def test_parse_reads_in_any_block_size():
 
 
 def test_chunks_are_small(spark):
-    df = spark.createDataFrame([(1, "u", "a" * 1000)], "page_id long, url string, html string")
-    rows = warc.chunked(df, warc.decisions(warc.records_of(df)), chunk_bytes=64).orderBy("chunk_no").collect()
-    assert len(rows) == 16 and b"".join(bytes(r["data"]) for r in rows) == b"a" * 1000 and max(len(r["data"]) for r in rows) == 64
+    df = spark.createDataFrame([(1, "u", "a" * 1000), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    rows = warc.chunked(df, chunk_bytes=64).orderBy("rec", "chunk_no").collect()
+    assert [r["chunk_no"] for r in rows] == [*range(-1, 16), -1, 0] and max(len(warc.inflated(r["data"])) for r in rows if r["data"] is not None) == 64
+    for k, r in enumerate(rows[1:17]):  # digests and sizes run along
+        assert r["bytes"] == min(1000, 64 * (k + 1))
+        assert r["digest"] == hashlib.sha256(b"a" * r["bytes"]).hexdigest()
+    assert b"".join(warc.inflated(r["data"]) for r in rows[1:17]) == b"a" * 1000
+    assert (rows[0]["bytes"], rows[0]["digest"], rows[0]["url"]) == (1000, rows[16]["digest"], "u")
+    assert (rows[17]["bytes"], rows[17]["record_id"], rows[17]["url"]) == (0, None, "")
+
+
+def test_archives_roll_and_are_read_in_a_task_each(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, "u", prose(rng, 800)) for i in range(40)], "page_id long, url string, html string").repartition(3)
+    table = scratch(spark, "chunks")
+    warc.chunked(df).write.parquet(table)
+    rows, folder = spark.read.parquet(table), scratch(spark, "archives")
+    manifest = warc.write_archives(warc.placed(rows, warc.revisits(rows)), folder, archive_bytes=4000)
+    n = manifest.count()
+    read = warc.read_archives(manifest, folder)
+    assert n > 4 and manifest.agg(F.sum("records")).first()[0] == 40
+    assert {r["page_id"] for r in read.collect()} == set(range(40))
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() == n
+    import gzip
+
+    path = manifest.first()["path"]
+    with gzip.open(path) as f:
+        assert f.read(8) == b"WARC/1.1"
 
 
 # 7
@@ -382,6 +426,36 @@ def test_mix_of_documents(spark):
     assert mixing.taken_words(docs.limit(0)).collect() == [] and mixing.mixed_texts(docs.limit(0)).collect() == []
 
 
+def test_shards_draw_their_counts(spark):
+    sizes = {"sa": 5000, "sb": 70_000, "n": 64, "sc": 0}
+    df = spark.createDataFrame([(k, k, n, 1.5 * n) for k, n in sizes.items()], "key string, source string, source_size long, target double")
+    counted = mixing.block_counts(df)
+    own = {r["key"]: r for r in counted.collect()}
+    drawn = mixing.shard_counts(counted, 3, shard_slots=100).cache()
+    counts = defaultdict(Counter)
+    for r in drawn.collect():
+        counts[r["shard"]][r["key"]] = r["n"]
+    total = sum(r["slots"] for r in own.values())
+    # every shard is full but for the last, and the sources' totals are met
+    assert [sum(counts[k].values()) for k in sorted(counts)] == [100] * (total // 100) + ([total % 100] if total % 100 else [])
+    assert {k: sum(c[k] for c in counts.values()) for k in sizes} == {k: r["slots"] for k, r in own.items()}
+    # the draws vary as multinomial ones do
+    share = own["sa"]["slots"] / total
+    draws = [counts[k]["sa"] for k in sorted(counts)[:-1]]
+    assert np.mean(draws) == pytest.approx(100 * share, abs=2) and 0.4 < np.var(draws) / (100 * share * (1 - share)) < 2.2
+    # the slots of each shard are as many as drawn; a pass takes each block once
+    rows = mixing.slots(drawn, counted, 3).collect()
+    assert Counter((r["shard"], r["key"]) for r in rows) == {(k, s): n for k, c in counts.items() for s, n in c.items()}
+    assert max(Counter((r["key"], r["pass"], r["index"]) for r in rows).values()) == 1
+    assert all(0 <= r["index"] < own[r["key"]]["blocks"] and r["pass"] < 2 for r in rows)
+
+
+def test_mix_works_each_permutation_once(spark):
+    docs = documents(spark, ["a b c", "d e"])
+    plan = mixing.taken_words(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(") <= 1  # that of the index; the other made the draws, which are written
+
+
 def test_mixed_text_keeps_its_spacing(spark):
     docs = spark.createDataFrame([(1, "a  b\n\nc\td ", "s", 10)], "doc_id long, text string, source string, n_chars int")
     r = mixing.mixed_texts(docs).first()
@@ -406,6 +480,42 @@ def test_compaction(spark):
     assert held.version() == at
 
 
+def test_versions_stay_readable_until_they_expire(spark):
+    held = sharding.ShardSet(spark, scratch(spark, "shards"), documents(spark, ["a"]).schema, smallest_bytes=1 << 10, fan_in=2)
+    for k in range(3):
+        held.append(documents(spark, [f"t{k}"], [k]))
+    at, old = held.version(), held.read()
+    assert held.compact() > at
+    assert sorted(r["doc_id"] for r in old.collect()) == [0, 1, 2] and held.read(1).count() == 1 and held.read(at).count() == 3
+    spark.range(3).write.parquet(f"{held.root}/run-crashed")
+    assert held.expire(keep=held.version() - at + 1) == [] and old.count() == 3
+    gone = held.expire(keep=1, orphan_seconds=0)
+    assert len(gone) == 4 and any(g.endswith("run-crashed") for g in gone)
+    assert held.read().count() == 3 and held.versions() == [held.version()]
+    with pytest.raises(ValueError):
+        held.read(at)
+
+
+def test_two_writers(spark, monkeypatch):
+    root, schema = scratch(spark, "shards"), documents(spark, ["a"]).schema
+    one, two = (sharding.ShardSet(spark, root, schema, smallest_bytes=1 << 10, fan_in=2) for _ in range(2))
+    commit, late = one.commit, [True]
+
+    def raced(runs, after):  # the other writer commits between this one's reading and its commit
+        if late:
+            late.clear()
+            two.append(documents(spark, ["b"], [2]))
+        return commit(runs, after)
+
+    monkeypatch.setattr(one, "commit", raced)
+    assert one.append(documents(spark, ["a"], [1])) == 2
+    assert sorted(r["doc_id"] for r in one.read().collect()) == [1, 2]
+    late.append(True)
+    one.compact()
+    two.compact()
+    assert sorted(r["doc_id"] for r in two.read().collect()) == [1, 2, 2] and len(two.runs()) < 3
+
+
 def test_arrivals_hold_all_rows(spark):
     docs = documents(spark, odd_texts(), [0, 1, 2, 3, 3, None, 6, 7])
     held = sharding.arrive(docs, "doc_id", scratch(spark, "shards"), arrivals=5, smallest_bytes=1 << 10)
