@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
 Each vector gets, per tree, a long hash string: one bit per random hyperplane. The rows are dealt to
-segments of bounded size; a segment keeps, per tree, its hash strings as a sorted array. A query
+segments of bounded size; a segment keeps, per tree, its hash strings as a sorted array, built once by
+the one task that has the segment. A query
 descends in every tree to the rows with the longest common prefix, then all trees ascend together,
-one bit at a time, until enough candidates share the prefix; every row of that level is scored by
-exact cosine. Each query meets every segment, so recall doesn't fall as the table grows; the stated
-query set against all rows, in blocks, is the price. The k best of each segment are merged per query.
+one bit at a time, until enough hits share the prefix. The rows that most trees have met, a bounded
+share of the segment and all that tie with the last, are scored by exact cosine.
+
+Queries are written once and each task reads them, block by block, so that neither they nor the rows
+are shuffled per pair of blocks. Segments are searched in two rounds: a few of them (as the square root
+of all) give each query a floor, the others return only what isn't below it. Each query meets every
+segment, so recall doesn't fall as the table grows; the stated query set against all rows, in
+blocks, is the price.
 
 Fixed values of the method are seeded, so that reruns agree.
 """
@@ -13,19 +19,28 @@ Fixed values of the method are seeded, so that reruns agree.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES = 48
-BITS = 32
+from spanmill.llm.common import delete, scratch, written
+
+TREES = 200
+BITS = 24
 SEGMENT_ROWS = 8192
-QUERY_ROWS = 4096
-#: The trees ascend until the rows sharing the prefix, counted per tree, are this share of a segment.
-HIT_SHARE = 0.6
+QUERY_ROWS = 1024
+#: The trees ascend until the rows sharing the prefix, counted per tree, are so many times a segment's.
+HITS = 2.0
+#: The rows met by most trees that are scored: a share of the segment, but at least so many.
+SCORED_SHARE, SCORED_ROWS = 0.15, 256
+#: Rows hashed at once.
+HASH_ROWS = 256
 
 
 @lru_cache(maxsize=8)
@@ -34,9 +49,13 @@ def hyperplanes(dim: int, trees: int, bits: int) -> np.ndarray:
 
 
 def hash_strings(x: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    """rows x trees: each tree's string of `bits` (up to 32) as a number, first bit highest."""
-    on = (x @ hyperplanes(x.shape[1], trees, bits) > 0).reshape(len(x), trees, bits)
-    return (on.astype(np.uint64) << np.arange(bits - 1, -1, -1, dtype=np.uint64)).sum(axis=2)
+    """rows x trees: each tree's string of `bits` (under 32) as a number, first bit highest."""
+    weights = np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32)
+    out = np.empty((len(x), trees), dtype=np.uint32)
+    for at in range(0, len(x), HASH_ROWS):
+        on = (x[at : at + HASH_ROWS] @ hyperplanes(x.shape[1], trees, bits) > 0).reshape(-1, trees, bits)
+        out[at : at + HASH_ROWS] = (on * weights).sum(axis=2, dtype=np.uint32)
+    return out
 
 
 class Segment:
@@ -44,32 +63,36 @@ class Segment:
 
     def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS):
         self.bits, keys = bits, hash_strings(x, trees, bits)
-        self.order = np.argsort(keys, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(keys, self.order, axis=0)
+        order = np.argsort(keys, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(keys, order, axis=0).T)
+        self.order = np.ascontiguousarray(order.T.astype(np.int32)).ravel()
+        self.rows = len(x)
 
     def ranges(self, q: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the rows stand that share each query's first `level` bits: queries x trees, from and to."""
-        low = q >> np.uint64(self.bits - level) << np.uint64(self.bits - level)
-        high = low + np.uint64((1 << (self.bits - level)) - 1)
-        cols = range(q.shape[1])
-        return (np.stack([np.searchsorted(self.sorted[:, t], low[:, t], "left") for t in cols], axis=1), np.stack([np.searchsorted(self.sorted[:, t], high[:, t], "right") for t in cols], axis=1))
-
-    def candidates(self, q: np.ndarray, hits: int):
-        """For each query's hash strings, the rows of the deepest common level with `hits` or more."""
-        found: list[np.ndarray | None] = [None] * len(q)
+        rest = np.uint32(self.bits - level)
+        low = q >> rest << rest
+        high = low + (np.uint32(1) << rest)
+        return tuple(np.stack([np.searchsorted(own, at[:, t]) for t, own in enumerate(self.sorted)], axis=1) for at in (low, high))
+
+    def votes(self, q: np.ndarray, hits: int) -> Iterator[np.ndarray]:
+        """For each query's hash strings, by row, how many trees meet it at the deepest common level with `hits` or more."""
+        lo = np.empty(q.shape, dtype=np.int64)
+        hi = np.empty(q.shape, dtype=np.int64)
         active = np.arange(len(q))
         for level in range(self.bits, -1, -1):
-            lo, hi = self.ranges(q[active], level)
-            enough = ((hi - lo).sum(axis=1) >= hits) | (level == 0)
-            for i, a, b in zip(active[enough], lo[enough], hi[enough], strict=True):
-                mark = np.zeros(len(self.order), dtype=bool)
-                for t in range(q.shape[1]):
-                    mark[self.order[a[t] : b[t], t]] = True
-                found[i] = np.flatnonzero(mark)
+            a, b = self.ranges(q[active], level)
+            enough = ((b - a).sum(axis=1) >= hits) | (level == 0)
+            lo[active[enough]], hi[active[enough]] = a[enough], b[enough]
             active = active[~enough]
             if not len(active):
                 break
-        return found
+        trees = np.arange(q.shape[1]) * self.rows
+        for a, b in zip(lo, hi, strict=True):
+            n = b - a
+            ends = np.cumsum(n)
+            places = np.repeat(trees + a - (ends - n), n) + np.arange(ends[-1])
+            yield np.bincount(self.order[places], minlength=self.rows)
 
 
 def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -77,18 +100,26 @@ def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, hit_share: float = HIT_SHARE, trees: int = TREES, bits: int = BITS) -> pd.DataFrame:
-    """Each query's k nearest candidates of one segment."""
-    own = Segment(x, trees, bits)
+def scored_rows(votes: np.ndarray, scored: int) -> np.ndarray:
+    """The rows with most votes, `scored` and those that tie with the last; rows without votes are none."""
+    least = 1 if len(votes) <= scored else max(1, np.partition(votes, len(votes) - scored)[len(votes) - scored])
+    return np.flatnonzero(votes >= least)
+
+
+def best(own: Segment, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, hits: float = HITS, share: float = SCORED_SHARE) -> pd.DataFrame:
+    """Each query's k nearest scored rows of one segment that reach its floor."""
     out = []
+    trees = len(own.sorted)
     # enough for k rows beside the query's own, and a share of the segment
-    hits = max(math.ceil(hit_share * len(x)), trees * (k + 1))
-    for i, rows in enumerate(own.candidates(hash_strings(q, trees, bits), hits)):
+    most = max(math.ceil(hits * len(x)), trees * (k + 1))
+    for i, votes in enumerate(own.votes(hash_strings(q, trees, own.bits), most)):
+        rows = scored_rows(votes, max(math.ceil(share * len(x)), SCORED_ROWS, k + 1))
         rows = rows[ids[rows] != query_ids[i]]
         score = cosines(x[rows], q[i])
-        if len(rows) > k:  # ties with the k-th stay until the ids decide
+        keep = score >= floors[i]
+        if keep.sum() > k:  # ties with the k-th stay until the ids decide
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[keep], score[keep]
+        rows, score = rows[keep], score[keep]
         at = np.lexsort((ids[rows], -score))[:k]
         out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[rows][at], "score": score[at]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -101,26 +132,77 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull()).filter(fine)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", hit_share: float = HIT_SHARE, trees: int = TREES, segment_rows: int = SEGMENT_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", hits: float = HITS, share: float = SCORED_SHARE, trees: int = TREES, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows of `vectors` found, its own id left out.
 
     Nearest first by cosine, ties to the smaller id. Vectors null, zero, or with null or non-finite
     components, and those without id, take no part; vectors meet those of their own length only. Each
     of several rows with one id counts. Empty tables give no rows; other columns are not used.
     """
+    spark, held = vectors.sparkSession, []
     rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
     segments = max(1, math.ceil(rows.count() / segment_rows))
-    blocks = max(1, math.ceil(asked.count() / query_rows))
-    deal = lambda df, n: F.pmod(F.xxhash64(df["id"], F.lit(n)), F.lit(n)).cast("int")
-    group = ["dim", "segment", "block"]
-    left = rows.select("id", "v", F.size("v").alias("dim"), deal(rows, segments).alias("segment"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asked.select("id", "v", F.size("v").alias("dim"), deal(asked, blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best(a["id"].to_numpy(), np.stack(a["v"].to_list()), b["id"].to_numpy(), np.stack(b["v"].to_list()), k, hit_share, trees)
-
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, "query_id long, vec_id long, score double")
+    dealt = rows.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(segments)), F.lit(segments)).alias("segment"))
+    first = math.ceil(math.sqrt(segments))
+    search = lambda part, n, path: _searched(part.repartition(n, "dim", "segment"), path, k, hits, share, trees)
+    path = _queries(asked.withColumn("floor", F.lit(-2.0)), held)
+    found = written(_ranked(search(dealt.filter(F.col("segment") < first), first, path), k), "found", held if first < segments else None)
+    if first == segments:
+        delete(spark, held)
+        return found.select("query_id", "rank", "vec_id", "score")
+    floors = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    path = _queries(asked.join(floors, "id", "left").select("id", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor")), held)
+    rest = search(dealt.filter(F.col("segment") >= first), segments - first, path)
+    out = written(_ranked(rest.unionByName(found.drop("rank")), k), "nearest")
+    delete(spark, held)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _queries(asked: DataFrame, held: list[str]) -> str:
+    """id, v, floor of the queries, written for every task to read."""
+    asked.select("id", "v", "floor").write.parquet(path := scratch(asked.sparkSession, "queries"))
+    held.append(path)
+    return path
+
+
+def _blocks(path: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and floors of the queries of one length, up to QUERY_ROWS at a time."""
+    fs, base = pyarrow.fs.FileSystem.from_uri(path)
+    for info in sorted(fs.get_file_info(pyarrow.fs.FileSelector(base)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(QUERY_ROWS):
+                    v = batch.column("v")
+                    own = np.flatnonzero(v.value_lengths().to_numpy() == dim)
+                    if len(own):
+                        yield batch.column("id").to_numpy()[own], v.take(own).flatten().to_numpy().reshape(-1, dim), batch.column("floor").to_numpy()[own]
+
+
+def _searched(dealt: DataFrame, path: str, k: int, hits: float, share: float, trees: int) -> DataFrame:
+    """query_id, vec_id, score: what each segment returns. A task holds one segment at a time and a block of queries."""
+
+    def searched(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts)
+        ids, x = pdf["id"].to_numpy(), np.stack(pdf["v"].to_list())
+        own = Segment(x, trees)
+        for query_ids, q, floors in _blocks(path, x.shape[1]):
+            yield best(own, ids, x, query_ids, q, floors, k, hits, share)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, at = [], None
+        for pdf in batches:
+            for group, part in pdf.groupby(["dim", "segment"], sort=False):
+                if at not in (None, group):
+                    yield from searched(parts)
+                    parts = []
+                parts.append(part)
+                at = group
+        if parts:
+            yield from searched(parts)
+
+    return dealt.sortWithinPartitions("dim", "segment", "id").mapInPandas(run, "query_id long, vec_id long, score double")

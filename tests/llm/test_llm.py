@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import math
+import os
 import random
 import time
 from collections import Counter, defaultdict
@@ -226,7 +227,7 @@ def test_forest_recall(spark):
     x[10] = x[20] * 3
     x[50] = x[55]
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = forest.nearest(df, df.filter("vec_id % 50 = 0"), segment_rows=1000, query_rows=25).collect()
+    got = forest.nearest(df, df.filter("vec_id % 50 = 0"), segment_rows=1000).collect()
     x = np.array([[np.float32(c) for c in v] for v in x], dtype=np.float64)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
@@ -241,6 +242,49 @@ def test_forest_recall(spark):
     assert next(r["vec_id"] for r in got if r["query_id"] == 50 and r["rank"] == 1) == 55
 
 
+def test_forest_recall_on_the_table(spark):
+    vectors = table(spark, os.path.join(os.path.dirname(DATA), "sf0.1"), "embeddings")
+    rows = vectors.collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for segment_rows in (8192, 300):  # in one round and in two, with floors
+        found = defaultdict(set)
+        for r in forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"), segment_rows=segment_rows).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        kept = []
+        for q in np.flatnonzero(ids % 50 == 0):
+            s = unit @ unit[q]
+            s[q] = -9
+            kept.append(len(found[ids[q]] & set(ids[np.argsort(-s)[:5]])) / 5)
+        assert len(kept) == 40 and np.mean(kept) >= 0.9
+
+
+def test_few_rows_are_scored():
+    x = np.random.default_rng(3).standard_normal((3000, 64))
+    own = forest.Segment(x)
+    votes = list(own.votes(forest.hash_strings(x[:20]), 2 * len(x)))
+    assert all(v[i] == forest.TREES for i, v in enumerate(votes))
+    assert np.mean([len(forest.scored_rows(v, 450)) for v in votes]) < 0.25 * len(x)
+    # equal rows have equal votes, and all of them are scored
+    same = np.concatenate([np.repeat(x[:1], 1500, axis=0), x[:1500]])
+    (v,) = forest.Segment(same).votes(forest.hash_strings(x[:1]), 6000)
+    assert len(forest.scored_rows(v, 450)) >= 1500
+
+
+def test_votes_by_brute_force():
+    rng = np.random.default_rng(6)
+    x, q = rng.standard_normal((70, 8)), rng.standard_normal((9, 8))
+    keys, asked = forest.hash_strings(x, 11, 12), forest.hash_strings(q, 11, 12)
+    spelled = lambda v: [f"{int(k):012b}" for k in v]
+    for hits in (1, 40, 300, 10**6):
+        for own, v in zip(asked, forest.Segment(x, 11, 12).votes(asked, hits), strict=True):
+            for level in range(12, -1, -1):
+                want = [sum(a[:level] == b[:level] for a, b in zip(spelled(own), spelled(row), strict=True)) for row in keys]
+                if sum(want) >= hits or level == 0:
+                    break
+            assert v.tolist() == want
+
+
 def test_forest_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (50, [0.0, 1.0])]
