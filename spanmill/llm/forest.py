@@ -45,17 +45,20 @@ HASH_ROWS = 256
 
 @lru_cache(maxsize=8)
 def hyperplanes(dim: int, trees: int, bits: int) -> np.ndarray:
-    return np.random.default_rng(20240229).standard_normal((dim, trees * bits))
+    return np.random.default_rng(20240229).standard_normal((dim, trees * bits)).astype(np.float32)
 
 
 def hash_strings(x: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
     """rows x trees: each tree's string of `bits` (under 32) as a number, first bit highest."""
-    weights = np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32)
+    size = -(-bits // 8)
+    weights = (1 << 8 * np.arange(size - 1, -1, -1)).astype(np.float64)
     out = np.empty((len(x), trees), dtype=np.uint32)
+    # directions only: components of any size fit the smaller type
+    unit = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
     for at in range(0, len(x), HASH_ROWS):
-        on = (x[at : at + HASH_ROWS] @ hyperplanes(x.shape[1], trees, bits) > 0).reshape(-1, trees, bits)
-        out[at : at + HASH_ROWS] = (on * weights).sum(axis=2, dtype=np.uint32)
-    return out
+        on = (unit[at : at + HASH_ROWS] @ hyperplanes(x.shape[1], trees, bits) > 0).reshape(-1, trees, bits)
+        out[at : at + HASH_ROWS] = (np.packbits(on, axis=2) @ weights).astype(np.uint32)
+    return out >> np.uint32(8 * size - bits)
 
 
 class Segment:
@@ -68,25 +71,26 @@ class Segment:
         self.order = np.ascontiguousarray(order.T.astype(np.int32)).ravel()
         self.rows = len(x)
 
-    def ranges(self, q: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the rows stand that share each query's first `level` bits: queries x trees, from and to."""
-        rest = np.uint32(self.bits - level)
+    def ranges(self, q: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows stand that share as many first bits as `level` says of each query: queries x trees, from and to."""
+        rest = (self.bits - level).astype(np.uint32)[:, None]
         low = q >> rest << rest
         high = low + (np.uint32(1) << rest)
         return tuple(np.stack([np.searchsorted(own, at[:, t]) for t, own in enumerate(self.sorted)], axis=1) for at in (low, high))
 
     def votes(self, q: np.ndarray, hits: int) -> Iterator[np.ndarray]:
-        """For each query's hash strings, by row, how many trees meet it at the deepest common level with `hits` or more."""
-        lo = np.empty(q.shape, dtype=np.int64)
-        hi = np.empty(q.shape, dtype=np.int64)
-        active = np.arange(len(q))
-        for level in range(self.bits, -1, -1):
-            a, b = self.ranges(q[active], level)
-            enough = ((b - a).sum(axis=1) >= hits) | (level == 0)
-            lo[active[enough]], hi[active[enough]] = a[enough], b[enough]
-            active = active[~enough]
-            if not len(active):
-                break
+        """For each query's hash strings, by row, how many trees meet it at the deepest common level with `hits` or more.
+
+        Hits only grow as the trees ascend, so that level is found by halving.
+        """
+        lowest, above = np.zeros(len(q), dtype=np.int64), np.full(len(q), self.bits + 1)
+        lo, hi = self.ranges(q, lowest)
+        while (above - lowest > 1).any():
+            level = (lowest + above) // 2
+            a, b = self.ranges(q, level)
+            enough = (b - a).sum(axis=1) >= hits
+            lo[enough], hi[enough], lowest[enough] = a[enough], b[enough], level[enough]
+            above[~enough] = np.maximum(level, 1)[~enough]
         trees = np.arange(q.shape[1]) * self.rows
         for a, b in zip(lo, hi, strict=True):
             n = b - a
@@ -95,9 +99,13 @@ class Segment:
             yield np.bincount(self.order[places], minlength=self.rows)
 
 
-def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, each row's computed alike wherever it stands."""
-    return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((q * q).sum()))
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def cosines(rows: np.ndarray, lengths: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines in double precision of rows with these norms, each row's computed alike wherever it stands."""
+    return (rows * q).sum(axis=1) / (lengths * np.sqrt((q * q).sum()))
 
 
 def scored_rows(votes: np.ndarray, scored: int) -> np.ndarray:
@@ -108,14 +116,13 @@ def scored_rows(votes: np.ndarray, scored: int) -> np.ndarray:
 
 def best(own: Segment, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, hits: float = HITS, share: float = SCORED_SHARE) -> pd.DataFrame:
     """Each query's k nearest scored rows of one segment that reach its floor."""
-    out = []
-    trees = len(own.sorted)
+    out, trees, lengths = [], len(own.sorted), norms(x)
     # enough for k rows beside the query's own, and a share of the segment
     most = max(math.ceil(hits * len(x)), trees * (k + 1))
     for i, votes in enumerate(own.votes(hash_strings(q, trees, own.bits), most)):
         rows = scored_rows(votes, max(math.ceil(share * len(x)), SCORED_ROWS, k + 1))
         rows = rows[ids[rows] != query_ids[i]]
-        score = cosines(x[rows], q[i])
+        score = cosines(x[rows], lengths[rows], q[i])
         keep = score >= floors[i]
         if keep.sum() > k:  # ties with the k-th stay until the ids decide
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
