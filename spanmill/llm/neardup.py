@@ -10,13 +10,16 @@ shingles are sketched with all weights 1 too, which estimates that of the sets.
 
 Bands of registers give buckets. Exact copies are one text from the start. Texts of a bucket are
 linked by stars first: in each round the bucket's members that don't share a component are compared
-with one of them, so that most of a large group of near copies costs a star. Buckets that still hold
+with one of them, so that most of a large group of near copies costs a star; a centre of many edges has its
+shingles copied, and its edges are dealt to the copies. Buckets that still hold
 several components are then compared whole, in blocks, so no link is lost, and give only the links
-that join components. Every link is verified by the exact Jaccard similarity of the shingle sets.
+that join components. Blocks of large buckets hold sets of like size, and only those are compared whose sizes allow
+the similarity. Every link is verified by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import slices, written
+from spanmill.llm.common import delete, slices, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -131,36 +134,58 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, LONGS)], names=["id", "shingles"])
 
 
+#: Edges of one text that a copy of its shingles is joined with.
+STAR_PART = 1000
+
+
 def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """edges (a, b) whose shingle sets have a Jaccard similarity of `threshold` or more."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = edges.join(side("b"), "b").join(side("a"), "a")
+    """(Written) edges (a, b) whose shingle sets have a Jaccard similarity of `threshold` or more.
+
+    A text of many edges, as a star's centre, is dealt to several tasks: its shingles are copied for
+    every STAR_PART edges. Which copy an edge meets is settled before any shingles travel.
+    """
+    dealt = edges
+    sides = []
+    for end, other in (("a", "b"), ("b", "a")):
+        hot = edges.groupBy(F.col(end).alias("id")).agg(F.ceil(F.count(F.lit(1)) / STAR_PART).cast("int").alias("parts")).filter("parts > 1")
+        dealt = dealt.join(hot.select(F.col("id").alias(end), F.col("parts").alias(f"parts_{end}")), end, "left")
+        dealt = dealt.withColumn(f"part_{end}", F.coalesce(F.pmod(F.xxhash64(other), F.col(f"parts_{end}")).cast("int"), F.lit(0)))
+        copied = sets.join(hot, "id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        sides.append(copied.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}"), F.col("shingles").alias(f"s{end}")))
+    thin = dealt.select("a", "b", "part_a", "part_b")
+    both = thin.join(sides[1], ["b", "part_b"]).join(sides[0], ["a", "part_a"])
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", held: list[str] | None = None) -> DataFrame:
     """id, root: the least id of each connected component of edges (a, b); ids without edges are left out.
 
     Alternating large-star and small-star steps till nothing changes; each step is one grouping, and
-    its result is written, so lineage stays short.
+    its result is written, so lineage stays short. Tables of past steps are deleted, the last one's
+    path is appended to `held`.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
+    spark, own = edges.sparkSession, []
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name, own)
     state = None
     while True:
         seen = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
         if tuple(seen) == state:
+            if held is not None:
+                held.extend(own)
             return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        state = tuple(seen)
+        state, past = tuple(seen), own
         # large star: neighbours above a node go to the least of its neighbours and itself
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: a node and its lesser neighbours go to the least of them
-        held = written(large, name)
-        low = held.groupBy("u").agg(F.min("v").alias("m"))
-        small = held.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = written(small, name)
+        half = written(large, name, past)
+        low = half.groupBy("u").agg(F.min("v").alias("m"))
+        small = half.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        own = []
+        e = written(small, name, own)
+        delete(spark, past)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -175,31 +200,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     rowed = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.col("key").isNotNull())
     # one pass over the texts; a hash of 256 bits stands for a text from here on
     hashed = rowed.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    sketched = written(hashed.mapInArrow(_sketches(bands, rows), "key long, sha string, buckets array<long>"), "sketches")
+    held: list[str] = []
+    sketched = written(hashed.mapInArrow(_sketches(bands, rows), "key long, sha string, buckets array<long>"), "sketches", held)
     # exact copies are one text, named by their least key
-    named = written(sketched.groupBy("sha").agg(F.min(F.struct("key", "buckets")).alias("least"), F.count(F.lit(1)).alias("n")).select("sha", F.col("least.key").alias("id"), F.col("least.buckets").alias("buckets"), "n"), "texts")
+    named = written(sketched.groupBy("sha").agg(F.min(F.struct("key", "buckets")).alias("least"), F.count(F.lit(1)).alias("n")).select("sha", F.col("least.key").alias("id"), F.col("least.buckets").alias("buckets"), "n"), "texts", held)
     links = _copies(sketched.select("key", "sha"), named.filter("n > 1").select("sha", "id"))
     buckets = named.select("id", F.explode("buckets").alias("bucket")).distinct()
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowded = written(buckets.join(crowded, "bucket"), "crowded")
+    crowded = written(buckets.join(crowded, "bucket"), "crowded", held)
     # a text's popularity: how many others its buckets hold; that of which the rest are copies has most
     popular = crowded.groupBy("id").agg(F.sum("n").alias("popular"))
-    shared = written(crowded.drop("n").join(popular, "id"), "shared")
+    shared = written(crowded.drop("n").join(popular, "id"), "shared", held)
     # shingle sets of the texts that share a bucket with another; a text's row is one of its least key
     # (dealt by id at every size: the list of ids has no bound to broadcast it by)
     ends = shared.select("id").distinct().hint("merge")
-    sets = written(rowed.select(F.col("key").alias("id"), "text").join(ends, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "shingles")
+    sets = written(rowed.select(F.col("key").alias("id"), "text").join(ends, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "shingles", held)
     if sketched.select("key").distinct().count() < sketched.count():  # several texts of one key
         sets = sets.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
     found = done = None
     for k in range(STAR_ROUNDS):
         edges = _star(shared, found, k)
-        edges = written(edges if done is None else edges.join(done, ["a", "b"], "left_anti"), "edges")
+        edges = written(edges if done is None else edges.join(done, ["a", "b"], "left_anti"), "edges", held)
         done = edges if done is None else done.unionByName(edges)
         good = verified(edges, sets, threshold)
-        found = components(good if found is None else good.unionByName(_as_links(found)), "found")
-    rest = written(_across(shared, found, sets, threshold), "rest")
+        found = components(good if found is None else good.unionByName(_as_links(found)), "found", held)
+    rest = written(_across(shared, found, sets, threshold), "rest", held)
     last = components(rest.unionByName(_as_links(found)).unionByName(links), "classes")
+    delete(docs.sparkSession, held)
     out = docs.select(F.col(key), F.col(key).cast("long").alias("__k"))
     return out.join(last, out["__k"] == last["id"], "left").select(F.col(key), F.coalesce("root", "__k").alias("class_id"))
 
@@ -280,13 +307,22 @@ BLOCK, SLICE = 500, 4096
 def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between texts of one bucket and different components, enough to join all that belong together.
 
-    Every two texts of such a bucket are compared, those of large ones in pairs of blocks, but only
-    links that join components leave a task, not pairs.
+    Every two texts of such a bucket that can be similar by their sizes are compared, those of large
+    ones in pairs of blocks, but only links that join components leave a task, not pairs. A size
+    class spans the ratio 1 / threshold, so similar sets are in one class or in neighbouring ones.
     """
     rooted = _rooted(shared, found)
-    mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("low < high").select("bucket", "blocks")
-    members = rooted.join(mixed_buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("bucket", "n")
+    width = max(math.log(1 / threshold), 0.01) * 1.000001
+    sized = rooted.join(mixed_buckets, "bucket").join(sets.select("id", F.size("shingles").alias("size")), "id")
+    members = sized.withColumn("class", F.when(F.col("n") > BLOCK, F.floor(F.log("size") / width).cast("int")).otherwise(0)).select("id", "root", "bucket", "class")
+    counts = members.groupBy("bucket", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    counts = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks"))
+    # a text meets the blocks of its class and of those beside it
+    blocks = lambda d: F.coalesce(F.try_element_at(F.col("blocks"), F.col("class") + d), F.lit(0))
+    met = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(blocks(d) - 1, F.lit(0))), lambda k: k < blocks(d)), lambda k: F.struct((F.col("class") + d).alias("class"), k.alias("block")))))
+    own = F.struct("class", F.pmod(F.xxhash64("id"), blocks(F.lit(0))).cast("int").alias("block"))
+    dealt = members.join(counts, "bucket").select("id", "root", "bucket", own.alias("own"), F.explode(met).alias("other"))
     placed = dealt.select("id", "root", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")).join(sets, "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
