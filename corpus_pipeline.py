@@ -21,9 +21,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id; rows without id stay."""
+    """Of each class of near-duplicates the document with the least id; of rows equal in id and text one.
+
+    Rows of one id with different texts are one document and stay. Rows without id are compared with
+    none, but of those with one text one stays; a null text is as an empty one.
+    """
     classes = neardup.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(classes, "doc_id", "left_anti").withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    # texts of the few repeated rows are compared by their hash, those of all others don't move
+    twice = kept.groupBy("doc_id", "__sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("__sha").alias("__same"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__same"))
+    once = kept.join(twice, on, "left_anti")
+    first = kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "__sha"])
+    return once.unionByName(first).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
