@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import slices, written
+from spanmill.llm.common import delete, slices, written
 
 #: The bound of the labelled sample that a fit reads: documents, by the order of a hash of their id.
 SAMPLE_DOCS = 8192
@@ -95,9 +95,10 @@ def telling_features(bags: DataFrame) -> DataFrame:
     return counts.filter((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") - F.col("docs") * share >= chance)).select("feature")
 
 
-def numbered(bag: str, vocab: dict[str, int], kept: dict[str, list[int]]) -> tuple[list[list[int]], int]:
-    """The numbers of the telling features of each sentence that has any, and how many have none."""
-    told, plain = [], 0
+def numbered(bag: str, vocab: dict[str, int], kept: dict[str, list[int]]) -> tuple[list[list[int]], list[int], int]:
+    """The numbers of the telling features of each sentence that has any, equal ones once; how often each stands; how many have none."""
+    told: dict[tuple[int, ...], int] = {}
+    plain = 0
     for sentence in bag.split("\n") if bag else []:
         own: list[int] = []
         for w in sentence.split(" "):
@@ -107,16 +108,18 @@ def numbered(bag: str, vocab: dict[str, int], kept: dict[str, list[int]]) -> tup
                 known = kept[w] = [i for f in word_features(w) if (i := vocab.get(f)) is not None]
             own += known
         if own:
-            told.append(own)
+            key = tuple(sorted(own))
+            told[key] = told.get(key, 0) + 1
         else:
             plain += 1
-    return told, plain
+    return [list(k) for k in told], list(told.values()), plain
 
 
-def fit_bags(labels: np.ndarray, told: list[list[list[int]]], plain: np.ndarray, features: int, steps: int = 200, rate: float = 0.3, ridge: float = 0.02) -> np.ndarray:
+def fit_bags(labels: np.ndarray, told: list[list[list[int]]], plain: np.ndarray, features: int, times: list[list[int]] | None = None, steps: int = 200, rate: float = 0.3, ridge: float = 0.02) -> np.ndarray:
     """Weights of the features and, last, the bias, fitted by Adam to 0/1 labels of bags.
 
-    A bag is a list of sentences (feature numbers) and a count of sentences without features.
+    A bag is a list of sentences (feature numbers), how often each stands there (if not given: once),
+    and a count of sentences without features.
     """
     doc_of, sent_of, word_of, s = array("q"), array("q"), array("q"), 0
     for d, bag in enumerate(told):
@@ -126,15 +129,16 @@ def fit_bags(labels: np.ndarray, told: list[list[list[int]]], plain: np.ndarray,
             word_of.extend(sentence)
             s += 1
     doc, sent, word = (np.array(a, dtype=np.int64) for a in (doc_of, sent_of, word_of))
+    often = np.ones(s) if times is None else np.array([n for own in times for n in own], dtype=float)
     y = labels.astype(float)
     x = np.zeros(features + 1)
     x[-1] = -6.0
     m, v, k = np.zeros_like(x), np.zeros_like(x), 1 - 2 * NOISE
     for step in range(1, steps + 1):
         z = x[-1] + np.bincount(sent, weights=x[word], minlength=s)
-        clean = np.exp(-np.bincount(doc, weights=_softplus(z), minlength=len(y)) - plain * _softplus(x[-1]))  # prod(1 - p)
+        clean = np.exp(-np.bincount(doc, weights=often * _softplus(z), minlength=len(y)) - plain * _softplus(x[-1]))  # prod(1 - p)
         slope = np.where(y > 0, k * clean / (NOISE + k * (1 - clean)), -k * clean / (NOISE + k * clean))
-        g_z = -slope[doc] / (1.0 + np.exp(-z))
+        g_z = -often * slope[doc] / (1.0 + np.exp(-z))
         g_plain = -(slope * plain).sum() / (1.0 + np.exp(-x[-1]))
         g = np.append(np.bincount(word, weights=g_z[sent], minlength=features), g_z.sum() + g_plain)
         g[:-1] += ridge * x[:-1]
@@ -152,8 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> T
     """
     chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     # only documents that are there count for the bound
-    chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
-    bags = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_bags, "toxic int, bag string"), "bags")
+    chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
+    held: list[str] = []
+    bags = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_bags, "toxic int, bag string"), "bags", held)
     vocab = {r[0]: i for i, r in enumerate(telling_features(bags).orderBy("feature").collect())}
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
@@ -161,18 +166,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> T
         kept: dict[str, list[int]] = {}
         for pdf in batches:
             rows = [numbered(b, shared.value, kept) for b in pdf["bag"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "told": [r[0] for r in rows], "plain": [r[1] for r in rows]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "told": [r[0] for r in rows], "times": [r[1] for r in rows], "plain": [r[2] for r in rows]})
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for pdf in batches for r in pdf.itertuples(index=False)]
         y = np.array([r.toxic for r in rows], dtype=int)
         if y.any():
-            x = fit_bags(y, [r.told for r in rows], np.array([r.plain for r in rows], dtype=float), len(shared.value))
+            x = fit_bags(y, [r.told for r in rows], np.array([r.plain for r in rows], dtype=float), len(shared.value), [r.times for r in rows])
             yield pd.DataFrame({"feature": [*shared.value, BIAS], "weight": x})
 
-    # what the bounded sample tells meets in one task; the driver gets the weights only
-    small = bags.mapInPandas(told, "toxic int, told array<array<int>>, plain long")
-    weights = small.repartition(1).sortWithinPartitions("toxic", "plain", "told").mapInPandas(fitted, "feature string, weight double").toPandas()
+    # what the bounded sample tells, equal sentences of a document once, meets in one task; the driver gets the weights only
+    small = bags.mapInPandas(told, "toxic int, told array<array<int>>, times array<int>, plain long")
+    weights = small.repartition(1).sortWithinPartitions("toxic", "plain", "told", "times").mapInPandas(fitted, "feature string, weight double").toPandas()
+    delete(docs.sparkSession, held)
     model = dict(zip(weights["feature"], weights["weight"].astype(float), strict=True))
     return ToxicityModel(model.pop(BIAS), model) if BIAS in model else ToxicityModel()
 
