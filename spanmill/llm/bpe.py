@@ -3,8 +3,8 @@
 Merges are folded over the byte arrays of distinct words with a literal rank map. A count over all
 words picks the most frequent, at most KEPT_WORDS by construction; each is folded once, and their
 codes are broadcast to a pass over the documents, so no text is shuffled. Words that are not kept, a
-few in a hundred, are folded in that pass: in higher-order functions that cost several times the CPU
-seconds allowed (README). Decoding concatenates binary pieces.
+few in a hundred, and very long ones are folded in that pass: in higher-order functions that cost several times
+the CPU seconds allowed (README). Decoding concatenates binary pieces.
 
 The rank map is kept by pairs of ids: the merge of ids a and b has the rank of the token whose bytes
 are those of a and b together. A literal array of small buckets stands in for a hash table, as Spark
@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
 import pyarrow as pa
@@ -25,10 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import bind, slices, written
+from spanmill.llm.common import bind, delete, slices, written
 
-#: Bound of the broadcast codes of frequent words: about 100 bytes each.
+#: Bounds of the broadcast codes of frequent words: how many, bytes of a word, and bytes of all codes,
+#: taken as CODE_BYTES for each byte of a word (ids as decimals, the word, the bytes decoded) and WORD_BYTES.
 KEPT_WORDS = 1 << 19
+LONGEST_KEPT = 64
+KEPT_BYTES = 128 << 20
+CODE_BYTES, WORD_BYTES = 9, 40
+#: Words of more bytes are folded with a heap.
+LONG_WORD = 256
 #: Buckets of the literal rank map, about 7 pairs in each.
 PAIR_BUCKETS = 1 << 14
 #: Rare words whose codes a task keeps at hand.
@@ -149,20 +157,25 @@ def code_of(word: Column, tables: Column) -> Column:
     return bind(fold_word(word.cast("binary"), tables["pairs"], tables["bytes"]), code)
 
 
-def kept_words(docs: DataFrame, pattern: str, ranks: Ranks, text: str = "text", most: int = KEPT_WORDS) -> DataFrame:
-    """word, code of the most frequent distinct words of the whole table, folded once each.
+def kept_words(docs: DataFrame, pattern: str, ranks: Ranks, text: str = "text", most: int = KEPT_WORDS) -> tuple[DataFrame, list[str]]:
+    """(word, code; paths to delete after use) of the most frequent distinct words of the whole table, folded once each.
 
-    Words are kept down to a count chosen from a histogram of counts so that at most `most` are.
+    Words are kept down to a count chosen from a histogram of counts so that at most `most` are, and
+    their codes fit KEPT_BYTES; words longer than LONGEST_KEPT bytes aren't. The count table goes again.
     """
-    counts = written(docs.select(F.explode(words_of(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    bins = counts.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
-    total, least = 0, None
+    held: list[str] = []
+    counts = written(docs.select(F.explode(words_of(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words", held)
+    short = counts.filter(F.octet_length("word") <= LONGEST_KEPT)
+    size = F.octet_length("word") * CODE_BYTES + WORD_BYTES
+    bins = short.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.sum(size).alias("bytes"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
+    words, size, least = 0, 0, None
     for b in bins:
-        if (total := total + b["words"]) > most:
+        words, size = words + b["words"], size + b["bytes"]
+        if words > most or size > KEPT_BYTES:
             break
         least = b["least"]
-    frequent = counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
-    return encode_words(frequent.select("word"), ranks)
+    frequent = short.filter(F.col("n") >= least) if least is not None else short.limit(0)
+    return encode_words(frequent.select("word"), ranks), held
 
 
 class RareWords:
@@ -184,6 +197,8 @@ class RareWords:
         return own
 
     def fold(self, ids: list[int]) -> list[int]:
+        if len(ids) > LONG_WORD:
+            return self.fold_long(ids)
         get = self.merges.get
         while len(ids) > 1:
             ranks = [get(p) for p in pairwise(ids)]
@@ -202,6 +217,26 @@ class RareWords:
             ids = out
         return ids
 
+    def fold_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of <rank, place>, in n log n steps: places stay, the next one of each is kept."""
+        get, n = self.merges.get, len(ids)
+        ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k, p in enumerate(pairwise(ids)) if (r := get(p)) is not None]
+        heapify(heap)
+        while heap:
+            rank, k = heappop(heap)
+            # out of date: the place was merged away, or its pair is another by now
+            if ids[k] < 0 or (right := after[k]) >= n or get((ids[k], ids[right])) != rank:
+                continue
+            ids[k], ids[right], after[k] = rank, -1, after[right]
+            if after[k] < n:
+                before[after[k]] = k
+                if (r := get((rank, ids[after[k]]))) is not None:
+                    heappush(heap, (r, k))
+            if before[k] >= 0 and (r := get((ids[before[k]], rank))) is not None:
+                heappush(heap, (r, before[k]))
+        return [i for i in ids if i >= 0]
+
 
 @lru_cache(maxsize=2)
 def _rare(ranks: Ranks) -> RareWords:
@@ -234,20 +269,48 @@ def _codes(parts: list[bytes]) -> dict[str, tuple[int, str, bytes]]:
     return made
 
 
+# The letters and digits of the Latin blocks, and the characters of which texts are that
+# need no other table: besides them, white space and punctuation, but no further numerals.
+LATIN = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": "0-9"}
+_OTHER = re.compile("[^\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u203a]")
+
+
+def latin_pattern(pattern: str) -> str:
+    """A tokenizer's pattern for Latin texts: its letter and digit classes spelled out."""
+    out, inside = [], False
+    for token in re.findall(r"\\p\{[LN]\}|\\.|\[\^?|\]|.", pattern, re.DOTALL):
+        inside = token[0] == "[" or inside and token != "]"
+        out.append((LATIN[token] if inside else f"[{LATIN[token]}]") if token in LATIN else token)
+    return "".join(out)
+
+
+@lru_cache(maxsize=4)
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of a tokenizer's pattern in a text; Latin texts by spelled-out classes, which takes half the time."""
+    import regex
+
+    every = regex.compile(pattern).findall
+    try:
+        latin = re.compile(latin_pattern(pattern)).findall
+    except re.error:  # something that only the larger library has
+        return every
+    return lambda text: every(text) if _OTHER.search(text) else latin(text)
+
+
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most: int = KEPT_WORDS) -> DataFrame:
     """docs' rows with n_tokens, ids (decimals joined by blanks) and decoded (binary) beside their columns but the text.
 
     Columns of docs with one of these three names are left out.
 
-    Whole texts are encoded; null and empty ones have no ids. Repeated rows stay. A word of n bytes
-    takes time as n squared at worst, so a single run of very many letters is slow, not wrong.
+    Whole texts are encoded; null and empty ones have no ids. Repeated rows stay. A long run of
+    letters is one word and takes time as its length times its logarithm.
     """
-    kept = docs.sparkSession.sparkContext.broadcast(_packed(kept_words(docs, pattern, ranks, text, most)))
+    frequent, held = kept_words(docs, pattern, ranks, text, most)
+    kept = docs.sparkSession.sparkContext.broadcast(_packed(frequent))
+    delete(docs.sparkSession, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, get, rare = regex.compile(pattern).findall, _codes(kept.value).get, _rare(ranks)
+        find, get, rare = finder(pattern), _codes(kept.value).get, _rare(ranks)
         try:
             for batch in batches:
                 for part in slices(batch):

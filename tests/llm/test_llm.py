@@ -7,6 +7,7 @@ import itertools
 import math
 import os
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -71,6 +72,36 @@ def test_fingerprint_edge_cases(spark):
     assert fingerprint.digest("x" * (fingerprint.SLICE * 2 + 5))[2:] != fingerprint.digest("")[2:]
 
 
+def test_digest_by_its_definition():
+    rng = random.Random(12)
+    for n in (0, 2, 3, 40, 3000):
+        text = "".join(rng.choice("abc déf") for _ in range(n))
+        data, counts = text.encode(), [0] * 512
+        for k in range(len(data)):
+            for number, (i, j) in enumerate(((1, 2), (1, 3), (2, 3)), 1):
+                if k + j < len(data):
+                    h = (data[k] + (data[k + i] << 8) + (data[k + j] << 16) + (number << 24)) * 2654435761 & 0xFFFFFFFF
+                    h = (h ^ h >> 15) * 2246822519 & 0xFFFFFFFF
+                    counts[h >> 23] += 1
+        q1, q2, q3 = (sorted(counts)[k] for k in (127, 255, 383))
+        codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+        packed = bytes(sum(codes[4 * k + b] << 2 * b for b in range(4)) for k in range(128))
+        head = bytes([min(255, int(8 * math.log2(len(data) + 1))), q1 * 15 // max(q3, 1) << 4 | q2 * 15 // max(q3, 1)])
+        assert fingerprint.digest(text) == (head + packed).hex()
+
+
+def test_likeness_by_its_definition():
+    import pandas as pd
+
+    rng = random.Random(13)
+    digests = [fingerprint.digest(prose(rng, n)) for n in (0, 30, 400, 400)]
+    for a, b in itertools.product(digests, repeat=2):
+        x, y = bytes.fromhex(a), bytes.fromhex(b)
+        apart = sum((0, 1, 2, 6)[abs((p >> s & 3) - (q >> s & 3))] for p, q in zip(x[2:], y[2:], strict=True) for s in (0, 2, 4, 6))
+        apart += abs(x[0] - y[0]) + abs((x[1] >> 4) - (y[1] >> 4)) + abs((x[1] & 15) - (y[1] & 15))
+        assert fingerprint.likeness_of(pd.Series([a]), pd.Series([b]))[0] == pytest.approx(max(0, 1 - apart / 1024))
+
+
 def test_long_text_is_counted_whole_across_slices(monkeypatch):
     data = bytes(random.Random(1).randrange(256) for _ in range(5000))
     whole = fingerprint.bucket_counts(data)
@@ -200,6 +231,15 @@ def test_bags_by_brute_force():
     assert fitted == pytest.approx(x)
 
 
+def test_equal_sentences_count_as_often_as_they_stand():
+    vocab = {"bad": 0, "worse": 1}
+    told, times, plain = toxicity.numbered("bad x\nbad y\nworse\nz", vocab, {})
+    assert (told, times, plain) == ([[0], [1]], [2, 1], 1)
+    y, one = np.array([1, 0]), np.array([1.0, 2.0])
+    spelled = toxicity.fit_bags(y, [[[0], [0], [1]], [[1]]], one, 2, steps=30)
+    assert toxicity.fit_bags(y, [[[0], [1]], [[1]]], one, 2, [[2, 1], [1]], steps=30) == pytest.approx(spelled)
+
+
 def test_noisy_or(spark):
     model = toxicity.ToxicityModel(-2.0, {"bad": 3.0})
     p, q = 1 / (1 + math.exp(-1.0)), 1 / (1 + math.exp(2.0))
@@ -330,6 +370,40 @@ def test_folds_agree(spark, vocabulary):
         assert (got[w]["n"], got[w]["ids"], bytes(got[w]["bytes"])) == want and want[2] == w.encode()
 
 
+def test_long_words_and_byte_bounds(spark, vocabulary, monkeypatch):
+    ranks, pattern, own = vocabulary
+    rng = random.Random(8)
+    rare = bpe.RareWords(ranks)
+    for n in (300, 2000, 20_000):
+        word = "".join(rng.choice("aeirstnh") for _ in range(n))
+        assert rare.code(word)[1] == " ".join(map(str, own._core_bpe.encode_single_piece(word.encode())))
+    began = time.time()
+    rare.fold([ranks.by_bytes[b"a"]] * 300_000)
+    assert time.time() - began < 20
+    docs = documents(spark, ["x" * 5000 + " the the the cat", "y" * 100, "the cat sat"])
+    words = lambda: {r["word"] for r in bpe.kept_words(docs, pattern, ranks)[0].collect()}
+    assert max(map(len, words())) <= bpe.LONGEST_KEPT
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 2 * (4 * bpe.CODE_BYTES + bpe.WORD_BYTES))
+    assert words() == {" the", " cat"}
+
+
+def test_latin_texts_are_cut_alike(vocabulary):
+    import regex
+
+    _, pattern, _ = vocabulary
+    every, find = regex.compile(pattern).findall, bpe.finder(pattern)
+    latin = re.compile(bpe.latin_pattern(pattern)).findall
+    safe = [chr(c) for c in range(0x2100) if not bpe._OTHER.search(chr(c))]
+    assert len(safe) > 500
+    rng = random.Random(15)
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice([safe, " \n'ab1.é", "'stremdlv \xa0"])) for _ in range(rng.randint(0, 30)))
+        assert latin(text) == every(text) == find(text)
+    for c in map(chr, range(0x3100)):  # any character beside a letter, a digit and a blank
+        text = f"a{c}b 1{c} {c}."
+        assert find(text) == every(text)
+
+
 def test_decode(spark, vocabulary):
     ranks, _, own = vocabulary
     ids = own.encode_ordinary("héllo wörld\n")
@@ -572,8 +646,6 @@ def test_arrivals_hold_all_rows(spark):
 
 
 def test_licenses_by_brute_force(spark):
-    import re
-
     texts = [*odd_texts(), "Under the MIT license. under  the-mit license! xunder the mit license under the mit licenses", "APACHE LICENSE VERSION 2 cc by nc, cc-by-nc sa", "under the mit license" * 2, "İ ÀPACHE license version 2"]
     rows = {r["doc_id"]: r for r in licenses.license_labels(documents(spark, texts).withColumn("base", F.lit("clash"))).collect()}
     for i, t in enumerate(texts):
@@ -597,6 +669,45 @@ def test_license_rules():
     assert labels("Mozilla Public License 2.0") == ["mpl-2"] and labels("limit the permit") == []
 
 
+def test_license_suppression_by_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        rules = [licenses.Rule(f"r{k}", rng.choice("abc"), rng.randint(1, 4), 1.0, frozenset(), "") for k in range(8)]
+        found = [(s, s + rng.randint(1, 12), rng.choice(rules)) for s in (rng.randint(0, 40) for _ in range(rng.randint(0, 25)))]
+        kept = []
+        for a, b, r in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name)):
+            if not any(c <= a and b <= d or r.label == o.label and a < d and c < b for c, d, o in kept):
+                kept.append((a, b, r))
+        assert licenses.unsuppressed(found) == sorted(kept, key=lambda d: (d[0], d[1], d[2].name))
+
+
+def test_license_scan_is_linear():
+    began = time.time()
+    assert len(licenses.detections("mit license and bsd 3 clause license, " * 10_000)) == 20_000
+    assert licenses.base_places("under the mit license " * 40_000)[0] == 160_000
+    assert time.time() - began < 20
+
+
+def test_license_notices():
+    labels = lambda t: {r.label for _, _, r in licenses.detections(t)}
+    rules = licenses.rules()
+    # every notice is found by its own words, with the gate, and by the label it has
+    for line in licenses.NOTICES.strip().splitlines():
+        label, _, _, _, pattern = licenses._cells(line)
+        said = pattern.replace("[1-4]", "4").replace(r"\d", "0")
+        said = re.sub(r"\(\?!.*?\)", "", said)
+        said = re.sub(r"\(\?:\\w\+ \)\{\d+,\d+\}\??", "some words ", said)
+        while "(?:" in said:
+            said = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)*\)\??", r"\1", said)
+        said = said.replace(" ?", " ")
+        assert label in labels(f"A text.\n{said.upper()}\nMore."), said
+    assert all(r.keywords for r in rules)
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the Software)") == {"mit"}
+    assert labels("This program is not licensed under the GPL v3.") == set() and labels("It is no longer distributed under the MIT license.") == set()
+    assert labels("It is not good. It is licensed under the GPL v3.") == {"gpl-3"}
+    assert labels("admit the account is a disclaimer") == set() and not any(licenses.WHOLE & r.keywords for r in licenses._due("admit the account is a disclaimer, permit"))
+
+
 def test_license_gate_loses_nothing(monkeypatch):
     names = ["GNU General Public License version 2", "GNU Lesser General Public License v3", "All rights reserved", "Creative Commons Attribution", "SIL Open Font License", "Public Domain Dedication", "Python Software Foundation", "Open Data Commons Database", "European Union Public Licence", "Microsoft Public", "Expat", "ASL 2.0", "do what the fun you want to public license", "Apache License 2.0", "BSD 3-Clause", "CC BY-NC-SA 4.0", "0BSD"]
     forms = ["{}", "Released under the terms of the {} license", "licence: {}", "dual licensed by us as {}", "{} compatible"]
@@ -693,6 +804,7 @@ def test_near_duplicates_that_repeat_lines(spark):
 
 def test_blocks_join_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "STAR_PART", 2)
     monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
     rng = random.Random(2)
     words = [f"{rng.choice(WORDS)}{i}" for i in range(120)]
@@ -703,6 +815,30 @@ def test_blocks_join_large_buckets(spark, monkeypatch):
     assert [got[i] for i in range(24)] == classes(texts)
 
 
+def test_pairs_in_blocks_by_size(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(14)
+    sets = {}
+    for i in range(60):  # sizes over several classes, many just at the threshold
+        base = set(range(rng.choice([8, 10, 20, 25, 40, 50])))
+        sets[i] = base | {1000 * (i + 1) + k for k in range(rng.choice([0, 0, 1, 2]))}
+    shared = spark.createDataFrame([(i, 7, 1) for i in sets], "id long, bucket long, popular long")
+    found = spark.createDataFrame([], "id long, root long")
+    rows = spark.createDataFrame([(i, sorted(v)) for i, v in sets.items()], "id long, shingles array<long>")
+    links = [tuple(r) for r in neardup._across(shared, found, rows, 0.8).collect()]
+
+    def tops(pairs):
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(near(a, b) for a, b in links)
+    assert tops(links) == tops([(a, b) for a, b in itertools.combinations(sets, 2) if near(a, b)])
+
+
 # pipeline
 
 
@@ -719,8 +855,15 @@ def test_pipeline(spark, tmp_path):
     assert clean.columns == docs.columns and sum((i in kept) == (not y) for i, y in enumerate(labels)) >= 290 and {300, 301, 302, 303, 304} <= kept
     unique = pipeline.drop_near_duplicates(spark, clean, str(tmp_path))
     assert {r["doc_id"] for r in unique.filter("doc_id >= 300").collect()} == {300, 303} and unique.columns == docs.columns
+    odd = documents(spark, ["one text that stays", "one text that stays", "another of the same id", None, None, "no id", "no id", None], [1, 1, 1, 2, 2, None, None, None])
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, odd, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "one text that stays"), (1, "another of the same id"), (2, None), (None, "no id"), (None, None)], key=str)
     mixed = pipeline.mix_sources(spark, unique, str(tmp_path))
     assert mixed.columns == docs.columns
     coded = pipeline.encode_texts(spark, mixed, str(tmp_path))
     assert coded.filter("NOT decodes").count() == 0 and coded.count() == mixed.count()
     assert pipeline.run(spark, str(tmp_path)).count() == coded.count()
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
+    assert pipeline.run(spark, str(empty)).collect() == []
