@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.operators import geometry
+from spanmill.operators import geometry, grid
 from spanmill.operators.match import box_pairs
+from spanmill.operators.scan import running
 
 
 def remap(px: DataFrame, field: DataFrame, value: str) -> DataFrame:
@@ -34,7 +35,7 @@ def partners(items: DataFrame, key: str, seed: int) -> DataFrame:
     """key, partner: each item and the next by a hash, the last with the first: a derangement of two or more items."""
     from spanmill.operators.sampling import numbered
 
-    n = numbered(items.select(key).distinct().withColumn("__h", F.xxhash64(key, F.lit(seed))), ["__h", key], "__i")
+    n = numbered(items.select(key).distinct().withColumn("__h", unit(seed, key)), ["__h", key], "__i")
     total = items.select(key).distinct().count()
     return n.join(n.select(F.col(key).alias("partner"), F.pmod(F.col("__i") - 1, F.lit(max(total, 1))).alias("__i")), "__i").select(key, "partner")
 
@@ -74,8 +75,9 @@ def light_spots(px: DataFrame, value: str, threshold: int, most: float) -> DataF
 
 
 def unit(seed: int, *keys: str | Column) -> Column:
-    """A pseudorandom number from 0 to 1 of keys and a seed."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    """A pseudorandom number from 0 to 1 of keys and a seed: 28 bits of their MD5, which other engines have too."""
+    said = F.md5(F.concat_ws("|", *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(said, 1, 7), 16, 10).cast("double") / float(1 << 28)
 
 
 def point_in_polygon(objects: DataFrame, key: str, seed: int, attempts: int = 50) -> DataFrame:
@@ -109,10 +111,9 @@ def accept_tiles(px: DataFrame, half: int, reject: float, seed: int, mask: str =
 
 
 def proportional_draws(images: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
-    """draw, key: n draws of images with probability by weight, by the running sums of a table of one row per image."""
-    by = Window.orderBy(key)
-    ends = images.filter(F.col(weight) > 0).select(key, F.sum(weight).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"), F.sum(weight).over(Window.partitionBy()).alias("all"))
-    ends = ends.withColumn("lo", F.lag("hi", 1, 0).over(by))
+    """draw, key: n draws of images with probability by weight, by the running sums of the weights in the order of the key."""
+    ends = running(images.filter(F.col(weight) > 0).select(key, F.col(weight).cast("double").alias("__w")), [], [key], {"hi": F.col("__w")})
+    ends = ends.select(key, (F.col("hi") - F.col("__w")).alias("lo"), "hi", F.col("all_hi").alias("all"))
     # draws and images meet by cell of the unit interval, so neither side is sent to every task
     cell = lambda c: F.least(F.floor(c * DRAW_CELLS), F.lit(DRAW_CELLS - 1)).cast("int")
     ends = ends.select(key, (F.col("lo") / F.col("all")).alias("lo"), (F.col("hi") / F.col("all")).alias("hi"))
@@ -129,7 +130,7 @@ def hashed_folds(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """rows with fold: k folds of even sizes (to one) in the order of a hash; not the reference's permutation."""
     from spanmill.operators.sampling import numbered
 
-    return numbered(rows.withColumn("__h", F.xxhash64(key, F.lit(seed))), ["__h", key], "__i").withColumn("fold", F.col("__i") % k).drop("__h", "__i")
+    return numbered(rows.withColumn("__h", unit(seed, key)), ["__h", key], "__i").withColumn("fold", F.col("__i") % k).drop("__h", "__i")
 
 
 def ood_scores(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -140,3 +141,35 @@ def ood_scores(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFr
     for x in z[1:]:
         total = total + F.coalesce(x, F.lit(0.0))
     return rows.withColumn("ood", total / len(features))
+
+
+def remap_bilinear(px: DataFrame, field: DataFrame, value: str) -> DataFrame:
+    """As remap(), with the mean of the four pixels around each place by nearness."""
+    return grid.bilinear(px, field.withColumn("fy", F.col("y") + F.col("dy")).withColumn("fx", F.col("x") + F.col("dx")), value)
+
+
+def mirror(places: DataFrame, vertical: bool = False) -> DataFrame:
+    """places (slide, y, x, h, w) with dy, dx of a mirror image: a field for remap()."""
+    over = lambda c, s, on: (F.col(s) - 1 - 2 * F.col(c)).cast("double") if on else F.lit(0.0)
+    return places.withColumn("dy", over("y", "h", vertical)).withColumn("dx", over("x", "w", not vertical))
+
+
+def object_crops(objects: DataFrame, size: int) -> DataFrame:
+    """objects (ring, ...) with y0, y1, x0, x1 of a window of `size` centred at the vertices' mean, rounded half to even."""
+    c = geometry.centre(F.col("ring"))
+    at = lambda k: (F.bround(c[k]) - size // 2).cast("long")
+    return objects.withColumns({"y0": at("y"), "y1": at("y") + size, "x0": at("x"), "x1": at("x") + size})
+
+
+def polygon_crops(objects: DataFrame, group: str, key: str, n: int, size: int, seed: int) -> DataFrame:
+    """group, draw, key, x0, y0: n windows per group, each centred at a pseudorandom point of a polygon chosen at random.
+
+    Polygons of a group are numbered by key; the window begins half its size before the truncated point.
+    """
+    numbered = running(objects.select(group, key, "ring"), [group], [key], {"__k": F.lit(1).cast("long")})
+    groups = objects.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    draws = groups.select(group, "__n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    chosen = draws.withColumn("__k", F.floor(unit(seed, group, "draw") * F.col("__n")).cast("long") + 1).join(numbered, [group, "__k"])
+    placed = chosen.withColumn("__d", F.concat_ws("|", F.col(group).cast("string"), F.col("draw").cast("string")))
+    points = point_in_polygon(placed, "__d", seed)
+    return placed.join(points, "__d").select(group, "draw", key, (F.floor("x") - size // 2).cast("long").alias("x0"), (F.floor("y") - size // 2).cast("long").alias("y0"))

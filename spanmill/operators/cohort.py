@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.operators.scan import running
+
 
 def frequencies(rows: DataFrame, c: str, by: list[str] | None = None) -> DataFrame:
     """by, c, n: how often each non-null category stands."""
@@ -52,9 +54,31 @@ def replicate(rows: DataFrame, rate: int, name: str = "copy") -> DataFrame:
 def nearest_rank(rows: DataFrame, keys: list[str], c: str, percents: list[int]) -> DataFrame:
     """keys, p, value: element number int(n p / 100) from 0 of the sorted values, the last for p of 100.
 
-    By ranks over the partitioned window, so no list of a group is built.
+    By numbers over ranges, so no list of a group is built and no group is one task. Equal values
+    may be numbered in any order.
     """
-    by = Window.partitionBy(*keys).orderBy(c)
-    ranked = rows.filter(F.col(c).isNotNull()).select(*keys, F.col(c).alias("value"), (F.row_number().over(by) - 1).alias("__k"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__n"))
+    ranked = running(rows.filter(F.col(c).isNotNull()).select(*keys, F.col(c).alias("value")), keys, ["value"], {"k": F.lit(1).cast("long")})
     wanted = ranked.select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("p"))
-    return wanted.filter(F.col("__k") == F.least(F.floor(F.col("__n") * F.col("p") / 100), F.col("__n") - 1)).select(*keys, F.col("p").cast("long").alias("p"), "value")
+    return wanted.filter(F.col("k") - 1 == F.least(F.floor(F.col("all_k") * F.col("p") / 100), F.col("all_k") - 1)).select(*keys, F.col("p").cast("long").alias("p"), "value")
+
+
+def is_named(name: Column, wanted: str, exact: bool = True) -> Column:
+    """Whether a class has a name, in any case if not exact; a null name has none."""
+    return F.coalesce(name == wanted if exact else F.lower(name) == wanted.lower(), F.lit(False))
+
+
+def stem(name: Column) -> Column:
+    """A file name up to its first dot."""
+    return F.substring_index(name, ".", 1)
+
+
+def suffix_join(images: DataFrame, masks: DataFrame, image: str, mask: str) -> DataFrame:
+    """images with the mask of the same stem: the suffix that masks have is inferred from the first image's first match.
+
+    First by name; no match of the first image is an error.
+    """
+    first = images.agg(F.min(stem(F.col(image)))).first()[0]
+    match = masks.filter(F.col(mask).startswith(first)).agg(F.min(mask)).first()[0] if first is not None else None
+    if first is not None and match is None:
+        raise FileNotFoundError(f"{first} has no mask")
+    return images.join(masks, F.concat(stem(F.col(image)), F.lit((match or "")[len(first or "") :])) == F.col(mask))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.operators.rle import encode_spans
-from spanmill.plans.session import cut
+from spanmill.operators.scan import running
+from spanmill.plans.session import cut, drop
 
 
 def column_runs(mask: DataFrame) -> DataFrame:
@@ -22,20 +23,25 @@ def label_runs(runs: DataFrame, connectivity: int = 4) -> DataFrame:
     changes: a number of rounds that grows with the logarithm of the longest chain.
     """
     slack = 1 if connectivity == 8 else 0
+    spark, links, past = runs.sparkSession, [], []
     own = cut(runs.withColumn("id", F.struct("x", "lo")))
     right = own.select("slide", (F.col("x") - 1).alias("x"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.col("id").alias("other"))
     touching = own.join(right, ["slide", "x"]).filter((F.col("lo") < F.col("rhi") + slack) & (F.col("rlo") < F.col("hi") + slack))
     edges = touching.select("slide", "id", "other")
-    edges = cut(edges.unionByName(edges.select("slide", F.col("other").alias("id"), F.col("id").alias("other"))))
+    edges = cut(edges.unionByName(edges.select("slide", F.col("other").alias("id"), F.col("id").alias("other"))), "links", links)
     labels = own.select("slide", "id", F.col("id").alias("label"))
     while True:
         near = edges.join(labels.select("slide", F.col("id").alias("other"), F.col("label").alias("l")), ["slide", "other"]).groupBy("slide", "id").agg(F.min("l").alias("l"))
         least = labels.join(near, ["slide", "id"], "left").select("slide", "id", F.least("label", F.coalesce("l", "label")).alias("new"), "label")
         up = least.select("slide", F.col("id").alias("new"), F.col("new").alias("root"))
-        jumped = cut(least.join(up, ["slide", "new"]).select("slide", "id", F.least("new", "root").alias("new"), "label"))
+        made: list[str] = []
+        jumped = cut(least.join(up, ["slide", "new"]).select("slide", "id", F.least("new", "root").alias("new"), "label"), "labels", made)
+        drop(spark, past)
+        past = made
         changed = jumped.filter("new <> label").isEmpty()
         labels = jumped.select("slide", "id", F.col("new").alias("label"))
         if changed:
+            drop(spark, links)
             return own.join(labels, ["slide", "id"]).select("slide", "x", "lo", "hi", "label")
 
 
@@ -47,3 +53,32 @@ def component_stats(labelled: DataFrame, min_pixel: int = 1) -> DataFrame:
         (F.sum((F.col("lo") + F.col("hi") - 1) * n / 2) / F.sum(n)).alias("cy"), (F.sum(F.col("x") * n) / F.sum(n)).alias("cx"),
     )
     return out.filter(F.col("area") >= min_pixel)
+
+
+def without_border(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """labelled runs without the components that touch the border of their slide; sizes: slide, h, w."""
+    met = labelled.join(sizes.select("slide", F.col("h").alias("__h"), F.col("w").alias("__w")), "slide")
+    on = (F.col("x") == 0) | (F.col("lo") == 0) | (F.col("hi") == F.col("__h")) | (F.col("x") == F.col("__w") - 1)
+    return labelled.join(met.filter(on).select("slide", "label").distinct(), ["slide", "label"], "left_anti")
+
+
+def relabelled(labelled: DataFrame) -> DataFrame:
+    """labelled runs with label 1 .. n within the slide, in the order of the labels they had."""
+    ranked = running(labelled.select("slide", "label").distinct(), ["slide"], ["label"], {"number": F.lit(1).cast("long")})
+    named = ranked.select(F.col("slide").alias("__s"), F.col("label").alias("__l"), "number")
+    return labelled.join(named, (F.col("slide") == F.col("__s")) & (F.col("label") == F.col("__l"))).select("slide", "x", "lo", "hi", F.col("number").alias("label"))
+
+
+def label_mask(mask: DataFrame, sizes: DataFrame, min_pixel: int = 1, exclude_border: bool = False) -> DataFrame:
+    """slide, x, lo, hi, label (1 .. n): 8-connected components of min_pixel or more pixels, those at the border left out if asked."""
+    found = label_runs(column_runs(mask), 8)
+    if exclude_border:
+        found = without_border(found, sizes)
+    if min_pixel > 1:
+        found = found.join(component_stats(found, min_pixel).select("slide", "label"), ["slide", "label"], "left_semi")
+    return relabelled(found)
+
+
+def label_pixels(labelled: DataFrame) -> DataFrame:
+    """slide, label, y, x of labelled runs."""
+    return labelled.select("slide", "label", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("y"), "x")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.plans.session import cut
-
 
 def merge(pred: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """keys and the mean, maximum and sample deviation of stacked predictions."""
@@ -39,58 +42,112 @@ def majority(votes: DataFrame, keys: list[str], label: str, undecided: str) -> D
     return best.select(*keys, F.when(ties > 1, F.lit(undecided)).otherwise(F.col(f"hi.{label}")).alias(label))
 
 
-def agreement(votes: DataFrame, consensus: DataFrame, keys: list[str], expert: str, label: str, target: str) -> DataFrame:
-    """expert, file: IoU of each expert's `target` items with the consensus's, per expert and label group."""
-    joined = votes.join(consensus.withColumnRenamed(label, "__c"), keys)
+def agreement(votes: DataFrame, consensus: DataFrame, keys: list[str], by: list[str], label: str, target: str) -> DataFrame:
+    """by (expert, file), iou: IoU of the `target` items of votes with the consensus's (keys, label); null where neither has any."""
+    joined = votes.join(consensus.select(*keys, F.col(label).alias("__c")), keys)
     a, b = F.col(label) == target, F.col("__c") == target
-    return joined.groupBy(expert).agg(F.try_divide(F.count_if(a & b), F.count_if(a | b)).alias("iou"))
+    return joined.groupBy(*by).agg(F.try_divide(F.count_if(a & b), F.count_if(a | b)).alias("iou"))
 
 
 def ema(log: DataFrame, keys: list[str], order: str, value: str, decay: float) -> DataFrame:
-    """log with ema: d * ema + (1 - d) * value, beginning with the first value.
+    """log with ema: d * ema + (1 - d) * value, beginning with the first value; decay is over 0 and under 1.
 
-    In closed form over a window: sum of (1 - d) * value / d^i, scaled by d^n; i counts from the row,
-    so it holds while d^-n is finite. A run is one key; all its rows are one task.
+    In closed form within blocks of rows short enough that d^-n stays finite (1e100); a block takes
+    over the last value of the one before it. What comes from further back weighs 1e-100 and less,
+    which is below the precision of a double. A run is one key; all its rows are one task.
     """
+    block = max(1, int(230 / -math.log(decay)))
     by = Window.partitionBy(*keys).orderBy(order)
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = log.withColumn("__i", F.row_number().over(by) - 1)
-    term = F.when(F.col("__i") == 0, F.col(value)).otherwise((1 - decay) * F.col(value)) * F.pow(F.lit(decay), -F.col("__i"))
-    return numbered.withColumn("ema", F.sum(term).over(upto) * F.pow(F.lit(decay), F.col("__i"))).drop("__i")
+    i = F.row_number().over(by) - 1
+    numbered = log.withColumn("__b", F.floor(i / block)).withColumn("__k", (i % block).cast("double"))
+    first = (F.col("__b") == 0) & (F.col("__k") == 0)
+    term = F.when(first, F.col(value)).otherwise((1 - decay) * F.col(value)) * F.pow(F.lit(decay), -F.col("__k"))
+    inside = Window.partitionBy(*keys, "__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    summed = numbered.withColumn("__s", F.sum(term).over(inside) * F.pow(F.lit(decay), F.col("__k")))
+    along = Window.partitionBy(*keys).orderBy("__b")
+    last = F.when(F.col("__k") == block - 1, F.col("__s"))
+    carried = lambda n: F.coalesce(F.max(last).over(along.rangeBetween(-n, -n)), F.lit(0.0))
+    over = carried(1) + F.pow(F.lit(decay), F.lit(block)) * carried(2)
+    return summed.withColumn("ema", F.col("__s") + F.pow(F.lit(decay), F.col("__k") + 1) * over).drop("__b", "__k", "__s")
 
 
 def staple(votes: DataFrame, keys: list[str], expert: str, vote: str, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """keys, weight: probability that an item is foreground, by simultaneous truth and performance estimation.
 
     Expectation maximisation of experts' sensitivity and specificity. Items with the same votes of the
-    same experts behave alike, so the rounds run over vote patterns with counts; each round's expert
-    rates (a row per expert) are collected, the items never. The prior is the share of positive votes.
+    same experts behave alike, so items are counted by vote pattern, of which there are at most 3 to
+    the number of experts, and all rounds run over the counted patterns in one task; a row per expert
+    comes back. Each item's weight then follows from its own votes, without a join. The prior is the share of
+    positive votes; where all votes are alike, it is the weight. Null votes are left out.
     """
-    patterns = votes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(expert).alias("e"), F.col(vote).alias("v")))).alias("pattern"))
+    told = votes.filter(F.col(vote).isNotNull() & F.col(expert).isNotNull())
+    patterns = told.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(expert).cast("string").alias("e"), F.col(vote).cast("int").alias("v")))).alias("pattern"))
     counted = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    counted = cut(counted, "patterns")
-    long = counted.select("pattern", "n", F.explode("pattern").alias("x")).select("pattern", "n", F.col("x.e").alias("e"), F.col("x.v").alias("v"))
-    prior = long.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("p")).first()["p"]
-    rates = {r["e"]: (0.99, 0.99) for r in long.select("e").distinct().collect()}
-
-    def weigh(df: DataFrame) -> DataFrame:
-        p = F.create_map(*[F.lit(x) for e, (p, _) in rates.items() for x in (e, p)])
-        q = F.create_map(*[F.lit(x) for e, (_, q) in rates.items() for x in (e, q)])
-        product = lambda yes, no: F.exp(F.aggregate("pattern", F.lit(0.0), lambda a, x: a + F.ln(F.when(x["v"] == 1, yes(x)).otherwise(no(x)))))
-        fore = prior * product(lambda x: F.element_at(p, x["e"]), lambda x: 1 - F.element_at(p, x["e"]))
-        back = (1 - prior) * product(lambda x: 1 - F.element_at(q, x["e"]), lambda x: F.element_at(q, x["e"]))
-        return df.withColumn("weight", fore / (fore + back))
-
-    if rates and prior not in (None, 0.0, 1.0):
-        for _ in range(rounds):
-            x = weigh(counted).select("n", "weight", F.explode("pattern").alias("x"))
-            w, v = F.col("weight") * F.col("n"), F.col("x.v")
-            made = x.groupBy(F.col("x.e").alias("e")).agg(F.try_divide(F.sum(w * v), F.sum(w)).alias("p"), F.try_divide(F.sum((F.col("n") - w) * (1 - v)), F.sum(F.col("n") - w)).alias("q")).collect()
-            clip = lambda z: min(max(z if z is not None else 0.99, 1e-7), 1 - 1e-7)
-            new = {r["e"]: (clip(r["p"]), clip(r["q"])) for r in made}
-            moved = max(abs(a - b) for e in new for a, b in zip(new[e], rates[e], strict=True))
-            rates = new
-            if moved < tolerance:
-                break
-        return patterns.join(weigh(counted).select("pattern", "weight"), "pattern").select(*keys, "weight")
-    return patterns.select(*keys, F.lit(float(prior or 0.0)).alias("weight"))
+
+    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for pdf in batches for r in zip(pdf["pattern"], pdf["n"], strict=True)]
+        if rows:
+            yield _rates([[(x["e"], x["v"]) for x in p] for p, _ in rows], np.array([n for _, n in rows], dtype=float), rounds, tolerance)
+
+    found = counted.repartition(1).sortWithinPartitions("pattern").mapInPandas(rates, "e string, p double, q double, prior double").collect()
+    prior = found[0]["prior"] if found else 0.0
+    if prior in (0.0, 1.0):
+        return patterns.select(*keys, F.lit(float(prior)).alias("weight"))
+    # log rates by expert and vote, as two small literal maps
+    by = lambda k: F.create_map(*[F.lit(x) for r in found for x in (r["e"], r[k])])
+    total = lambda yes, no: F.aggregate("pattern", F.lit(0.0), lambda a, x: a + F.ln(F.when(x["v"] == 1, yes(x)).otherwise(no(x))))
+    p, q = by("p"), by("q")
+    fore = F.lit(math.log(prior)) + total(lambda x: F.element_at(p, x["e"]), lambda x: 1 - F.element_at(p, x["e"]))
+    back = F.lit(math.log(1 - prior)) + total(lambda x: 1 - F.element_at(q, x["e"]), lambda x: F.element_at(q, x["e"]))
+    return patterns.select(*keys, (1 / (1 + F.exp(back - fore))).alias("weight"))
+
+
+def _rates(patterns: list[list[tuple[str, int]]], n: np.ndarray, rounds: int, tolerance: float) -> pd.DataFrame:
+    """e, p (sensitivity), q (specificity), prior, by expectation maximisation over n items of each pattern."""
+    experts = sorted({e for p in patterns for e, _ in p})
+    row = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+    col = np.array([experts.index(e) for p in patterns for e, _ in p])
+    yes = np.array([v for p in patterns for _, v in p], dtype=float)
+    prior = float((n[row] * yes).sum() / n[row].sum())
+    p, q = np.full(len(experts), 0.99), np.full(len(experts), 0.99)
+    over = lambda x: np.bincount(col, weights=x, minlength=len(experts))
+    for _ in range(rounds if prior not in (0.0, 1.0) else 0):
+        fore = math.log(prior) + np.bincount(row, weights=np.log(np.where(yes > 0, p[col], 1 - p[col])), minlength=len(patterns))
+        back = math.log(1 - prior) + np.bincount(row, weights=np.log(np.where(yes > 0, 1 - q[col], q[col])), minlength=len(patterns))
+        w = n / (1 + np.exp(back - fore))
+        shares = [np.divide(a, b, out=np.full(len(experts), 0.99), where=b > 0) for a, b in ((over(w[row] * yes), over(w[row])), (over((n - w)[row] * (1 - yes)), over((n - w)[row])))]
+        new = [np.clip(x, 1e-7, 1 - 1e-7) for x in shares]
+        moved = max(np.abs(new[0] - p).max(), np.abs(new[1] - q).max())
+        p, q = new
+        if moved < tolerance:
+            break
+    return pd.DataFrame({"e": experts, "p": p, "q": q, "prior": prior})
+
+
+def results_with_ensemble(models: list[DataFrame], keys: list[str], file: str, value: str, name: str = "ensemble") -> DataFrame:
+    """keys, model, value of each model's results and of their mean; each file must have the rows of all models.
+
+    models: tables of keys (file among them) and value; a file that some model lacks, or has twice, is
+    an error when the result is read.
+    """
+    own = [m.select(*keys, F.lit(k).alias("__k"), value) for k, m in enumerate(models)]
+    every = own[0]
+    for m in own[1:]:
+        every = every.unionByName(m)
+    counted = every.groupBy(*keys).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("__n"), F.count_distinct("__k").alias("__m"))
+    wrong = (F.col("__n") != len(models)) | (F.col("__m") != len(models))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("predictions and models don't match: "), F.col(file).cast("string")))).otherwise(F.col(value))
+    return every.select(*keys, F.concat(F.lit("model_"), F.col("__k").cast("string")).alias("model"), value).unionByName(counted.select(*keys, F.lit(name).alias("model"), checked.alias(value)))
+
+
+def map_entropy(px: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, entropy of values normalised to 1: ln(S) - sum(v ln v) / S, one grouping and no window."""
+    v = F.col(value).cast("double")
+    return px.groupBy(*keys).agg((F.ln(F.sum(v)) - F.sum(F.when(v > 0, v * F.ln(v)).otherwise(0.0)) / F.sum(v)).alias("entropy"))
+
+
+def pooled_max(px: DataFrame, value: Column, window: int) -> DataFrame:
+    """slide, most: the largest mean of a value over full square windows of pixels (slide, y, x, h, w)."""
+    full = px.filter((F.col("y") < F.floor(F.col("h") / window) * window) & (F.col("x") < F.floor(F.col("w") / window) * window))
+    pooled = full.groupBy("slide", F.floor(F.col("y") / window), F.floor(F.col("x") / window)).agg(F.avg(value).alias("e"))
+    return pooled.groupBy("slide").agg(F.max("e").alias("most"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.operators.scan import running
+
 
 def _axis(n: Column) -> Column:
     return F.sequence(F.lit(0), n.cast("int") - 1)
@@ -80,9 +82,12 @@ def pyramid_weight(y: Column, x: Column, size: int) -> Column:
 
 
 def gaussian_weight(y: Column, x: Column, size: int) -> Column:
-    """exp of minus the squared distance from the centre, deviation an eighth of the size, 1 at the centre."""
+    """exp of minus the squared distance from the centre, deviation an eighth of the size, 1 at the centre.
+
+    The least weight, at the corners, is over exp(-16) at any size, so there are no zeros to replace.
+    """
     c, s = (size - 1) / 2.0, size / 8.0
-    return F.greatest(F.exp(-(F.pow(y - c, F.lit(2)) + F.pow(x - c, F.lit(2))) / (2 * s * s)), F.lit(1e-12))
+    return F.exp(-(F.pow(y - c, F.lit(2)) + F.pow(x - c, F.lit(2))) / (2 * s * s))
 
 
 def stitch(predicted: DataFrame, weight: Column) -> DataFrame:
@@ -114,12 +119,118 @@ def boundless(slides: DataFrame, px: DataFrame, y0: int, x0: int, size: int, val
 
 
 def sampling_cdf(px: DataFrame, p: Column, keys: list[str], order: list[str]) -> DataFrame:
-    """px with cdf: running share of p within each key."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    weighed = px.withColumn("__p", p)
-    return weighed.withColumn("cdf", F.sum("__p").over(by) / F.sum("__p").over(Window.partitionBy(*keys))).drop("__p")
+    """px with cdf: running share of p within each key; the order is to be total within a key."""
+    placed = running(px, keys, order, {"__cum": p.cast("double")})
+    return placed.withColumn("cdf", F.col("__cum") / F.col("all___cum")).drop("__cum", "all___cum")
 
 
 def pick(cdf: DataFrame, keys: list[str], pos: str, u: Column) -> DataFrame:
     """keys, pos: the first position whose cdf is over u; null if none is."""
     return cdf.groupBy(*keys).agg(F.min(F.when(F.col("cdf") > u, F.col(pos))).alias(pos))
+
+
+def grid_halo(slides: DataFrame, size: int, pad: int) -> DataFrame:
+    """Tiles of `size` with a halo of `pad` on each side: the core (y0 ..) every size - 2 * pad, the halo (qy0 ..), both clipped.
+
+    The image is padded as in grid_padded by the core's size.
+    """
+    core = size - 2 * pad
+    tiles = grid_padded(slides, core)
+    y, x = F.col("ty") * core, F.col("tx") * core
+    low = lambda v: F.greatest(v - pad, F.lit(0)).cast("long")
+    high = lambda v, s: F.least(v + core + pad, F.col(s)).cast("long")
+    return tiles.withColumns({"qy0": low(y), "qy1": high(y, "h"), "qx0": low(x), "qx1": high(x, "w")})
+
+
+def grid_slices(slides: DataFrame, tile: int, padding: int) -> DataFrame:
+    """Tiles of `tile` whose output is `padding` smaller: centre cy, cx; output slice y0 .. x1 of the image; the share iy, ix
+    (lengths from 0) of the output that is inside. An image smaller than a tile has one."""
+    out = tile - padding
+    n = lambda s: F.greatest(F.ceil(F.col(s) / out), F.lit(1))
+    at = _both(slides, n("h"), n("w"))
+    y, x = F.col("ty") * out, F.col("tx") * out
+    y1, x1 = F.least(y + out, F.col("h")), F.least(x + out, F.col("w"))
+    centre = lambda t: F.floor((F.col(t) + 0.5) * out).cast("long")
+    return at.withColumns({"cy": centre("ty"), "cx": centre("tx"), "y0": y.cast("long"), "y1": y1.cast("long"), "x0": x.cast("long"), "x1": x1.cast("long"), "iy": (y1 - y).cast("long"), "ix": (x1 - x).cast("long")})
+
+
+def paste(canvas: DataFrame, block: DataFrame, y0: Column, x0: Column, value: str) -> DataFrame:
+    """canvas (slide, y, x, value) with the block's pixels (slide, y, x from 0) from y0, x0 on; what passes the border is cut off."""
+    put = block.select("slide", (F.col("y") + y0).cast("long").alias("y"), (F.col("x") + x0).cast("long").alias("x"), F.col(value).alias("__new"))
+    at = canvas.withColumn("y", F.col("y").cast("long")).withColumn("x", F.col("x").cast("long"))
+    return at.join(put, ["slide", "y", "x"], "left").withColumn(value, F.coalesce("__new", value)).drop("__new")
+
+
+def covering_tiles(px: DataFrame, size: int, step: int) -> DataFrame:
+    """px (slide, y, x, h, w) once for each tile of grid_clamped() that covers it, with ty, tx, dy, dx.
+
+    The tiles of a pixel follow from arithmetic: tiles that begin at most `size` before it, and all
+    those moved inward to the last place. No join.
+    """
+
+    def along(p: str, s: str) -> Column:
+        last = F.col(s) - size
+        first = F.greatest(F.ceil((F.col(p) - size + 1) / step), F.lit(0)).cast("long")
+        every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(s) / step).cast("long") - 1)
+        near = F.when(F.col(p) >= last, every).otherwise(F.sequence(first, F.floor(F.col(p) / step).cast("long")))
+        begin = lambda t: F.least(t * step, last)
+        return F.filter(F.transform(near, lambda t: F.struct(t.alias("t"), (F.col(p) - begin(t)).alias("d"))), lambda c: (c["d"] >= 0) & (c["d"] < size))
+
+    met = px.withColumn("__y", F.explode(along("y", "h"))).withColumn("__x", F.explode(along("x", "w")))
+    return met.select(*px.columns, F.col("__y.t").alias("ty"), F.col("__x.t").alias("tx"), F.col("__y.d").alias("dy"), F.col("__x.d").alias("dx"))
+
+
+def stitch_variants(predicted: DataFrame, weight: Column, variant: str) -> DataFrame:
+    """slide, y, x, p: as stitch(), of predictions of several variants (test-time augmentations), which count alike.
+
+    At reduced resolution places are those of the reduced image.
+    """
+    one = predicted.withColumn("__w", weight).groupBy("slide", "y", "x", variant).agg(F.sum(F.col("p") * F.col("__w")).alias("a"), F.sum("__w").alias("b"))
+    return one.groupBy("slide", "y", "x").agg((F.sum("a") / F.sum("b")).alias("p"))
+
+
+def resize_nearest(px: DataFrame, sizes: DataFrame, oh: int, ow: int, value: str) -> DataFrame:
+    """slide, y, x, value at oh x ow of pixels of sizes (slide, h, w): the pixel at floor(y * h / oh)."""
+    out = _places(sizes, oh, ow)
+    at = out.select("slide", F.col("y").alias("__y"), F.col("x").alias("__x"), F.floor(F.col("y") * F.col("h") / oh).cast("long").alias("y"), F.floor(F.col("x") * F.col("w") / ow).cast("long").alias("x"))
+    return at.join(_long(px, value), ["slide", "y", "x"]).select("slide", F.col("__y").alias("y"), F.col("__x").alias("x"), value)
+
+
+def resize_bilinear(px: DataFrame, sizes: DataFrame, oh: int, ow: int, value: str) -> DataFrame:
+    """slide, y, x, value at oh x ow: linear between the four nearest pixels, centres of pixels at halves, borders held."""
+    hold = lambda p, s, n: F.least(F.greatest((F.col(p) + 0.5) * F.col(s) / n - 0.5, F.lit(0.0)), F.col(s) - 1.0)
+    at = _places(sizes, oh, ow).withColumn("fy", hold("y", "h", oh)).withColumn("fx", hold("x", "w", ow))
+    return bilinear(px, at, value)
+
+
+def bilinear(px: DataFrame, at: DataFrame, value: str) -> DataFrame:
+    """slide, y, x, value of places at (slide, y, x, fy, fx): the mean of the four pixels around (fy, fx) by nearness; 0 outside."""
+    ends = lambda f: F.array(F.struct(F.floor(f).cast("long").alias("at"), (1 - (F.col(f) - F.floor(f))).alias("w")), F.struct((F.floor(f) + 1).cast("long").alias("at"), (F.col(f) - F.floor(f)).alias("w")))
+    four = at.select("slide", F.col("y").alias("__y"), F.col("x").alias("__x"), F.explode(ends("fy")).alias("a"), F.col("fx")).select("slide", "__y", "__x", "a", F.explode(ends("fx")).alias("b"))
+    four = four.select("slide", "__y", "__x", F.col("a.at").alias("y"), F.col("b.at").alias("x"), (F.col("a.w") * F.col("b.w")).alias("__w"))
+    met = four.join(_long(px, value), ["slide", "y", "x"], "left")
+    return met.groupBy("slide", F.col("__y").alias("y"), F.col("__x").alias("x")).agg(F.sum(F.col("__w") * F.coalesce(F.col(value), F.lit(0))).alias(value))
+
+
+def _places(sizes: DataFrame, oh: int, ow: int) -> DataFrame:
+    rows = sizes.select("slide", "h", "w", F.explode(F.sequence(F.lit(0), F.lit(oh - 1))).alias("y"))
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(ow - 1))).alias("x")).withColumn("y", F.col("y").cast("long")).withColumn("x", F.col("x").cast("long"))
+
+
+def _long(px: DataFrame, value: str) -> DataFrame:
+    return px.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), value)
+
+
+def is_background(bright: Column, total: Column, least: int) -> Column:
+    """A tile without tissue: few saturated pixels, or hardly any signal."""
+    return (bright <= least) | (total <= least)
+
+
+def is_rejected(mean: Column, std: Column, dark: Column, area: Column, u: Column, kept: float = 0.05) -> Column:
+    """A tile that is dark, bright and flat, or more than a tenth dark pixels; a share of them is kept by u, a number from 0 to 1."""
+    return ((mean < 10) | ((mean > 205) & (std < 20)) | (dark > 0.1 * area)) & (u > kept)
+
+
+def one_hot(px: DataFrame, label: str, n: int, name: str = "hot") -> DataFrame:
+    """px once for each class 0 .. n - 1 with cls and 1 where the label is it, else 0."""
+    return px.withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(name, (F.col(label) == F.col("cls")).cast("int"))

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spanmill.operators.graph import connected
 
 
 def box_pairs(a: DataFrame, b: DataFrame, cell: int, keys: list[str]) -> DataFrame:
@@ -50,10 +53,21 @@ def best_match(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
     return pairs.filter(F.col(score) > 0).withColumn("__k", F.row_number().over(by)).filter("__k = 1").drop("__k")
 
 
+def in_parts(pairs: DataFrame, group: str, a: str, b: str, part: str = "__part") -> DataFrame:
+    """pairs with the connected part of the candidates that each belongs to: objects of different parts don't bear on each other.
+
+    a's and b's names may be equal; those of different groups are others.
+    """
+    node = lambda side, c: F.concat_ws("|", F.lit(side), F.col(group).cast("string"), F.col(c).cast("string"))
+    named = pairs.withColumn("__a", node("a", a)).withColumn("__b", node("b", b))
+    parts = connected(named.select("__a", "__b"), "__a", "__b")
+    return named.join(parts.select(F.col("node").alias("__a"), F.col("part").alias(part)), "__a").drop("__a", "__b")
+
+
 def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:
     """group, a, b, score: in order of a, each takes its best b that is still free; a score under `least` is no match.
 
-    A group's pairs stand in one task, in order; the candidates near each other bound them.
+    A connected part of the candidates stands in one task, in order, not a whole group.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +82,8 @@ def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, least
         return pd.DataFrame(out, columns=[group, a, b, score])
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.select(group, a, b, score).groupBy(group).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score)))
+    placed = in_parts(pairs.select(group, a, b, score), group, a, b)
+    return placed.groupBy("__part").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score)))
 
 
 def classify(score: Column, revised: float) -> Column:
@@ -105,8 +120,8 @@ def assign(cost: np.ndarray) -> np.ndarray:
 def optimal_match(pairs: DataFrame, group: str, a: str, b: str, score: str) -> DataFrame:
     """group, a, b, score: the one-to-one matching of the largest total score per group.
 
-    Objects that share no candidate, directly or not, don't bear on each other, so groups are best
-    connected parts of the candidates; a group's scores stand in one task.
+    Objects that share no candidate, directly or not, don't bear on each other: the scores of one
+    connected part of the candidates stand in one task, not those of a group.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,15 +134,17 @@ def optimal_match(pairs: DataFrame, group: str, a: str, b: str, score: str) -> D
         return pd.DataFrame([(pdf[group].iloc[0], *x) for x in named], columns=[group, a, b, score])
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.select(group, a, b, score).groupBy(group).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score)))
+    placed = in_parts(pairs.select(group, a, b, score), group, a, b)
+    return placed.groupBy("__part").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score)))
 
 
 def label_iou(a: DataFrame, b: DataFrame) -> DataFrame:
-    """slide, a, b, iou of all label pairs that share pixels, from labelled runs (slide, x, lo, hi, label).
+    """slide, a, b, iou of all label pairs that share pixels, from labelled runs (slide, x, lo, hi, label); labels as text.
 
     Sizes come from one grouping per side, so no pair reads the pixels again.
     """
-    named = lambda r, n: r.select("slide", "x", F.col("lo").alias(f"{n}lo"), F.col("hi").alias(f"{n}hi"), F.format_string("%d_%d", F.col("label.x"), F.col("label.lo")).alias(n))
+    text = lambda r: F.format_string("%d_%d", F.col("label.x"), F.col("label.lo")) if isinstance(r.schema["label"].dataType, T.StructType) else F.col("label").cast("string")
+    named = lambda r, n: r.select("slide", "x", F.col("lo").alias(f"{n}lo"), F.col("hi").alias(f"{n}hi"), text(r).alias(n))
     left, right = named(a, "a"), named(b, "b")
     size = lambda r, n: r.groupBy("slide", n).agg(F.sum(F.col(f"{n}hi") - F.col(f"{n}lo")).alias(f"n{n}"))
     both = left.join(right, ["slide", "x"]).filter("alo < bhi AND blo < ahi").groupBy("slide", "a", "b").agg(F.sum(F.least("ahi", "bhi") - F.greatest("alo", "blo")).alias("inter"))

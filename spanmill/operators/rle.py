@@ -38,7 +38,7 @@ def spans_to_text(spans: DataFrame, keys: list[str], name: str = "rle") -> DataF
 
 def text_to_spans(masks: DataFrame, rle: str, keys: list[str], size: Column | None = None) -> DataFrame:
     """keys, lo, hi of RLE texts. Null and empty texts have none; an odd last number is ignored; spans end at `size`."""
-    numbers = F.transform(F.split(F.trim(F.col(rle)), r"\s+"), lambda x: F.try_to_number(x, F.lit("9999999999999999")).cast("long"))
+    numbers = F.transform(F.split(F.trim(F.col(rle)), r"\s+"), lambda x: x.try_cast("long"))
     held = masks.filter(F.col(rle).isNotNull() & (F.trim(F.col(rle)) != "")).withColumn("__n", numbers)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("__n") / 2).cast("int") - 1), lambda i: F.struct((F.get("__n", 2 * i) - 1).alias("lo"), (F.get("__n", 2 * i) - 1 + F.get("__n", 2 * i + 1)).alias("hi")))
     spans = held.filter(F.size("__n") >= 2).select("*", F.explode(pairs).alias("__s"))
@@ -78,5 +78,58 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str], cell: int = 256) -> Dat
     return met.groupBy(*keys).agg(F.sum(F.least("ahi", "bhi") - F.greatest("alo", "blo")).cast("long").alias("n"))
 
 
+def mask_sums(spans: DataFrame, keys: list[str], mask: str, pred: str, truth: str, cell: int = 1024) -> DataFrame:
+    """keys, inter, p, t of two masks told apart by a column: sizes and overlap in one pass over all spans.
+
+    Spans are cut at cells; a cell's few spans of both masks meet as arrays of one row, so nothing is
+    read twice and no span meets spans far from it.
+    """
+    at = spans.select(*keys, mask, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("__cell"))
+    piece = F.struct(F.greatest("lo", F.col("__cell") * cell).alias("lo"), F.least("hi", (F.col("__cell") + 1) * cell).alias("hi"))
+    of = lambda m: F.collect_list(F.when(F.col(mask) == m, piece))
+    met = at.groupBy(*keys, "__cell").agg(of(pred).alias("__p"), of(truth).alias("__t"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, r: s + r["hi"] - r["lo"])
+    shared = F.aggregate("__p", F.lit(0).cast("long"), lambda s, r: s + F.aggregate("__t", F.lit(0).cast("long"), lambda n, q: n + F.greatest(F.least(r["hi"], q["hi"]) - F.greatest(r["lo"], q["lo"]), F.lit(0))))
+    return met.groupBy(*keys).agg(F.sum(shared).alias("inter"), F.sum(total(F.col("__p"))).alias("p"), F.sum(total(F.col("__t"))).alias("t"))
+
+
 def span_sizes(spans: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return spans.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias(name))
+
+
+def to_yx(pos: Column, height: Column | int) -> dict[str, Column]:
+    """y, x of a position in column-major order, as runs of masks of a height count it."""
+    h = F.lit(height) if isinstance(height, int) else height
+    return {"y": (pos % h).cast("long"), "x": F.floor(pos / h).cast("long")}
+
+
+def to_pos(y: Column, x: Column, height: Column | int) -> Column:
+    """The column-major position of a pixel."""
+    return (x * height + y).cast("long")
+
+
+def column_spans(spans: DataFrame, keys: list[str], height: Column | int) -> DataFrame:
+    """keys, x, lo, hi: column-major spans cut into vertical runs of each column, without pixels."""
+    h = F.lit(height) if isinstance(height, int) else height
+    at = spans.withColumn("__h", h).withColumn("x", F.explode(F.sequence(F.floor(F.col("lo") / F.col("__h")), F.floor((F.col("hi") - 1) / F.col("__h")))))
+    low = F.greatest(F.col("lo") - F.col("x") * F.col("__h"), F.lit(0))
+    return at.select(*keys, F.col("x").cast("long").alias("x"), low.cast("long").alias("lo"), F.least(F.col("hi") - F.col("x") * F.col("__h"), F.col("__h")).cast("long").alias("hi"))
+
+
+def encode_resized(px: DataFrame, keys: list[str], height: Column | int, threshold: int, name: str = "rle") -> DataFrame:
+    """keys and RLE text of mask pixels (keys, y, x), column-major; empty where `threshold` or fewer are set.
+
+    px are those of the final shape: a mask of another one goes through grid.resize_nearest first.
+    """
+    spans = encode_spans(px.select(*keys, to_pos(F.col("y"), F.col("x"), height).alias("pos")), keys)
+    return suppress_small(spans, keys, threshold, name)
+
+
+def combine_additive(masks: DataFrame, keys: list[str], code: str, name: str = "code") -> DataFrame:
+    """keys and the sum of the codes of all class masks that hold a position: 3 is both of 1 and 2."""
+    return masks.groupBy(*keys).agg(F.sum(code).cast("long").alias(name))
+
+
+def combine_last(masks: DataFrame, keys: list[str], code: str, name: str = "code") -> DataFrame:
+    """keys and the highest code of the class masks that hold a position: later classes overwrite."""
+    return masks.groupBy(*keys).agg(F.max(code).cast("long").alias(name))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.operators.augment import unit
+from spanmill.operators.scan import running
 from spanmill.plans.session import cut
 
 
@@ -32,13 +36,19 @@ def numbered(rows: DataFrame, order: list[str], name: str, parts: int = 64) -> D
 
 
 def by_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """As numbered(), by a plain window: for tables known to be small, as one row per image."""
-    return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """As numbered(): rows in an order, renumbered from 0."""
+    return numbered(rows, order, name)
 
 
 def contiguous_folds(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """rows with fold: n runs of the order whose sizes differ by one at most, larger ones first."""
-    return rows.withColumn("fold", (F.ntile(n).over(Window.orderBy(*order)) - 1).cast("long"))
+    placed = numbered(rows, order, "__i")
+    total = placed.count()
+    large, extra = -(-total // n), total % n
+    low = total // n
+    i = F.col("__i")
+    fold = F.floor(i / max(low, 1)) if not extra else F.when(i < large * extra, F.floor(i / large)).otherwise(extra + F.floor((i - large * extra) / max(low, 1)))
+    return placed.withColumn("fold", fold.cast("long")).drop("__i")
 
 
 def hashed_subset(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
@@ -48,15 +58,21 @@ def hashed_subset(rows: DataFrame, key: str, share: float, seed: int) -> DataFra
 
 def exact_subset(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows (all, if fewer) by the order of a hash: Spark keeps n rows per task and merges them."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(unit(seed, key), key).limit(n)
+
+
+def percent_split(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """rows with held: int(n * share) of them, without replacement, by the order of a hash; no task has them all."""
+    placed = numbered(rows.withColumn("__h", unit(seed, key)), ["__h", key], "__i")
+    return placed.withColumn("held", F.col("__i") < int(rows.count() * share)).drop("__h", "__i")
 
 
 def balanced_draws(rows: DataFrame, cls: str, key: str, n: int, seed: int) -> DataFrame:
     """cls, draw, key: n draws with replacement per class. Draws join rows by class and number."""
-    sized = rows.withColumn("__k", F.row_number().over(Window.partitionBy(cls).orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1)
-    counts = sized.groupBy(cls).agg(F.count(F.lit(1)).alias("__n"))
-    draws = counts.select(cls, "__n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn("__k", F.pmod(F.xxhash64(cls, "draw", F.lit(seed)), F.col("__n")).cast("int"))
-    return draws.join(sized, [cls, "__k"]).select(cls, "draw", key)
+    sized = running(rows, [cls], [key], {"__k": F.lit(1).cast("long")})
+    counts = rows.groupBy(cls).agg(F.count(F.lit(1)).alias("__n"))
+    draws = counts.select(cls, "__n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn("__k", F.floor(unit(seed, cls, "draw") * F.col("__n")).cast("long") + 1)
+    return draws.join(sized.select(cls, "__k", key), [cls, "__k"]).select(cls, "draw", key)
 
 
 def tile_index(slides: DataFrame, objects: DataFrame, slide: str, obj: str, m: int, seed: int) -> DataFrame:
@@ -94,3 +110,31 @@ def warmup_linear(epoch: Column, warm: int, total: int, high: float) -> Column:
 
 def step(epoch: Column, every: int, factor: float, high: float) -> Column:
     return high * F.pow(F.lit(factor), F.floor(epoch / every))
+
+
+def combined(position: Column, parts: list[tuple[float, Callable[[Column], Column]]]) -> Column:
+    """Schedules one after another: each has a share of the positions 0 .. 1 and gets its own position from 0 to 1."""
+    if abs(sum(share for share, _ in parts) - 1) > 1e-9 or any(share < 0 for share, _ in parts):
+        raise ValueError("shares of schedules add up to 1")
+    out, low = None, 0.0
+    for share, schedule in parts:
+        own = schedule((position - low) / share) if share else F.lit(None)
+        out = own if out is None else F.when(position >= low, own).otherwise(out) if share else out
+        low += share
+    return out
+
+
+def linear_to(start: float, end: float) -> Callable[[Column], Column]:
+    return lambda p: start + p * (end - start)
+
+
+def cosine_to(start: float, end: float) -> Callable[[Column], Column]:
+    return lambda p: start + (1 + F.cos(F.lit(3.141592653589793) * (1 - p))) * (end - start) / 2
+
+
+def constant(value: float) -> Callable[[Column], Column]:
+    return lambda p: F.lit(value)
+
+
+def exponential_to(start: float, end: float) -> Callable[[Column], Column]:
+    return lambda p: start * F.pow(F.lit(end / start), p)

@@ -34,13 +34,35 @@ def default_data_dir(sf: str = "0.001") -> str:
     return os.environ.get("SPANMILL_DATA", f"/root/testdata/sf{sf}")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written as Parquet in the folder that spark.checkpoint.dir names, and read again.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; in a local session without one, in a temporary folder.
 
-    This cuts lineage as a checkpoint does, and the size estimates of loops too. Where no folder is
-    named (tests), a temporary one is used.
+    Executors of a cluster don't see a folder of the driver's machine: there, unset is an error.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/spanmill-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut", held: list[str] | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder, and read again.
+
+    This cuts lineage as a checkpoint does, and the size estimates of loops too. The path is appended
+    to `held`, for drop() once nothing reads it any more.
     """
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    df.write.parquet(path := f"{base.rstrip('/')}/spanmill-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path := shared_path(spark, name))
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, held: list[str]) -> None:
+    """Delete what cut() wrote, and forget it."""
+    for path in held:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    held.clear()

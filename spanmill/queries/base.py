@@ -111,3 +111,8 @@ LOG = """log AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_cust
 
 def rnd(c, digits: int = 6):
     return F.round(c, digits)
+
+
+def hashed_unit(seed: int, *columns: str) -> str:
+    """augment.unit() as SQL text."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in columns)}, '{seed}')), 1, 7))::BIGINT / 268435456e0)"

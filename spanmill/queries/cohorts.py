@@ -207,7 +207,7 @@ def cumulative_and_lag(spark, sf):
     return table(spark, sf, "events").select("event_type", "event_id", F.round(F.sum("value").over(running), 4).alias("running"), F.lag("value").over(by).alias("before"))
 
 
-@query()
+@query("SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'new ' || s_name ELSE s_name END AS predicted FROM supplier UNION ALL SELECT -1, 'added'")
 def csv_append_and_template_update(spark, sf):
     """Write a template as CSV, append to it, update it by key, and read it back."""
     from spanmill.sources import files

@@ -58,12 +58,12 @@ _SUMS = f"WITH {M1D}, s AS (SELECT slide, CAST(sum(pred * truth) AS DOUBLE) AS i
 @query(_SUMS + " SELECT slide, round((2 * i + 1e-8) / (p + t + 1e-8), 6) AS dice FROM s")
 def rle_overlap_dice(spark, sf):
     """Encode both masks as text, decode them to spans, and take Dice from the overlap of spans."""
+    which = F.explode(F.filter(F.array(F.when(F.col("pred") == 1, "pred"), F.when(F.col("truth") == 1, "truth")), lambda c: c.isNotNull())).alias("mask")
     px = m1d(spark, sf)
-    spans = {c: rle.text_to_spans(rle.spans_to_text(rle.encode_spans(px.filter(F.col(c) == 1), ["slide"]), ["slide"]), "rle", ["slide"]) for c in ("pred", "truth")}
-    slides = px.select("slide").distinct()
-    joined = slides.join(rle.span_sizes(spans["pred"], ["slide"], "p"), "slide", "left").join(rle.span_sizes(spans["truth"], ["slide"], "t"), "slide", "left").join(rle.overlap(spans["pred"], spans["truth"], ["slide"]), "slide", "left")
+    texts = rle.spans_to_text(rle.encode_spans(px.select("slide", "pos", which), ["slide", "mask"]), ["slide", "mask"])
+    sums = rle.mask_sums(rle.text_to_spans(texts, "rle", ["slide", "mask"]), ["slide"], "mask", "pred", "truth")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
-    return joined.select("slide", rnd(metrics.dice_eps(zero("n"), zero("p"), zero("t"))).alias("dice"))
+    return px.select("slide").distinct().join(sums, "slide", "left").select("slide", rnd(metrics.dice_eps(zero("inter"), zero("p"), zero("t"))).alias("dice"))
 
 
 def _sums(spark, sf) -> DataFrame:
@@ -85,7 +85,7 @@ def dice_micro_and_batch(spark, sf):
 @query(f"WITH {M1D} SELECT slide, round(2 * sum(score * truth) / nullif(sum(score + truth), 0), 6) AS soft_dice, round(1 - (2 * sum(score * truth) + 1) / (sum(score) + sum(truth) + 1), 6) AS dice_loss FROM m1d GROUP BY slide")
 def dice_soft(spark, sf):
     s, t = F.col("score"), F.col("truth")
-    return m1d(spark, sf).groupBy("slide").agg(rnd(F.try_divide(2 * F.sum(s * t), F.sum(s + t))).alias("soft_dice"), rnd(1 - (2 * F.sum(s * t) + 1) / (F.sum(s) + F.sum(t) + 1)).alias("dice_loss"))
+    return m1d(spark, sf).groupBy("slide").agg(rnd(F.try_divide(2 * F.sum(s * t), F.sum(s + t))).alias("soft_dice"), rnd(metrics.dice_loss(s, t)).alias("dice_loss"))
 
 
 @query(f"WITH {CLS}, c AS (SELECT lang, sum(pred * truth) AS tp, sum(pred * (1 - truth)) AS fp, sum((1 - pred) * truth) AS fn, sum((1 - pred) * (1 - truth)) AS tn FROM cls GROUP BY lang), r AS (SELECT *, tp / (tp + fp + 1e-7) AS p, tp / (tp + fn + 1e-7) AS r FROM c) SELECT lang, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-7), 6) AS f1 FROM r")
@@ -107,11 +107,8 @@ def iou_binary_ignore(spark, sf):
 def iou_per_class(spark, sf):
     from spanmill.plans.session import table
 
-    counts = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.select("*", F.explode(F.array(*[F.lit(c) for c in "AFNOR"])).alias("cls"))
-    p, t = F.col("l_returnflag") == F.col("cls"), F.col("l_linestatus") == F.col("cls")
-    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    return spread.groupBy("cls").agg(rnd(100 * F.coalesce(F.try_divide(n(p & t), n(p | t)), F.lit(1.0))).alias("iou"))
+    c = metrics.class_overlap(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", list("AFNOR"))
+    return c.select("cls", rnd(100 * F.coalesce(metrics.iou_or_null(F.col("inter"), F.col("p"), F.col("t")), F.lit(1.0))).alias("iou"))
 
 
 @query(f"WITH {M1D} SELECT slide, round(avg(CASE WHEN pred = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(sum(pred * truth) / nullif(CAST(sum(greatest(pred, truth)) AS DOUBLE), 0), 6) AS jaccard FROM m1d GROUP BY slide")
@@ -152,9 +149,7 @@ def average_precision(spark, sf):
 
 @query(f"WITH {PROB}, k AS (SELECT vec, any_value(grp) AS grp, list(pos ORDER BY p DESC, pos)[1:5] AS top FROM prob GROUP BY vec) SELECT round(100 * avg(CASE WHEN top[1] = grp THEN 1.0 ELSE 0.0 END), 6) AS top1, round(100 * avg(CASE WHEN list_contains(top, grp) THEN 1.0 ELSE 0.0 END), 6) AS top5 FROM k")
 def topk_accuracy(spark, sf):
-    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("p", (-F.col("pos")).alias("m"))))), 1, 5)
-    top = prob(spark, sf).groupBy("vec").agg(F.first("grp").alias("grp"), F.transform(best, lambda s: -s["m"]).alias("top"))
-    return top.agg(rnd(100 * F.avg(F.when(F.get("top", F.lit(0)) == F.col("grp"), 1.0).otherwise(0.0))).alias("top1"), rnd(100 * F.avg(F.when(F.array_contains("top", F.col("grp")), 1.0).otherwise(0.0))).alias("top5"))
+    return metrics.top_k(prob(spark, sf), "vec", "pos", "p", "grp").select(rnd(F.col("top1")).alias("top1"), rnd(F.col("top5")).alias("top5"))
 
 
 def _lovasz_sql(shape: str) -> str:
@@ -177,7 +172,7 @@ _BCE = "(greatest(logit, 0) - logit * truth + ln(1 + exp(-abs(logit))))"
 @query(f"WITH {M1D}, l AS (SELECT slide, truth, {_BCE} AS bce, power(1 - CASE WHEN truth = 1 THEN 1 / (1 + exp(-logit)) ELSE 1 - 1 / (1 + exp(-logit)) END, 2) * {_BCE} AS focal FROM m1d) SELECT slide, round(avg(bce), 6) AS bce, round(sum(bce), 6) AS bce_sum, round(avg(focal), 6) AS focal, round(avg(bce) * 0.7 + avg(focal) * 0.3, 6) AS joint FROM l GROUP BY slide")
 def focal_bce(spark, sf):
     bce, focal = metrics.stable_bce(F.col("logit"), F.col("truth")), metrics.focal(F.col("logit"), F.col("truth"))
-    return m1d(spark, sf).groupBy("slide").agg(rnd(F.avg(bce)).alias("bce"), rnd(F.sum(bce)).alias("bce_sum"), rnd(F.avg(focal)).alias("focal"), rnd(F.avg(bce) * 0.7 + F.avg(focal) * 0.3).alias("joint"))
+    return m1d(spark, sf).groupBy("slide").agg(rnd(F.avg(bce)).alias("bce"), rnd(F.sum(bce)).alias("bce_sum"), rnd(F.avg(focal)).alias("focal"), rnd(metrics.joint_loss((0.7, F.avg(bce)), (0.3, F.avg(focal)))).alias("joint"))
 
 
 @query(f"WITH {M1D}, s AS (SELECT slide, avg({_BCE}) AS bce FROM m1d GROUP BY slide HAVING sum(pred) <> 0) SELECT round(avg(bce), 6) AS loss, count(*) AS items FROM s")
@@ -215,7 +210,6 @@ def edge_box_mean(spark, sf):
 @query(f"WITH {PROB}, b AS (SELECT vec, any_value(grp) AS grp, arg_max(pos, p) AS top FROM prob GROUP BY vec), s AS (SELECT k, CAST(sum(CASE WHEN top = k AND grp = k THEN 1 ELSE 0 END) AS DOUBLE) AS i, sum(CASE WHEN top = k THEN 1 ELSE 0 END) AS p, sum(CASE WHEN grp = k THEN 1 ELSE 0 END) AS t FROM b, range(64) AS r(k) GROUP BY k) SELECT CAST(k AS BIGINT) AS cls, round(2 * i / nullif(p + t, 0), 6) AS dice, round(i / nullif(p + t - i, 0), 6) AS iou FROM s")
 def micro_argmax_dice(spark, sf):
     top = prob(spark, sf).groupBy("vec").agg(F.first("grp").alias("grp"), F.max(F.struct("p", (-F.col("pos")).alias("m"))).alias("b")).select("grp", (-F.col("b.m")).alias("top"))
-    counts = top.groupBy("grp", "top").agg(F.count(F.lit(1)).alias("n")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("cls"))
-    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    p, t = F.col("top") == F.col("cls"), F.col("grp") == F.col("cls")
-    return counts.groupBy("cls").agg(rnd(metrics.dice_or_null(n(p & t), n(p), n(t))).alias("dice"), rnd(metrics.iou_or_null(n(p & t), n(p), n(t))).alias("iou"))
+    c = metrics.class_overlap(top, "top", "grp", list(range(64)))
+    i, p, t = F.col("inter"), F.col("p"), F.col("t")
+    return c.select(F.col("cls").cast("long").alias("cls"), rnd(metrics.dice_or_null(i, p, t)).alias("dice"), rnd(metrics.iou_or_null(i, p, t)).alias("iou"))

@@ -49,7 +49,17 @@ def distance_bounded_join(spark, sf):
     return near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(F.pow(F.col("a_x") - F.col("b_x"), F.lit(2)) + F.pow(F.col("a_y") - F.col("b_y"), F.lit(2)), 3).alias("d2"))
 
 
-@query()
+_GREEDY = """, d AS (SELECT slide, a, b, 2.0 * inter / (aa + ab) AS dice FROM p),
+  c AS (SELECT slide, a, row_number() OVER (PARTITION BY slide ORDER BY a) AS k, list({'b': b, 'd': dice} ORDER BY dice DESC, b) AS cands FROM d GROUP BY slide, a),
+  g AS (SELECT slide, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS dice FROM (SELECT DISTINCT slide FROM d)
+    UNION ALL SELECT slide, k, CASE WHEN f.d >= 0.2 THEN list_append(taken, f.b) ELSE taken END, a, CASE WHEN f.d >= 0.2 THEN f.b END, CASE WHEN f.d >= 0.2 THEN f.d END
+      FROM (SELECT c.slide, c.k, g.taken, c.a, list_filter(c.cands, lambda x: NOT list_contains(g.taken, x.b))[1] AS f FROM g JOIN c ON c.slide = g.slide AND c.k = g.k + 1)),
+  m AS (SELECT a, b, dice FROM g WHERE b IS NOT NULL)
+  SELECT r.id AS a, m.b, round(dice, 6) AS dice, CASE WHEN dice >= 0.999 THEN 'same' WHEN dice >= 0.2 THEN 'revised' ELSE 'added' END AS kind FROM rects r LEFT JOIN m ON m.a = r.id WHERE grp = 'A'
+  UNION ALL SELECT NULL, id, NULL, 'deleted' FROM rects WHERE grp = 'B' AND id NOT IN (SELECT b FROM m)"""
+
+
+@query(_SIDES.replace("WITH ", "WITH RECURSIVE ", 1) + _GREEDY)
 def object_match_greedy(spark, sf):
     """Greedy matching in order of A, with A's unmatched and B's leftover objects."""
     scored = _pairs(spark, sf).withColumn("dice", 2.0 * F.col("inter") / (F.col("aa") + F.col("ab")))

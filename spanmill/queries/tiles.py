@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanmill.operators import components, grid
+from spanmill.operators import components, ensemble, grid, tta
 from spanmill.queries.base import R2D, Registry, r2d, rnd
 
 _r = Registry()
@@ -90,10 +90,8 @@ _TILES = f"WITH {R2D}, t AS (SELECT slide, ty, tx, least(ty * 5, h - 8) AS y0, l
 
 def _predicted(spark, sf):
     """Pixels of overlapping tiles, with each tile's own prediction."""
-    t = grid.grid_clamped(slides(spark, sf), 8, 5)
-    px = t.select("slide", "ty", "tx", "y0", "x0", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y")).select("*", F.explode(F.sequence("x0", F.col("x0") + 7)).alias("x"))
-    val = r2d(spark, sf).select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "val")
-    return px.join(val, ["slide", "y", "x"]).select("slide", "y", "x", (F.col("y") - F.col("y0")).alias("dy"), (F.col("x") - F.col("x0")).alias("dx"), (F.col("val") / 255.0 * (1 + (F.col("ty") + F.col("tx")) % 3 / 10.0)).alias("p"))
+    px = grid.covering_tiles(r2d(spark, sf), 8, 5)
+    return px.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "dy", "dx", (F.col("val") / 255.0 * (1 + (F.col("ty") + F.col("tx")) % 3 / 10.0)).alias("p"))
 
 
 @query(_TILES + ", w AS (SELECT *, CAST(least(dy + 1, 8 - dy, dx + 1, 8 - dx) AS DOUBLE) AS w FROM p) SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sum(p * w) / sum(w), 6) AS p FROM w GROUP BY ALL")
@@ -101,7 +99,7 @@ def stitch_weighted(spark, sf):
     return grid.stitch(_predicted(spark, sf), grid.pyramid_weight(F.col("dy"), F.col("dx"), 8)).withColumn("p", rnd(F.col("p")))
 
 
-@query(_TILES + ", w AS (SELECT *, greatest(exp(-((dy - 3.5) ** 2 + (dx - 3.5) ** 2) / 2), 1e-12) AS w FROM p) SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sum(p * w) / sum(w), 6) AS p FROM w GROUP BY ALL")
+@query(_TILES + ", w AS (SELECT *, exp(-((dy - 3.5) ** 2 + (dx - 3.5) ** 2) / 2) AS w FROM p) SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sum(p * w) / sum(w), 6) AS p FROM w GROUP BY ALL")
 def stitch_gaussian(spark, sf):
     return grid.stitch(_predicted(spark, sf), grid.gaussian_weight(F.col("dy"), F.col("dx"), 8)).withColumn("p", rnd(F.col("p")))
 
@@ -119,24 +117,20 @@ def downscale_nearest(spark, sf):
 @query(f"WITH {R2D}, f AS (SELECT slide, y, x, val FROM r2d UNION ALL SELECT slide, h - 1 - y, x, val FROM r2d UNION ALL SELECT slide, y, w - 1 - x, val FROM r2d UNION ALL SELECT slide, h - 1 - y, w - 1 - x, val FROM r2d) SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(avg(val), 6) AS p FROM f GROUP BY 1, 2, 3")
 def tta_flip_mean(spark, sf):
     """Every flip of both axes, turned back, and their mean: one pass over the pixels and one grouping."""
-    flips = F.explode(F.array(*[F.struct(F.lit(a).alias("fy"), F.lit(b).alias("fx")) for a in (False, True) for b in (False, True)])).alias("f")
-    back = r2d(spark, sf).select("slide", "y", "x", "h", "w", "val", flips).select("slide", F.when(F.col("f.fy"), F.col("h") - 1 - F.col("y")).otherwise(F.col("y")).cast("long").alias("y"), F.when(F.col("f.fx"), F.col("w") - 1 - F.col("x")).otherwise(F.col("x")).cast("long").alias("x"), "val")
-    return back.groupBy("slide", "y", "x").agg(rnd(F.avg("val")).alias("p"))
+    flips = (tta.VFLIP, tta.HFLIP)
+    # the flipped image as it stands is what is averaged, so places are not taken back
+    return tta.augmented(r2d(spark, sf), flips).groupBy("slide", "y", "x").agg(rnd(F.avg("val")).alias("p"))
 
 
 @query(f"WITH {R2D}, b AS (SELECT slide, y // 10 AS by, x // 10 AS bx, avg(ln(1 + exp(val / 255.0))) AS e FROM r2d WHERE y < h // 10 * 10 AND x < w // 10 * 10 GROUP BY 1, 2, 3) SELECT slide, round(max(e), 6) AS energy FROM b GROUP BY slide")
 def energy_pool_max(spark, sf):
     """Energy ln(1 + exp(v)) of two logits 0 and v, pooled over full 10 x 10 windows, then the maximum."""
-    full = r2d(spark, sf).filter((F.col("y") < F.floor(F.col("h") / 10) * 10) & (F.col("x") < F.floor(F.col("w") / 10) * 10))
-    pooled = full.groupBy("slide", F.floor(F.col("y") / 10), F.floor(F.col("x") / 10)).agg(F.avg(F.log1p(F.exp(F.col("val") / 255.0))).alias("e"))
-    return pooled.groupBy("slide").agg(rnd(F.max("e")).alias("energy"))
+    return ensemble.pooled_max(r2d(spark, sf), F.log1p(F.exp(F.col("val") / 255.0)), 10).select("slide", rnd(F.col("most")).alias("energy"))
 
 
 @query(f"WITH {R2D}, q AS (SELECT slide, val / CAST(sum(val) OVER (PARTITION BY slide) AS DOUBLE) AS q FROM r2d) SELECT slide, round(-sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END), 6) AS entropy FROM q GROUP BY slide")
 def map_entropy(spark, sf):
-    """Entropy of values normalised to 1: ln(S) - sum(v ln v) / S, one grouping and no window."""
-    v = F.col("val").cast("double")
-    return r2d(spark, sf).groupBy("slide").agg(rnd(F.ln(F.sum(v)) - F.sum(F.when(v > 0, v * F.ln(v)).otherwise(0.0)) / F.sum(v)).alias("entropy"))
+    return ensemble.map_entropy(r2d(spark, sf), ["slide"], "val").withColumn("entropy", rnd(F.col("entropy")))
 
 
 @query(f"WITH {R2D} SELECT slide, CAST(c AS BIGINT) AS channel, round(avg((val / 255.0 - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1]), 6) AS z, round(stddev_pop((val / 255.0 - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1]), 6) AS sd FROM r2d, range(3) AS r(c) GROUP BY 1, 2")

@@ -65,12 +65,8 @@ def majority_vote(spark, sf):
 
 @query(_MAJ + ", i AS (SELECT expert, v.item % 5 AS file, count(*) FILTER (WHERE v.label = 'N' AND m.label = 'N') / nullif(CAST(count(*) FILTER (WHERE v.label = 'N' OR m.label = 'N') AS DOUBLE), 0) AS iou FROM votes v JOIN m USING (item) GROUP BY 1, 2) SELECT expert, round(avg(iou), 6) AS average_iou, round(stddev_samp(iou), 6) AS std_iou FROM i GROUP BY expert")
 def expert_agreement(spark, sf):
-    v = votes(spark, sf)
-    joined = v.withColumn("file", F.col("item") % 5)
-    consensus = ensemble.majority(v, ["item"], "label", "?").withColumnRenamed("label", "c")
-    both = joined.join(consensus, "item")
-    a, b = F.col("label") == "N", F.col("c") == "N"
-    iou = both.groupBy("expert", "file").agg(F.try_divide(F.count_if(a & b), F.count_if(a | b)).alias("iou"))
+    v = votes(spark, sf).withColumn("file", F.col("item") % 5)
+    iou = ensemble.agreement(v, ensemble.majority(v, ["item"], "label", "?"), ["item"], ["expert", "file"], "label", "N")
     return iou.groupBy("expert").agg(rnd(F.avg("iou")).alias("average_iou"), rnd(F.stddev_samp("iou")).alias("std_iou"))
 
 
@@ -86,9 +82,9 @@ def staple_em(spark, sf):
     return ensemble.staple(binary, ["item"], "expert", "v").select("item", rnd(F.col("weight")).alias("weight"), (F.col("weight") > 0.5).cast("int").alias("on_"))
 
 
-@query(f"WITH {LOG}, t AS (SELECT run, epoch, loss, CASE WHEN epoch = 1 THEN loss ELSE 0.1 * loss END * power(0.9, 1 - epoch) AS term FROM log) SELECT run, epoch, round(sum(term) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) * power(0.9, epoch - 1) + 0.00001, 2) AS ema FROM t")
+@query(f"WITH {LOG}, t AS (SELECT run, epoch, loss, CASE WHEN epoch = 1 THEN loss ELSE 0.1 * loss END * power(0.9, 1 - epoch) AS term FROM log) SELECT run, epoch, round(sum(term) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) * power(0.9, epoch - 1), 4) AS ema FROM t")
 def ema_fold(spark, sf):
-    return ensemble.ema(runs_log(spark, sf), ["run"], "epoch", "loss", 0.9).select("run", "epoch", F.round(F.col("ema") + 0.00001, 2).alias("ema"))
+    return ensemble.ema(runs_log(spark, sf), ["run"], "epoch", "loss", 0.9).select("run", "epoch", F.round(F.col("ema"), 4).alias("ema"))
 
 
 @query("SELECT p_brand, arg_max('e' || p_partkey || '_' || p_size || '.pth', p_partkey) AS name, max(p_partkey) AS epoch FROM part GROUP BY p_brand")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanmill.operators.cohort import template_update
+from spanmill.plans.session import shared_path
 
 #: The layouts of the tables.
 SCHEMAS = {
@@ -104,10 +102,27 @@ def append_log(rows: DataFrame, path: str, schema: T.StructType) -> None:
 def round_trip(template: DataFrame) -> DataFrame:
     """Write id, predicted; append a row; update even ids; read all back."""
     spark = template.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{base.rstrip('/')}/submission-{uuid.uuid4().hex}"
+    path = shared_path(spark, "submission")
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("predicted", T.StringType())])
     append_log(template, path, kind)
     append_log(spark.createDataFrame([(-1, "added")], kind), path, kind)
     held = spark.read.schema(kind).option("header", True).csv(path)
     return template_update(held, held.filter("id % 2 = 0").withColumn("predicted", F.concat(F.lit("new "), "predicted")), "id", "predicted").select("id", "predicted")
+
+
+def write_scores(rows: DataFrame, path: str) -> None:
+    """dice, recall, precision of the pairs that were revised, as lines without header; pairs that stayed the same are left out."""
+    rows.filter(F.col("kind") == "revised").select("dice", "recall", "precision").write.mode("overwrite").csv(path)
+
+
+def write_cohort(rows: DataFrame, path: str) -> None:
+    """A cohort table as CSV with header, all columns it has."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, as an archive or a list made on the driver, on any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()

@@ -289,3 +289,103 @@ def test_tile_index_has_random_tiles_of_every_slide(spark):
     drawn = [r["u"] for r in rows if r["draw"]]
     assert len(set(drawn)) == 4 and all(0 <= u < 1 for u in drawn) and all(r["u"] is None for r in rows if r["obj"])
     assert sampling.tile_index(slides, objects, "slide", "obj", 0, 5).count() == 2
+
+
+def test_ema_of_a_long_run_stays_finite(spark):
+    from spanmill.operators import ensemble
+
+    rng = random.Random(1)
+    for decay, n in ((0.5, 3000), (0.9, 9000), (0.999, 500)):
+        values = [rng.uniform(-5, 9) for _ in range(n)]
+        log = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "run int, epoch long, loss double")
+        got = [r["ema"] for r in ensemble.ema(log, ["run"], "epoch", "loss", decay).orderBy("epoch").collect()]
+        want, at = [], values[0]
+        for i, v in enumerate(values):
+            at = v if i == 0 else decay * at + (1 - decay) * v
+            want.append(at)
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_running_sums_over_ranges(spark):
+    from spanmill.operators.scan import running
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randint(0, 9)) for i in range(500)]  # one hot key, a null one
+    rng.shuffle(rows)
+    got = running(spark.createDataFrame(rows, "k string, i int, v int"), ["k"], [F.desc("i")], {"s": F.col("v"), "n": F.lit(1)}, parts=7).collect()
+    assert len(got) == 500
+    for r in got:
+        own = [v for k, i, v in rows if k == r["k"]]
+        upto = [v for k, i, v in rows if k == r["k"] and i >= r["i"]]
+        assert (r["s"], r["n"], r["all_s"], r["all_n"]) == (sum(upto), len(upto), sum(own), len(own))
+
+
+def test_connected_parts(spark):
+    from spanmill.operators.graph import connected
+
+    links = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (200, 200)]
+    got = {r["node"]: r["part"] for r in connected(spark.createDataFrame(links, "a int, b int")).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100, 200: 200}
+    assert connected(spark.createDataFrame([], "a int, b int")).collect() == []
+
+
+def test_overlap_of_any_polygons():
+    import numpy as np
+
+    from spanmill.operators.geometry import _overlap
+
+    square = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], dtype=float)
+    rhomb = np.array([(2, -2), (6, 2), (2, 6), (-2, 2), (2, -2)], dtype=float)
+    comb = np.array([(0, 0), (5, 0), (5, 3), (4, 3), (4, 1), (3, 1), (3, 3), (2, 3), (2, 1), (1, 1), (1, 3), (0, 3), (0, 0)], dtype=float)
+    assert _overlap(square, rhomb) == pytest.approx(16) and _overlap(square, square) == pytest.approx(16)
+    assert _overlap(square, square + 10) == 0 and _overlap(comb, square) == pytest.approx(4 + 2 + 2)
+    half = np.array([(0, 0), (4, 4), (0, 4), (0, 0)], dtype=float)
+    assert _overlap(square, half) == pytest.approx(8) and _overlap(half, half[::-1]) == pytest.approx(8)
+    rng = np.random.default_rng(3)
+    for _ in range(20):  # against points
+        p, q = (np.vstack([r, r[:1]]) for r in (rng.uniform(0, 10, (5, 2)), rng.uniform(0, 10, (6, 2))))
+        x, y = rng.uniform(0, 10, (2, 20_000))
+
+        def inside(r, x=x, y=y):
+            a, b = r[:-1], r[1:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = a[:, 0] + (y[:, None] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
+            return (((a[:, 1] > y[:, None]) != (b[:, 1] > y[:, None])) & (x[:, None] < at)).sum(axis=1) % 2 == 1
+
+        assert _overlap(p, q) == pytest.approx(100 * (inside(p) & inside(q)).mean(), abs=1.6)
+
+
+def test_variants_and_results_are_checked(spark):
+    from spanmill.operators import cohort, ensemble, sampling, tta
+
+    assert len(tta.variants(tta.D4)) == 8 and tta.variants((tta.VFLIP,)) == [[("vflip", 0)], [("vflip", 1)]]
+    one, two = (spark.createDataFrame(rows, "file string, p double") for rows in ([("f", 1.0), ("g", 2.0)], [("f", 3.0)]))
+    both = ensemble.results_with_ensemble([one, two], ["file"], "file", "p")
+    with pytest.raises(Exception, match="don't match: g"):
+        both.collect()
+    good = ensemble.results_with_ensemble([one.filter("file = 'f'"), two], ["file"], "file", "p").filter("model = 'ensemble'").collect()
+    assert [(r["file"], r["p"]) for r in good] == [("f", 2.0)]
+    with pytest.raises(ValueError):
+        sampling.combined(F.lit(0.5), [(0.5, sampling.constant(1.0))])
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "n string")
+    with pytest.raises(FileNotFoundError):
+        cohort.suffix_join(names("a.tif").withColumnRenamed("n", "i"), names("b_m.png"), "i", "n")
+    assert cohort.suffix_join(names().withColumnRenamed("n", "i"), names("b_m.png"), "i", "n").collect() == []
+
+
+def test_no_local_scratch_on_a_cluster(spark, monkeypatch):
+    from spanmill.plans import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        class Conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        getConf = staticmethod(lambda: Context.Conf)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_path(Session, "x")
