@@ -7,6 +7,7 @@ ratios before them. likeness() is one minus a bounded difference score.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,22 +93,22 @@ def with_next(docs: DataFrame, key: str, columns: list[str], prefix: str = "next
     of range limits passes the driver. Null keys come first; rows of equal key follow the order of
     the columns asked for; an only row follows itself. Extra columns stay.
     """
-    parts = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = docs.sparkSession
+    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     limits = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
     limits = sorted({int(x) for x in limits or []})
-    dealt = docs.withColumn("__slot", _below(F.array(*[F.lit(x).cast("long") for x in limits]), len(limits), F.col(key)))
+    dealt = docs.withColumn("__slot", _below(F.from_json(F.lit(json.dumps(limits)), "array<bigint>"), len(limits), F.col(key)))
     firsts = dealt.groupBy("__slot").agg(F.min(key).alias("lo"), F.count_if(F.col(key).isNull()).alias("nulls")).orderBy("__slot").collect()
     if not firsts:
         return docs.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"{prefix}{c}") for c in columns])
-    before = {r["__slot"]: firsts[i - 1]["__slot"] for i, r in enumerate(firsts)}
-    first = F.col(key).isin([r["lo"] for r in firsts if not r["nulls"]])
-    if any(r["nulls"] for r in firsts):
-        first = F.col(key).isNull() | F.coalesce(first, F.lit(False))
+    # a row per range, of which there are at most `parts`: its first key, and the range before it
+    told = spark.createDataFrame([(r["__slot"], firsts[i - 1]["__slot"], None if r["nulls"] else r["lo"]) for i, r in enumerate(firsts)], "__slot int, __before int, __lo long")
     copies = (
-        dealt.filter(first)
-        .groupBy("__slot", key)
+        dealt.join(F.broadcast(told), "__slot")
+        .filter(F.col(key).eqNullSafe(F.col("__lo")))
+        .groupBy("__before", key)
         .agg(F.min(F.struct(*columns)).alias("__first"))
-        .select(F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("__slot")].alias("__slot"), F.lit(True).alias("__halo"), key, *[F.col(f"__first.{c}").alias(c) for c in columns])
+        .select(F.col("__before").alias("__slot"), F.lit(True).alias("__halo"), key, *[F.col(f"__first.{c}").alias(c) for c in columns])
     )
     both = dealt.withColumn("__halo", F.lit(False)).unionByName(copies, allowMissingColumns=True)
     w = Window.partitionBy("__slot").orderBy("__halo", F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns])
