@@ -178,6 +178,10 @@ def kept_words(docs: DataFrame, pattern: str, ranks: Ranks, text: str = "text",
     return encode_words(frequent.select("word"), ranks), held
 
 
+#: A rank over all ranks: no merge.
+NONE = 1 << 40
+
+
 class RareWords:
     """The same fold in Python for words that aren't kept, with the codes found so far in this task."""
 
@@ -185,6 +189,7 @@ class RareWords:
         ids = self.ids = ranks.by_bytes
         self.tokens = ranks.tokens
         self.merges = {(ids[t[:c]], ids[t[c:]]): r for t, r in ids.items() for c in range(1, len(t)) if t[:c] in ids and t[c:] in ids}
+        self.bytes = [ids[bytes([b])] for b in range(256)]
         self.found: dict[str, tuple[int, str, bytes]] = {}
 
     def code(self, word: str) -> tuple[int, str, bytes]:
@@ -192,29 +197,23 @@ class RareWords:
         if own is None:
             if len(self.found) >= TASK_WORDS:
                 self.found.clear()
-            ids = self.fold([self.ids[bytes([b])] for b in word.encode("utf-8", "surrogatepass")])
+            ids = self.fold([self.bytes[b] for b in word.encode("utf-8", "surrogatepass")])
             own = self.found[word] = (len(ids), " ".join(map(str, ids)), b"".join([self.tokens[i] for i in ids]))
         return own
 
     def fold(self, ids: list[int]) -> list[int]:
         if len(ids) > LONG_WORD:
             return self.fold_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            ranks = [get(p) for p in pairwise(ids)]
-            low = min((r for r in ranks if r is not None), default=None)
-            if low is None:
-                break
-            # all places of the lowest rank at once: a merge makes no pair of lower rank
-            out, k = [], 0
-            while k < len(ids):
-                if k < len(ranks) and ranks[k] == low:
-                    out.append(low)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+        get, ids = self.merges.get, list(ids)
+        ranks = [get(p, NONE) for p in pairwise(ids)]
+        while ranks and (low := min(ranks)) != NONE:
+            k = ranks.index(low)  # the leftmost
+            ids[k : k + 2] = [low]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get((low, ids[k + 1]), NONE)
+            if k:
+                ranks[k - 1] = get((ids[k - 1], low), NONE)
         return ids
 
     def fold_long(self, ids: list[int]) -> list[int]:
