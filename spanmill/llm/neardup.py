@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.llm.common import delete, slices, written
@@ -309,20 +309,30 @@ def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, threshold: flo
 
     Every two texts of such a bucket that can be similar by their sizes are compared, those of large
     ones in pairs of blocks, but only links that join components leave a task, not pairs. A size
-    class spans the ratio 1 / threshold, so similar sets are in one class or in neighbouring ones.
+    class spans the ratio 1 / threshold, so similar sets are in one class or in neighbouring ones. The
+    texts of a bucket's largest component stand in blocks of their own, which meet the others' only: what
+    is left of a large group of near copies meets the group, and the group isn't compared again.
     """
     rooted = _rooted(shared, found)
-    mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("bucket", "n")
+    roots = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed_buckets = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).filter("roots > 1").select("bucket", "n", F.col("most.root").alias("largest"))
     width = max(math.log(1 / threshold), 0.01) * 1.000001
     sized = rooted.join(mixed_buckets, "bucket").join(sets.select("id", F.size("shingles").alias("size")), "id")
-    members = sized.withColumn("class", F.when(F.col("n") > BLOCK, F.floor(F.log("size") / width).cast("int")).otherwise(0)).select("id", "root", "bucket", "class")
-    counts = members.groupBy("bucket", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    counts = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks"))
-    # a text meets the blocks of its class and of those beside it
-    blocks = lambda d: F.coalesce(F.try_element_at(F.col("blocks"), F.col("class") + d), F.lit(0))
-    met = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(blocks(d) - 1, F.lit(0))), lambda k: k < blocks(d)), lambda k: F.struct((F.col("class") + d).alias("class"), k.alias("block")))))
-    own = F.struct("class", F.pmod(F.xxhash64("id"), blocks(F.lit(0))).cast("int").alias("block"))
-    dealt = members.join(counts, "bucket").select("id", "root", "bucket", own.alias("own"), F.explode(met).alias("other"))
+    large = F.col("n") > BLOCK
+    group = F.when(large, F.floor(F.log("size") / width).cast("int")).otherwise(0)
+    members = sized.select("id", "root", "bucket", F.when(large & (F.col("root") == F.col("largest")), 1).otherwise(0).alias("side"), group.alias("class"))
+    counts = members.groupBy("bucket", "side", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    counts = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("side", "class"), "blocks"))).alias("blocks"))
+    blocks = lambda side, c: F.coalesce(F.try_element_at(F.col("blocks"), F.struct(side.alias("side"), c.alias("class"))), F.lit(0))
+
+    def met(side: Column) -> Column:
+        """All blocks of one side of the classes that a text's own class can be similar to."""
+        every = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.sequence(F.lit(1), F.greatest(blocks(side, F.col("class") + d), F.lit(1))), lambda k: F.struct(side.alias("side"), (F.col("class") + d).alias("class"), (k - 1).alias("block"))))
+        return F.filter(F.flatten(every), lambda b: b["block"] < blocks(b["side"], b["class"]))
+
+    own = F.struct("side", "class", F.pmod(F.xxhash64("id"), blocks(F.col("side"), F.col("class"))).cast("int").alias("block"))
+    others = F.when(F.col("side") == 1, met(F.lit(0))).otherwise(F.concat(met(F.lit(0)), met(F.lit(1))))
+    dealt = members.join(counts, "bucket").select("id", "root", "bucket", own.alias("own"), F.explode(others).alias("other"))
     placed = dealt.select("id", "root", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")).join(sets, "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
