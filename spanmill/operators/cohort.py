@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.operators.scan import running
@@ -82,3 +82,47 @@ def suffix_join(images: DataFrame, masks: DataFrame, image: str, mask: str) -> D
     if first is not None and match is None:
         raise FileNotFoundError(f"{first} has no mask")
     return images.join(masks, F.concat(stem(F.col(image)), F.lit((match or "")[len(first or "") :])) == F.col(mask))
+
+
+def quantiles(rows: DataFrame, keys: list[str], c: str, shares: list[float]) -> DataFrame:
+    """keys, q1, q2 ...: quantiles of non-null values, linear between neighbours, by numbers over ranges: no task has a group's values."""
+    ranked = running(rows.filter(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("__v")), keys, ["__v"], {"__k": F.lit(1).cast("long")})
+    wanted = ranked.withColumn("__q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(shares, 1)])))
+    at, k = (F.col("all___k") - 1) * F.col("__q.p"), F.col("__k") - 1
+    near = wanted.filter((k == F.floor(at)) | (k == F.ceil(at)))
+    low, high = F.max(F.when(k == F.floor(at), F.col("__v"))), F.max(F.when(k == F.ceil(at), F.col("__v")))
+    found = near.groupBy(*keys, F.col("__q.i").alias("__i")).agg((low + (high - low) * F.max(at - F.floor(at))).alias("v"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("v"))).alias(f"q{i}") for i in range(1, len(shares) + 1)])
+
+
+def regression(rows: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
+    """keys, slope, intercept, r2 of least squares."""
+    return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+
+
+def density(rows: DataFrame, keys: list[str], area: Column, micron: float) -> DataFrame:
+    """keys, n, per_mm2: objects per square millimetre of their own area, given the microns of a pixel's side."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(area).alias("__a")).select(*keys, "n", (F.col("n") / (F.col("__a") * micron * micron) * 1e6).alias("per_mm2"))
+
+
+def pair_or_last(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """keys, parts, value: the sum where a key has exactly two rows, else the value of the last one."""
+    last = F.max(F.struct(order, value))[value]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("parts"), F.when(F.count(F.lit(1)) == 2, F.sum(value)).otherwise(last).alias(value))
+
+
+def with_grand_mean(groups: DataFrame, name: str, value: str, n: str, label: str = "AVE") -> DataFrame:
+    """groups (name, value, n) and a row of the mean value and the total n."""
+    return groups.select(name, value, n).unionByName(groups.agg(F.lit(label).alias(name), F.avg(value).alias(value), F.sum(n).alias(n)))
+
+
+def capped(rows: DataFrame, keys: list[str], order: list[str], n: int, name: str = "k") -> DataFrame:
+    """rows with their number from 1 within keys, the first n of each: Spark keeps n per key and task before it shuffles."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col(name) <= n)
+
+
+def rates(rows: DataFrame, keys: list[str], value: str, ts: str, order: str) -> DataFrame:
+    """keys, per_second (total by the time between the first and last row), total, mean, last."""
+    micros = lambda f: F.unix_micros(f(F.col(ts).cast("timestamp")))
+    total = F.sum(value)
+    return rows.groupBy(*keys).agg((total / ((micros(F.max) - micros(F.min)) / 1e6)).alias("per_second"), total.alias("total"), F.avg(value).alias("mean"), F.max(F.struct(order, value))[value].alias("last"))

@@ -64,26 +64,36 @@ def contours(pixels: DataFrame, level: float = 0.8, xy: bool = True) -> DataFram
 
 
 def border_distance(mask: np.ndarray) -> np.ndarray:
-    """City-block distance of each set pixel from the nearest unset one, by two sweeps."""
+    """Euclidean distance of each set pixel from the nearest unset one: along columns by two sweeps, then across them."""
     d = np.where(np.pad(mask, 1), 1 << 20, 0).astype(np.int64)
     for y in range(1, d.shape[0] - 1):
         d[y] = np.minimum(d[y], d[y - 1] + 1)
     for y in range(d.shape[0] - 2, 0, -1):
         d[y] = np.minimum(d[y], d[y + 1] + 1)
-    for x in range(1, d.shape[1] - 1):
-        d[:, x] = np.minimum(d[:, x], d[:, x - 1] + 1)
-    for x in range(d.shape[1] - 2, 0, -1):
-        d[:, x] = np.minimum(d[:, x], d[:, x + 1] + 1)
-    return d[1:-1, 1:-1]
+    square = d * d
+    out = square.copy()
+    for k in range(1, d.shape[1]):
+        if k * k >= out.max():  # no column so far off is nearer
+            break
+        out[:, k:] = np.minimum(out[:, k:], square[:, :-k] + k * k)
+        out[:, :-k] = np.minimum(out[:, :-k], square[:, k:] + k * k)
+    return np.sqrt(out[1:-1, 1:-1])
 
 
 def split(mask: np.ndarray, least: int) -> np.ndarray:
-    """Labels from 1 of the basins around the maxima of the border distance that are `least` apart."""
+    """Labels from 1 of the basins around the maxima of the border distance that are `least` apart, in steps.
+
+    A pixel is compared with the maxima of the cells around it only; a cell of side `least` holds few.
+    """
     d = border_distance(mask)
     peaks: list[tuple[int, int]] = []
+    cells: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    side = max(least, 1)
     for y, x in sorted(map(tuple, np.argwhere(mask)), key=lambda p: (-d[p], p)):
-        if all(abs(y - a) + abs(x - b) >= least for a, b in peaks):
+        near = (p for a in (-1, 0, 1) for b in (-1, 0, 1) for p in cells.get((y // side + a, x // side + b), ()))
+        if all(abs(y - a) + abs(x - b) >= least for a, b in near):
             peaks.append((y, x))
+            cells.setdefault((y // side, x // side), []).append((y, x))
     out = np.zeros(mask.shape, dtype=np.int64)
     heap = [(-d[p], k, *p) for k, p in enumerate(peaks, 1)]
     heapq.heapify(heap)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanmill.operators import cohort
+from spanmill.operators import cohort, sampling
 from spanmill.plans.session import table
 from spanmill.queries.base import CLS, RECTS, Registry, cls, rects, rnd
 
@@ -43,21 +43,20 @@ def cohort_histogram(spark, sf):
 
 @query("SELECT c_mktsegment, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.5) AS q2, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer GROUP BY 1")
 def cohort_quartiles(spark, sf):
-    q = F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return table(spark, sf, "customer").groupBy("c_mktsegment").agg(q.alias("q")).select("c_mktsegment", *[F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)])
+    return cohort.quantiles(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal", [0.25, 0.5, 0.75])
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
 def cohort_regression(spark, sf):
-    y, x = "l_extendedprice", "l_quantity"
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), rnd(F.regr_r2(y, x)).alias("r2"))
+    fit = cohort.regression(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
+    return fit.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), rnd(F.col("r2")).alias("r2"))
 
 
 @query(f"WITH {RECTS}, a AS (SELECT slide, grp, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS area FROM rects GROUP BY 1, 2) SELECT slide, grp, n, round(n / (area / 4.0) * 1e6, 6) AS per_mm2 FROM a")
 def cohort_density(spark, sf):
     """Objects per square millimetre of their area at half a micron per pixel side."""
-    area = F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    return rects(spark, sf).groupBy("slide", "grp").agg(F.count(F.lit(1)).alias("n"), area.alias("area")).select("slide", "grp", "n", rnd(F.col("n") / (F.col("area") / 4.0) * 1e6).alias("per_mm2"))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return cohort.density(rects(spark, sf), ["slide", "grp"], area, 0.5).withColumn("per_mm2", rnd(F.col("per_mm2")))
 
 
 @query(f"WITH {RECTS}, p AS (SELECT id % 997 AS item, id, (x1 - x0) * (y1 - y0) AS area FROM rects WHERE grp = 'A') SELECT item, count(*) AS parts, CAST(CASE WHEN count(*) = 2 THEN sum(area) ELSE arg_max(area, id) END AS BIGINT) AS area FROM p GROUP BY item")
@@ -65,8 +64,7 @@ def exactly_two_rule(spark, sf):
     """Two parts count together; otherwise the last one alone."""
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     parts = rects(spark, sf).filter("grp = 'A'").select((F.col("id") % 997).alias("item"), "id", area.alias("area"))
-    last = F.max(F.struct("id", "area"))["area"]
-    return parts.groupBy("item").agg(F.count(F.lit(1)).alias("parts"), F.when(F.count(F.lit(1)) == 2, F.sum("area")).otherwise(last).alias("area"))
+    return cohort.pair_or_last(parts, ["item"], "id", "area")
 
 
 @query("SELECT s_suppkey, n_name, r_name, split_part(s_name, '#', 1) AS stem, split_part(s_name, '#', 2) AS number FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -109,8 +107,8 @@ def replicate(spark, sf):
 @query(f"WITH {CLS}, s AS (SELECT source, round(avg(score), 6) AS score, count(*) AS n FROM cls GROUP BY source) SELECT source AS name, score, n FROM s UNION ALL SELECT 'AVE', round(avg(score), 6), CAST(sum(n) AS BIGINT) FROM s")
 def grand_mean_rows(spark, sf):
     """Per-group rows and one of their mean."""
-    per = cls(spark, sf).groupBy("source").agg(rnd(F.avg("score")).alias("score"), F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "name")
-    return per.unionByName(per.agg(F.lit("AVE").alias("name"), rnd(F.avg("score")).alias("score"), F.sum("n").alias("n")))
+    per = cls(spark, sf).groupBy(F.col("source").alias("name")).agg(rnd(F.avg("score")).alias("score"), F.count(F.lit(1)).alias("n"))
+    return cohort.with_grand_mean(per, "name", "score", "n").withColumn("score", rnd(F.col("score")))
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
@@ -123,8 +121,7 @@ def scan_union_rename(spark, sf):
     """Two scans with where they come from, one value excluded, rows renumbered by an explicit key."""
     a = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("label")).distinct().withColumn("data_path", F.lit("orders"))
     b = table(spark, sf, "part").select(F.col("p_type").alias("label")).distinct().withColumn("data_path", F.lit("part"))
-    both = a.unionByName(b).filter(F.col("label") != "5-LOW")
-    return both.withColumn("idx", (F.row_number().over(Window.orderBy("data_path", "label")) - 1).cast("long"))
+    return sampling.numbered(a.unionByName(b).filter(F.col("label") != "5-LOW"), ["data_path", "label"], "idx")
 
 
 @query("SELECT DISTINCT o_custkey FROM orders")
@@ -152,8 +149,7 @@ def path_substitution(spark, sf):
 @query("WITH k AS (SELECT p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_brand, p_partkey FROM part) SELECT p_brand, p_partkey, k FROM k WHERE k <= 20")
 def capped_selection(spark, sf):
     """At most twenty rows per brand, by key: the cap is the operator."""
-    by = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return table(spark, sf, "part").withColumn("k", F.row_number().over(by).cast("long")).filter("k <= 20").select("p_brand", "p_partkey", "k")
+    return cohort.capped(table(spark, sf, "part"), ["p_brand"], ["p_partkey"], 20).select("p_brand", "p_partkey", "k")
 
 
 @query("SELECT a.p_partkey AS image, b.stem AS mask FROM part a JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS stem FROM part) b ON starts_with(a.p_name, b.stem)")
@@ -185,8 +181,8 @@ def two_hop_lookup(spark, sf):
 
 @query("SELECT event_type, round(sum(value) / epoch(max(ts) - min(ts)), 6) AS per_second, round(sum(value), 2) AS total, round(avg(value), 6) AS mean, arg_max(value, event_id) AS last FROM events GROUP BY 1")
 def throughput(spark, sf):
-    seconds = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6
-    return table(spark, sf, "events").groupBy("event_type").agg(rnd(F.sum("value") / seconds).alias("per_second"), F.round(F.sum("value"), 2).alias("total"), rnd(F.avg("value")).alias("mean"), F.max(F.struct("event_id", "value"))["value"].alias("last"))
+    out = cohort.rates(table(spark, sf, "events"), ["event_type"], "value", "ts", "event_id")
+    return out.select("event_type", rnd(F.col("per_second")).alias("per_second"), F.round("total", 2).alias("total"), rnd(F.col("mean")).alias("mean"), "last")
 
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events), p AS (SELECT unnest([0, 50, 95, 99]) AS p) SELECT event_type, CAST(p AS BIGINT) AS p, value FROM r, p WHERE k = least(floor(n * p / 100), n - 1)")
@@ -196,8 +192,8 @@ def nearest_rank_percentile(spark, sf):
 
 @query(f"WITH {CLS} SELECT source, min(score) AS lo, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS q2, quantile_cont(score, 0.75) AS q3, max(score) AS hi FROM cls GROUP BY source")
 def violin_inputs(spark, sf):
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return cls(spark, sf).groupBy("source").agg(F.min("score").alias("lo"), q.alias("q"), F.max("score").alias("hi")).select("source", "lo", *[F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)], "hi")
+    rows = cls(spark, sf)
+    return rows.groupBy("source").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).join(cohort.quantiles(rows, ["source"], "score", [0.25, 0.5, 0.75]), "source")
 
 
 @query("SELECT event_type, event_id, round(sum(value) OVER w, 4) AS running, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")

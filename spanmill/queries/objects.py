@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanmill.operators import components, geometry, match
+from spanmill.operators import components, geometry, match, pixels
 from spanmill.queries.base import M1D, R2D, RECTS, Registry, m1d, r2d, rects, rnd
 
 _r = Registry()
@@ -134,17 +134,14 @@ def raster_in_region(spark, sf):
 @query(f"WITH {M1D} SELECT slide, pos, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS on_, CASE WHEN max(score) OVER (PARTITION BY slide) > 0.999 THEN round(score, 6) ELSE 0 END AS gated FROM m1d")
 def binarise_gate(spark, sf):
     """Strict threshold, and a gate that zeroes a slide where no score passes."""
-    px = m1d(spark, sf)
-    top = px.groupBy("slide").agg((F.max("score") > 0.999).alias("open"))
-    return px.join(top, "slide").select("slide", "pos", F.when(F.col("score") > 0.5, 1).otherwise(0).alias("on_"), F.when(F.col("open"), rnd(F.col("score"))).otherwise(0.0).alias("gated"))
+    px = pixels.gated(m1d(spark, sf), ["slide"], "score", 0.999)
+    return px.select("slide", "pos", F.when(F.col("score") > 0.5, 1).otherwise(0).alias("on_"), rnd(F.col("gated")).alias("gated"))
 
 
 @query(f"WITH {RECTS}, s AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'FC' ELSE 'G' END AS cls FROM rects), k AS (SELECT unnest([true, true, false, false]) AS add_fc, unnest([true, false, true, false]) AS only_fc) SELECT add_fc, only_fc, count(*) AS n FROM s, k WHERE (add_fc OR cls <> 'FC') AND (NOT only_fc OR cls = 'FC') GROUP BY 1, 2")
 def class_switches(spark, sf):
-    cls = rects(spark, sf).groupBy(F.when(F.col("id") % 3 == 0, "FC").otherwise("G").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    switches = F.explode(F.array(*[F.struct(F.lit(a).alias("add_fc"), F.lit(b).alias("only_fc")) for a in (True, False) for b in (True, False)])).alias("k")
-    spread = cls.select("cls", "n", switches).select("cls", "n", "k.add_fc", "k.only_fc")
-    return spread.filter("(add_fc OR cls <> 'FC') AND (NOT only_fc OR cls = 'FC')").groupBy("add_fc", "only_fc").agg(F.sum("n").alias("n"))
+    counts = pixels.class_counts(rects(spark, sf), F.when(F.col("id") % 3 == 0, "FC").otherwise("G"), "FC")
+    return counts.select(F.col("add").alias("add_fc"), F.col("only").alias("only_fc"), "n")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanmill.operators import components, ensemble, grid, tta
+from spanmill.operators import components, ensemble, grid, pixels, tta
 from spanmill.queries.base import R2D, Registry, r2d, rnd
 
 _r = Registry()
@@ -135,24 +135,19 @@ def map_entropy(spark, sf):
 
 @query(f"WITH {R2D} SELECT slide, CAST(c AS BIGINT) AS channel, round(avg((val / 255.0 - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1]), 6) AS z, round(stddev_pop((val / 255.0 - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1]), 6) AS sd FROM r2d, range(3) AS r(c) GROUP BY 1, 2")
 def channel_normalise(spark, sf):
-    mean, std = F.array(*[F.lit(x) for x in (0.485, 0.456, 0.406)]), F.array(*[F.lit(x) for x in (0.229, 0.224, 0.225)])
     px = r2d(spark, sf).select("slide", "val", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel"))
-    z = (F.col("val") / 255.0 - F.get(mean, F.col("channel"))) / F.get(std, F.col("channel"))
+    z = pixels.normalised(F.col("val") / 255.0, F.col("channel"))
     return px.groupBy("slide", F.col("channel").cast("long").alias("channel")).agg(rnd(F.avg(z)).alias("z"), rnd(F.stddev_pop(z)).alias("sd"))
 
 
 @query(f"WITH {R2D}, s AS (SELECT slide, avg(val) AS m, stddev_pop(val) AS s FROM r2d GROUP BY slide) SELECT r.slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(greatest(least((val - m) / (2 * s), 5), -5), 6) AS z FROM r2d r JOIN s USING (slide)")
 def group_zscore_clip(spark, sf):
-    px = r2d(spark, sf)
-    fitted = px.groupBy("slide").agg(F.avg("val").alias("m"), F.stddev_pop("val").alias("s"))
-    z = F.greatest(F.least((F.col("val") - F.col("m")) / (2 * F.col("s")), F.lit(5.0)), F.lit(-5.0))
-    return px.join(fitted, "slide").select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), rnd(z).alias("z"))
+    return pixels.fitted_zscore(r2d(spark, sf), ["slide"], "val").select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), rnd(F.col("z")).alias("z"))
 
 
 @query(f"WITH {R2D} SELECT slide, CAST(CASE WHEN sum(CASE WHEN y < 3 AND x < slide % 4 THEN mask ELSE 0 END) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS label FROM r2d GROUP BY slide")
 def nonempty_label(spark, sf):
-    inside = F.when((F.col("y") < 3) & (F.col("x") < F.col("slide") % 4), F.col("mask")).otherwise(0)
-    return r2d(spark, sf).groupBy("slide").agg((F.sum(inside) > 0).cast("double").alias("label"))
+    return pixels.nonempty(r2d(spark, sf), ["slide"], F.when((F.col("y") < 3) & (F.col("x") < F.col("slide") % 4), F.col("mask")).otherwise(0))
 
 
 _PDF = f"WITH {R2D}, p AS (SELECT slide, y * 25 + x AS pos, CASE WHEN y = 0 THEN 0 WHEN mask = 1 THEN 1.0 ELSE 0.1 END AS p FROM r2d), c AS (SELECT slide, pos, CAST(sum(p) OVER (PARTITION BY slide ORDER BY pos ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(p) OVER (PARTITION BY slide) AS DOUBLE) AS cdf FROM p)"
@@ -176,40 +171,34 @@ def inverse_cdf_pick(spark, sf):
 @query(f"WITH {R2D}, c AS (SELECT slide, (y // 7) % 3 AS cls, count(*) AS n FROM r2d GROUP BY 1, 2) SELECT r.slide, CAST((y // 7) % 3 AS BIGINT) AS cls, round(sum(CASE WHEN mask = 1 THEN 0 ELSE [0.1, 0.7, 0.2][(y // 7) % 3 + 1] / n END), 6) AS p FROM r2d r JOIN c ON c.slide = r.slide AND c.cls = (y // 7) % 3 GROUP BY 1, 2")
 def region_prior_pdf(spark, sf):
     """Each region shares its prior among its pixels; annotated pixels then get 0."""
-    cls = F.floor(F.col("y") / 7) % 3
-    prior = F.get(F.array(F.lit(0.1), F.lit(0.7), F.lit(0.2)), F.col("cls").cast("int"))
-    per = r2d(spark, sf).groupBy("slide", cls.cast("long").alias("cls")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mask") == 0).alias("open"))
-    return per.select("slide", "cls", rnd(prior * F.col("open") / F.col("n")).alias("p"))
+    own = pixels.region_prior(r2d(spark, sf), ["slide"], F.floor(F.col("y") / 7) % 3, [0.1, 0.7, 0.2], F.col("mask") == 0)
+    return own.withColumn("p", rnd(F.col("p")))
 
 
 @query(f"WITH {R2D} SELECT slide, CAST(k AS BIGINT) AS cls, CAST(sum(CASE WHEN val % 4 = k THEN 1 ELSE 0 END) AS BIGINT) AS n FROM r2d, range(4) AS r(k) GROUP BY 1, 2")
 def one_hot_labels(spark, sf):
     """Counts of the one-hot planes of a label image."""
-    hot = r2d(spark, sf).groupBy("slide").agg(*[F.count_if(F.col("val") % 4 == k).alias(f"c{k}") for k in range(4)])
-    return hot.select("slide", F.posexplode(F.array(*[f"c{k}" for k in range(4)])).alias("cls", "n")).select("slide", F.col("cls").cast("long").alias("cls"), "n")
+    hot = grid.one_hot(r2d(spark, sf).withColumn("label", F.col("val") % 4), "label", 4)
+    return hot.groupBy("slide", F.col("cls").cast("long").alias("cls")).agg(F.sum("hot").cast("long").alias("n"))
 
 
 @query(f"WITH {R2D} SELECT slide, round(avg(CASE WHEN mx = 0 THEN 0 ELSE 255.0 * (mx - mn) / mx END), 6) AS saturation, round(avg(0.299 * val + 0.587 * g + 0.144 * b), 6) AS gray FROM (SELECT slide, val, val * 3 % 256 AS g, val * 7 % 256 AS b, greatest(val, val * 3 % 256, val * 7 % 256) AS mx, least(val, val * 3 % 256, val * 7 % 256) AS mn FROM r2d) GROUP BY slide")
 def hsv_gray_projection(spark, sf):
-    px = r2d(spark, sf).select("slide", F.col("val").alias("r"), (F.col("val") * 3 % 256).alias("g"), (F.col("val") * 7 % 256).alias("b"))
-    mx, mn = F.greatest("r", "g", "b"), F.least("r", "g", "b")
-    s = F.when(mx == 0, 0.0).otherwise(255.0 * (mx - mn) / mx)
-    return px.groupBy("slide").agg(rnd(F.avg(s)).alias("saturation"), rnd(F.avg(0.299 * F.col("r") + 0.587 * F.col("g") + 0.144 * F.col("b"))).alias("gray"))
+    rgb = F.col("val"), F.col("val") * 3 % 256, F.col("val") * 7 % 256
+    return r2d(spark, sf).groupBy("slide").agg(rnd(F.avg(pixels.saturation(*rgb))).alias("saturation"), rnd(F.avg(pixels.gray(*rgb))).alias("gray"))
 
 
 @query(f"WITH {R2D} SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(CASE WHEN mask = 1 THEN 255 ELSE val END AS BIGINT) AS r, CAST(CASE WHEN (y + x) % 5 = 0 THEN 255 ELSE val END AS BIGINT) AS g, CAST(val AS BIGINT) AS b FROM r2d")
 def overlay_projection(spark, sf):
-    v = F.col("val")
-    return r2d(spark, sf).select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.when(F.col("mask") == 1, 255).otherwise(v).cast("long").alias("r"), F.when((F.col("y") + F.col("x")) % 5 == 0, 255).otherwise(v).cast("long").alias("g"), v.cast("long").alias("b"))
+    v, on = F.col("val"), (F.col("mask") == 1, (F.col("y") + F.col("x")) % 5 == 0)
+    return r2d(spark, sf).select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), pixels.overlaid(v, on[0]).cast("long").alias("r"), pixels.overlaid(v, on[1]).cast("long").alias("g"), v.cast("long").alias("b"))
 
 
 @query(f"WITH {R2D}, s AS (SELECT slide, avg(val / 255.0) AS m, avg(val / 255.0 * val / 255.0) AS q, stddev_pop(val / 255.0) AS s, var_pop(val / 255.0) AS v FROM r2d GROUP BY slide) SELECT round(avg(m), 6) AS mean, round(sqrt(avg(q) - avg(m) ** 2), 6) AS std, round(avg(s), 6) AS mean_std, round(sqrt(avg(v)), 6) AS root_var, round(avg(CASE WHEN slide % 4 = 0 THEN m END), 6) AS step_mean, round(avg(CASE WHEN slide % 4 = 0 THEN s END), 6) AS step_std FROM s")
 def streaming_moments(spark, sf):
     """Dataset moments in four ways: streaming moments, mean of deviations, root of mean variance, every fourth image."""
-    v = F.col("val") / 255.0
-    s = r2d(spark, sf).groupBy("slide").agg(F.avg(v).alias("m"), F.avg(v * v).alias("q"), F.stddev_pop(v).alias("s"), F.var_pop(v).alias("v"))
-    step = F.col("slide") % 4 == 0
-    return s.agg(rnd(F.avg("m")).alias("mean"), rnd(F.sqrt(F.avg("q") - F.pow(F.avg("m"), F.lit(2)))).alias("std"), rnd(F.avg("s")).alias("mean_std"), rnd(F.sqrt(F.avg("v"))).alias("root_var"), rnd(F.avg(F.when(step, F.col("m")))).alias("step_mean"), rnd(F.avg(F.when(step, F.col("s")))).alias("step_std"))
+    m = pixels.moments(r2d(spark, sf), "slide", F.col("val") / 255.0)
+    return m.select(*[rnd(F.col(c)).alias(c) for c in m.columns])
 
 
 @query(f"WITH {R2D} SELECT slide, CAST(val // 32 AS BIGINT) AS bin, count(*) AS n FROM r2d GROUP BY 1, 2")
