@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.operators.graph import connected
 from spanmill.operators.rle import encode_spans
 from spanmill.operators.scan import running
 from spanmill.plans.session import cut, drop
@@ -15,34 +18,68 @@ def column_runs(mask: DataFrame) -> DataFrame:
     return encode_spans(mask.select("slide", "x", "y"), ["slide", "x"], "y")
 
 
-def label_runs(runs: DataFrame, connectivity: int = 4) -> DataFrame:
-    """runs with label: the least run id of their component within the slide.
+#: Columns whose runs are labelled in one task.
+STRIP = 1024
+
+
+def _touching(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs, sorted by x and lo, of neighbouring columns that overlap (or meet at corners)."""
+    wide = int(hi.max()) + 2
+    low, high = x * wide + lo, x * wide + hi
+    # the runs of the next column that end after this one begins, and begin before it ends
+    first = np.searchsorted(high, (x + 1) * wide + np.maximum(lo - slack, 0), "right")
+    end = np.searchsorted(low, (x + 1) * wide + np.minimum(hi + slack, wide), "left")
+    n = np.maximum(end - first, 0)
+    a = np.repeat(np.arange(len(x)), n)
+    return a, np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(a))
+
+
+def _least_of_part(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node of its connected part."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def label_runs(runs: DataFrame, connectivity: int = 4, strip: int = STRIP) -> DataFrame:
+    """runs (slide, x, lo, hi) with label: the least run <x, lo> of their component within the slide.
 
     A run touches those of the next column that it overlaps (with 8-connectivity, also at corners).
-    Labels spread to the least of the neighbours and then jump to their label's label, till none
-    changes: a number of rounds that grows with the logarithm of the longest chain.
+    Strips of columns are labelled by a task each; then only the components that touch across the
+    borders of strips are joined, as a graph of labels.
     """
     slack = 1 if connectivity == 8 else 0
-    spark, links, past = runs.sparkSession, [], []
-    own = cut(runs.withColumn("id", F.struct("x", "lo")))
-    right = own.select("slide", (F.col("x") - 1).alias("x"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.col("id").alias("other"))
-    touching = own.join(right, ["slide", "x"]).filter((F.col("lo") < F.col("rhi") + slack) & (F.col("rlo") < F.col("hi") + slack))
-    edges = touching.select("slide", "id", "other")
-    edges = cut(edges.unionByName(edges.select("slide", F.col("other").alias("id"), F.col("id").alias("other"))), "links", links)
-    labels = own.select("slide", "id", F.col("id").alias("label"))
-    while True:
-        near = edges.join(labels.select("slide", F.col("id").alias("other"), F.col("label").alias("l")), ["slide", "other"]).groupBy("slide", "id").agg(F.min("l").alias("l"))
-        least = labels.join(near, ["slide", "id"], "left").select("slide", "id", F.least("label", F.coalesce("l", "label")).alias("new"), "label")
-        up = least.select("slide", F.col("id").alias("new"), F.col("new").alias("root"))
-        made: list[str] = []
-        jumped = cut(least.join(up, ["slide", "new"]).select("slide", "id", F.least("new", "root").alias("new"), "label"), "labels", made)
-        drop(spark, past)
-        past = made
-        changed = jumped.filter("new <> label").isEmpty()
-        labels = jumped.select("slide", "id", F.col("new").alias("label"))
-        if changed:
-            drop(spark, links)
-            return own.join(labels, ["slide", "id"]).select("slide", "x", "lo", "hi", "label")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["x", "lo"])
+        x, lo, hi = (own[c].to_numpy(dtype=np.int64) for c in ("x", "lo", "hi"))
+        least = _least_of_part(len(own), *_touching(x, lo, hi, slack))
+        return own.assign(lx=x[least], llo=lo[least])[["slide", "x", "lo", "hi", "lx", "llo"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
+    dealt = runs.select("slide", "x", "lo", "hi", F.floor(F.col("x") / strip).alias("__strip")).groupBy("slide", "__strip")
+    own = cut(dealt.applyInPandas(run, f"slide {kinds['slide']}, x {kinds['x']}, lo {kinds['lo']}, hi {kinds['hi']}, lx {kinds['x']}, llo {kinds['lo']}"), "runs")
+    node = F.struct("slide", "lx", "llo")
+    left = own.filter(F.col("x") % strip == strip - 1).select("slide", "x", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), node.alias("a"))
+    right = own.filter(F.col("x") % strip == 0).select("slide", (F.col("x") - 1).cast(kinds["x"]).alias("x"), "lo", "hi", node.alias("b"))
+    across = left.join(right, ["slide", "x"]).filter((F.col("lo") < F.col("ahi") + slack) & (F.col("alo") < F.col("hi") + slack)).select("a", "b").distinct()
+    held: list[str] = []
+    links = cut(across, "across", held)
+    label = F.struct(F.col("lx").alias("x"), F.col("llo").alias("lo"))
+    if links.isEmpty():
+        drop(runs.sparkSession, held)
+        return own.select("slide", "x", "lo", "hi", label.alias("label"))
+    parts = connected(links)
+    drop(runs.sparkSession, held)
+    joined = own.join(parts.select(F.col("node.slide").alias("slide"), F.col("node.lx").alias("lx"), F.col("node.llo").alias("llo"), "part"), ["slide", "lx", "llo"], "left")
+    whole = F.struct(F.col("part.lx").alias("x"), F.col("part.llo").alias("lo"))
+    return joined.select("slide", "x", "lo", "hi", F.when(F.col("part").isNull(), label).otherwise(whole).alias("label"))
 
 
 def component_stats(labelled: DataFrame, min_pixel: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanmill.operators import augment, contours, geometry
+from spanmill.operators import augment, components, contours, geometry
 from spanmill.sources import chunks
 
 
@@ -122,3 +122,26 @@ def test_raster_helpers(spark):
         chunks.checked_classes(px, "v", 6).collect()
     assert px.select(chunks.tile_names(F.col("slide"), F.lit(7))).first()[0] == "a_0007.png"
     assert px.select(chunks.scaled(F.col("v"), 5)).first()[0] == 255
+
+
+def test_border_distance_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        mask = rng.random((rng.integers(1, 12), rng.integers(1, 12))) < 0.8
+        out = [(y, x) for y in range(-1, mask.shape[0] + 1) for x in range(-1, mask.shape[1] + 1) if not (0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x])]
+        want = np.zeros(mask.shape)
+        for y, x in np.argwhere(mask):
+            want[y, x] = min(((y - a) ** 2 + (x - b) ** 2) ** 0.5 for a, b in out)
+        assert np.allclose(contours.border_distance(mask), want)
+
+
+def test_least_of_part():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 80):
+        a, b = rng.integers(0, n, n), rng.integers(0, n, n)
+        want = list(range(n))
+        for _ in range(n):
+            for i, j in zip(a, b, strict=True):
+                want[i] = want[j] = min(want[i], want[j])
+        assert components._least_of_part(n, a, b).tolist() == want
+

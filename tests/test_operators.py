@@ -71,9 +71,9 @@ def disc(cy, cx, r):
     return [(y, x) for y in range(cy - r, cy + r + 1) for x in range(cx - r, cx + r + 1) if (y - cy) ** 2 + (x - cx) ** 2 <= r * r]
 
 
-def labelled(spark, points, connectivity=4):
+def labelled(spark, points, connectivity=4, strip=1024):
     px = spark.createDataFrame([("s", y, x) for y, x in points], "slide string, y long, x int")
-    return components.label_runs(components.column_runs(px), connectivity)
+    return components.label_runs(components.column_runs(px), connectivity, strip)
 
 
 def test_two_discs(spark):
@@ -103,11 +103,12 @@ def test_components_against_flood_fill(spark):
                         seen.add(q)
                         stack.append(q)
             sizes.append(size)
-        got = components.component_stats(labelled(spark, sorted(points), connectivity)).collect()
-        assert sorted(r["area"] for r in got) == sorted(sizes)
+        for strip in (1024, 4):  # in one strip, and joined across the borders of several
+            got = components.component_stats(labelled(spark, sorted(points), connectivity, strip)).collect()
+            assert sorted(r["area"] for r in got) == sorted(sizes)
 
 
-def test_spiral_takes_few_rounds_and_is_one(spark):
+def test_spiral_is_one(spark):
     points, y, x, dy, dx, turn = [], 0, 0, 0, 1, 0
     for length in range(40, 0, -2):
         for _ in range(2):
@@ -116,7 +117,8 @@ def test_spiral_takes_few_rounds_and_is_one(spark):
                 y, x = y + dy, x + dx
             dy, dx = dx, -dy
             turn += 1
-    assert components.component_stats(labelled(spark, sorted(set(points)))).count() == 1
+    for strip in (1024, 8):
+        assert components.component_stats(labelled(spark, sorted(set(points)), strip=strip)).count() == 1
 
 
 def test_rectangle_area_and_centre(spark):
