@@ -27,7 +27,7 @@ def rotation(places: DataFrame, degrees: float, cy: Column, cx: Column) -> DataF
 
 def wave(places: DataFrame, seed: int, amplitude: float, period: float) -> DataFrame:
     """places with dy, dx of a smooth pseudorandom displacement, the same for equal slide and seed."""
-    phase = lambda k: F.pmod(F.xxhash64("slide", F.lit(seed + k)), F.lit(10_000)) / 10_000 * 2 * math.pi
+    phase = lambda k: unit(seed + k, "slide") * 2 * math.pi
     return places.withColumn("dy", amplitude * F.sin(F.col("x") * (2 * math.pi / period) + phase(0))).withColumn("dx", amplitude * F.sin(F.col("y") * (2 * math.pi / period) + phase(1)))
 
 

@@ -242,3 +242,19 @@ def rle_table_objects(spark, sf):
     runs = rle.column_spans(spans, ["slide"], F.col("h"))
     stats = components.component_stats(components.label_runs(runs, 4))
     return stats.select("slide", F.col("area").cast("long").alias("area"), F.col("left").alias("lft"), F.col("top").cast("long").alias("top"), "width", F.col("height").cast("long").alias("height"), rnd(F.col("cy")).alias("cy"), rnd(F.col("cx")).alias("cx"))
+
+
+@query(f"WITH {R2D}, f AS (SELECT slide, y, x, y + 1.5 * sin(x * (2 * pi() / 9) + 2 * pi() * {hashed_unit(3, 'slide')}) AS fy, x + 1.5 * sin(y * (2 * pi() / 9) + 2 * pi() * {hashed_unit(4, 'slide')}) AS fx FROM r2d) SELECT f.slide, CAST(f.y AS BIGINT) AS y, CAST(f.x AS BIGINT) AS x, round(coalesce(sum((1 - abs(fy - b.y)) * (1 - abs(fx - b.x)) * b.val), 0), 4) AS val FROM f LEFT JOIN r2d b ON b.slide = f.slide AND abs(fy - b.y) < 1 AND abs(fx - b.x) < 1 GROUP BY 1, 2, 3")
+def remap_wave(spark, sf):
+    """A smooth displacement of its own for each slide, linear between pixels."""
+    px = r2d(spark, sf)
+    return _places(augment.remap_bilinear(px, augment.wave(px, 3, 1.5, 9.0), "val"), F.round("val", 4).alias("val"))
+
+
+@query(_STATS + ", m AS (SELECT slide, y // 8 AS ty, x // 8 AS tx, x % 8 * 8 + y % 8 AS pos FROM r2d WHERE mask = 1), g AS (SELECT *, pos - row_number() OVER (PARTITION BY slide, ty, tx ORDER BY pos) AS g FROM m), r AS (SELECT slide, ty, tx, min(pos) AS lo, count(*) AS n FROM g GROUP BY slide, ty, tx, g), t AS (SELECT slide, ty, tx, string_agg(lo + 1 || ' ' || n, ' ' ORDER BY lo) AS rle FROM r GROUP BY 1, 2, 3) SELECT s.slide, s.ty, s.tx, format('{}_{:04d}_{:04d}', s.slide, s.ty, s.tx) AS name, masked, round(masked / 64.0, 6) AS ratio, round(std, 6) AS std, rle, n AS pixels FROM s LEFT JOIN t USING (slide, ty, tx)")
+def tile_writer(spark, sf):
+    """Tiles written with their masks, their statistics, and how many pixels each file row holds when it is read."""
+    stats = chunks.write_tiles(r2d(spark, sf), path := shared_path(spark, "tiles"), 8)
+    read = spark.read.parquet(path).select("slide", "ty", "tx", F.size("px").cast("long").alias("pixels"))
+    own = stats.withColumn("ratio", rnd(F.col("ratio"))).withColumn("std", rnd(F.col("std")))
+    return own.join(read.withColumn("slide", F.col("slide").cast("long")), ["slide", "ty", "tx"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanmill.operators import grid, rle
+
 
 def write_chunks(px: DataFrame, path: str, value: str, size: int = 512) -> None:
     """px (slide, grp, y, x, value) as chunks below path, partitioned by group. A chunk's pixels meet in one task."""
@@ -48,3 +50,18 @@ def checked_classes(px: DataFrame, cls: str, most: int) -> DataFrame:
 def tile_names(slide: Column, number: Column) -> Column:
     """Member name of a tile in an archive of tiles."""
     return F.format_string("%s_%04d.png", slide, number)
+
+
+def write_tiles(px: DataFrame, path: str, size: int, value: str = "val", mask: str = "mask") -> DataFrame:
+    """Tiles of px below path, partitioned by slide: number, values row by row, the mask as a text (column by column); their statistics.
+
+    Returns slide, ty, tx, name, masked, ratio, std of each tile, as grid.tile_stats() has them, and its rle.
+    """
+    keys = ["slide", "ty", "tx"]
+    at = px.select("slide", F.floor(F.col("y") / size).cast("long").alias("ty"), F.floor(F.col("x") / size).cast("long").alias("tx"), (F.col("y") % size).cast("long").alias("dy"), (F.col("x") % size).cast("long").alias("dx"), value, mask)
+    spans = rle.encode_spans(at.filter(F.col(mask) == 1).select(*keys, rle.to_pos(F.col("dy"), F.col("dx"), size).alias("pos")), keys)
+    texts = rle.spans_to_text(spans, keys)
+    named = grid.tile_stats(px, size, value, mask).join(texts, keys, "left").withColumn("name", F.format_string("%s_%04d_%04d", F.col("slide").cast("string"), F.col("ty"), F.col("tx")))
+    rows = at.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dy", "dx", value))).alias("px"))
+    rows.join(named.select(*keys, "name", "rle"), keys).write.mode("overwrite").partitionBy("slide").parquet(path)
+    return named.select(*keys, "name", "masked", "ratio", "std", "rle")
