@@ -73,27 +73,30 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
-    """The element that arrives first at each register; elements are distinct 64-bit hashes, weights over 0."""
+    """The element that arrives first at each register; elements are distinct 64-bit hashes, weights over 0.
+
+    Each round draws a few arrivals of each element that is left, together about as many as fill all
+    registers; elements whose last arrival came after every register's first one end.
+    """
     first = np.full(registers, np.inf)
     winner = np.zeros(registers, dtype=np.uint64)
-    if not len(elements):
-        return winner
-    ids, rate, at, k = elements, weights.astype(float), np.zeros(len(elements)), 0
+    ids, rate, at, k = elements, weights.astype(float)[:, None], np.zeros(len(elements)), 0
+    enough = registers * (math.log(registers) + 1)
     while len(ids):
-        k += 1
-        h = mixed(ids + np.uint64(k * int(GOLDEN) & MASK))
-        wait = -np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53)
-        at = at + wait / rate
-        latest = first.max()
-        alive = at < latest
-        ids, rate, at, h = ids[alive], rate[alive], at[alive], h[alive]
-        if not len(ids):
-            break
+        m = math.ceil(enough / len(ids))
+        numbers = np.arange(k + 1, k + m + 1, dtype=np.uint64) * GOLDEN
+        h = mixed(ids[:, None] + numbers)
+        times = -np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate
+        times[:, 0] += at
+        np.cumsum(times, axis=1, out=times)
+        at, k, latest = times[:, -1], k + m, first.max()
+        row, column = np.nonzero(times < latest)
+        near, h = times[row, column], h[row, column]
         where = (mixed(h ^ GOLDEN) % np.uint64(registers)).astype(np.int64)
+        own = np.flatnonzero(near < first[where])
         # latest first, so that of several arrivals at one register the earliest is written last
-        order = np.argsort(-at)
-        order = order[at[order] < first[where[order]]]
-        first[where[order]], winner[where[order]] = at[order], ids[order]
+        order = own[np.argsort(-near[own])]
+        first[where[order]], winner[where[order]] = near[order], ids[row[order]]
         alive = at < first.max()
         ids, rate, at = ids[alive], rate[alive], at[alive]
     return winner
