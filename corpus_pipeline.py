@@ -26,14 +26,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of one id with different texts are one document and stay. Rows without id are compared with
     none, but of those with one text one stays; a null text is as an empty one.
     """
-    classes = neardup.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_anti").withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    # texts of the few repeated rows are compared by their hash, those of all others don't move
-    twice = kept.groupBy("doc_id", "__sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("__sha").alias("__same"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__same"))
-    once = kept.join(twice, on, "left_anti")
-    first = kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return once.unionByName(first).select(docs.columns)
+    gone = neardup.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct()
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    repeated = docs.filter("doc_id IS NOT NULL").select("doc_id", sha.alias("sha")).groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id").distinct()
+    # lists of ids, written: their size says whether they are broadcast, and then no text is shuffled
+    gone, repeated = written(gone, "gone"), written(repeated, "repeated")
+    once = docs.filter("doc_id IS NOT NULL").join(gone.unionByName(repeated), "doc_id", "left_anti")
+    again = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"])
+    nameless = docs.filter("doc_id IS NULL").withColumn("__sha", sha).dropDuplicates(["__sha"])
+    return once.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(nameless.select(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
