@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,30 @@ def rings(mask: np.ndarray, level: float = 0.8) -> list[np.ndarray]:
     return out
 
 
+def _by_component(pixels: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """kernel's rows for the pixels (slide, label, y, x) of each component. Components are many and small, so a task
+    streams through its own, one after another, instead of a group each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, at = [], None
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby("__key", sort=False):
+                if at not in (None, key):
+                    out.append(kernel(pd.concat(parts) if len(parts) > 1 else parts[0]))
+                    parts = []
+                parts.append(part)
+                at = key
+            if out:
+                yield pd.concat(out)
+        if parts:
+            yield kernel(pd.concat(parts))
+
+    keyed = pixels.select("slide", "label", "y", "x", F.to_json(F.struct("slide", "label")).alias("__key"))
+    # small rows, much work: a number of partitions that isn't coalesced
+    return keyed.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key").sortWithinPartitions("__key").mapInPandas(run, schema)
+
+
 def contours(pixels: DataFrame, level: float = 0.8, xy: bool = True) -> DataFrame:
     """slide, label, ring of the outer contour of each component (slide, label, y, x), coordinates truncated.
 
@@ -60,7 +85,7 @@ def contours(pixels: DataFrame, level: float = 0.8, xy: bool = True) -> DataFram
         return pd.DataFrame({"slide": [pdf["slide"].iloc[0]], "label": [pdf["label"].iloc[0]], "ring": [[{"x": a, "y": b} for a, b in points]]})
 
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
-    return pixels.select("slide", "label", "y", "x").groupBy("slide", "label").applyInPandas(run, f"slide {kinds['slide']}, label {kinds['label']}, ring array<struct<x:double,y:double>>")
+    return _by_component(pixels, run, f"slide {kinds['slide']}, label {kinds['label']}, ring array<struct<x:double,y:double>>")
 
 
 def border_distance(mask: np.ndarray) -> np.ndarray:
@@ -118,7 +143,7 @@ def watershed(pixels: DataFrame, least: int = 10) -> DataFrame:
         return pdf.assign(part=split(mask, least)[pdf["y"] - y0, pdf["x"] - x0])[["slide", "label", "part", "y", "x"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
-    return pixels.select("slide", "label", "y", "x").groupBy("slide", "label").applyInPandas(run, f"slide {kinds['slide']}, label {kinds['label']}, part long, y {kinds['y']}, x {kinds['x']}")
+    return _by_component(pixels, run, f"slide {kinds['slide']}, label {kinds['label']}, part long, y {kinds['y']}, x {kinds['x']}")
 
 
 def ridge(labels: DataFrame) -> DataFrame:
