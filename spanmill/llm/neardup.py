@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     crowded = written(buckets.join(crowded, "bucket"), "crowded", held)
     # a text's popularity: how many others its buckets hold; that of which the rest are copies has most
     popular = crowded.groupBy("id").agg(F.sum("n").alias("popular"))
-    shared = written(crowded.drop("n").join(popular, "id"), "shared", held)
+    shared = written(crowded.join(popular, "id"), "shared", held)
     # shingle sets of the texts that share a bucket with another; a text's row is one of its least key
     # (dealt by id at every size: the list of ids has no bound to broadcast it by)
     ends = shared.select("id").distinct().hint("merge")
@@ -255,6 +255,20 @@ def _rooted(shared: DataFrame, found: DataFrame | None) -> DataFrame:
     return shared.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+#: Texts of a bucket that one task tells what is known of the bucket.
+BUCKET_PART = 1000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (id, n of their bucket, ...) with the part of the bucket that they are in."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BUCKET_PART)).cast("int"))
+
+
+def _copied(buckets: DataFrame) -> DataFrame:
+    """A row per bucket (n, ...) for each of its parts: nothing of a large bucket is joined in one task."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BUCKET_PART).cast("int") - 1))).drop("n")
+
+
 def _star(shared: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
     """In each bucket, pairs (a, b), a < b, of a centre and the members of other components than its own.
 
@@ -262,8 +276,8 @@ def _star(shared: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
     """
     rooted = _rooted(shared, found)
     rank = -F.col("popular") if k == 0 else F.xxhash64("id", F.lit(k))
-    centres = rooted.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "id", "root")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.root").alias("centre_root"))
-    pairs = rooted.join(centres, "bucket").filter("root <> centre_root")
+    centres = rooted.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "id", "root")).alias("c"), F.max("n").alias("n")).select("bucket", "n", F.col("c.id").alias("centre"), F.col("c.root").alias("centre_root"))
+    pairs = _dealt(rooted).join(_copied(centres), ["bucket", "part"]).filter("root <> centre_root")
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
@@ -320,12 +334,12 @@ def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, threshold: flo
     roots = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed_buckets = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).filter("roots > 1").select("bucket", "n", F.col("most.root").alias("largest"))
     width = max(math.log(1 / threshold), 0.01) * 1.000001
-    sized = rooted.join(mixed_buckets, "bucket").join(sets.select("id", F.size("shingles").alias("size")), "id")
+    sized = _dealt(rooted).join(_copied(mixed_buckets), ["bucket", "part"]).join(sets.select("id", F.size("shingles").alias("size")), "id")
     large = F.col("n") > BLOCK
     group = F.when(large, F.floor(F.log("size") / width).cast("int")).otherwise(0)
-    members = sized.select("id", "root", "bucket", F.when(large & (F.col("root") == F.col("largest")), 1).otherwise(0).alias("side"), group.alias("class"))
-    counts = members.groupBy("bucket", "side", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    counts = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("side", "class"), "blocks"))).alias("blocks"))
+    members = sized.select("id", "root", "bucket", F.when(large & (F.col("root") == F.col("largest")), 1).otherwise(0).alias("side"), group.alias("class"), "n", "part")
+    counts = members.groupBy("bucket", "side", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.max("n").alias("n"))
+    counts = counts.groupBy("bucket").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(F.struct("side", "class"), "blocks"))).alias("blocks"))
     blocks = lambda side, c: F.coalesce(F.try_element_at(F.col("blocks"), F.struct(side.alias("side"), c.alias("class"))), F.lit(0))
 
     def met(side: Column) -> Column:
@@ -335,7 +349,7 @@ def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, threshold: flo
 
     own = F.struct("side", "class", F.pmod(F.xxhash64("id"), blocks(F.col("side"), F.col("class"))).cast("int").alias("block"))
     others = F.when(F.col("side") == 1, met(F.lit(0))).otherwise(F.concat(met(F.lit(0)), met(F.lit(1))))
-    dealt = members.join(counts, "bucket").select("id", "root", "bucket", own.alias("own"), F.explode(others).alias("other"))
+    dealt = members.join(_copied(counts), ["bucket", "part"]).select("id", "root", "bucket", own.alias("own"), F.explode(others).alias("other"))
     placed = dealt.select("id", "root", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")).join(sets, "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -812,6 +812,7 @@ def test_near_duplicates_that_repeat_lines(spark):
 def test_blocks_join_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
     monkeypatch.setattr(neardup, "STAR_PART", 2)
+    monkeypatch.setattr(neardup, "BUCKET_PART", 5)
     monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
     rng = random.Random(2)
     words = [f"{rng.choice(WORDS)}{i}" for i in range(120)]
@@ -829,7 +830,8 @@ def test_pairs_in_blocks_by_size(spark, monkeypatch):
     for i in range(60):  # sizes over several classes, many just at the threshold
         base = set(range(rng.choice([8, 10, 20, 25, 40, 50])))
         sets[i] = base | {1000 * (i + 1) + k for k in range(rng.choice([0, 0, 1, 2]))}
-    shared = spark.createDataFrame([(i, 7, 1) for i in sets], "id long, bucket long, popular long")
+    monkeypatch.setattr(neardup, "BUCKET_PART", 7)
+    shared = spark.createDataFrame([(i, 7, 1, len(sets)) for i in sets], "id long, bucket long, popular long, n long")
     rows = spark.createDataFrame([(i, sorted(v)) for i, v in sets.items()], "id long, shingles array<long>")
 
     def tops(pairs):
