@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, chat, fingerprint, forest, licenses, mixing, neardup, sharding, simhash, toxicity, warc
+from spanmill.llm import bpe, chat, fingerprint, forest, licenses, mixing, neardup, repair, runs, sharding, simhash, toxicity, warc
 from spanmill.llm.common import scratch
 from spanmill.plans.session import table
 
@@ -53,11 +53,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), "present"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_licenses": op9_licenses, "op10_near_duplicates": op10_near_duplicates, "op13_simhash": op13_simhash}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat_format": op2_chat_format, "op3_toxicity": op3_toxicity, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_licenses": op9_licenses, "op10_near_duplicates": op10_near_duplicates, "op11_runs": op11_runs, "op12_repair": op12_repair, "op13_simhash": op13_simhash}
 
 #: Where SQL can express a query.
-SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op6_warc": warc.SQL, "op8_sharding": sharding.SQL}
+SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op6_warc": warc.SQL, "op8_sharding": sharding.SQL, "op12_repair": repair.SQL}
