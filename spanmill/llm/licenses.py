@@ -80,7 +80,7 @@ proprietary | proprietary | proprietary and confidential;proprietary software |
 
 # Name, priority, confidence and pattern of the forms; NAME and ID are filled in.
 FORMS = r"""
-negated | 99 | 0 | (?:not|never|no longer)[^\w.!?]+(?:\w+[^\w.!?]+){0,4}?(?:under|with|by|per)[^\w.!?]+(?:the terms (?:and conditions )?of )?(?:an? |the )?NAME(?: licen[cs]es?)?
+negated | 99 | 0 | (?:not|never|no longer)(?:_|[^\w.!?])+(?:\w+(?:_|[^\w.!?])+){0,4}?(?:under|with|by|per)(?:_|[^\w.!?])+(?:the terms (?:and conditions )?of )?(?:an? |the )?NAME(?: licen[cs]es?)?
 terms | 80 | 0.95 | (?:under|subject to|per) the (?:terms (?:and conditions )?of )?(?:the )?NAME(?: licen[cs]es?)?
 licensed | 75 | 0.95 | (?:licen[cs]ed|released|distributed|available|published|provided) (?:\w+ ){0,3}?(?:under|with|by) (?:an? |the )?NAME(?: licen[cs]es?)?
 header | 70 | 0.9 | licen[cs]e (?:is )?(?:the )?NAME\b
@@ -181,7 +181,12 @@ def _keywords(name: str, keyword: str) -> frozenset[str]:
 
 
 def _spaced(pattern: str) -> str:
-    return r"(?<![^\W_])" + re.sub(r"(?<!\[\^) ", r"[\\W_]+", pattern).replace(r"[\W_]+?", r"[\W_]*") + r"(?![^\W_])"
+    """The pattern between words: a blank is a run of what parts words, \\w a letter or digit.
+
+    The underscore parts words. No character is in both classes, so there is one way to cut a run of either, and none is tried again.
+    """
+    apart = re.sub(r"(?<!\[\^) ", r"[\\W_]+", pattern).replace(r"[\W_]+?", r"[\W_]*")
+    return r"(?<![^\W_])" + re.sub(r"(?<!\[\^)\\w", r"[^\\W_]", apart) + r"(?![^\W_])"
 
 
 @lru_cache(maxsize=1)

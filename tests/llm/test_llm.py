@@ -688,6 +688,24 @@ def test_license_scan_is_linear():
     assert time.time() - began < 20
 
 
+def test_license_rules_are_linear_on_what_parts_words():
+    """Every rule, begun at each of its words, over 100,000 characters of underscores, blanks and mixtures of both with words."""
+    assert licenses.detections("mit released " + "_" * 100_000 + " x") == [] == licenses.detections("no part of this book may be reproduced " + "_" * 100_000 + " x permission")
+    fillers = ("_", " ", "x_", "_ x")
+    for r in licenses.rules():
+        plain = r.pattern
+        for a, b in ((r"\(\?<!.*?\)", ""), (r"\(\?!.*?\)", ""), (r"\(\?:_\|\[.*?\]\)\+", " "), (r"\[\^?\\W_\][+*]?|\[\^\\w[^]]*\][+*]?", " "), (r"\\.", " ")):
+            plain = re.sub(a, b, plain)
+        words = re.findall(r"[a-z0-9]+", plain)
+        assert words, r.name
+        for filler in fillers:
+            began = time.time()
+            size = 100_000 // (len(words) * len(filler))
+            text = " x ".join((filler * 50).join(words[:k]) + " " + filler * size for k in range(1, len(words) + 1))
+            list(licenses._compiled(r.pattern).finditer(text))
+            assert time.time() - began < 2, (r.name, filler)
+
+
 def test_license_notices():
     labels = lambda t: {r.label for _, _, r in licenses.detections(t)}
     rules = licenses.rules()
