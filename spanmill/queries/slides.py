@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanmill.plans.session import shared_path
 from spanmill.queries.base import R2D, Registry, r2d
-from spanmill.sources import tiff
+from spanmill.sources import arrays, tiff
 
 _r = Registry()
 QUERIES, SQL = _r.queries, _r.sql
@@ -20,3 +20,16 @@ def tiff_window(spark, sf):
     tiff.write_tiffs(px, path := shared_path(spark, "tiff"), ["red", "green", "blue"], tile=16, compression="lzw", predictor=True)
     read = tiff.tiff_pixels(tiff.read_tiff(spark, path, y0=5, x0=14, height=13, width=26))
     return read.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("slide"), "band", "y", "x", "v")
+
+
+@query(f"WITH {R2D} SELECT 'labels/s' || slide AS array, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(CASE WHEN slide % 3 = 0 AND y >= 14 THEN 0 ELSE val END AS DOUBLE) AS v FROM r2d WHERE y >= 4 AND x >= 10 AND x < 21 UNION ALL SELECT 'masks/s' || slide, CAST(y AS BIGINT), CAST(x AS BIGINT), CAST(mask AS DOUBLE) FROM r2d WHERE y >= 4 AND x >= 10 AND x < 21")
+def array_store_window(spark, sf):
+    """Rasters and masks written as groups of chunked arrays, some chunks left out, and a window of all of them read back."""
+    px = r2d(spark, sf)
+    name = lambda group: F.concat(F.lit(f"{group}/s"), F.col("slide").cast("string")).alias("array")
+    labels = px.filter((F.col("slide") % 3 != 0) | (F.col("y") < 14)).select(name("labels"), "y", "x", F.col("val").alias("v"))
+    cells = labels.unionByName(px.select(name("masks"), "y", "x", F.col("mask").alias("v")))
+    sizes = px.select("slide", "h", "w").distinct()
+    shapes = sizes.select(name("labels"), F.col("h").alias("height"), F.col("w").alias("width")).unionByName(sizes.select(name("masks"), F.col("h").alias("height"), F.col("w").alias("width")))
+    arrays.write_arrays(cells, path := shared_path(spark, "arrays"), chunk=(7, 9), shapes=shapes)
+    return arrays.array_cells(arrays.read_arrays(spark, path, y0=4, x0=10, width=11))

@@ -277,7 +277,9 @@ class TiffReader(DataSourceReader):
                 for x in xs:
                     yield (plane * d.down + y) * d.across + x
 
-    def read(self, partition: Tiles) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Tiles | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are none: the window meets nothing
+            return
         d, (wy, wx, wh, ww) = partition.directory, self.window
         with opened(partition.path) as f:
             for number, offset, count in partition.tiles:

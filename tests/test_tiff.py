@@ -141,6 +141,8 @@ def test_only_the_tiles_met_are_read(spark, tmp_path, monkeypatch):
     # neighbouring tiles are one partition where they fit
     assert len(tiff.TiffReader({"path": made.path, "y0": "0", "height": "16"}).partitions()) == 1
     assert tiff.TiffReader({"path": made.path, "y0": "600"}).partitions() == []
+    monkeypatch.undo()
+    assert tiff.read_tiff(spark, made.path, y0=600).count() == 0
 
 
 def test_what_cannot_be_read_is_an_error(spark, tmp_path):
