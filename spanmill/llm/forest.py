@@ -114,8 +114,8 @@ def scored_rows(votes: np.ndarray, scored: int) -> np.ndarray:
     return np.flatnonzero(votes >= least)
 
 
-def best(own: Segment, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, hits: float = HITS, share: float = SCORED_SHARE) -> pd.DataFrame:
-    """Each query's k nearest scored rows of one segment that reach its floor."""
+def best(own: Segment, ids: np.ndarray, x: np.ndarray, numbers: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int, hits: float = HITS, share: float = SCORED_SHARE) -> pd.DataFrame:
+    """Each (numbered) query's k nearest scored rows of one segment that reach its floor; rows of its id are left out."""
     out, trees, lengths = [], len(own.sorted), norms(x)
     # enough for k rows beside the query's own, and a share of the segment
     most = max(math.ceil(hits * len(x)), trees * (k + 1))
@@ -128,8 +128,8 @@ def best(own: Segment, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q:
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
         rows, score = rows[keep], score[keep]
         at = np.lexsort((ids[rows], -score))[:k]
-        out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[rows][at], "score": score[at]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        out.append(pd.DataFrame({"q": numbers[i], "vec_id": ids[rows][at], "score": score[at]}))
+    return pd.concat(out) if out else pd.DataFrame({"q": [], "vec_id": [], "score": []})
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -144,41 +144,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
 
     Nearest first by cosine, ties to the smaller id. Vectors null, zero, or with null or non-finite
     components, and those without id, take no part; vectors meet those of their own length only. Each
-    of several rows with one id counts. Empty tables give no rows; other columns are not used.
+    of several rows with one id is a candidate. Queries of one id and one vector are one query; those of one id and
+    different vectors are several, each with ranks of its own from 1, and none finds rows of that id. Empty tables give no
+    rows; other columns are not used. With share=1 and hits=trees every row is scored, and the result is exact.
     """
     spark, held = vectors.sparkSession, []
-    rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
+    rows = usable(vectors, key, vector)
+    # numbered once: the numbers are read back, never made again
+    asked = written(usable(queries, key, vector).distinct().withColumn("q", F.monotonically_increasing_id()), "asked", held)
     segments = max(1, math.ceil(rows.count() / segment_rows))
     dealt = rows.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(segments)), F.lit(segments)).alias("segment"))
     first = math.ceil(math.sqrt(segments))
     search = lambda part, n, path: _searched(part.repartition(n, "dim", "segment"), path, k, hits, share, trees)
     path = _queries(asked.withColumn("floor", F.lit(-2.0)), held)
-    found = written(_ranked(search(dealt.filter(F.col("segment") < first), first, path), k), "found", held if first < segments else None)
-    if first == segments:
-        delete(spark, held)
-        return found.select("query_id", "rank", "vec_id", "score")
-    floors = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    path = _queries(asked.join(floors, "id", "left").select("id", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor")), held)
-    rest = search(dealt.filter(F.col("segment") >= first), segments - first, path)
-    out = written(_ranked(rest.unionByName(found.drop("rank")), k), "nearest")
+    found = written(_ranked(search(dealt.filter(F.col("segment") < first), first, path), k), "found", held)
+    if first < segments:
+        floors = found.filter(F.col("rank") == k).select("q", F.col("score").alias("floor"))
+        path = _queries(asked.join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))), held)
+        rest = search(dealt.filter(F.col("segment") >= first), segments - first, path)
+        found = _ranked(rest.unionByName(found.drop("rank")), k)
+    out = written(found.join(asked.select("q", F.col("id").alias("query_id")), "q").select("query_id", "rank", "vec_id", "score"), "nearest")
     delete(spark, held)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return out
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def _queries(asked: DataFrame, held: list[str]) -> str:
-    """id, v, floor of the queries, written for every task to read."""
-    asked.select("id", "v", "floor").write.parquet(path := scratch(asked.sparkSession, "queries"))
+    """q, id, v, floor of the queries, written for every task to read."""
+    asked.select("q", "id", "v", "floor").write.parquet(path := scratch(asked.sparkSession, "queries"))
     held.append(path)
     return path
 
 
-def _blocks(path: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, vectors and floors of the queries of one length, up to QUERY_ROWS at a time."""
+def _blocks(path: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers, ids, vectors and floors of the queries of one length, up to QUERY_ROWS at a time."""
     fs, base = pyarrow.fs.FileSystem.from_uri(path)
     for info in sorted(fs.get_file_info(pyarrow.fs.FileSelector(base)), key=lambda i: i.path):
         if info.path.endswith(".parquet"):
@@ -187,18 +190,18 @@ def _blocks(path: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
                     v = batch.column("v")
                     own = np.flatnonzero(v.value_lengths().to_numpy() == dim)
                     if len(own):
-                        yield batch.column("id").to_numpy()[own], v.take(own).flatten().to_numpy().reshape(-1, dim), batch.column("floor").to_numpy()[own]
+                        yield batch.column("q").to_numpy()[own], batch.column("id").to_numpy()[own], v.take(own).flatten().to_numpy().reshape(-1, dim), batch.column("floor").to_numpy()[own]
 
 
 def _searched(dealt: DataFrame, path: str, k: int, hits: float, share: float, trees: int) -> DataFrame:
-    """query_id, vec_id, score: what each segment returns. A task holds one segment at a time and a block of queries."""
+    """q, vec_id, score: what each segment returns. A task holds one segment at a time and a block of queries."""
 
     def searched(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(parts)
         ids, x = pdf["id"].to_numpy(), np.stack(pdf["v"].to_list())
         own = Segment(x, trees)
-        for query_ids, q, floors in _blocks(path, x.shape[1]):
-            yield best(own, ids, x, query_ids, q, floors, k, hits, share)
+        for numbers, query_ids, q, floors in _blocks(path, x.shape[1]):
+            yield best(own, ids, x, numbers, query_ids, q, floors, k, hits, share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, at = [], None
@@ -212,4 +215,4 @@ def _searched(dealt: DataFrame, path: str, k: int, hits: float, share: float, tr
         if parts:
             yield from searched(parts)
 
-    return dealt.sortWithinPartitions("dim", "segment", "id").mapInPandas(run, "query_id long, vec_id long, score double")
+    return dealt.sortWithinPartitions("dim", "segment", "id").mapInPandas(run, "q long, vec_id long, score double")
