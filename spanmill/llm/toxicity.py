@@ -150,15 +150,21 @@ def fit_bags(labels: np.ndarray, told: list[list[list[int]]], plain: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """Fit from document labels.
 
-    Reads at most `sample_docs` labelled documents (those whose ids have the least hashes), whole;
-    null labels and ids, and labels other than 0 and 1, take no part. No usable label, or no toxic
-    one: a model that scores all 0. Repeated labels of one document count as often as they stand there.
+    Reads at most `sample_docs` labelled texts (those whose ids have the least hashes), whole: a text for each id, label and
+    text, however often rows or labels repeat, and the bound holds after labels and documents have met. Null labels and ids, and
+    labels other than 0 and 1, take no part. No usable label, or no toxic one: a model that scores all 0.
     """
     chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    # only documents that are there count for the bound
-    chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
+    # the least ids first, so that the labels are as few before texts are hashed; then one row per text, no more than the bound
+    chosen = chosen.distinct().join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_docs)
     held: list[str] = []
-    bags = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_bags, "toxic int, bag string"), "bags", held)
+    chosen = written(chosen, "labels", held)
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    met = docs.select("doc_id", sha.alias("sha")).join(F.broadcast(chosen), "doc_id").distinct()
+    met = written(met.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "sha").limit(sample_docs), "texts", held)
+    # of equal rows one: their texts are the same
+    texts = docs.select("doc_id", "text", sha.alias("sha")).join(F.broadcast(met), ["doc_id", "sha"]).groupBy("doc_id", "sha", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    bags = written(texts.select("toxic", "text").mapInArrow(_bags, "toxic int, bag string"), "bags", held)
     vocab = {r[0]: i for i, r in enumerate(telling_features(bags).orderBy("feature").collect())}
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
