@@ -41,7 +41,10 @@ def bucket_counts(data: bytes) -> np.ndarray:
 
 
 def digest(text: str | None) -> str:
-    """Hexadecimal digest: 2 digits of length, 2 of quartile ratios, then the codes. Null is as empty."""
+    """Hexadecimal digest: 2 digits of length, 2 of quartile ratios, then the codes. Null is as empty.
+
+    A text of under three bytes has no triplet: all such texts of one length have one digest.
+    """
     data = (text or "").encode("utf-8", "surrogatepass")
     counts = bucket_counts(data)
     q = np.partition(counts, (BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1))

@@ -217,9 +217,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # shingle sets of the texts that share a bucket with another; a text's row is one of its least key
     # (dealt by id at every size: the list of ids has no bound to broadcast it by)
     ends = shared.select("id").distinct().hint("merge")
-    sets = written(rowed.select(F.col("key").alias("id"), "text").join(ends, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "shingles", held)
-    if sketched.select("key").distinct().count() < sketched.count():  # several texts of one key
-        sets = sets.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
+    texts = rowed.select(F.col("key").alias("id"), "text").join(ends, "id", "left_semi")
+    several = written(sketched.groupBy(F.col("key").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "several", held)
+    if several.isEmpty():
+        sets = written(texts.mapInArrow(_sets, "id long, shingles array<long>"), "shingles", held)
+    else:  # keys of several rows: equal texts once, then the shingles of all, each once before they meet
+        single = texts.join(several, "id", "left_anti").mapInArrow(_sets, "id long, shingles array<long>")
+        sha = F.sha2(F.col("text").cast("binary"), 256).alias("sha")
+        distinct = texts.join(several, "id", "left_semi").groupBy("id", sha).agg(F.min("text").alias("text")).select("id", "text")
+        joined = distinct.mapInArrow(_sets, "id long, shingles array<long>").select("id", F.explode("shingles").alias("s")).distinct().groupBy("id").agg(F.collect_list("s").alias("shingles"))
+        sets = written(single.unionByName(joined), "shingles", held)
     found = done = None
     for k in range(STAR_ROUNDS):
         edges = _star(shared, found, k)

@@ -258,9 +258,39 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.held_out_scores(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_fit_is_bounded_after_the_join(spark, monkeypatch):
+    """10^5 rows of one labelled id, equal or not, and repeated labels: no more texts are fitted than the bound."""
+    fitted = []
+    whole = toxicity.telling_features
+    monkeypatch.setattr(toxicity, "telling_features", lambda bags: (fitted.append(bags.count()), whole(bags))[1])
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 0)], "doc_id long, toxic int")
+    rows = spark.range(100_000).select((F.col("id") % 2).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("a vile text.")).otherwise(F.lit("a kind text.")).alias("text"))
+    toxicity.fit(rows, labels)
+    toxicity.fit(rows.withColumn("text", F.concat("text", F.monotonically_increasing_id().cast("string"))), labels, sample_docs=50)
+    assert fitted == [2, 50]
+
+
 # 4
 
 
+def test_forest_queries_of_one_id(spark):
+    """Equal queries are one, others of one id have lists of their own; the exact way finds every neighbour."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((700, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    first, other = [float(c) for c in x[3]], [float(c) for c in x[90]]
+    asked = spark.createDataFrame([(5, first), (5, first), (5, other)] * 1000 + [(6, other)], "vec_id long, embedding array<double>")
+    got = forest.nearest(df, asked, k=4, segment_rows=200, share=1.0, hits=float(forest.TREES)).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == sorted([(5, k) for k in range(1, 5)] * 2 + [(6, k) for k in range(1, 5)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for q, at in ((5, 3), (5, 90), (6, 90)):
+        s = unit @ unit[at]
+        s[q] = -9
+        want += [(q, k + 1, int(v)) for k, v in enumerate(np.argsort(-s, kind="stable")[:4])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted(want)
+
+
 def test_forest_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 48))
@@ -772,6 +802,17 @@ def classes(texts, threshold=0.8):
     return [top(i) for i in range(len(texts))]
 
 
+def test_near_duplicates_of_a_hot_key(spark):
+    """10^5 rows of one key, equal ones and some others: its texts are one document, whose shingles are those of all."""
+    rng = random.Random(9)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    hot = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.when(F.col("id") % 1000 == 0, F.lit(two)).otherwise(F.lit(one)).alias("text"))
+    rest = spark.createDataFrame([(2, one), (3, three), (4, f"{one} {two}"), (5, two + " more")], "doc_id long, text string")
+    found = neardup.near_duplicates(hot.unionByName(rest)).distinct()
+    got = {r["doc_id"]: r["class_id"] for r in found.collect()}
+    assert got[1] == got[2] == got[4] == 1 and got[3] == 3
+
+
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(5)
     big = [f"{a}{i}" for i in range(60) for a in WORDS]
