@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.operators.rle import encode_spans
 
 #: Which sides of a 2 x 2 cell a contour joins, by the corners set (top left 8, top right 4, bottom right 2, bottom left 1).
 SIDES = {1: "lb", 2: "br", 3: "lr", 4: "rt", 5: "tl br", 6: "bt", 7: "lt", 8: "tl", 9: "tb", 10: "lb rt", 11: "tr", 12: "rl", 13: "rb", 14: "bl"}
@@ -153,25 +152,3 @@ def ridge(labels: DataFrame) -> DataFrame:
     near = near.select("slide", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "other").groupBy("slide", "y", "x").agg(F.max("other").alias("hi"), F.min("other").alias("lo"))
     touching = (F.col("label") > 0) & ((F.col("hi") > F.col("label")) | (F.col("lo") < F.col("label")))
     return labels.join(near, ["slide", "y", "x"], "left").select("slide", "y", "x", F.when(touching, F.lit(0)).otherwise(F.col("label")).alias("label"))
-
-
-def distance_weights(labels: DataFrame, radius: int = 20, weight: float = 10.0, sigma: float = 10.0) -> DataFrame:
-    """slide, y, x, weight: 1 on objects; elsewhere 1 + weight * exp(-(d1 + d2)^2 / 2 sigma^2) of the distances from
-    the nearest two objects, where both are within the radius. Beyond, what is left out is under weight * exp(-radius^2 / 2 sigma^2).
-
-    Objects are taken as their vertical runs, of which a pixel meets at most the few in the columns
-    within the radius, not as pixels; runs and pixels are dealt to cells of the radius's height.
-    """
-    px = labels.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "label")
-    runs = encode_spans(px.filter("label > 0"), ["slide", "label", "x"], "y")
-    around = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    near = runs.select("slide", "label", F.col("x").alias("__rx"), "lo", "hi", around.alias("dx")).withColumn("x", F.col("__rx") + F.col("dx"))
-    near = near.withColumn("__c", F.explode(F.sequence(F.floor((F.col("lo") - radius) / radius), F.floor((F.col("hi") - 1 + radius) / radius)))).drop("__rx")
-    free = px.filter("label = 0").select("slide", "y", "x", F.floor(F.col("y") / radius).alias("__c"))
-    dy = F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi") + 1, F.lit(0))
-    d = F.col("dx") * F.col("dx") + dy * dy
-    met = free.join(near, ["slide", "x", "__c"]).withColumn("d", d).filter(F.col("d") <= radius * radius)
-    nearest = met.groupBy("slide", "y", "x", "label").agg(F.sqrt(F.min("d")).alias("d"))
-    two = nearest.groupBy("slide", "y", "x").agg(F.slice(F.sort_array(F.collect_list("d")), 1, 2).alias("d")).filter(F.size("d") == 2)
-    border = two.select("slide", "y", "x", (weight * F.exp(-F.pow(F.get("d", F.lit(0)) + F.get("d", F.lit(1)), F.lit(2)) / (2 * sigma * sigma))).alias("extra"))
-    return px.join(border, ["slide", "y", "x"], "left").select("slide", "y", "x", (1 + F.coalesce("extra", F.lit(0.0))).alias("weight"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanmill.operators import augment, components, contours, grid, match, metrics, rle, tta
+from spanmill.operators import augment, components, contours, distance, grid, match, metrics, rle, tta
 from spanmill.plans.session import shared_path
 from spanmill.queries.base import R2D, Registry, hashed_unit, r2d, rnd
 from spanmill.queries.tiles import _SLIDES, _STATS, _components_sql, _t, slides
@@ -122,10 +122,25 @@ def instance_ridge(spark, sf):
 _SPOTS = f"WITH {R2D}, l AS (SELECT slide, y, x, CASE WHEN val < 6 THEN val + 1 ELSE 0 END AS label FROM r2d)"
 
 
-@query(_SPOTS + f", d AS (SELECT a.slide, a.y, a.x, b.label, sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM l a JOIN l b ON a.slide = b.slide AND a.label = 0 AND b.label > 0 AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 49 GROUP BY 1, 2, 3, 4), k AS (SELECT *, row_number() OVER (PARTITION BY slide, y, x ORDER BY d) AS k FROM d), t AS (SELECT slide, y, x, sum(d) AS s FROM k WHERE k <= 2 GROUP BY 1, 2, 3 HAVING count(*) = 2) SELECT l.slide, CAST(l.y AS BIGINT) AS y, CAST(l.x AS BIGINT) AS x, round(1 + coalesce(10 * exp(-(s * s) / 18), 0), 6) AS weight FROM l LEFT JOIN t USING (slide, y, x)")
+@query(_SPOTS + """, d AS (SELECT a.slide, a.y, a.x, b.label % 2 AS cls, b.label, sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM l a JOIN l b ON a.slide = b.slide AND b.label > 0 GROUP BY 1, 2, 3, 4, 5),
+  k AS (SELECT *, row_number() OVER (PARTITION BY slide, y, x, cls ORDER BY d) AS k FROM d),
+  c AS (SELECT slide, y, x, cls, sum(CASE WHEN k <= 2 THEN d END) AS s, count(*) AS n, sum(exp(-d * d / 50)) AS near FROM k GROUP BY 1, 2, 3, 4),
+  t AS (SELECT slide, y, x, sum(CASE WHEN n > 1 THEN 10 * exp(-(s * s) / 18) ELSE 0 END) AS border, sum(near) AS near FROM c GROUP BY 1, 2, 3)
+SELECT l.slide, CAST(l.y AS BIGINT) AS y, CAST(l.x AS BIGINT) AS x, round(CASE WHEN (l.y + l.x) % 23 = 5 THEN 0 WHEN l.label > 0 THEN 1 ELSE 0.1 + coalesce(border, 0) + 0.9 * coalesce(near, 0) END, 6) AS weight,
+  CASE WHEN (l.y + l.x) % 23 = 5 THEN 0.0 WHEN l.label > 0 THEN 1.0 ELSE 0.1 END::DOUBLE AS chance FROM l LEFT JOIN t USING (slide, y, x)""")
 def distance_weights(spark, sf):
-    labels = r2d(spark, sf).withColumn("label", F.when(F.col("val") < 6, F.col("val") + 1).otherwise(0))
-    return contours.distance_weights(labels, 7, 10.0, 3.0).withColumn("weight", rnd(F.col("weight")))
+    """Weights by the nearest two objects of each of two classes, at any range; some pixels ignored."""
+    label = F.when(F.col("val") < 6, F.col("val") + 1).otherwise(0)
+    labels = r2d(spark, sf).withColumn("label", label).withColumn("cls", F.col("label") % 2).withColumn("ignored", (F.col("y") + F.col("x")) % 23 == 5)
+    return distance.distance_weights(labels, 10.0, 3.0, 5.0, cls="cls", ignored="ignored").withColumn("weight", rnd(F.col("weight")))
+
+
+@query(_SPOTS + ", a AS (SELECT slide, y, x FROM l WHERE label % 2 = 1), b AS (SELECT slide, y, x FROM l WHERE label > 0 AND label % 2 = 0) SELECT slide, round(max(d), 6) AS distance FROM (SELECT a.slide, a.y, a.x, sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM a LEFT JOIN b ON a.slide = b.slide GROUP BY 1, 2, 3) GROUP BY slide")
+def hausdorff_pixels(spark, sf):
+    """The directed Hausdorff distance between two sets of pixels of each slide."""
+    px = r2d(spark, sf).filter("val < 6").select("slide", "y", "x", "val")
+    far = distance.directed_hausdorff(px.filter("val % 2 = 0"), px.filter("val % 2 = 1"), ["slide"])
+    return far.select("slide", rnd(F.col("distance")).alias("distance"))
 
 
 @query(f"WITH {R2D} SELECT slide, {_PLACES}, CAST(k AS INT) AS cls, CAST(val % 4 = k AS INT) AS hot FROM r2d, range(4) AS r(k)")

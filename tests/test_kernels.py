@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanmill.operators import augment, components, contours, geometry
+from spanmill.operators import augment, components, contours, distance, geometry
 from spanmill.sources import chunks
 
 
@@ -41,8 +41,8 @@ def test_ridge_and_weights(spark):
     px = spark.createDataFrame([("s", 0, x, 1 if x < 3 else 2 if x < 6 else 0) for x in range(12)] + [("s", 0, 12, 3)], "slide string, y long, x long, label int")
     got = {r["x"]: r["label"] for r in contours.ridge(px).collect()}
     assert got[2] == 0 and got[3] == 0 and got[1] == 1 and got[5] == 2 and got[12] == 3
-    w = {r["x"]: r["weight"] for r in contours.distance_weights(px, 20, 10.0, 5.0).collect()}
-    assert w[0] == 1 and w[8] == pytest.approx(1 + 10 * np.exp(-((3 + 4) ** 2) / 50))
+    w = {r["x"]: r["weight"] for r in distance.distance_weights(px, 10.0, 5.0, 10.0, 0.1).collect()}
+    assert w[0] == 1 and w[8] == pytest.approx(0.1 + 10 * np.exp(-((3 + 4) ** 2) / 50) + 0.9 * sum(np.exp(-d * d / 200) for d in (3, 4, 6)))
 
 
 def image(spark, n=8):
