@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.operators.rle import encode_spans
+from spanmill.plans.session import cut, drop
 
 #: Rows of a strip, and places whose parabolas are compared at once.
 STRIP, PLACES = 32, 1 << 20
@@ -231,3 +232,61 @@ def directed_hausdorff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
     far = distances(every, keys).join(at, [*keys, "y", "x"])
     worst = F.when(F.count_if(F.col("d1").isNull()) == 0, F.max("d1"))
     return far.groupBy(*keys).agg(worst.alias("distance"))
+
+
+#: Rows of each key tried in full in the first round.
+TRIED = 16
+#: A key's rows are dealt to so many tasks where one of the other mask is compared with all of them.
+SALTS = 16
+
+
+def row_hausdorff(a: DataFrame, b: DataFrame, heights: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, distance: the directed Hausdorff distance between two masks whose rows are the points, one coordinate a column.
+
+    a, b: runs of set pixels along rows (keys, y, lo, hi); heights: keys, h, rows that both masks have, those without runs
+    too. The square of two rows' distance is the number of pixels that differ: both sizes less twice the overlap of
+    their runs. Rows that the other mask has as well are 0 away; others have the distance from the row of their own
+    number and its neighbours as a bound. The greatest least distance is found among the rows with the greatest bounds: they
+    are compared with all that differ less in size than the bound, twice as many each round, and rows whose bound
+    is no more than what was found are out.
+    """
+    spark = heights.sparkSession
+
+    def rows(runs: DataFrame) -> DataFrame:
+        spans = F.sort_array(F.collect_list(F.struct("lo", "hi")))
+        held = runs.groupBy(*keys, F.col("y").cast("long").alias("y")).agg(F.sum(F.col("hi") - F.col("lo")).alias("n"), spans.alias("runs"))
+        every = heights.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("h").cast("long") - 1)).alias("y"))
+        joined = every.join(held, [*keys, "y"], "left")
+        return joined.select(*keys, "y", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("runs", F.array().cast(held.schema["runs"].dataType)).alias("runs"))
+
+    def apart(p: str, q: str) -> Column:
+        """The square of the distance of two rows."""
+        met = lambda r: F.aggregate(f"{q}_runs", F.lit(0).cast("long"), lambda s, o: s + F.greatest(F.least(r["hi"], o["hi"]) - F.greatest(r["lo"], o["lo"]), F.lit(0)).cast("long"))
+        both = F.aggregate(f"{p}_runs", F.lit(0).cast("long"), lambda s, r: s + met(r))
+        return F.col(f"{p}_n") + F.col(f"{q}_n") - 2 * both
+
+    named = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("y", "n", "runs")])
+    held: list[str] = []
+    mine, other = rows(a), cut(rows(b), "rows", held)
+    # equal rows are one, and those that the other mask has too are settled
+    single = mine.groupBy(*keys, "n", "runs").agg(F.min("y").alias("y")).join(other.select(*keys, "n", "runs").distinct(), [*keys, "n", "runs"], "left_anti")
+    near = named(single, "a").withColumn("b_y", F.explode(F.array(*[F.col("a_y") + d for d in (-1, 0, 1)]))).join(named(other, "b"), [*keys, "b_y"])
+    bounds = near.groupBy(*keys, "a_y").agg(F.min(apart("a", "b")).alias("bound"))
+    left = cut(named(single, "a").join(bounds, [*keys, "a_y"]), "left", own := [])
+    found = cut(heights.select(*keys, F.lit(0).cast("long").alias("most")).distinct(), "found", own)
+    held += own
+    goal = named(other, "b").withColumn("salt", F.pmod(F.xxhash64("b_y"), F.lit(SALTS)).cast("int"))
+    tried = TRIED
+    while not left.isEmpty():
+        place = Window.partitionBy(*keys).orderBy(F.desc("bound"), "a_y")
+        picked = cut(left.withColumn("k", F.row_number().over(place)).filter(F.col("k") <= tried), "picked", held)
+        dealt = picked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = dealt.join(goal, [*keys, "salt"]).filter(F.abs(F.col("a_n") - F.col("b_n")) < F.col("bound"))
+        exact = met.groupBy(*keys, "a_y").agg(F.min(apart("a", "b")).alias("d"))
+        own_least = picked.join(exact, [*keys, "a_y"], "left").groupBy(*keys).agg(F.max(F.least("bound", F.coalesce("d", F.col("bound")))).alias("d"))
+        found = cut(found.join(own_least, keys, "left").select(*keys, F.greatest("most", F.coalesce("d", F.lit(0))).alias("most")), "found", held)
+        rest = left.join(picked.select(*keys, "a_y"), [*keys, "a_y"], "left_anti").join(found, keys).filter(F.col("bound") > F.col("most")).drop("most")
+        left, tried = cut(rest, "left", held), 2 * tried
+    out = cut(found.select(*keys, F.sqrt(F.col("most").cast("double")).alias("distance")), "hausdorff")
+    drop(spark, held)
+    return out

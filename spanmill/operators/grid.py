@@ -76,9 +76,19 @@ def tile_stats(px: DataFrame, size: int, value: str = "val", mask: str = "mask")
     return sums.select("slide", "ty", "tx", "masked", (F.col("masked") / area).alias("ratio"), deviation.alias("std"), (F.col("__s") / area).alias("mean"), "dark", "n")
 
 
-def pyramid_weight(y: Column, x: Column, size: int) -> Column:
-    """Weight of a pixel of a tile: its distance from the nearest edge, 1 at the border."""
-    return F.least(y + 1, size - y, x + 1, size - x).cast("double")
+def pyramid_weight(y: Column, x: Column, size: int, sigma: float = 1.0, alpha: float = 1.0, eps: float = 1e-6) -> Column:
+    """Weight of a pixel of a tile of even size: least at the border, growing inwards.
+
+    The distance from the nearest edge, 1 at the border and size / 2 in the middle, as a share of the latter to the power of sigma, is
+    stretched so that the border has about 0 (eps keeps it over); what is over alpha counts as 1, the rest is divided by alpha,
+    at least 0.001 and at most 1, in steps of 0.001.
+    """
+    half = size // 2
+    edge = (1.0 / half) ** sigma
+    share = F.pow(F.least(y + 1, size - y, x + 1, size - x) / float(half), F.lit(sigma))
+    stretched = (share - edge + eps) / (1.0 - edge + eps)
+    cut_off = F.when(stretched > alpha, 1.0).otherwise(stretched) / alpha
+    return F.round(F.least(F.greatest(cut_off, F.lit(1e-3)), F.lit(1.0)), 3)
 
 
 def gaussian_weight(y: Column, x: Column, size: int) -> Column:

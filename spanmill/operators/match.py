@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanmill.operators.graph import connected
+from spanmill.plans.session import cut, drop
 
 
 def box_pairs(a: DataFrame, b: DataFrame, cell: int, keys: list[str]) -> DataFrame:
@@ -64,26 +65,38 @@ def in_parts(pairs: DataFrame, group: str, a: str, b: str, part: str = "__part")
     return named.join(parts.select(F.col("node").alias("__a"), F.col("part").alias(part)), "__a").drop("__a", "__b")
 
 
-def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:
-    """group, a, b, score: in order of a, each takes its best b that is still free; a score under `least` is no match.
+#: Rounds of greedy matching between two writes of what is left.
+ROUNDS = 4
 
-    A connected part of the candidates stands in one task, in order, not a whole group.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for key, own in pdf.sort_values([a, score, b], ascending=[True, False, True]).groupby(a, sort=True):
-            for bb, s in zip(own[b], own[score], strict=True):
-                if bb not in taken:
-                    if s >= least and s > 0:
-                        taken.add(bb)
-                        out.append((pdf[group].iloc[0], key, bb, s))
-                    break
-        return pd.DataFrame(out, columns=[group, a, b, score])
+def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:
+    """group, a, b, score: in order of a, each takes its best b that is still free (of equal ones the least); a score under `least` is no match.
 
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    placed = in_parts(pairs.select(group, a, b, score), group, a, b)
-    return placed.groupBy("__part").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score)))
+    In rounds: a pair is fixed if b is the best that a has left and a the first that still has b, for then nothing before
+    it can take b. All such pairs of all groups are fixed at once, and what shares an end with them is gone; the first a left is
+    always fixed, so the rounds end and give what one pass in order would, and there are as many as the longest chain of objects
+    that wait for each other. A task holds the candidates of one object at a time, however many a group has. Of
+    several scores of a pair the greatest counts; rows with a null in any of the four columns are left out.
+    """
+    spark = pairs.sparkSession
+    rows = pairs.select(group, a, b, score).dropna().filter((F.col(score) >= least) & (F.col(score) > 0))
+    left = rows.groupBy(group, a, b).agg(F.max(score).alias(score)).withColumn("__fixed", F.lit(False))
+    by_a, by_b = Window.partitionBy(group, a), Window.partitionBy(group, b)
+    past: list[str] = []
+    while True:
+        for _ in range(ROUNDS):
+            free = ~F.col("__fixed")
+            left = left.withColumn("__first", F.min(F.when(free, F.col(a))).over(by_b))
+            left = left.withColumn("__best", F.min(F.when(free, F.struct((-F.col(score)).alias("s"), F.col(b).alias("b")))).over(by_a))
+            left = left.withColumn("__now", free & (F.col(a) == F.col("__first")) & (F.col(b) == F.col("__best.b")))
+            left = left.withColumn("__gone", F.max("__now").over(by_a)).withColumn("__gone", F.col("__gone") | F.max("__now").over(by_b))
+            left = left.filter(F.col("__fixed") | F.col("__now") | ~F.col("__gone")).select(group, a, b, score, (F.col("__fixed") | F.col("__now")).alias("__fixed"))
+        own: list[str] = []
+        left = cut(left, "greedy", own)
+        drop(spark, past)
+        past = own
+        if left.filter(~F.col("__fixed")).isEmpty():
+            return left.select(group, a, b, score)
 
 
 def classify(score: Column, revised: float) -> Column:

@@ -13,13 +13,14 @@ def encode_spans(px: DataFrame, keys: list[str], pos: str = "pos", chunk: int =
     """keys, lo, hi: the maximal runs of the positions present (each once) per key.
 
     Gaps and islands in chunks of positions, so a slide of billions of pixels isn't one task; then
-    runs that touch are joined, over the runs only, which are far fewer than the positions.
+    runs that reach a chunk's border are joined with those beyond it: two a chunk at most, and no others travel.
     """
     inside = Window.partitionBy(*keys, "__chunk").orderBy(pos)
     marked = px.select(*keys, F.col(pos).cast("long").alias(pos)).withColumn("__chunk", F.floor(F.col(pos) / chunk))
     island = F.col(pos) - F.row_number().over(inside)
-    runs = marked.withColumn("__island", island).groupBy(*keys, "__chunk", "__island").agg(F.min(pos).alias("lo"), (F.max(pos) + 1).alias("hi"))
-    return join_touching(runs.select(*keys, "lo", "hi"), keys)
+    runs = marked.withColumn("__island", island).groupBy(*keys, "__chunk", "__island").agg(F.min(pos).alias("lo"), (F.max(pos) + 1).alias("hi")).select(*keys, "lo", "hi")
+    at_border = (F.col("lo") % chunk == 0) | (F.col("hi") % chunk == 0)
+    return join_touching(runs.filter(at_border), keys).unionByName(runs.filter(~at_border))
 
 
 def join_touching(runs: DataFrame, keys: list[str]) -> DataFrame:

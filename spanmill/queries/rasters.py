@@ -39,7 +39,7 @@ def block_paste(spark, sf):
     return _places(grid.paste(px.select("slide", "y", "x", "val"), block, F.lit(18), F.lit(-2), "val"), F.col("val").cast("long").alias("val"))
 
 
-_REDUCED = f"WITH {R2D}, rr AS (SELECT slide, y // 2 AS y, x // 2 AS x, avg(val) AS val, any_value((h + 1) // 2) AS h, any_value((w + 1) // 2) AS w FROM r2d GROUP BY 1, 2, 3), t AS (SELECT slide, ty, tx, least(ty * 3, h - 4) AS y0, least(tx * 3, w - 4) AS x0 FROM (SELECT DISTINCT slide, h, w FROM rr), range(9) AS a(ty), range(9) AS b(tx) WHERE ty * 3 < h AND tx * 3 < w), p AS (SELECT r.slide, r.y, r.x, v AS tta, least(r.y - y0 + 1, 4 - (r.y - y0), r.x - x0 + 1, 4 - (r.x - x0)) AS wt, r.val / 255.0 * (1 + (ty + tx) % 3 / 10.0 + v / 7.0) AS p FROM rr r JOIN t ON r.slide = t.slide AND r.y BETWEEN y0 AND y0 + 3 AND r.x BETWEEN x0 AND x0 + 3, range(3) AS k(v))"
+_REDUCED = f"WITH {R2D}, rr AS (SELECT slide, y // 2 AS y, x // 2 AS x, avg(val) AS val, any_value((h + 1) // 2) AS h, any_value((w + 1) // 2) AS w FROM r2d GROUP BY 1, 2, 3), t AS (SELECT slide, ty, tx, least(ty * 3, h - 4) AS y0, least(tx * 3, w - 4) AS x0 FROM (SELECT DISTINCT slide, h, w FROM rr), range(9) AS a(ty), range(9) AS b(tx) WHERE ty * 3 < h AND tx * 3 < w), p AS (SELECT r.slide, r.y, r.x, v AS tta, CASE WHEN least(r.y - y0 + 1, 4 - (r.y - y0), r.x - x0 + 1, 4 - (r.x - x0)) = 2 THEN 1e0 ELSE 0.001e0 END AS wt, r.val / 255.0 * (1 + (ty + tx) % 3 / 10.0 + v / 7.0) AS p FROM rr r JOIN t ON r.slide = t.slide AND r.y BETWEEN y0 AND y0 + 3 AND r.x BETWEEN x0 AND x0 + 3, range(3) AS k(v))"
 
 
 @query(_REDUCED + f" SELECT slide, {_PLACES}, round(sum(p * wt) / sum(wt), 6) AS p FROM p GROUP BY 1, 2, 3")
@@ -143,6 +143,16 @@ def hausdorff_pixels(spark, sf):
     return far.select("slide", rnd(F.col("distance")).alias("distance"))
 
 
+@query(f"WITH {R2D}, a AS (SELECT slide, y, x, mask AS v FROM r2d), b AS (SELECT slide, y, x, CASE WHEN (val + slide) % 9 < 4 AND y % 6 > 0 THEN 1 ELSE 0 END AS v FROM r2d), d AS (SELECT a.slide, a.y, b.y AS other, sum(abs(a.v - b.v)) AS d FROM a JOIN b ON a.slide = b.slide AND a.x = b.x GROUP BY 1, 2, 3) SELECT slide, round(sqrt(max(d)), 6) AS distance FROM (SELECT slide, y, min(d) AS d FROM d GROUP BY 1, 2) GROUP BY slide")
+def hausdorff_rows(spark, sf):
+    """The directed Hausdorff distance between two masks of each slide, their rows taken as points."""
+    px = r2d(spark, sf)
+    runs = lambda own: rle.encode_spans(own.select("slide", "y", "x"), ["slide", "y"], "x")
+    other = px.filter(((F.col("val") + F.col("slide")) % 9 < 4) & (F.col("y") % 6 > 0))
+    far = distance.row_hausdorff(runs(px.filter("mask = 1")), runs(other), slides(spark, sf), ["slide"])
+    return far.select("slide", rnd(F.col("distance")).alias("distance"))
+
+
 @query(f"WITH {R2D} SELECT slide, {_PLACES}, CAST(k AS INT) AS cls, CAST(val % 4 = k AS INT) AS hot FROM r2d, range(4) AS r(k)")
 def one_hot_planes(spark, sf):
     return _places(grid.one_hot(r2d(spark, sf).withColumn("label", F.col("val") % 4), "label", 4), "cls", "hot")

@@ -94,9 +94,10 @@ def _predicted(spark, sf):
     return px.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "dy", "dx", (F.col("val") / 255.0 * (1 + (F.col("ty") + F.col("tx")) % 3 / 10.0)).alias("p"))
 
 
-@query(_TILES + ", w AS (SELECT *, CAST(least(dy + 1, 8 - dy, dx + 1, 8 - dx) AS DOUBLE) AS w FROM p) SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sum(p * w) / sum(w), 6) AS p FROM w GROUP BY ALL")
+@query(_TILES + ", e AS (SELECT *, ((least(dy + 1, 8 - dy, dx + 1, 8 - dx) / 4e0) ** 2 - 0.0625e0 + 1e-6) / (0.9375e0 + 1e-6) AS v FROM p), w AS (SELECT *, round(least(greatest(CASE WHEN v > 0.8e0 THEN 1e0 ELSE v END / 0.8e0, 1e-3), 1e0), 3) AS w FROM e) SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sum(p * w) / sum(w), 6) AS p FROM w GROUP BY ALL")
 def stitch_weighted(spark, sf):
-    return grid.stitch(_predicted(spark, sf), grid.pyramid_weight(F.col("dy"), F.col("dx"), 8)).withColumn("p", rnd(F.col("p")))
+    """Overlapping tiles' predictions, weighted less towards the tiles' borders."""
+    return grid.stitch(_predicted(spark, sf), grid.pyramid_weight(F.col("dy"), F.col("dx"), 8, 2.0, 0.8)).withColumn("p", rnd(F.col("p")))
 
 
 @query(_TILES + ", w AS (SELECT *, exp(-((dy - 3.5) ** 2 + (dx - 3.5) ** 2) / 2) AS w FROM p) SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sum(p * w) / sum(w), 6) AS p FROM w GROUP BY ALL")

@@ -99,3 +99,37 @@ def test_hausdorff_of_many_points(spark):
     assert got == pytest.approx(np.sqrt(max(((goal - p) ** 2).sum(axis=1).min() for p in moved)))
     text = plan._jdf.queryExecution().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def row_runs(spark, masks):
+    out = []
+    for s, mask in masks.items():
+        for y, row in enumerate(mask):
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], row, [0]))))
+            out += [(s, y, int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return spark.createDataFrame(out, "slide string, y long, lo long, hi long")
+
+
+def test_row_hausdorff_by_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(distance, "TRIED", 2)
+    rng = np.random.default_rng(4)
+    a = {s: (rng.random((n, 30)) < p).astype(int) for s, n, p in (("a", 60, 0.3), ("b", 7, 0.9), ("c", 20, 0.0), ("same", 9, 0.5))}
+    b = {s: (rng.random(m.shape) < 0.4).astype(int) for s, m in a.items()}
+    b["same"] = a["same"][::-1]
+    heights = spark.createDataFrame([(s, len(m)) for s, m in a.items()], "slide string, h int")
+    got = {r.slide: r.distance for r in distance.row_hausdorff(row_runs(spark, a), row_runs(spark, b), heights, ["slide"]).collect()}
+    for s in a:
+        assert got[s] == pytest.approx(np.sqrt(np.abs(a[s][:, None] - b[s][None]).sum(-1).min(axis=1).max()))
+    assert got["same"] == 0
+
+
+def test_row_hausdorff_of_many_rows(spark):
+    """10^5 rows a side: all but a few are settled by their neighbours, and no round compares all pairs."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit("s").alias("slide"), F.col("id").alias("y"), (F.col("id") % 5000).alias("lo"), (F.col("id") % 5000 + 1 + F.floor(F.col("id") / 5000)).alias("hi"))
+    moved = rows.withColumn("hi", F.when(F.col("y") == 77_777, F.col("hi") + 400).otherwise(F.col("hi")))
+    heights = spark.createDataFrame([("s", n)], "slide string, h int")
+    began = time.time()
+    assert distance.row_hausdorff(moved, rows, heights, ["slide"]).first().distance == pytest.approx(np.sqrt(396))
+    assert distance.row_hausdorff(rows, moved, heights, ["slide"]).first().distance == pytest.approx(1)
+    assert time.time() - began < 240

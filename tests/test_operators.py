@@ -161,6 +161,54 @@ def test_optimal_and_greedy_match(spark):
     assert greedy == {(1, 10)}
 
 
+def in_order(rows, least):
+    taken, out = set(), set()
+    for key in sorted({(g, a) for g, a, _, _ in rows}):
+        for s, b in sorted((-s, b) for g, a, b, s in rows if (g, a) == key):
+            if (key[0], b) not in taken:
+                if -s >= least and -s > 0:
+                    taken.add((key[0], b))
+                    out.add((*key, b, -s))
+                break
+    return out
+
+
+def test_greedy_match_is_the_ordered_one(spark):
+    rng = random.Random(12)
+    rows = {(g, rng.randrange(40), rng.randrange(40)): rng.choice([0.0, 0.1, 0.5, 0.5, 0.7, rng.random()]) for g in "xyz" for _ in range({"x": 30, "y": 200, "z": 700}[g])}
+    rows = [(*k, s) for k, s in rows.items()]
+    # a chain in which each waits for the one before
+    rows += [("chain", k, k, 0.5) for k in range(30)] + [("chain", k, k - 1, 0.9) for k in range(1, 30)]
+    odd = [("x", None, 1, 0.9), ("x", 1, None, 0.9), (None, 1, 1, 0.9), ("x", 2, 2, None), ("y", 1, 1, 0.0)]
+    df = spark.createDataFrame(rows + rows[:50] + odd, "slide string, a int, b int, iou double")
+    got = match.greedy_match(df, "slide", "a", "b", "iou", 0.2)
+    assert {tuple(r) for r in got.collect()} == in_order(rows, 0.2) and got.count() == len(in_order(rows, 0.2))
+    assert match.greedy_match(df.limit(0), "slide", "a", "b", "iou", 0.2).count() == 0
+
+
+def test_greedy_match_of_one_large_part(spark):
+    """A part of 60,000 pairs that are all connected, in a few rounds and no group in one task."""
+    pairs = spark.range(20_000).select(F.lit("s").alias("slide"), F.col("id").cast("int").alias("a"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
+    pairs = pairs.select("slide", "a", ((F.col("a") + F.col("k")) % 20_000).alias("b"), (0.3 + (F.xxhash64("a", "k") % 1000 + 1000) / 4000).alias("iou"))
+    got = match.greedy_match(pairs, "slide", "a", "b", "iou", 0.2)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == in_order_fast([tuple(r) for r in pairs.collect()])
+
+
+def in_order_fast(rows):
+    taken, out, own = set(), set(), {}
+    for g, a, b, s in rows:
+        own.setdefault(a, []).append((-s, b, g))
+    for a in sorted(own):
+        for s, b, g in sorted(own[a]):
+            if b not in taken:
+                taken.add(b)
+                out.add((g, a, b, -s))
+                break
+    return out
+
+
 def test_roi_measures(spark):
     a = labelled(spark, disc(10, 10, 5) + disc(30, 30, 6), 8)
     assert tuple(match.roi_measures(a, a, 0.5).select("recall", "precision", "f1").first()) == (1, 1, 1)
