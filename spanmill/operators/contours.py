@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 #: Which sides of a 2 x 2 cell a contour joins, by the corners set (top left 8, top right 4, bottom right 2, bottom left 1).
-SIDES = {1: "lb", 2: "br", 3: "lr", 4: "rt", 5: "tl br", 6: "bt", 7: "lt", 8: "tl", 9: "tb", 10: "lb rt", 11: "tr", 12: "rl", 13: "rb", 14: "bl"}
+SIDES = {1: "lb", 2: "br", 3: "lr", 4: "rt", 5: "rt lb", 6: "bt", 7: "lt", 8: "tl", 9: "tb", 10: "tl br", 11: "tr", 12: "rl", 13: "rb", 14: "bl"}
 
 
 def rings(mask: np.ndarray, level: float = 0.8) -> list[np.ndarray]:

@@ -35,14 +35,19 @@ def read_scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.select(*[F.get(parts, F.lit(k)).cast("double").alias(c) for k, c in enumerate(("dice", "recall", "precision"))])
 
 
-def read_geojson(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_geojson_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """As read_geojson(), of files that hold a list of features per line."""
+    return read_geojson(spark, paths, whole=False)
+
+
+def read_geojson(spark: SparkSession, paths: str | list[str], whole: bool = True) -> DataFrame:
     """file, pos, name, parts: one row per feature; parts are the first rings of a polygon or multipolygon.
 
     Coordinates are read as text first and parsed by the geometry's type, since one schema can't
-    hold both depths. A feature without class has a null name.
+    hold both depths. A feature without class has a null name. whole: a file is one list, else each line is.
     """
     feature = "array<struct<type:string,id:string,geometry:struct<type:string,coordinates:string>,properties:struct<classification:struct<name:string,colorRGB:bigint>>>>"
-    text = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", feature).alias("f"))
+    text = spark.read.text(paths, wholetext=whole).select(F.input_file_name().alias("file"), F.from_json("value", feature).alias("f"))
     rows = text.select("file", F.posexplode("f").alias("pos", "f")).select("file", "pos", F.col("f.properties.classification.name").alias("name"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
     polygon, multi = F.from_json("c", "array<array<array<double>>>"), F.from_json("c", "array<array<array<array<double>>>>")
     parts = F.when(F.col("kind") == "MultiPolygon", F.transform(multi, lambda p: F.get(p, F.lit(0)))).otherwise(F.slice(polygon, 1, 1))
