@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanmill.operators import augment, cohort, ensemble, geometry, match, metrics, rle, sampling
+from spanmill.operators import augment, cohort, ensemble, geometry, match, metrics, regions, rle, sampling
 from spanmill.plans.session import table
 from spanmill.queries.base import CLS, M1D, PROB, R2D, RECTS, Registry, cls, hashed_unit, m1d, prob, r2d, rects, rnd
 from spanmill.queries.masks import _BCE, _lovasz_sql
@@ -30,6 +30,35 @@ def polygon_overlap_exact(spark, sf):
     return pairs.select("a", "b", rnd(geometry.overlap_area("ring_a", "ring_b")).alias("inter"))
 
 
+def _bent(x0, y0, x1, y1):
+    """The closed ring of a rectangle without its last quarter."""
+    xm, ym = (x0 + x1) / 2.0, (y0 + y1) / 2.0
+    corners = ((x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1), (x0, y0))
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners])
+
+
+_BENT = f"WITH {RECTS}, r AS (SELECT *, (x0 + x1) / 2e0 AS xm, (y0 + y1) / 2e0 AS ym, (x1 - x0) * (y1 - y0) * 0.75e0 AS area FROM rects)"
+
+
+@query(_BENT + " SELECT id, round(area + 2.5e0 * 2 * (x1 - x0 + y1 - y0) - 6.25e0 + 5 * 8 * 6.25e0 * sin(pi() / 32), 4) AS area, CAST(1 AS BIGINT) AS rings FROM r")
+def polygon_buffers(spark, sf):
+    """Concave polygons widened by 2.5, with round corners."""
+    wide = rects(spark, sf).select("id", regions.buffer(_bent(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), 2.5).alias("wide"))
+    return wide.select("id", F.round(regions.rings_area(F.col("wide")), 4).alias("area"), F.size("wide").cast("long").alias("rings"))
+
+
+@query(_BENT + """, p AS (SELECT a.id AS a, b.id AS b, a.area AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ab,
+  greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.ym, b.y1) - greatest(a.y0, b.y0), 0) + greatest(least(a.xm, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.ym, b.y0), 0) AS o
+  FROM r a JOIN r b ON a.slide = b.slide AND a.grp = 'A' AND b.grp = 'B' AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
+SELECT a, b, round(o, 4) AS overlap, round(aa + ab - o, 4) AS both, round(aa - o, 4) AS rest FROM p""")
+def polygon_clips(spark, sf):
+    """Concave polygons of A cut by those of B: areas of the rings of overlap, union and difference."""
+    bent = rects(spark, sf).select("id", _bent(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("bent"), geometry.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
+    pairs = _pairs(spark, sf).select("a", "b").join(bent.select(F.col("id").alias("a"), "bent"), "a").join(bent.select(F.col("id").alias("b"), "ring"), "b")
+    size = lambda how: F.round(regions.rings_area(regions.clip(F.col("bent"), F.col("ring"), how)), 4)
+    return pairs.select("a", "b", size("overlap").alias("overlap"), size("union").alias("both"), size("difference").alias("rest"))
+
+
 @query(f"WITH {RECTS}, b AS (SELECT slide, id, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y FROM rects WHERE grp = 'B') SELECT a.id AS a, b.id AS b FROM rects a JOIN b USING (slide) WHERE grp = 'A' AND sqrt(greatest(a.x0 - x, 0, x - a.x1) ** 2 + greatest(a.y0 - y, 0, y - a.y1) ** 2) <= 15.03")
 def polygon_buffer_contains(spark, sf):
     """Centres of B's objects inside A's objects widened by 15.03."""
