@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanmill.operators import components, outlines
+from spanmill.operators import components, outlines, rle
 from spanmill.plans.session import shared_path
 from spanmill.queries.base import R2D, Registry, r2d
-from spanmill.sources import arrays, files, tiff
+from spanmill.sources import arrays, files, images, tiff
 
 _r = Registry()
 QUERIES, SQL = _r.queries, _r.sql
@@ -73,3 +73,12 @@ def contour_features(spark, sf):
     end = lambda f, k: f(F.transform(ring, lambda p: p[k])).cast("long")
     read = files.read_geojson_lines(spark, path)
     return read.select(end(F.array_min, "x").alias("x0"), end(F.array_max, "x").alias("x1"), end(F.array_min, "y").alias("y0"), end(F.array_max, "y").alias("y1"), F.size(ring).cast("long").alias("points"))
+
+
+@query(f"WITH {R2D}, m AS (SELECT *, CASE WHEN mask = 1 AND y % 9 > 0 THEN 1 + val % 3 ELSE 0 END AS v FROM r2d), g AS (SELECT *, x - row_number() OVER (PARTITION BY slide, y, v ORDER BY x) AS g FROM m WHERE v > 0) SELECT 's' || slide AS name, h, w, CAST(y AS INT) AS y, CAST(min(x) AS INT) AS lo, CAST(max(x) + 1 AS INT) AS hi, CAST(v AS INT) AS v FROM g GROUP BY slide, h, w, y, v, g")
+def mask_images(spark, sf):
+    """Masks of three classes written as images into archives, and read back as runs."""
+    px = r2d(spark, sf).withColumn("v", F.when((F.col("mask") == 1) & (F.col("y") % 9 > 0), 1 + F.col("val") % 3).otherwise(0)).withColumn("name", F.concat(F.lit("s"), F.col("slide").cast("string")))
+    runs = rle.encode_spans(px.filter("v > 0").select("name", "y", "v", "x"), ["name", "y", "v"], "x")
+    images.write_masks(runs, px.select("name", "h", "w").distinct(), path := shared_path(spark, "images"), archives=4)
+    return images.read_masks(spark, path).filter("y IS NOT NULL")
