@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.operators import flood
 from spanmill.operators.graph import connected
 from spanmill.operators.rle import encode_spans
 from spanmill.operators.scan import running
@@ -106,9 +109,19 @@ def relabelled(labelled: DataFrame) -> DataFrame:
     return labelled.join(named, (F.col("slide") == F.col("__s")) & (F.col("label") == F.col("__l"))).select("slide", "x", "lo", "hi", F.col("number").alias("label"))
 
 
-def label_mask(mask: DataFrame, sizes: DataFrame, min_pixel: int = 1, exclude_border: bool = False) -> DataFrame:
-    """slide, x, lo, hi, label (1 .. n): 8-connected components of min_pixel or more pixels, those at the border left out if asked."""
+def label_mask(mask: DataFrame, sizes: DataFrame, min_pixel: int = 1, exclude_border: bool = False, do_watershed: bool = False) -> DataFrame:
+    """slide, x, lo, hi, label (1 .. n): 8-connected components of min_pixel or more pixels, those at the border left out if asked.
+
+    do_watershed: components are split at their waists first, with markers as far apart as the radius of a disc of min_pixel.
+    """
     found = label_runs(column_runs(mask), 8)
+    if do_watershed:
+        numbered = label_pixels(found).withColumn("label", F.xxhash64("label"))
+        parts = flood.watershed(numbered, sizes, math.ceil(math.sqrt(min_pixel / math.pi)))
+        spans = encode_spans(parts.select("slide", "part", "x", "y"), ["slide", "part", "x"], "y")
+        # named as runs are: by the least run of each part
+        least = spans.groupBy("slide", "part").agg(F.min(F.struct("x", "lo")).alias("label"))
+        found = spans.join(least, ["slide", "part"]).select("slide", "x", "lo", "hi", "label")
     if exclude_border:
         found = without_border(found, sizes)
     if min_pixel > 1:

@@ -153,6 +153,14 @@ def hausdorff_rows(spark, sf):
     return far.select("slide", rnd(F.col("distance")).alias("distance"))
 
 
+@query()
+def label_mask_watershed(spark, sf):
+    """Labelled masks whose components are split at their waists; an iteration, so without SQL: tests compare it with one flood of a whole image."""
+    px = r2d(spark, sf)
+    labelled = components.label_mask(px.filter("val % 5 > 0"), slides(spark, sf), 12, do_watershed=True)
+    return labelled.groupBy("slide", "label").agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("area"))
+
+
 @query(f"WITH {R2D} SELECT slide, {_PLACES}, CAST(k AS INT) AS cls, CAST(val % 4 = k AS INT) AS hot FROM r2d, range(4) AS r(k)")
 def one_hot_planes(spark, sf):
     return _places(grid.one_hot(r2d(spark, sf).withColumn("label", F.col("val") % 4), "label", 4), "cls", "hot")
