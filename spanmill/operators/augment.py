@@ -31,6 +31,59 @@ def wave(places: DataFrame, seed: int, amplitude: float, period: float) -> DataF
     return places.withColumn("dy", amplitude * F.sin(F.col("x") * (2 * math.pi / period) + phase(0))).withColumn("dx", amplitude * F.sin(F.col("y") * (2 * math.pi / period) + phase(1)))
 
 
+def normal(seed: int, *keys: str | Column) -> Column:
+    """A pseudorandom normal number of keys and a seed, of two of unit()."""
+    return F.sqrt(-2 * F.log(1 - unit(seed, *keys))) * F.cos(2 * math.pi * unit(seed + 1, *keys))
+
+
+def elastic(places: DataFrame, step: int, sigma: float, seed: int, degrees: float = 0.0, vertical: bool = False, horizontal: bool = False) -> DataFrame:
+    """places (slide, y, x, h, w) with fy, fx: where each looks after a turn about the middle, mirroring and a smooth displacement, in one field.
+
+    Displacements are normal numbers of deviation sigma on a lattice of the given step, the same for equal slide, seed and node, and cubic
+    B-splines of the 16 nodes around a place; smooth to the second derivative. A cell's nodes are made once and
+    joined to its places.
+    """
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    celled = places.withColumn("__i", F.floor(F.col("y") / step)).withColumn("__j", F.floor(F.col("x") / step))
+    cells = celled.select("slide", "__i", "__j").distinct()
+
+    def nodes(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda n: sigma * normal(seed + k, F.col("slide"), F.col("__i") - 1 + F.floor(n / 4), F.col("__j") - 1 + n % 4))
+
+    cells = cells.select("*", nodes(0).alias("__ny"), nodes(2).alias("__nx"))
+    met = celled.join(cells, ["slide", "__i", "__j"])
+
+    def splines(at: str, cell: str) -> list[Column]:
+        t = F.col(at) / float(step) - F.col(cell)
+        u = 1 - t
+        return [u * u * u / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (3 * u * u * u - 6 * u * u + 4) / 6, t * t * t / 6]
+
+    a, b = splines("y", "__i"), splines("x", "__j")
+
+    def moved(nodes: str) -> Column:
+        rows = [sum((b[n] * F.get(nodes, F.lit(4 * m + n)) for n in range(1, 4)), b[0] * F.get(nodes, F.lit(4 * m))) for m in range(4)]
+        return sum((a[m] * rows[m] for m in range(1, 4)), a[0] * rows[0])
+
+    cy, cx = (F.col("h") - 1) / 2.0, (F.col("w") - 1) / 2.0
+    y, x = F.col("y") - cy, F.col("x") - cx
+    turned_y, turned_x = (y * c + x * s) * (-1 if vertical else 1), (x * c - y * s) * (-1 if horizontal else 1)
+    return met.withColumn("fy", cy + turned_y + moved("__ny")).withColumn("fx", cx + turned_x + moved("__nx")).drop("__i", "__j", "__ny", "__nx")
+
+
+def sampled_reflected(px: DataFrame, at: DataFrame, value: str) -> DataFrame:
+    """slide, y, x, value of places (slide, y, x, h, w, fy, fx): the mean of the four pixels around (fy, fx) by nearness, the image mirrored at its edges."""
+
+    def ends(f: str, n: str) -> Column:
+        low, part = F.floor(f).cast("long"), F.col(f) - F.floor(f)
+        back = lambda k: F.least(F.pmod(k, 2 * F.col(n)), 2 * F.col(n) - 1 - F.pmod(k, 2 * F.col(n))).cast("long")
+        return F.array(F.struct(back(low).alias("at"), (1 - part).alias("w")), F.struct(back(low + 1).alias("at"), part.alias("w")))
+
+    four = at.select("slide", F.col("y").alias("__y"), F.col("x").alias("__x"), F.explode(ends("fy", "h")).alias("a"), ends("fx", "w").alias("b")).select("slide", "__y", "__x", "a", F.explode("b").alias("b"))
+    four = four.select("slide", "__y", "__x", F.col("a.at").alias("y"), F.col("b.at").alias("x"), (F.col("a.w") * F.col("b.w")).alias("__w"))
+    pixels = px.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), value)
+    return four.join(pixels, ["slide", "y", "x"]).groupBy("slide", F.col("__y").alias("y"), F.col("__x").alias("x")).agg(F.sum(F.col("__w") * F.col(value)).alias(value))
+
+
 def partners(items: DataFrame, key: str, seed: int) -> DataFrame:
     """key, partner: each item and the next by a hash, the last with the first: a derangement of two or more items."""
     from spanmill.operators.sampling import numbered

@@ -277,6 +277,30 @@ def rle_table_objects(spark, sf):
     return stats.select("slide", F.col("area").cast("long").alias("area"), F.col("left").alias("lft"), F.col("top").cast("long").alias("top"), "width", F.col("height").cast("long").alias("height"), rnd(F.col("cy")).alias("cy"), rnd(F.col("cx")).alias("cx"))
 
 
+def _spline(t: str) -> str:
+    return f"list_value((1 - {t}) ** 3 / 6, (3 * {t} ** 3 - 6 * {t} ** 2 + 4) / 6, (3 * (1 - {t}) ** 3 - 6 * (1 - {t}) ** 2 + 4) / 6, {t} ** 3 / 6)"
+
+
+def _normal(seed: int) -> str:
+    return f"sqrt(-2 * ln(1 - {hashed_unit(seed, 'slide', 'i', 'j')})) * cos(2 * pi() * {hashed_unit(seed + 1, 'slide', 'i', 'j')})"
+
+
+@query(f"""WITH {R2D}, n AS (SELECT slide, i, j, 1.5e0 * {_normal(21)} AS ny, 1.5e0 * {_normal(23)} AS nx FROM (SELECT DISTINCT slide FROM r2d), range(-1, 6) AS a(i), range(-1, 6) AS b(j)),
+  p AS (SELECT *, {_spline('(y / 8e0 - y // 8)')} AS sy, {_spline('(x / 8e0 - x // 8)')} AS sx FROM r2d),
+  d AS (SELECT p.slide, p.y, p.x, any_value(h) AS h, any_value(w) AS w, sum(sy[i - y // 8 + 2] * sx[j - x // 8 + 2] * ny) AS dy, sum(sy[i - y // 8 + 2] * sx[j - x // 8 + 2] * nx) AS dx
+    FROM p JOIN n ON n.slide = p.slide AND i BETWEEN y // 8 - 1 AND y // 8 + 2 AND j BETWEEN x // 8 - 1 AND x // 8 + 2 GROUP BY 1, 2, 3),
+  f AS (SELECT slide, y, x, h, w, (h - 1) / 2e0 + (y - (h - 1) / 2e0) * cos(radians(20)) + (x - (w - 1) / 2e0) * sin(radians(20)) + dy AS fy,
+    (w - 1) / 2e0 - ((x - (w - 1) / 2e0) * cos(radians(20)) - (y - (h - 1) / 2e0) * sin(radians(20))) + dx AS fx FROM d),
+  q AS (SELECT slide, y, x, (CASE a WHEN 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE b WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS wt,
+    ((CAST(floor(fy) AS BIGINT) + a) % (2 * h) + 2 * h) % (2 * h) AS my, ((CAST(floor(fx) AS BIGINT) + b) % (2 * w) + 2 * w) % (2 * w) AS mx, h, w FROM f, range(2) AS u(a), range(2) AS v(b))
+SELECT q.slide, CAST(q.y AS BIGINT) AS y, CAST(q.x AS BIGINT) AS x, round(sum(wt * r.val), 3) AS val FROM q JOIN r2d r ON r.slide = q.slide AND r.y = least(my, 2 * q.h - 1 - my) AND r.x = least(mx, 2 * q.w - 1 - mx) GROUP BY 1, 2, 3""")
+def elastic_deformation(spark, sf):
+    """Rasters turned by 20 degrees, mirrored and displaced by splines over hashed nodes, in one field; edges reflect."""
+    px = r2d(spark, sf)
+    field = augment.elastic(px.select("slide", "y", "x", "h", "w"), 8, 1.5, 21, degrees=20.0, horizontal=True)
+    return _places(augment.sampled_reflected(px, field, "val"), F.round("val", 3).alias("val"))
+
+
 @query(f"WITH {R2D}, f AS (SELECT slide, y, x, y + 1.5 * sin(x * (2 * pi() / 9) + 2 * pi() * {hashed_unit(3, 'slide')}) AS fy, x + 1.5 * sin(y * (2 * pi() / 9) + 2 * pi() * {hashed_unit(4, 'slide')}) AS fx FROM r2d) SELECT f.slide, CAST(f.y AS BIGINT) AS y, CAST(f.x AS BIGINT) AS x, round(coalesce(sum((1 - abs(fy - b.y)) * (1 - abs(fx - b.x)) * b.val), 0), 4) AS val FROM f LEFT JOIN r2d b ON b.slide = f.slide AND abs(fy - b.y) < 1 AND abs(fx - b.x) < 1 GROUP BY 1, 2, 3")
 def remap_wave(spark, sf):
     """A smooth displacement of its own for each slide, linear between pixels."""

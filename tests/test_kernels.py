@@ -145,3 +145,21 @@ def test_least_of_part():
                 want[i] = want[j] = min(want[i], want[j])
         assert components._least_of_part(n, a, b).tolist() == want
 
+
+
+def test_elastic_fields_are_smooth_and_repeat(spark):
+    places = spark.range(60 * 60).select(F.lit("a").alias("slide"), F.floor(F.col("id") / 60).alias("y"), (F.col("id") % 60).alias("x"), F.lit(60).alias("h"), F.lit(60).alias("w"))
+    grid = {}
+    for seed in (1, 1, 2):
+        rows = augment.elastic(places, 15, 4.0, seed).collect()
+        field = np.zeros((2, 60, 60))
+        for r in rows:
+            field[:, r["y"], r["x"]] = r["fy"] - r["y"], r["fx"] - r["x"]
+        grid.setdefault(seed, []).append(field)
+    assert (grid[1][0] == grid[1][1]).all() and np.abs(grid[1][0] - grid[2][0]).max() > 1
+    assert 0.5 < grid[1][0].std() < 4 and np.abs(np.diff(grid[1][0], axis=1)).max() < 1.5
+    # also across the cells of the lattice: second differences stay as small as within
+    second = np.abs(np.diff(grid[1][0], n=2, axis=1)).max(axis=(0, 2))
+    assert second[13:16].max() < 2 * second.max()
+    plain = augment.elastic(places, 15, 0.0, 1, degrees=90.0, vertical=True).filter("y = 10 AND x = 7").first()
+    assert (plain["fy"], plain["fx"]) == (pytest.approx(29.5 - (7 - 29.5)), pytest.approx(29.5 - (10 - 29.5)))
