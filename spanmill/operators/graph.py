@@ -11,22 +11,32 @@ from spanmill.plans.session import cut, drop
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, part: the least node that each node of the links is joined with, directly or not.
 
-    Nodes pass on the least node they know and then take what that one knows, so rounds grow with
-    the logarithm of the longest chain. State is written each round, and the last round's deleted.
+    Large stars and small stars by turns: a node's greater neighbours are linked to the least node it knows, then it and its
+    lesser ones are, till nothing changes. Each step is one grouping and one join on the node itself, so that no part, however large, is one
+    task's at its root; parts become stars in about as many rounds as the logarithm of their nodes. State is written each
+    step, and past steps' deleted. Links with a null end are left out; a node linked to itself only is its own part.
     """
     spark, links, past = edges.sparkSession, [], []
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links", links)
-    state = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("part")), "parts", past)
+    ends = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna(), "links", links)
+    own = lambda rows: rows.filter("u <> v").distinct()
+    state = cut(own(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "stars", past)
+    seen = None
     while True:
-        near = both.join(state.select(F.col("node").alias("v"), F.col("part").alias("p")), "v").groupBy(F.col("u").alias("node")).agg(F.min("p").alias("p"))
-        least = state.join(near, "node").select("node", F.least("part", "p").alias("low"), "part")
-        known = state.select(F.col("node").alias("low"), F.col("part").alias("root"))
-        own: list[str] = []
-        new = cut(least.join(known, "low").select("node", F.least("low", "root").alias("part"), F.col("part").alias("was")), "parts", own)
+        now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+        if now == seen:
+            break
+        seen = now
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(own(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))), "stars", past)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        held: list[str] = []
+        state = cut(own(small), "stars", held)
         drop(spark, past)
-        past, done = own, new.filter("part <> was").isEmpty()
-        state = new.select("node", "part")
-        if done:
-            drop(spark, links)
-            return state
+        past = held
+    nodes = ends.select(F.col("u").alias("node")).unionByName(ends.select(F.col("v").alias("node"))).distinct()
+    roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
+    drop(spark, past + links)
+    return out

@@ -161,6 +161,19 @@ def test_optimal_and_greedy_match(spark):
     assert greedy == {(1, 10)}
 
 
+def test_connected_parts(spark):
+    """A long chain, a star of many, a ring, a node linked to itself, nulls and repeats."""
+    from spanmill.operators.graph import connected
+
+    chain = [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(120)]
+    rows = chain + [("m500", f"m{k}") for k in range(300)] + [(f"r{k}", f"r{(k + 1) % 7}") for k in range(7)] + [("alone", "alone"), (None, "x"), ("y", None)] + chain[:20]
+    random.Random(1).shuffle(rows)
+    got = {r["node"]: r["part"] for r in connected(spark.createDataFrame(rows, "a string, b string")).collect()}
+    want = {f"c{k:03d}": "c000" for k in range(121)} | {"m500": "m0"} | {f"m{k}": "m0" for k in range(300)} | {f"r{k}": "r0" for k in range(7)} | {"alone": "alone"}
+    assert got == want
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def in_order(rows, least):
     taken, out = set(), set()
     for key in sorted({(g, a) for g, a, _, _ in rows}):
