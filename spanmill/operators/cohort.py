@@ -58,8 +58,18 @@ def nearest_rank(rows: DataFrame, keys: list[str], c: str, percents: list[int])
     may be numbered in any order.
     """
     ranked = running(rows.filter(F.col(c).isNotNull()).select(*keys, F.col(c).alias("value")), keys, ["value"], {"k": F.lit(1).cast("long")})
-    wanted = ranked.select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("p"))
-    return wanted.filter(F.col("k") - 1 == F.least(F.floor(F.col("all_k") * F.col("p") / 100), F.col("all_k") - 1)).select(*keys, F.col("p").cast("long").alias("p"), "value")
+    place = lambda p: F.least(F.floor(F.col("all_k") * p / 100), F.col("all_k") - 1)
+    # the few rows wanted first, so that no other is multiplied
+    few = ranked.filter(_any([F.col("k") - 1 == place(F.lit(p)) for p in percents])) if percents else ranked.limit(0)
+    wanted = few.select("*", F.explode(F.array(*[F.lit(p) for p in percents]).cast("array<int>")).alias("p"))
+    return wanted.filter(F.col("k") - 1 == place(F.col("p"))).select(*keys, F.col("p").cast("long").alias("p"), "value")
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def is_named(name: Column, wanted: str, exact: bool = True) -> Column:
@@ -87,7 +97,9 @@ def suffix_join(images: DataFrame, masks: DataFrame, image: str, mask: str) -> D
 def quantiles(rows: DataFrame, keys: list[str], c: str, shares: list[float]) -> DataFrame:
     """keys, q1, q2 ...: quantiles of non-null values, linear between neighbours, by numbers over ranges: no task has a group's values."""
     ranked = running(rows.filter(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("__v")), keys, ["__v"], {"__k": F.lit(1).cast("long")})
-    wanted = ranked.withColumn("__q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(shares, 1)])))
+    span = F.col("all___k") - 1
+    few = ranked.filter(_any([(F.col("__k") - 1 == f(span * F.lit(p))) for p in shares for f in (F.floor, F.ceil)]))
+    wanted = few.withColumn("__q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(shares, 1)])))
     at, k = (F.col("all___k") - 1) * F.col("__q.p"), F.col("__k") - 1
     near = wanted.filter((k == F.floor(at)) | (k == F.ceil(at)))
     low, high = F.max(F.when(k == F.floor(at), F.col("__v"))), F.max(F.when(k == F.ceil(at), F.col("__v")))

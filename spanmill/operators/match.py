@@ -31,6 +31,15 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: int, keys: list[str]) -> DataFra
     return met.filter(own).drop("__cx", "__cy")
 
 
+def overlapping(a: DataFrame, b: DataFrame, cell: int, keys: list[str], name: str = "id") -> DataFrame:
+    """keys and name of the boxes of a (x0, y0, x1, y1) that any box of b overlaps: a semi-join on grid cells, which makes no pairs."""
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell)))
+    box = lambda df, p: df.withColumn("__cx", cells("x0", "x1")).withColumn("__cy", cells("y0", "y1")).select(*[F.col(c).alias(f"{p}{c}") for c in (*keys, "__cx", "__cy", "x0", "y0", "x1", "y1")], *([name] if p == "a_" else []))
+    left, right = box(a, "a_"), box(b, "b_")
+    on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in (*keys, "__cx", "__cy")] + [F.col("a_x0") < F.col("b_x1"), F.col("b_x0") < F.col("a_x1"), F.col("a_y0") < F.col("b_y1"), F.col("b_y0") < F.col("a_y1")]
+    return left.join(right, on, "left_semi").select(*[F.col(f"a_{k}").alias(k) for k in keys], name).distinct()
+
+
 def near_pairs(a: DataFrame, b: DataFrame, radius: int, keys: list[str]) -> DataFrame:
     """Pairs of points (x, y; columns a_*, b_*) at most `radius` apart: b stands in its cell, a looks at nine."""
     named = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys])

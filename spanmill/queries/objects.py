@@ -39,7 +39,9 @@ def best_match(spark, sf):
 
 @query(f"WITH {RECTS} SELECT id FROM rects r WHERE grp = 'A' AND EXISTS (SELECT 1 FROM rects b WHERE b.grp = 'B' AND b.slide = r.slide AND r.x0 < b.x1 AND b.x0 < r.x1 AND r.y0 < b.y1 AND b.y0 < r.y1)")
 def spatial_semi_join(spark, sf):
-    return _pairs(spark, sf).select(F.col("a").alias("id")).distinct()
+    """A's objects that any of B's overlaps."""
+    r = rects(spark, sf)
+    return match.overlapping(r.filter("grp = 'A'"), r.filter("grp = 'B'"), 128, ["slide"]).select("id")
 
 
 @query(f"WITH {RECTS}, c AS (SELECT slide, grp, id, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y FROM rects) SELECT a.id AS a, b.id AS b, round(power(a.x - b.x, 2) + power(a.y - b.y, 2), 3) AS d2 FROM c a JOIN c b ON a.slide = b.slide AND a.grp = 'A' AND b.grp = 'B' WHERE power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 10000")
@@ -114,7 +116,7 @@ def min_size_vs_average(spark, sf):
     return r.filter(size > least).groupBy("slide", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {RECTS} SELECT slide, sum(CASE WHEN grp = 'A' THEN 1 ELSE 0 END) - sum(CASE WHEN grp = 'B' THEN 1 ELSE 0 END) AS missed_, count(*) AS n FROM rects GROUP BY slide".replace("SELECT slide, sum(", "SELECT slide, CAST(sum(").replace(" AS missed_", " AS BIGINT) AS missed"))
+@query(f"WITH {RECTS} SELECT slide, CAST(sum(CASE WHEN grp = 'A' THEN 1 ELSE 0 END) - sum(CASE WHEN grp = 'B' THEN 1 ELSE 0 END) AS BIGINT) AS missed, count(*) AS n FROM rects GROUP BY slide")
 def count_difference(spark, sf):
     n = lambda g: F.count_if(F.col("grp") == g)
     return rects(spark, sf).groupBy("slide").agg((n("A") - n("B")).alias("missed"), F.count(F.lit(1)).alias("n"))
