@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,30 @@ def default_data_dir(sf: str = "0.001") -> str:
     return os.environ.get("SPANMILL_DATA", f"/root/testdata/sf{sf}")
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+def note(path: str) -> str:
+    """A path that cleaned() is to delete, where one is open."""
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What operators write to the shared folder within is deleted at the end: results are to be written or collected before.
+
+    Operators delete what they don't need any more themselves; what their results are read from stays, as nobody else knows when they were.
+    """
+    mark = _noted.set([])
+    try:
+        yield
+    finally:
+        drop(spark, _noted.get())
+        _noted.reset(mark)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; in a local session without one, in a temporary folder.
 
@@ -44,7 +71,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/spanmill-{name}-{uuid.uuid4().hex}"
+    return note(f"{base.rstrip('/')}/spanmill-{name}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame, name: str = "cut", held: list[str] | None = None) -> DataFrame:

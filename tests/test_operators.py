@@ -161,6 +161,20 @@ def test_optimal_and_greedy_match(spark):
     assert greedy == {(1, 10)}
 
 
+def test_scratch_is_cleaned(spark, monkeypatch, tmp_path):
+    """Nothing stays in the shared folder once the rows of a query have been read."""
+    from spanmill.plans import session
+    from spanmill.queries import QUERIES
+    from tests.compare import DATA
+
+    monkeypatch.setattr(session.tempfile, "gettempdir", lambda: str(tmp_path))
+    with session.cleaned(spark):
+        for name in ("tiff_window", "object_match_greedy", "contours_all", "cohort_quartiles"):
+            assert QUERIES[name](spark, DATA).count() > 0
+        assert list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
+
+
 def test_connected_parts(spark):
     """A long chain, a star of many, a ring, a node linked to itself, nulls and repeats."""
     from spanmill.operators.graph import connected
@@ -383,6 +397,20 @@ def test_running_sums_over_ranges(spark):
         assert (r["s"], r["n"], r["all_s"], r["all_n"]) == (sum(upto), len(upto), sum(own), len(own))
 
 
+def test_scratch_is_cleaned(spark, monkeypatch, tmp_path):
+    """Nothing stays in the shared folder once the rows of a query have been read."""
+    from spanmill.plans import session
+    from spanmill.queries import QUERIES
+    from tests.compare import DATA
+
+    monkeypatch.setattr(session.tempfile, "gettempdir", lambda: str(tmp_path))
+    with session.cleaned(spark):
+        for name in ("tiff_window", "object_match_greedy", "contours_all", "cohort_quartiles"):
+            assert QUERIES[name](spark, DATA).count() > 0
+        assert list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
+
+
 def test_connected_parts(spark):
     from spanmill.operators.graph import connected
 
