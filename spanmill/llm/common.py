@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanmill.plans.session import note
+
 #: Rows of a batch whose texts are Python objects at one time.
 SLICE_ROWS = 64
 
@@ -43,8 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what stays there is deleted by session.cleaned(), where one is open."""
+    return note(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:

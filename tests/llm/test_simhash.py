@@ -136,6 +136,20 @@ def test_components_of_hot_copies_and_empty(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_scratch_is_cleaned(spark):
+    import os
+
+    from spanmill.llm.common import shared_dir
+    from spanmill.plans.session import cleaned
+
+    here = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(here))
+    with cleaned(spark):
+        assert simhash.simhash_components(spark.createDataFrame([(1, "a b c d"), (2, "a b c d")], "doc_id long, text string")).count() == 2
+        assert set(os.listdir(here)) != before
+    assert set(os.listdir(here)) == before
+
+
 def test_whole_table_by_brute_force(spark):
     """All documents of the smallest test data, compared with each other."""
     from spanmill.llm.queries import QUERIES
