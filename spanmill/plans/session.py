@@ -74,6 +74,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return note(f"{base.rstrip('/')}/spanmill-{name}-{uuid.uuid4().hex}")
 
 
+def address(spark: SparkSession, path: str) -> str:
+    """A path that means the same to Spark and to tasks that open files themselves: with the default file system's name, unless that is local."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return path if whole.startswith("file:") else whole
+
+
 def cut(df: DataFrame, name: str = "cut", held: list[str] | None = None) -> DataFrame:
     """df written as Parquet in the shared folder, and read again.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from spanmill.plans.session import cut, drop
+from spanmill.plans.session import address, cut, drop
 
 #: Bytes of chunks, unpacked, in a partition.
 PARTITION_BYTES = 32 << 20
@@ -187,7 +187,7 @@ def read_arrays(spark: SparkSession, path: str, array: str | None = None, y0: in
     """
     spark.dataSource.register(ArraySource)
     options = {k: v for k, v in (("array", array), ("y0", y0), ("x0", x0), ("height", height), ("width", width), ("partitionBytes", partition_bytes)) if v is not None}
-    return spark.read.format("arrays").options(**options).load(path)
+    return spark.read.format("arrays").options(**options).load(address(spark, path))
 
 
 def array_cells(chunks: DataFrame) -> DataFrame:
@@ -205,6 +205,7 @@ def write_arrays(cells: DataFrame, path: str, chunk: int | tuple[int, int] = 512
     meet in one task, an array's don't. No metadata are written before all chunks are.
     """
     spark, held = cells.sparkSession, []
+    path = address(spark, path)
     ch, cw = (chunk, chunk) if isinstance(chunk, int) else chunk
     at = cells.select("array", F.floor(F.col("y") / ch).alias("cy"), F.floor(F.col("x") / cw).alias("cx"), (F.col("y") % ch).cast("int").alias("dy"), (F.col("x") % cw).cast("int").alias("dx"), F.coalesce(F.col("v").cast("double"), F.lit(float(fill))).alias("v"))
     grouped = at.groupBy("array", "cy", "cx").agg(F.sort_array(F.collect_list(F.struct((F.col("dy") * cw + F.col("dx")).alias("at"), "v"))).alias("px"), F.max("dy").alias("dy"), F.max("dx").alias("dx"))

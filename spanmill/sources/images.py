@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from spanmill.plans.session import address
 from spanmill.sources.arrays import _store
 from spanmill.sources.tiff import opened
 
@@ -170,7 +171,7 @@ def write_masks(runs: DataFrame, sizes: DataFrame, path: str, archives: int | No
     inside = F.col("runs").isNull() | ((F.col("y") >= 0) & (F.col("y") < F.col("h")) & F.forall("runs", lambda r: (r["lo"] >= 0) & (r["lo"] < r["hi"]) & (r["hi"] <= F.col("w")) & r["v"].between(1, 255)))
     fine = F.when(F.coalesce(inside, F.lit(False)), F.col("runs")).otherwise(F.raise_error(F.concat(F.lit("runs outside of the image "), F.col("name"))).cast("array<struct<lo: int, hi: int, v: int>>"))
     n = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.withColumn("runs", fine).repartition(n, "name").sortWithinPartitions("name", "y").write.format("masks").mode("append").save(path)
+    rows.withColumn("runs", fine).repartition(n, "name").sortWithinPartitions("name", "y").write.format("masks").mode("append").save(address(spark, path))
 
 
 def unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -229,6 +230,7 @@ def read_masks(spark: SparkSession, path: str) -> DataFrame:
 
     An archive is one task's, which holds a row of pixels of it. Members that aren't images are left out.
     """
+    path = address(spark, path)
     fs, base = _store(path)
     prefix = path.rstrip("/")
     found = sorted(prefix + i.path[len(base) :] for i in fs.get_file_info(pyarrow.fs.FileSelector(base, recursive=True)) if i.path.endswith(".zip") and not i.base_name.startswith("."))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from spanmill.plans.session import cut, drop
+from spanmill.plans.session import address, cut, drop
 
 # The tags read, the sizes of field types, and the codes of compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS, STRIP_COUNTS, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
@@ -329,7 +329,7 @@ def read_tiff(spark: SparkSession, path: str, y0: int = 0, x0: int = 0, height:
     """
     spark.dataSource.register(TiffSource)
     options = {k: v for k, v in (("y0", y0), ("x0", x0), ("height", height), ("width", width), ("page", page), ("partitionBytes", partition_bytes)) if v is not None}
-    return spark.read.format("tiff").options(**options).load(path)
+    return spark.read.format("tiff").options(**options).load(address(spark, path))
 
 
 def tiff_pixels(tiles: DataFrame) -> DataFrame:
@@ -414,7 +414,7 @@ def write_tiffs(px: DataFrame, path: str, bands: list[str], tile: int = 256, bit
     own name when whole: a task that runs again changes nothing. Names must be fit for files. No pixels: no file.
     """
     spark, held = px.sparkSession, []
-    samples = len(bands)
+    path, samples = address(spark, path), len(bands)
     values = F.struct(*[F.coalesce(F.col(b), F.lit(0)).cast("int").alias(f"b{k}") for k, b in enumerate(bands)])
     at = px.select(F.col(name).cast("string").alias("name"), F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"), (F.col("y") % tile).cast("int").alias("dy"), (F.col("x") % tile).cast("int").alias("dx"), values.alias("v"))
     grouped = at.groupBy("name", "ty", "tx").agg(F.sort_array(F.collect_list(F.struct((F.col("dy") * tile + F.col("dx")).alias("at"), "v"))).alias("px"), F.max("dy").alias("dy"), F.max("dx").alias("dx"))
