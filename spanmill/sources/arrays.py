@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from spanmill.plans.session import address, cut, drop
+from spanmill.sources.tiff import OPENING, Several, bundled
 
 #: Bytes of chunks, unpacked, in a partition.
 PARTITION_BYTES = 32 << 20
@@ -131,7 +132,7 @@ class ArrayReader(DataSourceReader):
         self.only = options.get("array")
         self.most = int(options.get("partitionbytes", PARTITION_BYTES))
 
-    def partitions(self) -> list[Chunks]:
+    def partitions(self) -> list[InputPartition]:
         fs, base = _store(self.path)
         out = []
         for name, own in arrays_at(fs, base):
@@ -143,11 +144,15 @@ class ArrayReader(DataSourceReader):
             n = max(rows[1] - rows[0], 0) * max(columns[1] - columns[0], 0)
             step = max(self.most // (own.chunks[0] * own.chunks[1] * np.dtype(own.kind).itemsize), 1)
             out += [Chunks(name, own, rows, columns, k, min(k + step, n)) for k in range(0, n, step)]
-        return out
+        size = lambda p: (p.last - p.first) * (p.layout.chunks[0] * p.layout.chunks[1] * np.dtype(p.layout.kind).itemsize + OPENING)
+        return bundled(out, size, self.most)
 
-    def read(self, partition: Chunks | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # there are none: the window meets nothing
-            return
+    def read(self, partition: Chunks | Several | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # else there are none: the window meets nothing
+            for part in partition.parts if isinstance(partition, Several) else [partition]:
+                yield from self._read(part)
+
+    def _read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         fs, base = _store(self.path)
         own, (wy, wx, wh, ww) = partition.layout, self.window
         folder = f"{base}/{partition.array}".rstrip("/")

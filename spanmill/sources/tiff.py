@@ -13,7 +13,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -35,6 +35,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
 CODES = {"none": NONE, "lzw": LZW, "deflate": DEFLATE}
 #: Bytes of tiles in a partition, and files whose directories are read at once.
 PARTITION_BYTES, PLANNERS = 8 << 20, 16
+#: Bytes that could be read in the time it takes to open a file.
+OPENING = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -214,6 +216,27 @@ class Tiles(InputPartition):
     tiles: list[tuple[int, int, int]]
 
 
+@dataclass
+class Several(InputPartition):
+    """Small partitions, as of many small files, that one task reads one after another."""
+
+    parts: list[InputPartition]
+
+
+def bundled(parts: list[InputPartition], size: Callable[[InputPartition], int], most: int) -> list[InputPartition]:
+    """Partitions of about `most` bytes, of neighbouring ones that are smaller."""
+    out: list[InputPartition] = []
+    own, held = [], 0
+    for p in [*parts, None]:
+        if own and (p is None or held + size(p) > most):
+            out.append(own[0] if len(own) == 1 else Several(own))
+            own, held = [], 0
+        if p is not None:
+            own.append(p)
+            held += size(p)
+    return out
+
+
 def _files(path: str) -> list[str]:
     """The TIFF files at a path, a file or a folder looked through; names as the path has them."""
     fs, base = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
@@ -244,9 +267,10 @@ class TiffReader(DataSourceReader):
         self.page = int(self.options["page"]) if "page" in self.options else None
         self.most = int(self.options.get("partitionbytes", PARTITION_BYTES))
 
-    def partitions(self) -> list[Tiles]:
+    def partitions(self) -> list[InputPartition]:
         with ThreadPoolExecutor(PLANNERS) as pool:
-            return [p for own in pool.map(self._planned, _files(self.options["path"])) for p in own]
+            planned = [p for own in pool.map(self._planned, _files(self.options["path"])) for p in own]
+        return bundled(planned, lambda p: sum(n for _, _, n in p.tiles) + OPENING, self.most)
 
     def _planned(self, path: str) -> list[Tiles]:
         """Partitions of one file: the tiles that the window meets, by offset, some bytes together."""
@@ -277,9 +301,12 @@ class TiffReader(DataSourceReader):
                 for x in xs:
                     yield (plane * d.down + y) * d.across + x
 
-    def read(self, partition: Tiles | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # there are none: the window meets nothing
-            return
+    def read(self, partition: Tiles | Several | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # else there are none: the window meets nothing
+            for part in partition.parts if isinstance(partition, Several) else [partition]:
+                yield from self._read(part)
+
+    def _read(self, partition: Tiles) -> Iterator[pa.RecordBatch]:
         d, (wy, wx, wh, ww) = partition.directory, self.window
         with opened(partition.path) as f:
             for number, offset, count in partition.tiles:

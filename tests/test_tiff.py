@@ -93,6 +93,9 @@ def test_written_files_come_back(spark, tmp_path, compression, predictor, bits):
     px = r2d(spark, DATA).filter("slide < 4").select("slide", "y", "x", F.col("mask" if bits == 1 else "val").alias("v"), "val")
     made = tiff.write_tiffs(px, str(tmp_path / "out"), ["v"], tile=16, bits=bits, compression=compression, predictor=predictor).collect()
     assert sorted(r.name for r in made) == ["0", "1", "2", "3"] and all(r.tiles == 4 for r in made)
+    # small files are read together, in one partition or in one each as asked for
+    assert tiff.read_tiff(spark, str(tmp_path / "out")).rdd.getNumPartitions() == 1
+    assert tiff.read_tiff(spark, str(tmp_path / "out"), partition_bytes=70_000).rdd.getNumPartitions() == 4
     read = tiff.tiff_pixels(tiff.read_tiff(spark, str(tmp_path / "out")))
     got = sorted((int(r.path.rsplit("/", 1)[1][:-4]), r.y, r.x, r.v) for r in read.collect())
     assert got == sorted((r.slide, r.y, r.x, r.v) for r in px.collect())
