@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.plans.session import cut, drop
+
 
 def merge(pred: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """keys and the mean, maximum and sample deviation of stacked predictions."""
@@ -71,57 +70,49 @@ def ema(log: DataFrame, keys: list[str], order: str, value: str, decay: float) -
     return summed.withColumn("ema", F.col("__s") + F.pow(F.lit(decay), F.col("__k") + 1) * over).drop("__b", "__k", "__s")
 
 
+#: What a sensitivity or specificity may be at least, and at most from 1.
+LEAST_RATE = 1e-7
+
+
 def staple(votes: DataFrame, keys: list[str], expert: str, vote: str, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """keys, weight: probability that an item is foreground, by simultaneous truth and performance estimation.
 
-    Expectation maximisation of experts' sensitivity and specificity. Items with the same votes of the
-    same experts behave alike, so items are counted by vote pattern, of which there are at most 3 to
-    the number of experts, and all rounds run over the counted patterns in one task; a row per expert
-    comes back. Each item's weight then follows from its own votes, without a join. The prior is the share of
-    positive votes; where all votes are alike, it is the weight. Null votes are left out.
+    Expectation maximisation of experts' sensitivity and specificity, from .99 each. Items with the same votes of the
+    same experts behave alike, so items are counted by vote pattern once, and a round is an aggregation of the written
+    patterns, however many there are: a row per expert comes back, and no task has all patterns. Each
+    item's weight then follows from its own votes, without a join. The prior is the share of
+    positive votes; where all votes are alike, it is the weight. Null votes and votes of no expert are left out.
     """
     told = votes.filter(F.col(vote).isNotNull() & F.col(expert).isNotNull())
     patterns = told.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(expert).cast("string").alias("e"), F.col(vote).cast("int").alias("v")))).alias("pattern"))
-    counted = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-
-    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for pdf in batches for r in zip(pdf["pattern"], pdf["n"], strict=True)]
-        if rows:
-            yield _rates([[(x["e"], x["v"]) for x in p] for p, _ in rows], np.array([n for _, n in rows], dtype=float), rounds, tolerance)
-
-    found = counted.repartition(1).sortWithinPartitions("pattern").mapInPandas(rates, "e string, p double, q double, prior double").collect()
-    prior = found[0]["prior"] if found else 0.0
+    held: list[str] = []
+    counted = cut(patterns.groupBy("pattern").agg(F.count(F.lit(1)).cast("double").alias("n")), "patterns", held)
+    single = counted.select("pattern", "n", F.explode("pattern").alias("x"))
+    prior = single.agg(F.sum(F.when(F.col("x.v") == 1, F.col("n")).otherwise(0.0)) / F.sum("n")).first()[0] or 0.0
     if prior in (0.0, 1.0):
+        drop(votes.sparkSession, held)
         return patterns.select(*keys, F.lit(float(prior)).alias("weight"))
-    # log rates by expert and vote, as two small literal maps
-    by = lambda k: F.create_map(*[F.lit(x) for r in found for x in (r["e"], r[k])])
+    rates = {r["e"]: (0.99, 0.99) for r in single.select("x.e").distinct().collect()}
+    for _ in range(rounds):
+        each = counted.select("pattern", "n", _foreground(rates, prior).alias("w")).select("n", "w", F.explode("pattern").alias("x"))
+        yes, fore, back = F.col("x.v") == 1, F.col("n") * F.col("w"), F.col("n") * (1 - F.col("w"))
+        share = lambda hit, of: F.greatest(F.least(F.coalesce(F.try_divide(F.sum(F.when(hit, of).otherwise(0.0)), F.sum(of)), F.lit(0.99)), F.lit(1 - LEAST_RATE)), F.lit(LEAST_RATE))
+        new = {r["e"]: (r["p"], r["q"]) for r in each.groupBy("x.e").agg(share(yes, fore).alias("p"), share(~yes, back).alias("q")).collect()}
+        moved = max(abs(x - y) for e in new for x, y in zip(new[e], rates[e], strict=True))
+        rates = new
+        if moved < tolerance:
+            break
+    drop(votes.sparkSession, held)
+    return patterns.select(*keys, _foreground(rates, prior).alias("weight"))
+
+
+def _foreground(rates: dict[str, tuple[float, float]], prior: float) -> Column:
+    """Probability that an item with a pattern is foreground; rates of experts are two small literal maps."""
+    p, q = (F.create_map(*[F.lit(x) for e, r in rates.items() for x in (e, r[k])]) for k in (0, 1))
     total = lambda yes, no: F.aggregate("pattern", F.lit(0.0), lambda a, x: a + F.ln(F.when(x["v"] == 1, yes(x)).otherwise(no(x))))
-    p, q = by("p"), by("q")
     fore = F.lit(math.log(prior)) + total(lambda x: F.element_at(p, x["e"]), lambda x: 1 - F.element_at(p, x["e"]))
     back = F.lit(math.log(1 - prior)) + total(lambda x: 1 - F.element_at(q, x["e"]), lambda x: F.element_at(q, x["e"]))
-    return patterns.select(*keys, (1 / (1 + F.exp(back - fore))).alias("weight"))
-
-
-def _rates(patterns: list[list[tuple[str, int]]], n: np.ndarray, rounds: int, tolerance: float) -> pd.DataFrame:
-    """e, p (sensitivity), q (specificity), prior, by expectation maximisation over n items of each pattern."""
-    experts = sorted({e for p in patterns for e, _ in p})
-    row = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    col = np.array([experts.index(e) for p in patterns for e, _ in p])
-    yes = np.array([v for p in patterns for _, v in p], dtype=float)
-    prior = float((n[row] * yes).sum() / n[row].sum())
-    p, q = np.full(len(experts), 0.99), np.full(len(experts), 0.99)
-    over = lambda x: np.bincount(col, weights=x, minlength=len(experts))
-    for _ in range(rounds if prior not in (0.0, 1.0) else 0):
-        fore = math.log(prior) + np.bincount(row, weights=np.log(np.where(yes > 0, p[col], 1 - p[col])), minlength=len(patterns))
-        back = math.log(1 - prior) + np.bincount(row, weights=np.log(np.where(yes > 0, 1 - q[col], q[col])), minlength=len(patterns))
-        w = n / (1 + np.exp(back - fore))
-        shares = [np.divide(a, b, out=np.full(len(experts), 0.99), where=b > 0) for a, b in ((over(w[row] * yes), over(w[row])), (over((n - w)[row] * (1 - yes)), over((n - w)[row])))]
-        new = [np.clip(x, 1e-7, 1 - 1e-7) for x in shares]
-        moved = max(np.abs(new[0] - p).max(), np.abs(new[1] - q).max())
-        p, q = new
-        if moved < tolerance:
-            break
-    return pd.DataFrame({"e": experts, "p": p, "q": q, "prior": prior})
+    return 1 / (1 + F.exp(back - fore))
 
 
 def results_with_ensemble(models: list[DataFrame], keys: list[str], file: str, value: str, name: str = "ensemble") -> DataFrame:

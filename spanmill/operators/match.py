@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,51 +115,104 @@ def classify(score: Column, revised: float) -> Column:
     return F.when(score >= 0.999, "same").when(score >= revised, "revised").otherwise("added")
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of least total cost (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, way, done = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
-        while owner[j0]:
-            done[j0] = True
-            slack = cost[owner[j0] - 1] - u[owner[j0]] - v[1:]
-            better = ~done[1:] & (slack < least[1:])
-            least[1:][better], way[1:][better] = slack[better], j0
-            j1 = int(np.argmin(np.where(done[1:], np.inf, least[1:]))) + 1
-            step = least[j1]
-            u[owner[done]] += step
-            v[done] -= step
-            least[~done] -= step
-            j0 = j1
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    out = np.zeros(n, dtype=int)
-    out[owner[1:][owner[1:] > 0] - 1] = np.flatnonzero(owner[1:] > 0)
-    return out
+#: Share of the pairs left that a batch of rounds of optimal matching must settle for another to follow.
+SETTLED = 0.1
+
+
+def heaviest(left: np.ndarray, right: np.ndarray, score: np.ndarray) -> list[int]:
+    """Places of the pairs (left, right, positive score) of a one-to-one matching of the largest total score.
+
+    By shortest augmenting paths over the pairs given, so memory is that of the pairs, not of all left times all right.
+    Each left may also stay alone, at score 0.
+    """
+    _, rows = np.unique(left, return_inverse=True)
+    _, cols = np.unique(right, return_inverse=True)
+    n, m, top = int(rows.max()) + 1, int(cols.max()) + 1, float(score.max())
+    edges = [[(m + i, top, -1)] for i in range(n)]  # a column of its own, to stay alone
+    for k, (i, j, s) in enumerate(zip(rows.tolist(), cols.tolist(), score.tolist(), strict=True)):
+        edges[i].append((j, top - s, k))
+    u, v = [0.0] * n, [0.0] * (m + n)
+    owner, column, chosen = [-1] * (m + n), [-1] * n, [-1] * n
+    for start in range(n):
+        least: dict[int, float] = {}
+        way: dict[int, tuple[int, int]] = {}
+        done: dict[int, float] = {}
+        reached = [(start, 0.0)]
+        heap: list[tuple[float, int]] = []
+        while True:
+            i, at = reached[-1]
+            for j, c, k in edges[i]:
+                d = at + c - u[i] - v[j]
+                if j not in done and d < least.get(j, math.inf):
+                    least[j], way[j] = d, (i, k)
+                    heapq.heappush(heap, (d, j))
+            at, j = heapq.heappop(heap)
+            while j in done:
+                at, j = heapq.heappop(heap)
+            done[j] = at
+            if owner[j] < 0:
+                break
+            reached.append((owner[j], at))
+        for r, d in reached:
+            u[r] += at - d
+        for c, d in done.items():
+            v[c] -= at - d
+        i = -1
+        while i != start:
+            i, k = way[j]
+            before = column[i]
+            owner[j], column[i], chosen[i] = i, j, k
+            j = before
+    return [k for k in chosen if k >= 0]
 
 
 def optimal_match(pairs: DataFrame, group: str, a: str, b: str, score: str) -> DataFrame:
-    """group, a, b, score: the one-to-one matching of the largest total score per group.
+    """group, a, b, score: a one-to-one matching of the largest total score per group.
 
-    Objects that share no candidate, directly or not, don't bear on each other: the scores of one
-    connected part of the candidates stand in one task, not those of a group.
+    In rounds, over all groups at once: a pair that scores more than the best other pair of its a and the best other one of its b
+    together is in every best matching, so it is fixed, and what shares an end with it is gone. Objects that overlap
+    mostly one other, as labels of the same things do, are all matched so, by windows over one object's pairs. Rounds end when they settle few of the pairs left. What is left, where pairs compete,
+    falls into connected parts; each is matched in a task that holds its pairs only.
+    Of several scores of a pair the greatest counts; rows with a null in any of the four columns and scores of 0 or less are no candidates.
     """
+    spark = pairs.sparkSession
+    rows = pairs.select(group, a, b, score).dropna().filter(F.col(score) > 0)
+    left = rows.groupBy(group, a, b).agg(F.max(score).alias(score)).withColumn("__fixed", F.lit(False))
+    by_a, by_b = Window.partitionBy(group, a), Window.partitionBy(group, b)
+
+    def others(df: DataFrame, by: WindowSpec, name: str) -> DataFrame:
+        """df with the best score of the other free pairs of an object, 0 without any: a fixed pair's object has no free ones."""
+        order = by.orderBy(F.desc(score), a, b)
+        before, after = (F.max(score).over(order.rowsBetween(*r)) for r in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
+        return df.withColumn(name, F.coalesce(F.greatest(before, after), F.lit(0.0)))
+
+    past: list[str] = []
+    open_before = math.inf
+    while True:
+        for _ in range(2):
+            left = others(others(left, by_a, "__other_a"), by_b, "__other_b")
+            left = left.withColumn("__now", F.col(score) > F.col("__other_a") + F.col("__other_b"))
+            left = left.withColumn("__gone", F.max("__now").over(by_b)).withColumn("__gone", F.col("__gone") | F.max("__now").over(by_a))
+            left = left.filter(F.col("__now") | ~F.col("__gone")).select(group, a, b, score, F.col("__now").alias("__fixed"))
+        own: list[str] = []
+        left = cut(left, "optimal", own)
+        drop(spark, past)
+        past = own
+        still_open = left.filter(~F.col("__fixed")).count()
+        if not still_open:
+            return left.select(group, a, b, score)
+        if still_open > open_before * (1 - SETTLED):
+            break
+        open_before = still_open
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot_table(index=a, columns=b, values=score, aggfunc="max", fill_value=0.0)
-        flip = grid.shape[0] > grid.shape[1]
-        s = grid.to_numpy().T if flip else grid.to_numpy()
-        cols = assign(-s)
-        rows = [(i, int(j)) for i, j in enumerate(cols) if s[i, j] > 0]
-        named = [(grid.index[j if flip else i], grid.columns[i if flip else j], s[i, j]) for i, j in rows]
-        return pd.DataFrame([(pdf[group].iloc[0], *x) for x in named], columns=[group, a, b, score])
+        kept = heaviest(pdf[a].to_numpy(), pdf[b].to_numpy(), pdf[score].to_numpy(dtype=float))
+        return pdf.iloc[kept][[group, a, b, score]]
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    placed = in_parts(pairs.select(group, a, b, score), group, a, b)
-    return placed.groupBy("__part").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score)))
+    placed = in_parts(left.filter(~F.col("__fixed")).select(group, a, b, score), group, a, b)
+    rest = placed.groupBy("__part").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score)))
+    return left.filter("__fixed").select(group, a, b, score).unionByName(rest)
 
 
 def label_iou(a: DataFrame, b: DataFrame) -> DataFrame:

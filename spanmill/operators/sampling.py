@@ -18,21 +18,19 @@ def listed_folds(rows: DataFrame, key: str, folds: dict[int, list]) -> DataFrame
     return rows.withColumn("fold", F.try_element_at(pairs, F.col(key)))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
+#: Rows of one range of numbered(), about.
+RANGE_ROWS = 250_000
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
     """rows with their number from 0 in the order given, without one task for all rows.
 
-    Rows are dealt to ranges of the order, counted per range, and numbered within; the counts, one per
-    range, are added up apart.
+    Rows are dealt to ranges of the order and numbered within; the ranges' counts, a row each, are added
+    up apart and joined. There are `parts` ranges, without it as many as rows need that are counted first.
     """
-    # written, as the ranges could differ if they were made twice
-    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("__r", F.spark_partition_id()), "ranges")
-    counts = {r["__r"]: r["n"] for r in ranged.groupBy("__r").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, begin = {}, 0
-    for r in sorted(counts):
-        before[r], begin = begin, begin + counts[r]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__r")) if before else F.lit(0)
-    own = Window.partitionBy("__r").orderBy(*order)
-    return ranged.withColumn(name, (F.row_number().over(own) - 1 + offset).cast("long")).drop("__r")
+    parts = parts or max(1, -(-rows.count() // RANGE_ROWS))
+    counted = running(rows, [], order, {"__number": F.lit(1).cast("long")}, parts)
+    return counted.withColumn(name, F.col("__number") - 1).drop("__number", "all___number")
 
 
 def by_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -143,15 +143,62 @@ def test_fill_of_a_concave_polygon(spark):
     assert got == {(y, x) for y in range(-1, 12) for x in range(-1, 12) if inside(x + 0.5, y + 0.5)}
 
 
-def test_assignment_is_optimal():
+def _best_total(score):
+    """The largest total of a one-to-one matching, by all of them."""
+    n, m = score.shape
+    wide = np.hstack([score, np.zeros((n, n))])
+    return max(sum(wide[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m + n), n))
+
+
+def test_heaviest_is_optimal():
     rng = np.random.default_rng(4)
-    for _ in range(30):
-        n = int(rng.integers(1, 5))
-        m = int(rng.integers(n, 6))
-        cost = rng.random((n, m))
-        cols = match.assign(cost)
-        best = min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m), n))
-        assert len(set(cols)) == n and sum(cost[i, c] for i, c in enumerate(cols)) == pytest.approx(best)
+    for _ in range(40):
+        n, m = (int(k) for k in rng.integers(1, 5, 2))
+        score = np.round(rng.random((n, m)), 1) * (rng.random((n, m)) < 0.7)
+        i, j = np.nonzero(score)
+        if len(i):
+            kept = match.heaviest(i, j, score[i, j])
+            assert len(set(i[kept])) == len(set(j[kept])) == len(kept)
+            assert score[i, j][kept].sum() == pytest.approx(_best_total(score))
+
+
+def test_optimal_match_has_the_largest_total(spark):
+    """Groups of all shapes, ties and chains among them, against all matchings; nulls, zeros and repeated pairs."""
+    rng = np.random.default_rng(9)
+    rows, want = [("g0", None, 1, 0.5), ("g0", 1, 1, None), ("g0", 2, 2, 0.0), (None, 3, 3, 0.7)], {}
+    for g in range(1, 60):
+        n, m = (int(k) for k in rng.integers(1, 5, 2))
+        score = np.round(rng.random((n, m)), 1) * (rng.random((n, m)) < 0.6)
+        if score.any():
+            want[f"g{g}"] = _best_total(score)
+            rows += [(f"g{g}", i, j, float(score[i, j])) for i, j in zip(*np.nonzero(score), strict=True) for i, j in [(int(i), int(j))]]
+    rows += [(*r[:3], r[3] / 2) for r in rows if r[3]]
+    got = match.optimal_match(spark.createDataFrame(rows, "slide string, a int, b int, iou double"), "slide", "a", "b", "iou").collect()
+    total = {}
+    for r in got:
+        total[r["slide"]] = total.get(r["slide"], 0) + r["iou"]
+    assert total == pytest.approx(want)
+    assert len({(r["slide"], r["a"]) for r in got}) == len({(r["slide"], r["b"]) for r in got}) == len(got)
+
+
+def test_optimal_match_of_a_long_chain(spark):
+    """5,000 objects that all hang together, of which a round settles one: a sparse part, no grid of all by all."""
+    rows = [("s", k, k + d, (0.5 if d else 0.6) + (k * 7 % 11) / 100) for k in range(5_000) for d in (0, 1)]
+    got = match.optimal_match(spark.createDataFrame(rows, "slide string, a int, b int, iou double"), "slide", "a", "b", "iou")
+    own = got.agg(F.count(F.lit(1)), F.count_distinct("a"), F.count_distinct("b"), F.sum("iou")).first()
+    best = (0.0, -1.0)  # totals up to here if the next b is free, and if it is taken
+    for k in range(5_000):
+        here, there = rows[2 * k][3], rows[2 * k + 1][3]
+        best = (max(best[0], best[0] + here, best[1]), max(best) + there)
+    assert own[0] == own[1] == own[2] and own[3] == pytest.approx(max(best))
+
+
+def test_staple_of_alike_and_missing_votes(spark):
+    kind = "item int, expert int, v int"
+    of = lambda rows: {r["item"]: r["weight"] for r in ensemble.staple(spark.createDataFrame(rows, kind), ["item"], "expert", "v").collect()}
+    assert of([(1, 1, 1), (2, 2, 1), (3, None, 0), (4, 1, None)]) == {1: 1.0, 2: 1.0}
+    assert of([(1, 1, 0), (1, 2, 0)]) == {1: 0.0}
+    assert of([]) == {}
 
 
 def test_optimal_and_greedy_match(spark):
