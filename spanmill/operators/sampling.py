@@ -110,6 +110,11 @@ def step(epoch: Column, every: int, factor: float, high: float) -> Column:
     return high * F.pow(F.lit(factor), F.floor(epoch / every))
 
 
+def epochs(iterations: int, rows: Column, batch: int) -> Column:
+    """How many passes over the rows make so many iterations of batches; null without rows."""
+    return F.ceil(F.try_divide(F.lit(float(iterations)), rows / F.lit(batch))).cast("long")
+
+
 def combined(position: Column, parts: list[tuple[float, Callable[[Column], Column]]]) -> Column:
     """Schedules one after another: each has a share of the positions 0 .. 1 and gets its own position from 0 to 1."""
     if abs(sum(share for share, _ in parts) - 1) > 1e-9 or any(share < 0 for share, _ in parts):

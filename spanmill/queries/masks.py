@@ -12,11 +12,11 @@ _r = Registry()
 QUERIES, SQL = _r.queries, _r.sql
 query = _r.query
 
-_RUNS = """runs AS (SELECT slide, min(pos) AS lo, max(pos) + 1 AS hi FROM (SELECT slide, pos, pos - row_number() OVER (PARTITION BY slide ORDER BY pos) AS g FROM m1d WHERE {where}) GROUP BY slide, g)"""
+_RUNS = """runs AS (SELECT slide, min(pos) AS lo, max(pos) + 1 AS hi FROM (SELECT slide, pos, pos - row_number() OVER (PARTITION BY slide ORDER BY pos) AS g FROM {rows} WHERE {where}) GROUP BY slide, g)"""
 
 
 def _text(where: str) -> str:
-    return f"WITH {M1D}, {_RUNS.format(where=where)}"
+    return f"WITH {M1D}, {_RUNS.format(rows='m1d', where=where)}"
 
 
 @query(_text("truth = 1") + " SELECT slide, string_agg(lo + 1 || ' ' || hi - lo, ' ' ORDER BY lo) AS rle FROM runs GROUP BY slide")
@@ -31,7 +31,7 @@ def rle_encode_per_class(spark, sf):
     return every.join(rle.spans_to_text(rle.encode_spans(px.filter("truth = 1"), ["slide", "cls"]), ["slide", "cls"]), ["slide", "cls"], "left")
 
 
-@query(f"WITH {M1D}, n AS (SELECT *, count(*) OVER (PARTITION BY slide) AS n FROM m1d), {_RUNS.format(where='truth = 1 AND pos > 0 AND pos < n - 1').replace('FROM m1d', 'FROM n')} SELECT slide, string_agg(lo + 1 || ' ' || hi - lo, ' ' ORDER BY lo) AS rle FROM runs GROUP BY slide")
+@query(f"WITH {M1D}, n AS (SELECT *, count(*) OVER (PARTITION BY slide) AS n FROM m1d), {_RUNS.format(rows='n', where='truth = 1 AND pos > 0 AND pos < n - 1')} SELECT slide, string_agg(lo + 1 || ' ' || hi - lo, ' ' ORDER BY lo) AS rle FROM runs GROUP BY slide")
 def rle_encode_lossy_border(spark, sf):
     px = m1d(spark, sf).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("slide")))
     return rle.spans_to_text(rle.encode_spans(rle.lossy_positions(px.filter("truth = 1"), ["slide"], "n"), ["slide"]), ["slide"])
@@ -152,8 +152,9 @@ def topk_accuracy(spark, sf):
     return metrics.top_k(prob(spark, sf), "vec", "pos", "p", "grp").select(rnd(F.col("top1")).alias("top1"), rnd(F.col("top5")).alias("top5"))
 
 
-def _lovasz_sql(shape: str) -> str:
-    return f"WITH {M1D}, e AS (SELECT slide, pos, CAST(truth AS DOUBLE) AS t, 1 - logit * (2 * truth - 1) AS e FROM m1d), c AS (SELECT *, sum(t) OVER (PARTITION BY slide) AS n, sum(t) OVER w AS ct, sum(1 - t) OVER w AS cn FROM e WINDOW w AS (PARTITION BY slide ORDER BY e DESC, pos ROWS UNBOUNDED PRECEDING)), j AS (SELECT *, 1 - (n - ct) / (n + cn) AS j FROM c), d AS (SELECT *, j - coalesce(lag(j) OVER (PARTITION BY slide ORDER BY e DESC, pos), 0) AS dj FROM j) SELECT slide, round(sum({shape} * dj), 6) AS loss FROM d GROUP BY slide"
+def _lovasz_sql(shape: str, truth: str = "truth", digits: int | None = 6) -> str:
+    loss = f"sum({shape} * dj)"
+    return f"WITH {M1D}, e AS (SELECT slide, pos, CAST({truth} AS DOUBLE) AS t, 1 - logit * (2 * truth - 1) AS e FROM m1d), c AS (SELECT *, sum(t) OVER (PARTITION BY slide) AS n, sum(t) OVER w AS ct, sum(1 - t) OVER w AS cn FROM e WINDOW w AS (PARTITION BY slide ORDER BY e DESC, pos ROWS UNBOUNDED PRECEDING)), j AS (SELECT *, 1 - (n - ct) / (n + cn) AS j FROM c), d AS (SELECT *, j - coalesce(lag(j) OVER (PARTITION BY slide ORDER BY e DESC, pos), 0) AS dj FROM j) SELECT slide, {loss if digits is None else f'round({loss}, {digits})'} AS loss FROM d GROUP BY slide"
 
 
 @query(_lovasz_sql("greatest(e, 0)"))

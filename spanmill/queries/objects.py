@@ -11,7 +11,8 @@ _r = Registry()
 QUERIES, SQL = _r.queries, _r.sql
 query = _r.query
 
-_SIDES = f"WITH {RECTS}, a AS (SELECT * FROM rects WHERE grp = 'A'), b AS (SELECT * FROM rects WHERE grp = 'B'), p AS (SELECT a.slide, a.id AS a, b.id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ab FROM a JOIN b ON a.slide = b.slide AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)"
+_SIDES_PARTS = f"{RECTS}, a AS (SELECT * FROM rects WHERE grp = 'A'), b AS (SELECT * FROM rects WHERE grp = 'B'), p AS (SELECT a.slide, a.id AS a, b.id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ab FROM a JOIN b ON a.slide = b.slide AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)"
+_SIDES = f"WITH {_SIDES_PARTS}"
 
 
 def _pairs(spark, sf):
@@ -61,7 +62,7 @@ _GREEDY = """, d AS (SELECT slide, a, b, 2.0 * inter / (aa + ab) AS dice FROM p)
   UNION ALL SELECT NULL, id, NULL, 'deleted' FROM rects WHERE grp = 'B' AND id NOT IN (SELECT b FROM m)"""
 
 
-@query(_SIDES.replace("WITH ", "WITH RECURSIVE ", 1) + _GREEDY)
+@query(f"WITH RECURSIVE {_SIDES_PARTS}{_GREEDY}")
 def object_match_greedy(spark, sf):
     """Greedy matching in order of A, with A's unmatched and B's leftover objects."""
     scored = _pairs(spark, sf).withColumn("dice", 2.0 * F.col("inter") / (F.col("aa") + F.col("ab")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanmill.operators import augment, cohort, ensemble, geometry, match, metrics, regions, rle, sampling
 from spanmill.plans.session import table
-from spanmill.queries.base import CLS, M1D, PROB, R2D, RECTS, Registry, cls, hashed_unit, m1d, prob, r2d, rects, rnd
+from spanmill.queries.base import CLS, LOG, M1D, PROB, R2D, RECTS, Registry, cls, hashed_unit, m1d, prob, r2d, rects, rnd, runs_log
 from spanmill.queries.masks import _BCE, _lovasz_sql
 from spanmill.queries.objects import _SIDES, _pairs
 
@@ -143,11 +143,13 @@ def seeded_subset_rows(spark, sf):
     return sampling.exact_subset(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 100, 42)
 
 
-@query("WITH p AS (SELECT e AS epoch, e / 60.0 AS p FROM range(60) AS r(e)) SELECT epoch, round(CASE WHEN p >= 0.75 THEN 1e-3 * power(1e-3, (p - 0.75) / 0.25) WHEN p >= 0.25 THEN 1e-3 ELSE 1e-5 + (1 + cos(pi() * (1 - p / 0.25))) * (1e-3 - 1e-5) / 2 END, 9) AS lr FROM p")
+@query(f"WITH {LOG}, p AS (SELECT run, epoch, (epoch - 1) / CAST(count(*) OVER (PARTITION BY run) AS DOUBLE) AS p FROM log) SELECT run, epoch, round(CASE WHEN p >= 0.75 THEN 1e-3 * power(1e-3, (p - 0.75) / 0.25) WHEN p >= 0.25 THEN 1e-3 ELSE 1e-5 + (1 + cos(pi() * (1 - p / 0.25))) * (1e-3 - 1e-5) / 2 END, 9) AS lr FROM p")
 def lr_piecewise(spark, sf):
-    """Schedules one after another: cosine up, constant, exponential down."""
+    """Schedules one after another over a run's epochs: cosine up, constant, exponential down."""
     parts = [(0.25, sampling.cosine_to(1e-5, 1e-3)), (0.5, sampling.constant(1e-3)), (0.25, sampling.exponential_to(1e-3, 1e-6))]
-    return spark.range(60).select(F.col("id").alias("epoch"), rnd(sampling.combined(F.col("id") / 60.0, parts), 9).alias("lr"))
+    log = runs_log(spark, sf)
+    placed = log.join(log.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run").withColumn("p", (F.col("epoch") - 1) / F.col("n"))
+    return placed.select("run", "epoch", rnd(sampling.combined(F.col("p"), parts), 9).alias("lr"))
 
 
 @query(f"WITH {PROB}, m AS (SELECT vec // 2 AS file, pos, 'model_' || vec % 2 AS model, p FROM prob) SELECT file, pos, model, round(p, 6) AS p FROM m UNION ALL SELECT file, pos, 'ensemble', round(avg(p), 6) FROM m GROUP BY 1, 2")
@@ -182,9 +184,9 @@ def weighted_cross_entropy(spark, sf):
     return mean.select(rnd(F.col("loss")).alias("mean")).join(total.select(F.round("loss", 4).alias("sum")))
 
 
-_HINGE = _lovasz_sql("greatest(e, 0)").replace("round(sum(greatest(e, 0) * dj), 6)", "sum(greatest(e, 0) * dj)")
+_HINGE = _lovasz_sql("greatest(e, 0)", digits=None)
 #: Negated logits against negated truth have the same errors, with the classes exchanged.
-_TURNED = _HINGE.replace("CAST(truth AS DOUBLE) AS t", "CAST(1 - truth AS DOUBLE) AS t")
+_TURNED = _lovasz_sql("greatest(e, 0)", truth="1 - truth", digits=None)
 
 
 @query(f"WITH a AS ({_HINGE}), b AS ({_TURNED}) SELECT slide, round((a.loss + b.loss) / 2, 6) AS loss FROM a JOIN b USING (slide)")

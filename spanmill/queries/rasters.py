@@ -100,7 +100,7 @@ def label_mask_cleared(spark, sf):
     return labelled.groupBy("slide", "label").agg(F.sum(F.col("hi") - F.col("lo")).alias("area"))
 
 
-@query(_components_sql(False).replace("SELECT slide, area, CAST(lft AS BIGINT) AS lft, CAST(top AS BIGINT) AS top, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, cy, cx FROM s", "SELECT slide, row_number() OVER (PARTITION BY slide ORDER BY label) AS label, CAST(greatest(lft - 1, 0) AS BIGINT) AS x0, CAST(lft + width - 1 AS BIGINT) AS x1, CAST(greatest(top - 1, 0) AS BIGINT) AS y0, CAST(top + height - 1 AS BIGINT) AS y1 FROM s"))
+@query(_components_sql(False, "slide, row_number() OVER (PARTITION BY slide ORDER BY label) AS label, CAST(greatest(lft - 1, 0) AS BIGINT) AS x0, CAST(lft + width - 1 AS BIGINT) AS x1, CAST(greatest(top - 1, 0) AS BIGINT) AS y0, CAST(top + height - 1 AS BIGINT) AS y1"))
 def contour_boxes(spark, sf):
     """The boxes of the contours of 4-connected components, coordinates truncated."""
     runs = components.relabelled(components.label_runs(components.column_runs(r2d(spark, sf).filter("mask = 1")), 4))

@@ -213,7 +213,7 @@ def centre_crop(spark, sf):
     return out.select("slide", "y", "x", F.col("val").cast("long").alias("val"))
 
 
-@query(f"WITH {R2D} SELECT s.s_suppkey AS slide, y, x, coalesce(CAST(r.val AS BIGINT), 0) AS val FROM supplier s CROSS JOIN range(-3, 5) AS a(y) CROSS JOIN range(-3, 5) AS b(x) LEFT JOIN r2d r ON r.slide = s.s_suppkey AND r.y = a.y AND r.x = b.x".replace("SELECT s.s_suppkey AS slide, y, x,", "SELECT s.s_suppkey AS slide, a.y, b.x,"))
+@query(f"WITH {R2D} SELECT s.s_suppkey AS slide, a.y, b.x, coalesce(CAST(r.val AS BIGINT), 0) AS val FROM supplier s CROSS JOIN range(-3, 5) AS a(y) CROSS JOIN range(-3, 5) AS b(x) LEFT JOIN r2d r ON r.slide = s.s_suppkey AND r.y = a.y AND r.x = b.x")
 def boundless_window(spark, sf):
     px = r2d(spark, sf)
     return grid.boundless(slides(spark, sf), px, -3, -3, 8, "val").select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("val").cast("long").alias("val"))
@@ -224,9 +224,12 @@ def nonzero_count(spark, sf):
     return r2d(spark, sf).filter("mask = 1").groupBy("slide").agg(F.count_if(F.col("val") != 0).alias("nonzero"), (F.count(F.lit(1)) == 0).alias("empty"))
 
 
-def _components_sql(diagonal: bool) -> str:
+_BOXES = "slide, area, CAST(lft AS BIGINT) AS lft, CAST(top AS BIGINT) AS top, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, cy, cx"
+
+
+def _components_sql(diagonal: bool, columns: str = _BOXES) -> str:
     near = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1" if diagonal else "abs(a.y - b.y) + abs(a.x - b.x) = 1"
-    return f"WITH RECURSIVE {R2D}, p AS (SELECT slide, y, x, x * 100 + y AS k FROM r2d WHERE mask = 1), e AS (SELECT a.slide, a.k, b.k AS j FROM p a JOIN p b ON a.slide = b.slide AND {near}), r AS (SELECT slide, k, k AS root FROM p UNION SELECT r.slide, e.j, r.root FROM r JOIN e ON e.slide = r.slide AND e.k = r.k), l AS (SELECT slide, k, min(root) AS label FROM r GROUP BY slide, k), s AS (SELECT slide, label, count(*) AS area, min(k // 100) AS lft, min(k % 100) AS top, max(k // 100) - min(k // 100) + 1 AS width, max(k % 100) - min(k % 100) + 1 AS height, round(avg(k % 100), 6) AS cy, round(avg(k // 100), 6) AS cx FROM l GROUP BY slide, label) SELECT slide, area, CAST(lft AS BIGINT) AS lft, CAST(top AS BIGINT) AS top, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, cy, cx FROM s"
+    return f"WITH RECURSIVE {R2D}, p AS (SELECT slide, y, x, x * 100 + y AS k FROM r2d WHERE mask = 1), e AS (SELECT a.slide, a.k, b.k AS j FROM p a JOIN p b ON a.slide = b.slide AND {near}), r AS (SELECT slide, k, k AS root FROM p UNION SELECT r.slide, e.j, r.root FROM r JOIN e ON e.slide = r.slide AND e.k = r.k), l AS (SELECT slide, k, min(root) AS label FROM r GROUP BY slide, k), s AS (SELECT slide, label, count(*) AS area, min(k // 100) AS lft, min(k % 100) AS top, max(k // 100) - min(k // 100) + 1 AS width, max(k % 100) - min(k % 100) + 1 AS height, round(avg(k % 100), 6) AS cy, round(avg(k // 100), 6) AS cx FROM l GROUP BY slide, label) SELECT {columns} FROM s"
 
 
 def _components(spark, sf, connectivity):

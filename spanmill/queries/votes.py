@@ -82,6 +82,21 @@ def staple_em(spark, sf):
     return ensemble.staple(binary, ["item"], "expert", "v").select("item", rnd(F.col("weight")).alias("weight"), (F.col("weight") > 0.5).cast("int").alias("on_"))
 
 
+def _staple_sql(rounds: int) -> str:
+    """STAPLE in that many rounds over the votes themselves."""
+    w = "w{k} AS (SELECT item, 1 / (1 + exp(ln(1 - any_value(f)) - ln(any_value(f)) + sum(ln(CASE WHEN y = 1 THEN 1 - q ELSE q END)) - sum(ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)))) AS w FROM v JOIN r{k} USING (expert), f GROUP BY item)"
+    r = "r{n} AS (SELECT expert, least(greatest(sum(w * y) / sum(w), 1e-7), 1 - 1e-7) AS p, least(greatest(sum((1 - w) * (1 - y)) / sum(1 - w), 1e-7), 1 - 1e-7) AS q FROM v JOIN w{k} USING (item) GROUP BY expert)"
+    steps = ", ".join(f"{w.format(k=k)}, {r.format(k=k, n=k + 1)}" for k in range(rounds))
+    return f"WITH {VOTES}, v AS (SELECT item, expert, CASE WHEN label = 'N' THEN 1e0 ELSE 0e0 END AS y FROM votes), f AS (SELECT avg(y) AS f FROM v), r0 AS (SELECT DISTINCT expert, 0.99e0 AS p, 0.99e0 AS q FROM v), {steps}, {w.format(k=rounds)} SELECT item, round(w, 6) AS weight FROM w{rounds}"
+
+
+@query(_staple_sql(3))
+def staple_three_rounds(spark, sf):
+    """The consensus after three rounds, whether or not it has settled."""
+    binary = votes(spark, sf).withColumn("v", F.when(F.col("label") == "N", 1).otherwise(0))
+    return ensemble.staple(binary, ["item"], "expert", "v", rounds=3, tolerance=0.0).select("item", rnd(F.col("weight")).alias("weight"))
+
+
 @query(f"WITH {LOG}, t AS (SELECT run, epoch, loss, CASE WHEN epoch = 1 THEN loss ELSE 0.1 * loss END * power(0.9, 1 - epoch) AS term FROM log) SELECT run, epoch, round(sum(term) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) * power(0.9, epoch - 1), 4) AS ema FROM t")
 def ema_fold(spark, sf):
     return ensemble.ema(runs_log(spark, sf), ["run"], "epoch", "loss", 0.9).select("run", "epoch", F.round(F.col("ema"), 4).alias("ema"))
