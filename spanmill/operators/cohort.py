@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.operators.sampling import numbered
 from spanmill.operators.scan import running
 
 
@@ -94,6 +95,18 @@ def suffix_join(images: DataFrame, masks: DataFrame, image: str, mask: str) -> D
     return images.join(masks, F.concat(stem(F.col(image)), F.lit((match or "")[len(first or "") :])) == F.col(mask))
 
 
+def paired(a: DataFrame, b: DataFrame, by_a: str, by_b: str) -> DataFrame:
+    """by_a, by_b, number: the rows of two lists, each in its own order, side by side; lists of different lengths are an error.
+
+    Numbers come from ranges of each order, so no task has a list. Nulls come first.
+    """
+    left, right = numbered(a.select(by_a), [by_a], "number"), numbered(b.select(by_b), [by_b], "number")
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"{n} rows to pair with {m}")
+    return left.join(right, "number").select(by_a, by_b, "number")
+
+
 def quantiles(rows: DataFrame, keys: list[str], c: str, shares: list[float]) -> DataFrame:
     """keys, q1, q2 ...: quantiles of non-null values, linear between neighbours, by numbers over ranges: no task has a group's values."""
     ranked = running(rows.filter(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("__v")), keys, ["__v"], {"__k": F.lit(1).cast("long")})
@@ -128,8 +141,13 @@ def with_grand_mean(groups: DataFrame, name: str, value: str, n: str, label: str
     return groups.select(name, value, n).unionByName(groups.agg(F.lit(label).alias(name), F.avg(value).alias(value), F.sum(n).alias(n)))
 
 
-def capped(rows: DataFrame, keys: list[str], order: list[str], n: int, name: str = "k") -> DataFrame:
-    """rows with their number from 1 within keys, the first n of each: Spark keeps n per key and task before it shuffles."""
+def capped(rows: DataFrame, keys: list[str], order: list[str], n: int | None = None, name: str = "k") -> DataFrame:
+    """rows with their number from 1 within keys, the first n of each: Spark keeps n per key and task before it shuffles.
+
+    Without n no row goes, and numbers come from ranges, so that no key is one task.
+    """
+    if n is None:
+        return running(rows, keys, order, {name: F.lit(1).cast("long")}).drop(f"all_{name}")
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col(name) <= n)
 
 

@@ -206,6 +206,30 @@ def resize_nearest(px: DataFrame, sizes: DataFrame, oh: int, ow: int, value: str
     return at.join(_long(px, value), ["slide", "y", "x"]).select("slide", F.col("__y").alias("y"), F.col("__x").alias("x"), value)
 
 
+def cut_tiles(px: DataFrame, tile: int, value: str, fill: int = 0) -> DataFrame:
+    """slide, h, w, ty, tx, tile of pixels (slide, y, x, h, w): the values of each tile row by row, padded with `fill` at the lower and right border.
+
+    Of several values of a pixel the greatest counts; a task holds one tile's.
+    """
+    place = F.col("y") % tile * tile + F.col("x") % tile
+    at = [F.floor(F.col(c) / tile).cast("long").alias(f"t{c}") for c in "yx"]
+    once = px.groupBy("slide", "h", "w", *at, place.cast("int").alias("__at")).agg(F.max(value).alias("__v"))
+    held = once.groupBy("slide", "h", "w", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("__at", "__v"))).alias("__held"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda k: F.coalesce(F.try_element_at("__held", k), F.lit(fill)))
+    return held.withColumn("tile", values).drop("__held")
+
+
+def join_tiles(tiles: DataFrame, tile: int, value: str) -> DataFrame:
+    """slide, y, x, value of tiles as cut_tiles() makes them; padding is cropped. No shuffle.
+
+    A tile that hasn't all its values is an error.
+    """
+    whole = F.when(F.size("tile") == tile * tile, F.col("tile")).otherwise(F.raise_error(F.format_string("a tile has %d values", F.size("tile"))))
+    px = tiles.select("slide", "h", "w", "ty", "tx", F.posexplode(whole).alias("__at", value))
+    px = px.withColumn("y", F.col("ty") * tile + F.floor(F.col("__at") / tile)).withColumn("x", F.col("tx") * tile + F.col("__at") % tile)
+    return px.filter("y < h AND x < w").select("slide", "y", "x", value)
+
+
 def resize_bilinear(px: DataFrame, sizes: DataFrame, oh: int, ow: int, value: str) -> DataFrame:
     """slide, y, x, value at oh x ow: linear between the four nearest pixels, centres of pixels at halves, borders held."""
     hold = lambda p, s, n: F.least(F.greatest((F.col(p) + 0.5) * F.col(s) / n - 0.5, F.lit(0.0)), F.col(s) - 1.0)

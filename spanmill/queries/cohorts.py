@@ -167,6 +167,36 @@ def sorted_key_pairing(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_name").join(n, "c_custkey", "left")
 
 
+@query("WITH a AS (SELECT s_name AS image, row_number() OVER (ORDER BY s_name) - 1 AS number FROM supplier), b AS (SELECT 'mask_' || s_suppkey AS mask, row_number() OVER (ORDER BY 'mask_' || s_suppkey) - 1 AS number FROM supplier) SELECT image, mask, number FROM a JOIN b USING (number)")
+def positional_pairs(spark, sf):
+    """Two lists of one length side by side, each in the order of its names."""
+    names = table(spark, sf, "supplier")
+    return cohort.paired(names.select(F.col("s_name").alias("image")), names.select(F.concat(F.lit("mask_"), "s_suppkey").alias("mask")), "image", "mask")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, unnest(['quality', 'toxic', 'both']) AS label, CAST(unnest([2 * quality - 1, 2 * toxic - 1, CASE WHEN quality = toxic THEN quality END]) AS INT) AS value FROM labels")
+def wide_labels_file(spark, sf):
+    """A file with a column per label, -1 or 1 or nothing, read as a row per name and label."""
+    from spanmill.plans.session import shared_path
+    from spanmill.sources import files
+
+    rows = table(spark, sf, "labels").select(F.col("doc_id").alias("name"), (2 * F.col("quality") - 1).alias("quality"), (2 * F.col("toxic") - 1).alias("toxic"), F.when(F.col("quality") == F.col("toxic"), F.col("quality")).alias("both"))
+    rows.write.option("header", True).csv(path := shared_path(spark, "labels"))
+    return files.read_wide_labels(spark, path)
+
+
+@query("SELECT o_orderkey AS run, o_orderstatus AS status, o_totalprice AS loss, CAST(NULL AS VARCHAR) AS priority FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 2 <> 0")
+def experiment_log(spark, sf):
+    """A log begun with some columns and continued with others."""
+    from spanmill.plans.session import shared_path
+    from spanmill.sources import files
+
+    rows, path = table(spark, sf, "orders").withColumnsRenamed({"o_orderkey": "run", "o_totalprice": "loss"}), shared_path(spark, "runs")
+    files.append_run(rows.filter("run % 2 = 0").select("run", F.col("o_orderstatus").alias("status"), "loss"), path)
+    files.append_run(rows.filter("run % 2 <> 0").select("run", "loss", F.col("o_orderpriority").alias("priority")), path)
+    return files.read_runs(spark, path).select("run", "status", "loss", "priority")
+
+
 @query("SELECT CAST(quality AS BIGINT) AS quality, count(*) FILTER (WHERE toxic = 0) AS clean, count(*) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY 1")
 def wide_labels_pivot(spark, sf):
     pivoted = table(spark, sf, "labels").groupBy(F.col("quality").cast("long").alias("quality")).pivot("toxic", [0, 1]).agg(F.count(F.lit(1)))

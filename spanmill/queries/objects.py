@@ -87,6 +87,24 @@ def polygon_fill(spark, sf):
     return geometry.fill(rects(spark, sf).select("id", ring.alias("ring")), ["id"]).groupBy("id").agg(F.sum(F.col("hi") - F.col("lo")).alias("pixels"), F.count(F.lit(1)).alias("rows"))
 
 
+#: Rectangles with a notch from the lower side to the middle: concave, with slanted edges.
+_NOTCHED = f"""WITH {RECTS}, n AS (SELECT id, x0, y0, x1, y1, (x0 + x1) / 2e0 AS mx, (y0 + y1) / 2e0 AS my FROM rects),
+  r AS (SELECT n.*, y0 + k AS y FROM n, range(70) AS r(k) WHERE k < y1 - y0),
+  f AS (SELECT id, CASE WHEN y + 0.5e0 < my THEN x1 - x0 ELSE ceil(mx + (y + 0.5e0 - my) * (x0 - mx) / (y1 - my) - 0.5e0) - x0 + x1 - ceil(x1 + (y + 0.5e0 - y1) * (mx - x1) / (my - y1) - 0.5e0) END AS c FROM r)"""
+
+
+@query(_NOTCHED + ", s AS (SELECT id, CAST(sum(c) AS BIGINT) AS pixels FROM f GROUP BY id) SELECT id, pixels, 0.75e0 * (x1 - x0) * (y1 - y0) AS area, round((2 * x0 + 2 * x1 + mx) / 5, 6) AS cx, round((2 * y0 + 2 * y1 + my) / 5, 6) AS cy FROM n JOIN s USING (id)")
+def notched_polygons(spark, sf):
+    """Pixels, area and centre of concave polygons."""
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    ring = F.array(p(x0, y0), p(x1, y0), p(x1, y1), p((x0 + x1) / 2, (y0 + y1) / 2), p(x0, y1), p(x0, y0))
+    objects = rects(spark, sf).select("id", ring.alias("ring"))
+    pixels_ = geometry.fill(objects, ["id"]).groupBy("id").agg(F.sum(F.col("hi") - F.col("lo")).alias("pixels"))
+    c = geometry.centre(F.col("ring"))
+    return objects.join(pixels_, "id").select("id", "pixels", geometry.area(F.col("ring")).alias("area"), rnd(c["x"]).alias("cx"), rnd(c["y"]).alias("cy"))
+
+
 @query(_SIDES + " SELECT a, b, CAST(inter AS BIGINT) AS inter FROM p")
 def polygon_intersection(spark, sf):
     ring = geometry.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))

@@ -67,15 +67,13 @@ def scan_zip(spark, sf):
     return files.read_zip(spark, base).select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member", F.octet_length("data").cast("long").alias("bytes"))
 
 
-@query("SELECT 'm' || k || '.csv' AS name, CAST(k + 1 AS BIGINT) AS bytes FROM range(6) AS r(k) WHERE k <> 4")
+@query("SELECT CAST(c_nationkey AS BIGINT) AS folder, CAST(sum(length(c_name) + 1) AS BIGINT) AS bytes FROM customer WHERE c_nationkey <> 4 GROUP BY 1")
 def scan_listing(spark, sf):
-    """Files of a folder by pattern, without those with a banned part."""
+    """Files below a folder by pattern, without those with a banned part: names in a folder per nation, of which one is banned."""
     base = shared_path(spark, "listing")
-    for k in range(6):
-        files.write_bytes(spark, f"{base}/m{k}.csv", b"x" * (k + 1))
-        files.write_bytes(spark, f"{base}/m{k}.txt", b"x")
-    found = files.list_files(spark, base, "*.csv", ("m4",))
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").cast("long").alias("bytes"))
+    table(spark, sf, "customer").select("c_nationkey", "c_name").repartition("c_nationkey").write.partitionBy("c_nationkey").text(base)
+    found = files.list_files(spark, base, "*.txt", ("c_nationkey=4/",))
+    return found.groupBy(F.regexp_extract("path", r"c_nationkey=(\d+)/", 1).cast("long").alias("folder")).agg(F.sum("length").cast("long").alias("bytes"))
 
 
 @query("SELECT c_name AS Donor_ID, c_acctbal AS Age, CAST(c_nationkey AS DOUBLE) AS BMI FROM customer")

@@ -76,13 +76,20 @@ def balanced_counts(spark, sf):
     return b.select("binned", "n", F.min("n").over(over).alias("least"), F.avg("n").over(over).cast("long").alias("mean"))
 
 
-@query(f"WITH {R2D} SELECT slide, CAST((y // 8) * 8 + y % 8 AS BIGINT) AS y, CAST((x // 8) * 8 + x % 8 AS BIGINT) AS x, CAST(val AS BIGINT) AS val FROM r2d")
+@query(f"WITH {R2D} SELECT slide, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(val AS BIGINT) AS val FROM r2d")
 def stitch_disjoint(spark, sf):
-    """Cut into padded tiles, put together again, padding cropped."""
-    px = r2d(spark, sf)
-    cut = px.select("slide", "h", "w", F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx"), (F.col("y") % 8).alias("dy"), (F.col("x") % 8).alias("dx"), "val")
-    whole = cut.select("slide", "h", "w", (F.col("ty") * 8 + F.col("dy")).cast("long").alias("y"), (F.col("tx") * 8 + F.col("dx")).cast("long").alias("x"), F.col("val").cast("long").alias("val"))
-    return whole.filter("y < h AND x < w").select("slide", "y", "x", "val")
+    """Cut into padded tiles, put together again, padding cropped: every pixel comes back, and no other."""
+    tiles = grid.cut_tiles(r2d(spark, sf), 8, "val")
+    whole = grid.join_tiles(tiles, 8, "val")
+    return whole.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("val").cast("long").alias("val"))
+
+
+@query(f"WITH {R2D}, s AS (SELECT DISTINCT slide, h, w FROM r2d) SELECT s.slide, CAST(ty AS BIGINT) AS ty, CAST(tx AS BIGINT) AS tx, CAST(sum(coalesce(val, 0)) AS BIGINT) AS total, CAST(count(val) AS BIGINT) AS filled, CAST(64 AS BIGINT) AS n FROM s JOIN range(4) AS a(ty) ON ty * 8 < h JOIN range(4) AS b(tx) ON tx * 8 < w CROSS JOIN range(8) AS c(dy) CROSS JOIN range(8) AS d(dx) LEFT JOIN r2d r ON r.slide = s.slide AND r.y = ty * 8 + dy AND r.x = tx * 8 + dx GROUP BY 1, 2, 3")
+def padded_tiles(spark, sf):
+    """The tiles themselves: sums, values of the image, and padding."""
+    tiles = grid.cut_tiles(r2d(spark, sf), 8, "val", -1)
+    sums = F.aggregate(F.filter("tile", lambda v: v >= 0), F.lit(0).cast("long"), lambda s, v: s + v)
+    return tiles.select("slide", "ty", "tx", sums.alias("total"), F.size(F.filter("tile", lambda v: v >= 0)).cast("long").alias("filled"), F.size("tile").cast("long").alias("n"))
 
 
 _TILES = f"WITH {R2D}, t AS (SELECT slide, ty, tx, least(ty * 5, h - 8) AS y0, least(tx * 5, w - 8) AS x0 FROM (SELECT DISTINCT slide, h, w FROM r2d), range(9) AS a(ty), range(9) AS b(tx) WHERE ty * 5 < h AND tx * 5 < w), p AS (SELECT r.slide, r.y, r.x, r.y - y0 AS dy, r.x - x0 AS dx, r.val / 255.0 * (1 + (ty + tx) % 3 / 10.0) AS p FROM r2d r JOIN t ON r.slide = t.slide AND r.y BETWEEN y0 AND y0 + 7 AND r.x BETWEEN x0 AND x0 + 7)"

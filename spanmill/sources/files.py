@@ -104,6 +104,24 @@ def append_log(rows: DataFrame, path: str, schema: T.StructType) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
+def append_run(rows: DataFrame, path: str) -> None:
+    """Append rows to an experiment log, or begin it; they may lack columns that it has, and have others."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """An experiment log with the columns of all its rows, null where a row lacks one; a column of two types is an error."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def read_wide_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """name, label, value of CSV files whose header names the labels after the first column: a row per name and label, null where nothing is told."""
+    wide = spark.read.option("header", True).csv(path)
+    name, *labels = wide.columns
+    long = wide.unpivot([name], labels, "label", "value")
+    return long.select(F.col(name).alias("name"), "label", F.trim("value").cast("int").alias("value"))
+
+
 def round_trip(template: DataFrame) -> DataFrame:
     """Write id, predicted; append a row; update even ids; read all back."""
     spark = template.sparkSession
