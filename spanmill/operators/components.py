@@ -13,7 +13,7 @@ from spanmill.operators import flood
 from spanmill.operators.graph import connected
 from spanmill.operators.rle import encode_spans
 from spanmill.operators.scan import running
-from spanmill.plans.session import cut, drop
+from spanmill.plans.session import cut, drop, many
 
 
 def column_runs(mask: DataFrame) -> DataFrame:
@@ -131,4 +131,4 @@ def label_mask(mask: DataFrame, sizes: DataFrame, min_pixel: int = 1, exclude_bo
 
 def label_pixels(labelled: DataFrame) -> DataFrame:
     """slide, label, y, x of labelled runs."""
-    return labelled.select("slide", "label", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("y"), "x")
+    return many(labelled.select("slide", "label", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("y"), "x"))

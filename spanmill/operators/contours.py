@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.plans.session import many
 
 #: Which sides of a 2 x 2 cell a contour joins, by the corners set (top left 8, top right 4, bottom right 2, bottom left 1).
 SIDES = {1: "lb", 2: "br", 3: "lr", 4: "rt", 5: "rt lb", 6: "bt", 7: "lt", 8: "tl", 9: "tb", 10: "tl br", 11: "tr", 12: "rl", 13: "rb", 14: "bl"}
@@ -151,4 +152,4 @@ def ridge(labels: DataFrame) -> DataFrame:
     near = labels.filter("label > 0").select("slide", "y", "x", F.col("label").alias("other"), steps)
     near = near.select("slide", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "other").groupBy("slide", "y", "x").agg(F.max("other").alias("hi"), F.min("other").alias("lo"))
     touching = (F.col("label") > 0) & ((F.col("hi") > F.col("label")) | (F.col("lo") < F.col("label")))
-    return labels.join(near, ["slide", "y", "x"], "left").select("slide", "y", "x", F.when(touching, F.lit(0)).otherwise(F.col("label")).alias("label"))
+    return labels.join(many(near), ["slide", "y", "x"], "left").select("slide", "y", "x", F.when(touching, F.lit(0)).otherwise(F.col("label")).alias("label"))

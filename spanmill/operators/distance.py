@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.operators.rle import encode_spans
-from spanmill.plans.session import cut, drop
+from spanmill.plans.session import cut, drop, many
 
 #: Rows of a strip, and places whose parabolas are compared at once.
 STRIP, PLACES = 32, 1 << 20
@@ -211,7 +211,7 @@ def distance_weights(labels: DataFrame, weight: float = 10.0, sigma: float = 10.
     sums = far.groupBy("slide", "y", "x").agg(F.sum(border).alias("__border"), F.sum("near").alias("__near"))
     held = F.coalesce(F.col(ground), F.col("label") != 0) if ground else F.col("label") != 0
     out = F.coalesce(F.col(ignored), F.lit(False)) if ignored else F.lit(False)
-    every = px.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), held.alias("__held"), out.alias("__out")).join(sums, ["slide", "y", "x"], "left")
+    every = px.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), held.alias("__held"), out.alias("__out")).join(many(sums), ["slide", "y", "x"], "left")
 
     def where(object_: Column | float, free: Column | float) -> Column:
         return F.when(F.col("__out"), F.lit(0.0)).when(F.col("__held"), object_).otherwise(free)
@@ -229,7 +229,7 @@ def directed_hausdorff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
     at = a.select(*keys, "y", "x").distinct().withColumn("__a", F.lit(1))
     goal = b.select(*keys, "y", "x").distinct().withColumn("label", F.lit(1))
     every = at.join(goal, [*keys, "y", "x"], "full")
-    far = distances(every, keys).join(at, [*keys, "y", "x"])
+    far = distances(every, keys).join(many(at), [*keys, "y", "x"])
     worst = F.when(F.count_if(F.col("d1").isNull()) == 0, F.max("d1"))
     return far.groupBy(*keys).agg(worst.alias("distance"))
 
@@ -256,7 +256,7 @@ def row_hausdorff(a: DataFrame, b: DataFrame, heights: DataFrame, keys: list[str
         spans = F.sort_array(F.collect_list(F.struct("lo", "hi")))
         held = runs.groupBy(*keys, F.col("y").cast("long").alias("y")).agg(F.sum(F.col("hi") - F.col("lo")).alias("n"), spans.alias("runs"))
         every = heights.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("h").cast("long") - 1)).alias("y"))
-        joined = every.join(held, [*keys, "y"], "left")
+        joined = many(every).join(many(held), [*keys, "y"], "left")
         return joined.select(*keys, "y", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("runs", F.array().cast(held.schema["runs"].dataType)).alias("runs"))
 
     def apart(p: str, q: str) -> Column:

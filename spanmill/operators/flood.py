@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.operators.distance import distances
-from spanmill.plans.session import cut, drop
+from spanmill.plans.session import cut, drop, many
 
 #: Rows of a strip.
 STRIP = 256
@@ -33,10 +33,10 @@ def depths(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _AROUND if (a, b) != (0, 0)])
     next_to = set_.select("slide", "y", "x", F.explode(steps).alias("s")).select("slide", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x")).distinct()
     inside = next_to.join(sizes.select("slide", "h", "w"), "slide").filter("y >= 0 AND x >= 0 AND y < h AND x < w").select("slide", "y", "x")
-    free = inside.join(set_, ["slide", "y", "x"], "left_anti").withColumn("label", F.lit(1))
+    free = inside.join(many(set_), ["slide", "y", "x"], "left_anti").withColumn("label", F.lit(1))
     every = set_.withColumn("label", F.lit(0)).unionByName(free)
     near = distances(every, ["slide"]).select("slide", "y", "x", F.round(F.col("d1") * F.col("d1")).cast("long").alias("depth"))
-    return pixels.join(near, ["slide", "y", "x"], "left")
+    return pixels.join(many(near), ["slide", "y", "x"], "left")
 
 
 def markers(deep: DataFrame, least: int) -> DataFrame:
@@ -78,7 +78,7 @@ def watershed(pixels: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     spark, held = pixels.sparkSession, []
     deep = cut(depths(pixels.select("slide", "label", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")), sizes).withColumn("depth", F.coalesce("depth", F.lit(0))), "depths", held)
     tops = markers(deep, least).withColumn("part", F.col("y") * F.lit(1 << 32) + F.col("x"))
-    ground = cut(deep.join(tops, ["slide", "label", "y", "x"], "left").withColumn("strip", F.floor(F.col("y") / STRIP)), "ground", held)
+    ground = cut(deep.join(many(tops), ["slide", "label", "y", "x"], "left").withColumn("strip", F.floor(F.col("y") / STRIP)), "ground", held)
     kinds = {f.name: f.dataType.simpleString() for f in ground.schema}
 
     def run(own: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:

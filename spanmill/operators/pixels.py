@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.plans.session import many
+
 # Mean and deviation of the three channels, and the weights of gray.
 CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 GRAY = (0.299, 0.587, 0.144)
@@ -20,7 +22,7 @@ def fitted_zscore(px: DataFrame, keys: list[str], value: str, times: float = 2.0
     """px with z: the value less its key's mean by `times` its deviation, clipped to +- most; null where a key is constant."""
     fit = px.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
     z = F.try_divide(F.col(value) - F.col("__m"), times * F.col("__s"))
-    return px.join(fit, keys).withColumn(name, F.greatest(F.least(z, F.lit(most)), F.lit(-most))).drop("__m", "__s")
+    return many(px).join(fit, keys).withColumn(name, F.greatest(F.least(z, F.lit(most)), F.lit(-most))).drop("__m", "__s")
 
 
 def saturation(r: Column, g: Column, b: Column) -> Column:
@@ -41,7 +43,7 @@ def overlaid(value: Column, on: Column) -> Column:
 def gated(px: DataFrame, keys: list[str], score: str, threshold: float, name: str = "gated") -> DataFrame:
     """px with the score, 0 for a whole key none of whose scores is over the threshold."""
     top = px.groupBy(*keys).agg((F.max(score) > threshold).alias("__open"))
-    return px.join(top, keys).withColumn(name, F.when(F.col("__open"), F.col(score)).otherwise(0.0)).drop("__open")
+    return many(px).join(top, keys).withColumn(name, F.when(F.col("__open"), F.col(score)).otherwise(0.0)).drop("__open")
 
 
 def nonempty(px: DataFrame, keys: list[str], mask: Column) -> DataFrame:

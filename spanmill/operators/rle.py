@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.plans.session import many
+
 #: Positions whose runs are found in one task; runs are joined across the borders afterwards.
 CHUNK = 1 << 20
 
@@ -20,7 +22,7 @@ def encode_spans(px: DataFrame, keys: list[str], pos: str = "pos", chunk: int =
     island = F.col(pos) - F.row_number().over(inside)
     runs = marked.withColumn("__island", island).groupBy(*keys, "__chunk", "__island").agg(F.min(pos).alias("lo"), (F.max(pos) + 1).alias("hi")).select(*keys, "lo", "hi")
     at_border = (F.col("lo") % chunk == 0) | (F.col("hi") % chunk == 0)
-    return join_touching(runs.filter(at_border), keys).unionByName(runs.filter(~at_border))
+    return many(join_touching(runs.filter(at_border), keys).unionByName(runs.filter(~at_border)))
 
 
 def join_touching(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,7 +51,7 @@ def text_to_spans(masks: DataFrame, rle: str, keys: list[str], size: Column | No
 
 def positions(spans: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """One row per position of each span."""
-    return spans.select(*keys, F.explode(F.sequence("lo", F.col("hi") - 1)).alias(pos))
+    return many(spans.select(*keys, F.explode(F.sequence("lo", F.col("hi") - 1)).alias(pos)))
 
 
 def lossy_positions(px: DataFrame, keys: list[str], length: str, pos: str = "pos") -> DataFrame:
@@ -73,7 +75,7 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str], cell: int = 256) -> Dat
     def cut(s: DataFrame, lo: str, hi: str) -> DataFrame:
         cells = F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("__cell")
         at = s.select(*keys, "lo", "hi", cells)
-        return at.select(*keys, "__cell", F.greatest("lo", F.col("__cell") * cell).alias(lo), F.least("hi", (F.col("__cell") + 1) * cell).alias(hi))
+        return many(at.select(*keys, "__cell", F.greatest("lo", F.col("__cell") * cell).alias(lo), F.least("hi", (F.col("__cell") + 1) * cell).alias(hi)))
 
     met = cut(a, "alo", "ahi").join(cut(b, "blo", "bhi"), [*keys, "__cell"]).filter("alo < bhi AND blo < ahi")
     return met.groupBy(*keys).agg(F.sum(F.least("ahi", "bhi") - F.greatest("alo", "blo")).cast("long").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.operators import grid, rle
+from spanmill.plans.session import many
 
 
 def write_chunks(px: DataFrame, path: str, value: str, size: int = 512) -> None:
@@ -33,7 +34,7 @@ def turned(px: DataFrame, sizes: DataFrame) -> DataFrame:
     """px with y and x exchanged for slides whose pixels pass the height or width that sizes (slide, h, w) has."""
     far = px.groupBy("slide").agg(F.max("y").alias("__y"), F.max("x").alias("__x")).join(sizes, "slide")
     wrong = far.select("slide", ((F.col("__y") >= F.col("h")) | (F.col("__x") >= F.col("w"))).alias("__turn"))
-    return px.join(wrong, "slide").select("slide", F.when(F.col("__turn"), F.col("x")).otherwise(F.col("y")).alias("y"), F.when(F.col("__turn"), F.col("y")).otherwise(F.col("x")).alias("x"), *[c for c in px.columns if c not in ("slide", "y", "x")])
+    return many(px).join(wrong, "slide").select("slide", F.when(F.col("__turn"), F.col("x")).otherwise(F.col("y")).alias("y"), F.when(F.col("__turn"), F.col("y")).otherwise(F.col("x")).alias("x"), *[c for c in px.columns if c not in ("slide", "y", "x")])
 
 
 def scaled(value: Column, most: Column | int) -> Column:
