@@ -38,19 +38,32 @@ def _step(name: str, parameter: int, place: Place) -> Place:
 
 
 def _moved(px: DataFrame, every: list[list[tuple[str, int]]], back: bool) -> DataFrame:
-    """px with places mapped by each row's variant (a number in tta)."""
-    start = tuple(F.col(c).cast("long") for c in ("y", "x", "h", "w"))
-    ends = []
-    for steps in every:
-        place = start
+    """px with places mapped by each row's variant (a number in tta).
+
+    Each number of a place is a sum of the old ones by whole factors, which are looked up by variant: 16 variants cost a row what one does.
+    """
+
+    def placed(steps: list[tuple[str, int]], place: tuple[int, ...]) -> tuple[int, ...]:
         for name, parameter in reversed(steps) if back else steps:
             place = _step(name, -parameter if back and name == "rot90" else parameter, place)
-        ends.append(F.struct(*[c.alias(n) for c, n in zip(place, ("y", "x", "h", "w"), strict=True)]))
-    own = ends[-1]
-    for k in range(len(ends) - 2, -1, -1):
-        own = F.when(F.col("tta") == k, ends[k]).otherwise(own)
-    moved = px.withColumn("__at", own)
-    return moved.withColumns({c: F.col(f"__at.{c}") for c in ("y", "x", "h", "w")}).drop("__at")
+        return place
+
+    names = ("y", "x", "h", "w")
+    zero = [placed(steps, (0, 0, 0, 0)) for steps in every]
+    ones = [[placed(steps, tuple(int(i == j) for i in range(4))) for steps in every] for j in range(4)]
+
+    def looked_up(factors: list[int]) -> Column:
+        return F.get(F.array(*[F.lit(f).cast("long") for f in factors]), F.col("tta").cast("int"))
+
+    def number(i: int) -> Column:
+        out = looked_up([z[i] for z in zero])
+        for j, c in enumerate(names):
+            factors = [one[i] - z[i] for one, z in zip(ones[j], zero, strict=True)]
+            if any(factors):
+                out = out + looked_up(factors) * F.col(c).cast("long")
+        return out
+
+    return px.withColumns({c: number(i) for i, c in enumerate(names)})
 
 
 def augmented(px: DataFrame, transforms: tuple[tuple[str, tuple[int, ...]], ...]) -> DataFrame:

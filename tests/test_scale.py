@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spanmill.operators import tta
 from spanmill.queries import QUERIES
 from spanmill.queries.base import r2d
 from tests.compare import DATA
@@ -28,3 +29,15 @@ def test_rasters_of_one_file_are_many_tasks(spark, tmp_path):
     rows = spark.range(1000).select(F.col("id").alias("s_suppkey"))
     rows.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
     assert r2d(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_variants_are_looked_up(spark):
+    px = spark.range(6).select(F.lit(1).alias("slide"), F.floor(F.col("id") / 3).alias("y"), (F.col("id") % 3).alias("x"), F.lit(2).alias("h"), F.lit(3).alias("w"))
+    every = (tta.HFLIP, tta.VFLIP, tta.ROT90)
+    there = tta.augmented(px, every)
+    back = tta.deaugmented(there, every)
+    assert "CASE WHEN" not in _plan(back)
+    assert sorted(back.select("tta", "y", "x", "h", "w").collect()) == [(t, y, x, 2, 3) for t in range(16) for y in range(2) for x in range(3)]
+    # variant 1 is a quarter turn counterclockwise: the top right corner comes to the top left
+    assert there.filter("tta = 1 AND y = 0 AND x = 0").count() == 1
+    assert {(r.h, r.w) for r in there.filter("tta = 1").collect()} == {(3, 2)}
