@@ -54,7 +54,9 @@ def tile_names(slide: Column, number: Column) -> Column:
 
 
 def write_tiles(px: DataFrame, path: str, size: int, value: str = "val", mask: str = "mask") -> DataFrame:
-    """Tiles of px below path, partitioned by slide: number, values row by row, the mask as a text (column by column); their statistics.
+    """Tiles of px below path, in files of ranges of slides: number, values row by row, the mask as a text (column by column); their statistics.
+
+    Rows are in order of slide and number, so a slide's are found by the files' statistics; files grow with the tiles, not with the slides.
 
     Returns slide, ty, tx, name, masked, ratio, std of each tile, as grid.tile_stats() has them, and its rle.
     """
@@ -64,5 +66,5 @@ def write_tiles(px: DataFrame, path: str, size: int, value: str = "val", mask: s
     texts = rle.spans_to_text(spans, keys)
     named = grid.tile_stats(px, size, value, mask).join(texts, keys, "left").withColumn("name", F.format_string("%s_%04d_%04d", F.col("slide").cast("string"), F.col("ty"), F.col("tx")))
     rows = at.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dy", "dx", value))).alias("px"))
-    rows.join(named.select(*keys, "name", "rle"), keys).write.mode("overwrite").partitionBy("slide").parquet(path)
+    rows.join(named.select(*keys, "name", "rle"), keys).repartitionByRange("slide").sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
     return named.select(*keys, "name", "masked", "ratio", "std", "rle")

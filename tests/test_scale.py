@@ -1,11 +1,14 @@
 """What grows with the tables: how rows are dealt to tasks, and joins that don't send pixels to every executor."""
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanmill.operators import tta
 from spanmill.queries import QUERIES
 from spanmill.queries.base import r2d
+from spanmill.sources import chunks
 from tests.compare import DATA
 
 PIXELS = "cutmix_cutout elastic_deformation group_zscore_clip instance_ridge label_pair_iou mixup_pixels raster_ingest remap_bilinear remap_nearest remap_wave resize_bilinear resize_nearest rle_encode_resized"
@@ -41,3 +44,10 @@ def test_variants_are_looked_up(spark):
     # variant 1 is a quarter turn counterclockwise: the top right corner comes to the top left
     assert there.filter("tta = 1 AND y = 0 AND x = 0").count() == 1
     assert {(r.h, r.w) for r in there.filter("tta = 1").collect()} == {(3, 2)}
+
+
+def test_files_of_tiles_are_not_as_many_as_slides(spark, tmp_path):
+    px = spark.range(40 * 16).select(F.floor(F.col("id") / 16).alias("slide"), (F.floor(F.col("id") / 4) % 4).alias("y"), (F.col("id") % 4).alias("x"), F.lit(7).alias("val"), F.lit(1).alias("mask"))
+    chunks.write_tiles(px, str(tmp_path / "tiles"), 2)
+    assert len(list(pathlib.Path(tmp_path / "tiles").rglob("*.parquet"))) < 40
+    assert spark.read.parquet(str(tmp_path / "tiles")).count() == 40 * 4
