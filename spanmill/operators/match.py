@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanmill.operators.graph import connected
-from spanmill.plans.session import cut, drop
+from spanmill.plans.session import cut, drop, many
+
+
+def _by_cell(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows dealt by key and cell to a number of tasks that isn't coalesced: few rows of two sides make many pairs."""
+    return many(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__cx", "__cy"))
 
 
 def box_pairs(a: DataFrame, b: DataFrame, cell: int, keys: list[str]) -> DataFrame:
@@ -28,9 +33,9 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: int, keys: list[str]) -> DataFra
         named = df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys])
         return named.withColumn("__cx", F.explode(cells(f"{p}_x0", f"{p}_x1"))).withColumn("__cy", F.explode(cells(f"{p}_y0", f"{p}_y1")))
 
-    met = dealt(a, "a").join(dealt(b, "b"), [*keys, "__cx", "__cy"]).filter("a_x0 < b_x1 AND b_x0 < a_x1 AND a_y0 < b_y1 AND b_y0 < a_y1")
+    met = _by_cell(dealt(a, "a"), keys).join(_by_cell(dealt(b, "b"), keys), [*keys, "__cx", "__cy"]).filter("a_x0 < b_x1 AND b_x0 < a_x1 AND a_y0 < b_y1 AND b_y0 < a_y1")
     own = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("__cx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("__cy"))
-    return met.filter(own).drop("__cx", "__cy")
+    return many(met.filter(own).drop("__cx", "__cy"))
 
 
 def overlapping(a: DataFrame, b: DataFrame, cell: int, keys: list[str], name: str = "id") -> DataFrame:
@@ -50,7 +55,7 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: int, keys: list[str]) -> Data
     left = left.withColumn("__cx", F.floor(F.col("a_x") / radius) + F.col("__dx")).withColumn("__cy", F.floor(F.col("a_y") / radius) + F.col("__dy"))
     right = named(b, "b").withColumn("__cx", F.floor(F.col("b_x") / radius)).withColumn("__cy", F.floor(F.col("b_y") / radius))
     close = F.pow(F.col("a_x") - F.col("b_x"), F.lit(2)) + F.pow(F.col("a_y") - F.col("b_y"), F.lit(2)) <= radius * radius
-    return left.join(right, [*keys, "__cx", "__cy"]).filter(close).drop("__dx", "__dy", "__cx", "__cy")
+    return _by_cell(left, keys).join(_by_cell(right, keys), [*keys, "__cx", "__cy"]).filter(close).drop("__dx", "__dy", "__cx", "__cy")
 
 
 def overlap_area() -> Column:

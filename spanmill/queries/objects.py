@@ -15,11 +15,12 @@ _SIDES_PARTS = f"{RECTS}, a AS (SELECT * FROM rects WHERE grp = 'A'), b AS (SELE
 _SIDES = f"WITH {_SIDES_PARTS}"
 
 
-def _pairs(spark, sf):
-    r = rects(spark, sf)
+def _pairs(spark, sf, **rings):
+    """Pairs whose boxes overlap, with rings of a's and b's (columns of the objects) where given."""
+    r = rects(spark, sf).withColumns(rings)
     size = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0"))
     met = match.box_pairs(r.filter("grp = 'A'"), r.filter("grp = 'B'"), 128, ["slide"])
-    return met.select("slide", F.col("a_id").alias("a"), F.col("b_id").alias("b"), match.overlap_area().alias("inter"), size("a").alias("aa"), size("b").alias("ab"))
+    return met.select("slide", F.col("a_id").alias("a"), F.col("b_id").alias("b"), match.overlap_area().alias("inter"), size("a").alias("aa"), size("b").alias("ab"), *[f"{p}_{c}" for c in rings for p in "ab"])
 
 
 @query(_SIDES + " SELECT slide, a, b, inter FROM p WHERE inter >= 0.3 * aa")

@@ -16,18 +16,15 @@ QUERIES, SQL = _r.queries, _r.sql
 query = _r.query
 
 
-def _rings(spark, sf, scale: float = 1.0):
-    end = lambda c: F.col(c) * scale
-    return rects(spark, sf).select("id", "grp", "slide", geometry.rectangle(end("x0"), end("y0"), end("x1"), end("y1")).alias("ring"))
+def _rings(spark, sf):
+    return rects(spark, sf).select("id", "grp", "slide", geometry.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
 
 
 @query(_SIDES + " SELECT a, b, round(inter * 0.37 * 0.37, 6) AS inter FROM p")
 def polygon_overlap_exact(spark, sf):
     """Overlaps of polygons whose corners lie between pixels."""
-    rings = _rings(spark, sf, 0.37)
-    side = lambda n: rings.select(F.col("id").alias(n), F.col("ring").alias(f"ring_{n}"))
-    pairs = _pairs(spark, sf).select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return pairs.select("a", "b", rnd(geometry.overlap_area("ring_a", "ring_b")).alias("inter"))
+    ring = geometry.rectangle(*[F.col(c) * 0.37 for c in ("x0", "y0", "x1", "y1")])
+    return _pairs(spark, sf, ring=ring).select("a", "b", rnd(geometry.overlap_area("a_ring", "b_ring")).alias("inter"))
 
 
 def _bent(x0, y0, x1, y1):
@@ -53,9 +50,9 @@ def polygon_buffers(spark, sf):
 SELECT a, b, round(o, 4) AS overlap, round(aa + ab - o, 4) AS both, round(aa - o, 4) AS rest FROM p""")
 def polygon_clips(spark, sf):
     """Concave polygons of A cut by those of B: areas of the rings of overlap, union and difference."""
-    bent = rects(spark, sf).select("id", _bent(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("bent"), geometry.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
-    pairs = _pairs(spark, sf).select("a", "b").join(bent.select(F.col("id").alias("a"), "bent"), "a").join(bent.select(F.col("id").alias("b"), "ring"), "b")
-    size = lambda how: F.round(regions.rings_area(regions.clip(F.col("bent"), F.col("ring"), how)), 4)
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    pairs = _pairs(spark, sf, bent=_bent(*box), ring=geometry.rectangle(*box))
+    size = lambda how: F.round(regions.rings_area(regions.clip(F.col("a_bent"), F.col("b_ring"), how)), 4)
     return pairs.select("a", "b", size("overlap").alias("overlap"), size("union").alias("both"), size("difference").alias("rest"))
 
 

@@ -2,12 +2,14 @@
 
 import pathlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanmill.operators import tta
+from spanmill.operators import augment, geometry, regions, tta
 from spanmill.queries import QUERIES
-from spanmill.queries.base import r2d
+from spanmill.queries.base import r2d, rects
 from spanmill.sources import chunks
 from tests.compare import DATA
 
@@ -51,3 +53,45 @@ def test_files_of_tiles_are_not_as_many_as_slides(spark, tmp_path):
     chunks.write_tiles(px, str(tmp_path / "tiles"), 2)
     assert len(list(pathlib.Path(tmp_path / "tiles").rglob("*.parquet"))) < 40
     assert spark.read.parquet(str(tmp_path / "tiles")).count() == 40 * 4
+
+
+def test_objects_of_one_file_are_many_tasks(spark, tmp_path):
+    rows = spark.range(9000).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("c_nationkey"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert rects(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("name", ["containment_counts", "distance_bounded_join", "polygon_buffer_contains"])
+def test_pairs_are_made_by_cells_dealt_to_all_tasks(spark, name):
+    plan = _plan(QUERIES[name](spark, DATA))
+    assert "BroadcastExchange" not in plan and plan.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_overlaps_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 5), (7, 5), (6, 9)):
+        close = lambda v: np.concatenate([v, v[:, :1]], axis=1)
+        p, q = (close(np.round(rng.random((200, k - 1, 2)) * 8, 1 if k < 7 else 0)) for k in (n, m))
+        want = [geometry._overlap(a, b) for a, b in zip(p, q, strict=True)]
+        assert np.allclose(geometry.overlaps(p, q), want, atol=1e-9)
+        assert max(want) > 1
+
+
+def test_later_tries_are_made_in_batches(spark):
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (9, 0), (0, 1), (0, 0))])
+    got = augment.point_in_polygon(spark.range(40).select("id", ring.alias("ring")), "id", 3, 7)
+    assert "Exchange" not in _plan(got)
+    at = lambda s, i: augment.unit(3 + s, "id", i)
+    tries = spark.range(40).select("id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).select("id", "i", (9 * at(0, F.col("i"))).alias("x"), at(1, F.col("i")).alias("y"))
+    first = {r["id"]: (r["p"]["x"], r["p"]["y"]) for r in tries.filter("x + 9 * y < 9").groupBy("id").agg(F.min(F.struct("i", "x", "y")).alias("p")).collect()}
+    assert {r["id"]: (r.x, r.y) for r in got.collect()} == {k: first.get(k, (3.0, 1 / 3)) for k in range(40)}
+
+
+def test_equal_figures_are_cut_once():
+    square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+    moved = lambda by: [{"x": x + by, "y": y - 2.0 * by} for x, y in square]
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    a = pa.array([moved(k) for k in range(5)] + [None], kind)
+    calls = []
+    got = regions._figures([a, a], "once", lambda v: calls.append(1) or [v[0]]).to_pylist()
+    assert len(calls) == 1 and got == [[moved(k)] for k in range(5)] + [None]
