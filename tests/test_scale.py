@@ -95,3 +95,7 @@ def test_equal_figures_are_cut_once():
     calls = []
     got = regions._figures([a, a], "once", lambda v: calls.append(1) or [v[0]]).to_pylist()
     assert len(calls) == 1 and got == [[moved(k)] for k in range(5)] + [None]
+
+
+def test_objects_of_a_tile_index_are_many_tasks(spark):
+    assert "REPARTITION_BY_NUM" in _plan(QUERIES["tile_index_rows"](spark, DATA))
