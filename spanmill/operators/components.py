@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanmill.operators import flood
 from spanmill.operators.graph import connected
+from spanmill.operators.groups import dealt, whole_groups
 from spanmill.operators.rle import encode_spans
 from spanmill.operators.scan import running
 from spanmill.plans.session import cut, drop, many
@@ -54,20 +56,21 @@ def label_runs(runs: DataFrame, connectivity: int = 4, strip: int = STRIP) -> Da
     """runs (slide, x, lo, hi) with label: the least run <x, lo> of their component within the slide.
 
     A run touches those of the next column that it overlaps (with 8-connectivity, also at corners).
-    Strips of columns are labelled by a task each; then only the components that touch across the
+    Strips of columns are labelled whole, many small ones at once; then only the components that touch across the
     borders of strips are joined, as a graph of labels.
     """
     slack = 1 if connectivity == 8 else 0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["x", "lo"])
-        x, lo, hi = (own[c].to_numpy(dtype=np.int64) for c in ("x", "lo", "hi"))
-        least = _least_of_part(len(own), *_touching(x, lo, hi, slack))
-        return own.assign(lx=x[least], llo=lo[least])[["slide", "x", "lo", "hi", "lx", "llo"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, group in whole_groups(batches, ["slide", "__strip"]):
+            x, lo, hi = (own[c].to_numpy(dtype=np.int64) for c in ("x", "lo", "hi"))
+            # strips side by side, a column free between them
+            least = _least_of_part(len(own), *_touching(group * (strip + 1) + x % strip, lo, hi, slack))
+            yield own.assign(lx=x[least], llo=lo[least])[["slide", "x", "lo", "hi", "lx", "llo"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
-    dealt = runs.select("slide", "x", "lo", "hi", F.floor(F.col("x") / strip).alias("__strip")).groupBy("slide", "__strip")
-    own = cut(dealt.applyInPandas(run, f"slide {kinds['slide']}, x {kinds['x']}, lo {kinds['lo']}, hi {kinds['hi']}, lx {kinds['x']}, llo {kinds['lo']}"), "runs")
+    strips = dealt(runs.select("slide", "x", "lo", "hi", F.floor(F.col("x") / strip).alias("__strip")), ["slide", "__strip"], ["x", "lo"])
+    own = cut(strips.mapInPandas(run, f"slide {kinds['slide']}, x {kinds['x']}, lo {kinds['lo']}, hi {kinds['hi']}, lx {kinds['x']}, llo {kinds['lo']}"), "runs")
     node = F.struct("slide", "lx", "llo")
     left = own.filter(F.col("x") % strip == strip - 1).select("slide", "x", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), node.alias("a"))
     right = own.filter(F.col("x") % strip == 0).select("slide", (F.col("x") - 1).cast(kinds["x"]).alias("x"), "lo", "hi", node.alias("b"))

@@ -10,11 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.operators.groups import dealt, whole_groups
 from spanmill.plans.session import many
 
 #: Which sides of a 2 x 2 cell a contour joins, by the corners set (top left 8, top right 4, bottom right 2, bottom left 1).
 SIDES = {1: "lb", 2: "br", 3: "lr", 4: "rt", 5: "rt lb", 6: "bt", 7: "lt", 8: "tl", 9: "tb", 10: "tl br", 11: "tr", 12: "rl", 13: "rb", 14: "bl"}
 
+#: Figures whose contours a task keeps, and pixels of the boxes of those kept.
+KNOWN, SMALL = 20_000, 1024
+
 
 def rings(mask: np.ndarray, level: float = 0.8) -> list[np.ndarray]:
     """Closed contours (y, x) of a 0/1 array at a level, by marching squares with linear interpolation."""
@@ -76,16 +80,31 @@ def contours(pixels: DataFrame, level: float = 0.8, xy: bool = True) -> DataFram
     xy: points as <x, y>; else the reference's other order, rows first.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
-        mask = np.zeros((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1))
-        mask[pdf["y"] - y0, pdf["x"] - x0] = 1
-        outer = max(rings(mask, level), key=lambda r: (np.ptp(r[:, 0]) * np.ptp(r[:, 1]), len(r)))
-        points = [(float(int(x + x0)), float(int(y + y0))) if xy else (float(int(y + y0)), float(int(x + x0))) for y, x in outer]
-        return pd.DataFrame({"slide": [pdf["slide"].iloc[0]], "label": [pdf["label"].iloc[0]], "ring": [[{"x": a, "y": b} for a, b in points]]})
+    def outer(mask: np.ndarray) -> np.ndarray:
+        return max(rings(mask, level), key=lambda r: (np.ptp(r[:, 0]) * np.ptp(r[:, 1]), len(r)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, np.ndarray] = {}  # equal figures are followed once, wherever they lie
+        for pdf, group in whole_groups(batches, ["__key"]):
+            ys, xs = (pdf[c].to_numpy(dtype=np.int64) for c in "yx")
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            low = [np.minimum.reduceat(v, first) for v in (ys, xs)]
+            sides = [np.maximum.reduceat(v, first) - v0 + 1 for v, v0 in zip((ys, xs), low, strict=True)]
+            out = []
+            for a, b, y0, x0, h, w in zip(first, [*first[1:], len(pdf)], *low, *sides, strict=True):
+                mask = np.zeros((h, w), dtype=np.uint8)
+                mask[ys[a:b] - y0, xs[a:b] - x0] = 1
+                if (ring := known.get(key := (h, w, mask.tobytes()))) is None:
+                    ring = outer(mask)
+                    if h * w <= SMALL and len(known) < KNOWN:
+                        known[key] = ring
+                place = np.trunc(ring + (y0, x0)) + 0.0
+                out.append([{"x": p, "y": q} for p, q in (place[:, ::-1] if xy else place).tolist()])
+            yield pdf.iloc[first][["slide", "label"]].assign(ring=out)
 
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
-    return _by_component(pixels, run, f"slide {kinds['slide']}, label {kinds['label']}, ring array<struct<x:double,y:double>>")
+    keyed = dealt(pixels.select("slide", "label", "y", "x", F.to_json(F.struct("slide", "label")).alias("__key")), ["__key"])
+    return keyed.mapInPandas(run, f"slide {kinds['slide']}, label {kinds['label']}, ring array<struct<x:double,y:double>>")
 
 
 def border_distance(mask: np.ndarray) -> np.ndarray:
