@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.operators.groups import dealt, whole_groups
 from spanmill.operators.rle import encode_spans
 from spanmill.plans.session import cut, drop, many
 
@@ -63,100 +65,134 @@ def _scan(f: np.ndarray, xs: np.ndarray, low: np.ndarray, high: np.ndarray, valu
         at = end
 
 
-def _by_label(y0: int, rows: int, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(columns, labels, squared distances [entry, row]) of each label of each column from a strip's rows."""
-    order = np.lexsort((label, x))
-    x, lo, hi, label = x[order], lo[order], hi[order], label[order]
-    y = np.arange(y0, y0 + rows)
+def _by_label(y0: np.ndarray, rows: int, image: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(images, columns, labels, squared distances [entry, row]) of each label of each column of each image from a strip's rows."""
+    order = np.lexsort((label, x, image))
+    image, x, lo, hi, label = (v[order] for v in (image, x, lo, hi, label))
+    y = y0[image][:, None] + np.arange(rows)
     d = np.maximum(np.maximum(lo[:, None] - y, y - hi[:, None] + 1), 0).astype(float) ** 2
-    begins = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (label[1:] != label[:-1]))))
-    return x[begins], label[begins], np.minimum.reduceat(d, begins, axis=0)
+    begins = np.flatnonzero(np.concatenate(([True], (image[1:] != image[:-1]) | (x[1:] != x[:-1]) | (label[1:] != label[:-1]))))
+    return image[begins], x[begins], label[begins], np.minimum.reduceat(d, begins, axis=0)
 
 
-def two_nearest(y0: int, rows: int, width: int, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances [row, x] of a strip's pixels from the nearest label and from the nearest other one; FAR or more: there is none.
+def two_nearest(y0: np.ndarray, rows: int, width: int, image: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances [image, row, x] of strips' pixels from the nearest label and from the nearest other one; FAR or more: there is none.
 
-    Each two labels differ in a bit of their numbers: the second is the least over all bits of the nearest whose bit is
-    not as the first's.
+    Strips of so many rows and columns at once begin at y0 of each; image says whose strip a run is. Each two labels differ in a bit
+    of their numbers: the second is the least over all bits of the nearest whose bit is not as the first's.
     """
-    far = np.full((rows, width), FAR)
+    far = np.full((len(y0), rows, width), FAR)
     if not len(x):
         return far, far.copy()
-    column, label, d = _by_label(y0, rows, x, lo, hi, label)
-    number = np.unique(label, return_inverse=True)[1]
+    image, column, label, d = _by_label(y0, rows, image, x, lo, hi, label)
+    # labels numbered within their image
+    pairs, number = np.unique(np.stack([image, label]), axis=1, return_inverse=True)
+    number = number.ravel() - np.searchsorted(pairs[0], image)
 
     def grid(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest of some entries in each column, and its label's number."""
-        f, who = far.copy(), np.zeros((rows, width), dtype=np.int64)
-        # entries are by column and label: the k-th of each column at once
-        at = column[own]
+        f, who = far.copy(), np.zeros(far.shape, dtype=np.int64)
+        # entries are by image, column and label: the k-th of each column at once
+        at = image[own] * width + column[own]
         begins = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, dtype=np.int64)
         rank = np.arange(len(at)) - np.repeat(begins, np.diff(np.concatenate((begins, [len(at)]))))
         for k in range(int(rank.max(initial=-1)) + 1):
             e = own[rank == k]
-            c = column[e]
-            nearer = d[e].T < f[:, c]
-            f[:, c] = np.where(nearer, d[e].T, f[:, c])
-            who[:, c] = np.where(nearer, number[e], who[:, c])
-        return f, who
+            g, c = image[e], column[e]
+            nearer = d[e] < f[g, :, c]
+            f[g, :, c] = np.where(nearer, d[e], f[g, :, c])
+            who[g, :, c] = np.where(nearer, number[e][:, None], who[g, :, c])
+        return f.reshape(-1, width), who.reshape(-1, width)
 
     f, who = grid(np.arange(len(column)))
     first, at = least_parabolas(f)
     nearest = np.take_along_axis(who, at, axis=1)
-    second = far.copy()
+    second = np.full(f.shape, FAR)
     for b in range(int(number.max(initial=0)).bit_length()):
         for bit in (0, 1):
             other = np.flatnonzero((number >> b & 1) == bit)
             if len(other):
                 value, _ = least_parabolas(grid(other)[0])
                 second = np.where(nearest >> b & 1 != bit, np.minimum(second, value), second)
-    return first, second
+    return first.reshape(far.shape), second.reshape(far.shape)
 
 
-def closeness(y0: int, rows: int, width: int, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, label: np.ndarray, sigma: float) -> np.ndarray:
-    """[row, x]: sum over labels of exp(-d^2 / 2 sigma^2)."""
-    out = np.zeros((rows, width))
+def closeness(y0: np.ndarray, rows: int, width: int, image: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, label: np.ndarray, sigma: float) -> np.ndarray:
+    """[image, row, x]: sum over labels of exp(-d^2 / 2 sigma^2)."""
+    out = np.zeros((len(y0), rows, width))
     if not len(x):
         return out
-    column, label, d = _by_label(y0, rows, x, lo, hi, label)
+    image, column, label, d = _by_label(y0, rows, image, x, lo, hi, label)
     reach = math.ceil(VANISHES * sigma)
-    for own in np.split(order := np.argsort(label, kind="stable"), np.flatnonzero(np.diff(label[order])) + 1):
-        left, right = max(column[own].min() - reach, 0), min(column[own].max() + reach + 1, width)
-        f = np.full((rows, right - left), FAR)
-        f[:, column[own] - left] = d[own].T
-        out[:, left:right] += np.exp(-least_parabolas(f)[0] / (2 * sigma * sigma))
+    order = np.lexsort((column, label, image))
+    image, column, label, d = image[order], column[order], label[order], d[order]
+    begins = np.flatnonzero(np.concatenate(([True], (image[1:] != image[:-1]) | (label[1:] != label[:-1]))))
+    ends = np.append(begins[1:], len(image))
+    left, right = np.maximum(column[begins] - reach, 0), np.minimum(column[ends - 1] + reach + 1, width)
+    a = 0
+    while a < len(begins):  # so many labels at once as fit
+        wide = int((right - left)[a])
+        b = a + 1
+        while b < len(begins) and (b + 1 - a) * rows * max(wide, int(right[b] - left[b])) <= PLACES:
+            wide, b = max(wide, int(right[b] - left[b])), b + 1
+        own = slice(begins[a], ends[b - 1])
+        which = np.repeat(np.arange(b - a), (ends - begins)[a:b])
+        f = np.full((b - a, rows, wide), FAR)
+        f[which, :, column[own] - left[a:b][which]] = d[own]
+        value = np.exp(-least_parabolas(f.reshape(-1, wide))[0].reshape(f.shape) / (2 * sigma * sigma))
+        k, j = np.nonzero(np.arange(wide) < (right - left)[a:b][:, None])
+        np.add.at(out, (image[begins[a:b]][k], slice(None), left[a:b][k] + j), value[k, :, j])
+        a = b
     return out
 
 
 def _dealt(columns: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """keys, strip, x, lo, hi, label: a column's runs (rows: keys, x, h, runs by place) as the strips need them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for *key, x, h, runs in zip(*[pdf[c] for c in (*keys, "x", "h", "runs")], strict=True):
-                lo, hi, label = (np.array([p[k] for p in runs], dtype=np.int64) for k in ("lo", "hi", "label"))
-                n = len(lo)
-                # of each run the nearest of another label before and after it; -1 and n: none
-                changes = np.concatenate(([True], label[1:] != label[:-1]))
-                block = np.cumsum(changes) - 1
-                begins = np.append(np.flatnonzero(changes), n)
-                before, after = begins[block] - 1, begins[block + 1]
-                for s in range(-(-h // STRIP)):
-                    y0, y1 = s * STRIP, (s + 1) * STRIP
-                    a, b = int(np.searchsorted(hi, y0, "right")), int(np.searchsorted(lo, y1, "left"))
-                    own = set(range(int(np.searchsorted(hi, y0 - reach, "right")), int(np.searchsorted(lo, y1 + reach, "left"))))
-                    if a:
-                        own |= {a - 1, int(before[a - 1])}
-                    if b < n:
-                        own |= {b, int(after[b])}
-                    own = sorted(own - {-1, n})
-                    out.append(pd.DataFrame({**{k: [v] * len(own) for k, v in zip(keys, key, strict=True)}, "strip": s, "x": x, "lo": lo[own], "hi": hi[own], "label": label[own]}))
-            if out:
-                yield pd.concat(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column("runs")
+            ends = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+            flat = runs.flatten()
+            los, his, labels = (flat.field(k).to_numpy() for k in ("lo", "hi", "label"))
+            high = batch.column("h").to_numpy()
+            low = np.flatnonzero(high <= STRIP)  # columns of one strip have all their runs in it
+            n = np.diff(ends)
+            column = [np.repeat(low, n[low])]
+            own = [np.arange(len(column[0])) + np.repeat(ends[low] - (np.cumsum(n[low]) - n[low]), n[low])]
+            strip = [np.zeros(len(column[0]), dtype=np.int64)]
+            for c in np.flatnonzero(high > STRIP):
+                part = slice(ends[c], ends[c + 1])
+                for s, held in enumerate(_near_strips(los[part], his[part], labels[part], int(high[c]), reach)):
+                    column.append(np.full(len(held), c))
+                    own.append(held + ends[c])
+                    strip.append(np.full(len(held), s))
+            at, own = np.concatenate(column), np.concatenate(own)
+            values = [np.concatenate(strip), batch.column("x").to_numpy()[at], los[own], his[own], labels[own]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in keys), *(pa.array(v, pa.int64()) for v in values)], names=[*keys, "strip", "x", "lo", "hi", "label"])
 
     kinds = {f.name: f.dataType.simpleString() for f in columns.schema}
-    return columns.mapInPandas(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, strip long, x long, lo long, hi long, label long")
+    many_tasks = columns.repartition(int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "x")
+    return many_tasks.mapInArrow(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, strip long, x long, lo long, hi long, label long")
+
+
+def _near_strips(lo: np.ndarray, hi: np.ndarray, label: np.ndarray, h: int, reach: int) -> Iterator[np.ndarray]:
+    """For each strip of a column of height h which of its runs the strip needs."""
+    n = len(lo)
+    # of each run the nearest of another label before and after it; -1 and n: none
+    changes = np.concatenate(([True], label[1:] != label[:-1]))
+    block = np.cumsum(changes) - 1
+    begins = np.append(np.flatnonzero(changes), n)
+    before, after = begins[block] - 1, begins[block + 1]
+    for s in range(-(-h // STRIP)):
+        y0, y1 = s * STRIP, (s + 1) * STRIP
+        a, b = int(np.searchsorted(hi, y0, "right")), int(np.searchsorted(lo, y1, "left"))
+        own = set(range(int(np.searchsorted(hi, y0 - reach, "right")), int(np.searchsorted(lo, y1 + reach, "left"))))
+        if a:
+            own |= {a - 1, int(before[a - 1])}
+        if b < n:
+            own |= {b, int(after[b])}
+        yield np.array(sorted(own - {-1, n}), dtype=np.int64)
 
 
 def distances(labels: DataFrame, keys: list[str], sigma: float | None = None) -> DataFrame:
@@ -164,32 +200,56 @@ def distances(labels: DataFrame, keys: list[str], sigma: float | None = None) ->
 
     Distances are exact at any range, 0 within an object; without one (or two) they are null. near is the sum over all objects of
     exp(-d^2 / 2 sigma^2), where sigma is given; terms that are 0 in single precision may be left out. y and x are from 0. A strip of
-    rows of one key is one task's, whatever the image's size; a column's runs are another's.
+    rows of one key is one task's, whatever the image's size, and small ones are taken together; a column's runs are another's.
     """
     px = labels.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(F.col("label").cast("long"), F.lit(0)).alias("label"))
     runs = encode_spans(px.filter("label <> 0"), [*keys, "label", "x"], "y")
     heights = px.groupBy(*keys).agg((F.max("y") + 1).alias("h"))
     columns = runs.groupBy(*keys, "x").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "label"))).alias("runs")).join(heights, keys)
-    dealt = _dealt(columns, keys, math.ceil(VANISHES * sigma) if sigma else 0)
-
-    def run(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:  # rows that no pixel has
-            return own[[*keys, "y", "x"]].assign(d1=0.0, d2=0.0, near=0.0)
-        y, x = own["y"].to_numpy(), own["x"].to_numpy()
-        y0, rows, width = int(y.min()), int(y.max() - y.min()) + 1, int(max(x.max(), near["x"].max() if len(near) else 0)) + 1
-        parts = [near[c].to_numpy() for c in ("x", "lo", "hi", "label")]
+    runs_near = _dealt(columns, keys, math.ceil(VANISHES * sigma) if sigma else 0)
+
+    by = [*keys, "strip"]
+
+    def strips(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """Rows of some strips, numbered by group: pixels (lo is null) and the runs that they need."""
+        is_px = pdf["lo"].isna().to_numpy()
+        y, x, owner = pdf["y"].to_numpy()[is_px].astype(np.int64), pdf["x"].to_numpy(dtype=np.int64)[is_px], group[is_px]
+        near = [pdf[c].to_numpy()[~is_px].astype(np.int64) for c in ("x", "lo", "hi", "label")]
+        n = int(group[-1]) + 1
+        y0 = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(y0, owner, y)
+        held = np.isin(group[~is_px], owner)  # else rows that no pixel has
+        parts = [group[~is_px][held], *(v[held] for v in near)]
+        rows = int((y - y0[owner]).max(initial=0)) + 1
+        width = int(max(x.max(initial=0), parts[1].max(initial=0))) + 1
         first, second = two_nearest(y0, rows, width, *parts)
-        closer = closeness(y0, rows, width, *parts, sigma) if sigma else np.zeros((rows, width))
+        closer = closeness(y0, rows, width, *parts, sigma) if sigma else np.zeros(first.shape)
+        at = (owner, y - y0[owner], x)
         root = lambda d: pd.array(np.sqrt(d), dtype="Float64")
-        out = own[[*keys, "y", "x"]].assign(d1=root(first[y - y0, x]), d2=root(second[y - y0, x]), near=closer[y - y0, x])
-        out.loc[first[y - y0, x] >= FAR, "d1"] = pd.NA
-        out.loc[second[y - y0, x] >= FAR, "d2"] = pd.NA
+        out = pdf.loc[is_px, keys].assign(y=y, x=x, d1=root(first[at]), d2=root(second[at]), near=closer[at])
+        out.loc[first[at] >= FAR, "d1"] = pd.NA
+        out.loc[second[at] >= FAR, "d2"] = pd.NA
         return out
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, group in whole_groups(batches, by):
+            width = np.zeros(int(group[-1]) + 1, dtype=np.int64)
+            np.maximum.at(width, group, pdf["x"].to_numpy(dtype=np.int64) + 1)
+            a = 0
+            while a < len(width):  # strips of like widths, as many as fit
+                b, wide = a + 1, width[a]
+                while b < len(width) and (b + 1 - a) * STRIP * max(wide, width[b]) <= PLACES and width[b] <= 2 * wide:
+                    wide, b = max(wide, width[b]), b + 1
+                low, high = np.searchsorted(group, [a, b])
+                if pdf["lo"].iloc[low:high].isna().any():
+                    yield strips(pdf.iloc[low:high].reset_index(drop=True), group[low:high] - a)
+                a = b
+
     kinds = {f.name: f.dataType.simpleString() for f in px.schema}
-    by = [*keys, "strip"]
-    strips = px.select(*keys, "y", "x", F.floor(F.col("y") / STRIP).alias("strip"))
-    return strips.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, y long, x long, d1 double, d2 double, near double")
+    none = [F.lit(None).cast("long").alias(c) for c in ("lo", "hi", "label")]
+    places = px.select(*by[:-1], F.floor(F.col("y") / STRIP).cast("long").alias("strip"), "y", "x", *none)
+    needed = runs_near.select(*by, F.lit(None).cast("long").alias("y"), "x", "lo", "hi", "label")
+    return dealt(places.unionByName(needed), by).mapInPandas(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, y long, x long, d1 double, d2 double, near double")
 
 
 def distance_weights(labels: DataFrame, weight: float = 10.0, sigma: float = 10.0, foreground: float = 10.0, background: float = 0.1, cls: str | None = None, ground: str | None = None, ignored: str | None = None) -> DataFrame:

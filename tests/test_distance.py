@@ -133,3 +133,18 @@ def test_row_hausdorff_of_many_rows(spark):
     assert distance.row_hausdorff(moved, rows, heights, ["slide"]).first().distance == pytest.approx(np.sqrt(396))
     assert distance.row_hausdorff(rows, moved, heights, ["slide"]).first().distance == pytest.approx(1)
     assert time.time() - began < 240
+
+
+def test_strips_of_many_images_are_taken_together(spark):
+    """Small images share a batch, each with its own objects, sizes and number of strips; one call each made tens of ms a strip."""
+    images = {s: image(s, 20 + s * 5 % 41, 15 + s * 7 % 30, s % 5) for s in range(12)}
+    rows = [(s, y, x, int(v)) for s, img in images.items() for (y, x), v in np.ndenumerate(img)]
+    made = distance.distances(spark.createDataFrame(rows, "slide long, y int, x int, label int"), ["slide"], 2.0)
+    assert "CoGroup" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    assert len(got) == len(rows)
+    every = {s: by_definition(img) for s, img in images.items()}
+    for r in got:
+        own = sorted(d[r.y, r.x] for d in every[r.slide].values())
+        assert r.d1 == (pytest.approx(own[0]) if own else None) and r.d2 == (pytest.approx(own[1]) if len(own) > 1 else None)
+        assert r.near == pytest.approx(sum(np.exp(-d * d / 8) for d in own), abs=1e-9)
