@@ -12,7 +12,9 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from spanmill.sources.tiff import OPENING, Several, bundled
 
 #: Bytes of chunks, unpacked, in a partition.
 PARTITION_BYTES = 32 << 20
+#: Arrays of a group whose metadata are read at one time.
+READERS = 16
 SCHEMA = "array string, cy long, cx long, y0 long, x0 long, height int, width int, values array<double>"
 
 
@@ -97,7 +101,7 @@ class Layout:
 
 
 def arrays_at(fs: pyarrow.fs.FileSystem, base: str, name: str = "") -> Iterator[tuple[str, Layout]]:
-    """(name, layout) of the arrays at a folder and in the groups below; chunks are not listed."""
+    """(name, layout) of the arrays at a folder and in the groups below, by name; chunks are not listed."""
     here = f"{base}/{name}".rstrip("/")
     held = _read(fs, f"{here}/.zarray")
     if held is not None:
@@ -107,9 +111,10 @@ def arrays_at(fs: pyarrow.fs.FileSystem, base: str, name: str = "") -> Iterator[
         if not name:
             raise FileNotFoundError(f"neither an array nor a group: {base}")
         return
-    for i in sorted(fs.get_file_info(pyarrow.fs.FileSelector(here)), key=lambda i: i.base_name):
-        if i.type == pyarrow.fs.FileType.Directory:
-            yield from arrays_at(fs, base, f"{name}/{i.base_name}".lstrip("/"))
+    below = sorted(i.base_name for i in fs.get_file_info(pyarrow.fs.FileSelector(here)) if i.type == pyarrow.fs.FileType.Directory)
+    with ThreadPoolExecutor(READERS) as pool:  # a small file each, which is waiting for the most part
+        for own in pool.map(lambda n: list(arrays_at(fs, base, f"{name}/{n}".lstrip("/"))), below):
+            yield from own
 
 
 @dataclass
@@ -213,10 +218,12 @@ def write_arrays(cells: DataFrame, path: str, chunk: int | tuple[int, int] = 512
     path = address(spark, path)
     ch, cw = (chunk, chunk) if isinstance(chunk, int) else chunk
     at = cells.select("array", F.floor(F.col("y") / ch).alias("cy"), F.floor(F.col("x") / cw).alias("cx"), (F.col("y") % ch).cast("int").alias("dy"), (F.col("x") % cw).cast("int").alias("dx"), F.coalesce(F.col("v").cast("double"), F.lit(float(fill))).alias("v"))
+    # few bytes, many files: a number of tasks that isn't coalesced
+    at = at.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "array", "cy", "cx")
     grouped = at.groupBy("array", "cy", "cx").agg(F.sort_array(F.collect_list(F.struct((F.col("dy") * cw + F.col("dx")).alias("at"), "v"))).alias("px"), F.max("dy").alias("dy"), F.max("dx").alias("dx"))
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _store(path)
+        (fs, base), folder = _store(path), cache(lambda name: fs.create_dir(f"{base}/{name}", recursive=True))
         for batch in batches:
             names, cys, cxs = (batch.column(c).to_pylist() for c in ("array", "cy", "cx"))
             written = []
@@ -226,7 +233,7 @@ def write_arrays(cells: DataFrame, path: str, chunk: int | tuple[int, int] = 512
                 grid[own.field("at").to_numpy()] = own.field("v").to_numpy()
                 written.append(int((grid != np.array(fill, dtype=kind)).any()))
                 if written[-1]:
-                    fs.create_dir(f"{base}/{names[k]}", recursive=True)
+                    folder(names[k])
                     _put(fs, f"{base}/{names[k]}/{cys[k]}.{cxs[k]}", zlib.compress(grid.tobytes()) if packed else grid.tobytes())
             high = [(c * ch + d + 1, e * cw + f + 1) for c, d, e, f in zip(cys, batch.column("dy").to_pylist(), cxs, batch.column("dx").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"array": names, "written": pa.array(written, pa.int64()), "h": pa.array([h for h, _ in high], pa.int64()), "w": pa.array([w for _, w in high], pa.int64())})
@@ -241,13 +248,13 @@ def write_arrays(cells: DataFrame, path: str, chunk: int | tuple[int, int] = 512
         known = both.select("array", fine.alias("chunks"), F.col("sh").alias("h"), F.col("sw").alias("w"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _store(path)
+        (fs, base), group = _store(path), cache(lambda at: _put(fs, f"{at}/.zgroup", json.dumps({"zarr_format": 2}).encode()))
         for batch in batches:
             for r in batch.to_pylist():
                 parents = r["array"].split("/")[:-1]
                 fs.create_dir(f"{base}/{r['array']}", recursive=True)
                 for k in range(len(parents) + 1):
-                    _put(fs, "/".join([base, *parents[:k], ".zgroup"]), json.dumps({"zarr_format": 2}).encode())
+                    group("/".join([base, *parents[:k]]))
                 meta = {"zarr_format": 2, "shape": [r["h"], r["w"]], "chunks": [ch, cw], "dtype": np.dtype(kind).str, "compressor": {"id": "zlib", "level": 6} if packed else None, "fill_value": fill, "order": "C", "filters": None}
                 _put(fs, f"{base}/{r['array']}/.zarray", json.dumps(meta).encode())
             yield batch.rename_columns(["array", "height", "width", "chunks"])

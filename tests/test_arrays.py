@@ -1,6 +1,7 @@
 """Chunked array stores: round trips, layout, windows, missing chunks."""
 
 import json
+import time
 import zlib
 
 import numpy as np
@@ -101,3 +102,22 @@ def test_other_layouts(spark, tmp_path):
         arrays.read_arrays(spark, str(tmp_path), "bad").count()
     with pytest.raises(Exception, match="neither an array nor a group"):
         arrays.read_arrays(spark, str(tmp_path / "line" / "x")).count()
+
+
+def test_many_small_arrays(spark, tmp_path, monkeypatch):
+    """The metadata of a group's arrays are read some at one time, and listed by name all the same."""
+    cells = spark.range(200).selectExpr("concat('g/a', id) AS array", "id % 2 AS y", "0L AS x", "id + 1 AS v")
+    arrays.write_arrays(cells.coalesce(1), str(tmp_path / "s"), chunk=4).count()
+    now, most, parsed = [], [], arrays.Layout.parsed
+
+    def slow(text):
+        now.append(1)
+        most.append(len(now))
+        time.sleep(0.01)
+        now.pop()
+        return parsed(text)
+
+    monkeypatch.setattr(arrays.Layout, "parsed", slow)
+    names = [n for n, _ in arrays.arrays_at(*arrays._store(str(tmp_path / "s")))]
+    assert names == sorted(f"g/a{k}" for k in range(200)) and 1 < max(most) <= arrays.READERS
+    assert arrays.array_cells(arrays.read_arrays(spark, str(tmp_path / "s"))).filter("v > 0").count() == 200
