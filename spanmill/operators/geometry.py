@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -57,18 +58,6 @@ def fill(objects: DataFrame, keys: list[str], ring: str = "ring") -> DataFrame:
     return spans.select(*keys, "y", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi")).filter("hi > lo")
 
 
-def intersection_areas(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with inter: pixels inside both rings, from their spans; exact on integer rectangles.
-
-    a, b have id, ring. Each object is filled once; spans meet by pair and pixel row.
-    """
-    fa = fill(a, ["id"]).select(F.col("id").alias("a"), "y", F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    fb = fill(b, ["id"]).select(F.col("id").alias("b"), "y", F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    met = pairs.select("a", "b").join(fa, "a").join(fb, ["b", "y"]).filter("alo < bhi AND blo < ahi")
-    inter = met.groupBy("a", "b").agg(F.sum(F.least("ahi", "bhi") - F.greatest("alo", "blo")).cast("long").alias("inter"))
-    return pairs.join(inter, ["a", "b"], "left").withColumn("inter", F.coalesce("inter", F.lit(0)))
-
-
 def edge_distance(x: Column, y: Column, ring: Column) -> Column:
     """Distance of a point from the nearest edge of a closed ring."""
 
@@ -165,17 +154,61 @@ def flat(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, np.cumsum(n) - n, n
 
 
-@F.arrow_udf(T.DoubleType())
-def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Exact area inside both of two closed rings, whatever their form (inside is even-odd); null where either is null."""
+def _alike(a: pa.Array, b: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, rings of a, rings of b) of pairs with as many vertices, more than `least`; some pairs at once."""
     (p, first, n), (q, begin, m) = flat(a), flat(b)
-    out = np.zeros(len(a))
     for size in np.unique(np.stack([n, m], axis=1), axis=0) if len(a) else []:
-        if size.min() > 3:
+        if size.min() > least:
             own = np.flatnonzero((n == size[0]) & (m == size[1]))
             some = max(PLACES // int(size[0] * size[1] * 4), 1)
             for k in range(0, len(own), some):
                 at = own[k : k + some]
-                out[at] = overlaps(p[first[at, None] + np.arange(size[0])], q[begin[at, None] + np.arange(size[1])])
+                yield at, p[first[at, None] + np.arange(size[0])], q[begin[at, None] + np.arange(size[1])]
+
+
+@F.arrow_udf(T.DoubleType())
+def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Exact area inside both of two closed rings, whatever their form (inside is even-odd); null where either is null."""
+    out = np.zeros(len(a))
+    for own, p, q in _alike(a, b, 3):
+        out[own] = overlaps(p, q)
     missing = pc.or_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
     return pa.array(out, mask=missing)
+
+
+def shared_pixels(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Pixels inside both rings of many pairs of closed rings [pair, vertex, 2], each side with as many vertices: the rows of all pairs, some at once.
+
+    A row's spans are those of fill(); edges with a coordinate that isn't a number are left out.
+    """
+    low, high = (lambda r, f=f: np.nan_to_num(np.ceil(f.reduce(r[..., 1], axis=1) - 0.5)) for f in (np.fmin, np.fmax))
+    first = np.maximum(low(p), low(q))
+    rows = np.maximum(np.minimum(high(p), high(q)) - first, 0).astype(np.int64)
+    ends = np.cumsum(rows)
+    some = max(PLACES // (p.shape[1] * q.shape[1]), 1)
+    total = np.zeros(len(p), np.int64)
+    for k in range(0, int(ends[-1]) if len(ends) else 0, some):
+        row = np.arange(k, min(k + some, ends[-1]))
+        own = np.searchsorted(ends, row, side="right")
+        y = first[own] + (row - ends[own] + rows[own]) + 0.5
+        (alo, ahi), (blo, bhi) = _spans(p[own], y), _spans(q[own], y)
+        with np.errstate(invalid="ignore"):
+            wide = np.minimum(ahi[:, :, None], bhi[:, None]) - np.maximum(alo[:, :, None], blo[:, None])
+        total += np.bincount(own, np.where(wide > 0, wide, 0).sum(axis=(1, 2)), len(p)).astype(np.int64)
+    return total
+
+
+def _spans(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First pixels and ends of the spans of many rings, each at its own level; those that aren't there begin at infinity."""
+    x = np.ceil(_crossed(p, y) - 0.5)
+    lo, hi = x[:, 0::2], x[:, 1::2]
+    return np.where(np.isinf(hi), np.inf, lo), hi
+
+
+@F.arrow_udf(T.LongType())
+def overlap_pixels(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Pixels whose centres are inside both of two closed rings (even-odd), exact on integer rectangles; 0 where either is null."""
+    out = np.zeros(len(a), np.int64)
+    for own, p, q in _alike(a, b, 1):
+        out[own] = shared_pixels(p, q)
+    return pa.array(out)

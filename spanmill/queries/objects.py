@@ -109,8 +109,7 @@ def notched_polygons(spark, sf):
 @query(_SIDES + " SELECT a, b, CAST(inter AS BIGINT) AS inter FROM p")
 def polygon_intersection(spark, sf):
     ring = geometry.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    r = rects(spark, sf).select("id", "grp", ring.alias("ring"))
-    return geometry.intersection_areas(r.filter("grp = 'A'"), r.filter("grp = 'B'"), _pairs(spark, sf).select("a", "b")).select("a", "b", "inter")
+    return _pairs(spark, sf, ring=ring).select("a", "b", geometry.overlap_pixels("a_ring", "b_ring").alias("inter"))
 
 
 @query(f"WITH {RECTS} SELECT id, slide, x0 AS min_x, y0 AS min_y, CAST(5 AS BIGINT) AS vertices FROM rects")

@@ -99,3 +99,28 @@ def test_equal_figures_are_cut_once():
 
 def test_objects_of_a_tile_index_are_many_tasks(spark):
     assert "REPARTITION_BY_NUM" in _plan(QUERIES["tile_index_rows"](spark, DATA))
+
+
+def test_shared_pixels_are_those_of_the_spans(spark):
+    rng = np.random.default_rng(7)
+    close = lambda v: [*v, v[0]]
+    rings = [close([tuple(c) for c in np.round(rng.random((n, 2)) * 30, d).tolist()]) for n in (3, 4, 6) for d in (0, 1) for _ in range(6)]
+    objects = spark.createDataFrame([(k, r) for k, r in enumerate(rings)], "id long, ring array<struct<x: double, y: double>>")
+    inside = {}
+    for r in geometry.fill(objects, ["id"]).collect():
+        inside.setdefault(r["id"], set()).update((r["y"], x) for x in range(r["lo"], r["hi"]))
+    a, b = (objects.select(F.col("id").alias(c), F.col("ring").alias(f"{c}_ring")) for c in "ab")
+    got = a.crossJoin(b).select("a", "b", geometry.overlap_pixels("a_ring", "b_ring").alias("n")).collect()
+    assert len(got) == len(rings) ** 2 and sum(r["n"] > 0 for r in got) > 300
+    assert all(r["n"] == len(inside.get(r["a"], set()) & inside.get(r["b"], set())) for r in got)
+
+
+def test_rings_without_pixels_share_none(spark):
+    rows = [("[]", "square"), (None, "square"), ("gap", "square"), ("gap", "gap"), ("square", "square")]
+    ring = {"[]": [], None: None, "square": [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0), (0.0, 0.0)], "gap": [(None, None)] * 4}
+    pairs = spark.createDataFrame([(ring[a], ring[b]) for a, b in rows], "a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>")
+    assert [r[0] for r in pairs.select(geometry.overlap_pixels("a", "b")).collect()] == [0, 0, 0, 0, 9]
+
+
+def test_pairs_are_not_shuffled_to_be_filled(spark):
+    assert _plan(QUERIES["polygon_intersection"](spark, DATA)).count("Exchange") <= 6  # two sides, by object and by cell
