@@ -16,12 +16,15 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +42,7 @@ CODE_BYTES, WORD_BYTES = 9, 40
 LONG_WORD = 256
 #: Buckets of the literal rank map, about 7 pairs in each.
 PAIR_BUCKETS = 1 << 14
-#: Rare words whose codes a task keeps at hand.
+#: Words whose codes a task keeps at hand as objects.
 TASK_WORDS = 100_000
 
 
@@ -183,7 +186,7 @@ NONE = 1 << 40
 
 
 class RareWords:
-    """The same fold in Python for words that aren't kept, with the codes found so far in this task."""
+    """The same fold in Python for words that aren't kept, with the codes found so far in this task, kept ones too."""
 
     def __init__(self, ranks: Ranks):
         ids = self.ids = ranks.by_bytes
@@ -192,13 +195,16 @@ class RareWords:
         self.bytes = [ids[bytes([b])] for b in range(256)]
         self.found: dict[str, tuple[int, str, bytes]] = {}
 
-    def code(self, word: str) -> tuple[int, str, bytes]:
+    def code(self, word: str, kept: KeptCodes | None = None) -> tuple[int, str, bytes]:
         own = self.found.get(word)
         if own is None:
             if len(self.found) >= TASK_WORDS:
                 self.found.clear()
-            ids = self.fold([self.bytes[b] for b in word.encode("utf-8", "surrogatepass")])
-            own = self.found[word] = (len(ids), " ".join(map(str, ids)), b"".join([self.tokens[i] for i in ids]))
+            own = kept.code(word) if kept else None
+            if own is None:
+                ids = self.fold([self.bytes[b] for b in word.encode("utf-8", "surrogatepass")])
+                own = len(ids), " ".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+            self.found[word] = own
         return own
 
     def fold(self, ids: list[int]) -> list[int]:
@@ -258,14 +264,41 @@ def _packed(words: DataFrame) -> list[bytes]:
     return [bytes(r[0]) for r in words.select("word", "code.*").mapInArrow(_pack, "part binary").collect()]
 
 
-def _codes(parts: list[bytes]) -> dict[str, tuple[int, str, bytes]]:
-    """word -> (n, ids, bytes); once per task, so that an idle Python worker doesn't keep them."""
-    made: dict[str, tuple[int, str, bytes]] = {}
-    for part in parts:
-        for batch in pa.ipc.open_stream(part):
-            word, *code = (batch.column(c).to_pylist() for c in ("word", "n", "ids", "bytes"))
-            made.update(zip(word, zip(*code, strict=True), strict=True))
-    return made
+class KeptCodes:
+    """Codes of the kept words in one buffer a column, found by sorted hashes: a dict of them takes several times the memory.
+
+    Made once per task, so that an idle Python worker doesn't keep them.
+    """
+
+    def __init__(self, parts: list[bytes]):
+        batches = [b for part in parts for b in pa.ipc.open_stream(part)]
+        hashes = np.fromiter((hash(w) for b in batches for own in slices(b.column("word").cast(pa.binary()), 4096) for w in own.to_pylist()), np.int64)
+        order = np.argsort(hashes)
+        self.hashes, self.at = array("q", hashes[order].tobytes()), array("i", order.astype(np.int32).tobytes())
+        self.n = array("i", b"".join([b.column("n").to_numpy().astype(np.int32).tobytes() for b in batches]))
+        self.words, self.ids, self.bytes = (_flat([b.column(c).cast(pa.binary()) for b in batches]) for c in ("word", "ids", "bytes"))
+        del batches
+        pa.default_memory_pool().release_unused()
+
+    def code(self, word: str) -> tuple[int, str, bytes] | None:
+        own = word.encode("utf-8", "surrogatepass")
+        hashes, k = self.hashes, bisect_left(self.hashes, h := hash(own))
+        while k < len(hashes) and hashes[k] == h:
+            at = self.at[k]
+            ends, words = self.words
+            if words[ends[at] : ends[at + 1]] == own:
+                (id_ends, ids), (byte_ends, held) = self.ids, self.bytes
+                return self.n[at], ids[id_ends[at] : id_ends[at + 1]].decode(), held[byte_ends[at] : byte_ends[at + 1]]
+            k += 1
+        return None
+
+
+def _flat(columns: list[pa.BinaryArray]) -> tuple[array, bytes]:
+    """(where each value begins and the last ends, all values) of a binary column."""
+    if not any(len(c) for c in columns):
+        return array("i", [0]), b""
+    _, ends, held = pa.concat_arrays(columns).buffers()
+    return array("i", ends.to_pybytes()[: 4 * (sum(map(len, columns)) + 1)]), held.to_pybytes()
 
 
 # The letters and digits of the Latin blocks, and the characters of which texts are that
@@ -309,13 +342,14 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", most
     delete(docs.sparkSession, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, get, rare = finder(pattern), _codes(kept.value).get, _rare(ranks)
+        find, codes, rare = finder(pattern), KeptCodes(kept.value), _rare(ranks)
+        get = rare.found.get
         try:
             for batch in batches:
                 for part in slices(batch):
                     ns, ids, decoded = [], [], []
                     for t in part.column("__text").to_pylist():
-                        own = [get(w) or rare.code(w) for w in find(t)]
+                        own = [get(w) or rare.code(w, codes) for w in find(t)]
                         ns.append(sum([c[0] for c in own]))
                         ids.append(" ".join([c[1] for c in own]))
                         decoded.append(b"".join([c[2] for c in own]))

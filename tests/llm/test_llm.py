@@ -12,6 +12,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,6 +418,24 @@ def test_long_words_and_byte_bounds(spark, vocabulary, monkeypatch):
     assert words() == {" the", " cat"}
 
 
+def test_kept_codes_are_held_flat(vocabulary):
+    import tracemalloc
+
+    words = [f"{'é' if k % 7 == 0 else ' w'}{k}" for k in range(60_000)]
+    codes = {w: (k % 9, f"{k} {k + 1}", w.encode()) for k, w in enumerate(words)}
+    batches = [pa.RecordBatch.from_pydict({"word": own, **{c: [codes[w][i] for w in own] for i, c in enumerate(("n", "ids", "bytes"))}}) for own in (words[:20_000], words[20_000:20_001], words[20_001:])]
+    parts = [r for b in batches for r in next(bpe._pack(iter([b]))).column("part").to_pylist()]
+    tracemalloc.start()
+    held = bpe.KeptCodes(parts)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 100 * len(words)  # as a dict of tuples: over 300 bytes each
+    assert all(held.code(w) == codes[w] for w in words)
+    assert held.code("w0") is None and bpe.KeptCodes([]).code("w0") is None
+    rare = bpe.RareWords(vocabulary[0])
+    assert rare.code(words[5], held) == codes[words[5]] and rare.code("w0", held) == bpe.RareWords(vocabulary[0]).code("w0")
+
+
 def test_latin_texts_are_cut_alike(vocabulary):
     import regex
 
