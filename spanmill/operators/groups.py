@@ -15,7 +15,7 @@ def dealt(rows: DataFrame, by: list[str], order: list[str] | None = None) -> Dat
     return rows.repartition(n, *by).sortWithinPartitions(*by, *(order or []))
 
 
-def _begins(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
+def first_rows(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
     """Where another group begins, the first row included; nulls are equal."""
     out = np.zeros(len(pdf), dtype=bool)
     for c in by:
@@ -31,9 +31,9 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tup
     for pdf in batches:
         if pdf.empty:
             continue
-        begins = _begins(pdf, by)
+        begins = first_rows(pdf, by)
         if held:
-            begins[0] = _begins(pd.concat([held[-1].iloc[-1:], pdf.iloc[:1]]), by)[1]
+            begins[0] = first_rows(pd.concat([held[-1].iloc[-1:], pdf.iloc[:1]]), by)[1]
         at = np.flatnonzero(begins)
         if not len(at):
             held.append(pdf)
@@ -42,7 +42,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tup
         held = [pdf.iloc[at[-1] :]]
         if parts:
             own = pd.concat(parts, ignore_index=True)
-            yield own, np.cumsum(_begins(own, by)) - 1
+            yield own, np.cumsum(first_rows(own, by)) - 1
     if held:
         own = pd.concat(held, ignore_index=True)
         yield own, np.zeros(len(own), dtype=np.int64)

@@ -124,3 +124,24 @@ def test_rings_without_pixels_share_none(spark):
 
 def test_pairs_are_not_shuffled_to_be_filled(spark):
     assert _plan(QUERIES["polygon_intersection"](spark, DATA)).count("Exchange") <= 6  # two sides, by object and by cell
+
+
+def test_deformed_places_meet_pixels_by_block_without_joins(spark):
+    h, w = 2 * augment.BLOCK + 9, augment.BLOCK + 1
+    places = spark.range(2 * h * w).select(F.when(F.col("id") < h * w, "a").otherwise("b").alias("slide"), F.floor(F.col("id") % (h * w) / w).alias("y"), (F.col("id") % w).alias("x"), F.lit(h).alias("h"), F.lit(w).alias("w"))
+    at = augment.elastic(places, 8, 30.0, 7, degrees=20.0, horizontal=True)
+    assert "Join" not in _plan(at)
+    px = places.withColumn("val", (F.col("y") * 31 + F.col("x") * 17 + F.ascii("slide")) % 256).filter("y % 50 > 0 AND NOT (slide = 'b' AND y > 20)")
+    got = augment.sampled_reflected(px.unionByName(px.filter("x = 3")), at, "val")
+    assert "Join" not in _plan(got)
+    image = {(r.slide, r.y, r.x): r.val * (2 if r.x == 3 else 1) for r in px.collect()}
+    back = lambda k, n: min(k % (2 * n), 2 * n - 1 - k % (2 * n))
+    want = {}
+    for r in at.collect():
+        y, x = int(np.floor(r.fy)), int(np.floor(r.fx))
+        four = [((r.slide, back(y + a, h), back(x + b, w)), abs(1 - a - (r.fy - y)) * abs(1 - b - (r.fx - x))) for a in (0, 1) for b in (0, 1)]
+        if any(p in image for p, _ in four):
+            want[r.slide, r.y, r.x] = sum(u * image.get(p, 0) for p, u in four)
+    found = {(r.slide, r.y, r.x): r.val for r in got.collect()}
+    assert 0 < len(want) < 2 * h * w and found.keys() == want.keys()
+    assert all(abs(found[k] - v) < 1e-9 for k, v in want.items())
