@@ -296,8 +296,8 @@ def directed_hausdorff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
 
 #: Rows of each key tried in full in the first round.
 TRIED = 16
-#: A key's rows are dealt to so many tasks where one of the other mask is compared with all of them.
-SALTS = 16
+#: A key's rows are dealt to so many tasks at most, and one for each so many rows, where one of the other mask is compared with all of them.
+SALTS, SALTED = 16, 256
 
 
 def row_hausdorff(a: DataFrame, b: DataFrame, heights: DataFrame, keys: list[str]) -> DataFrame:
@@ -308,7 +308,7 @@ def row_hausdorff(a: DataFrame, b: DataFrame, heights: DataFrame, keys: list[str
     their runs. Rows that the other mask has as well are 0 away; others have the distance from the row of their own
     number and its neighbours as a bound. The greatest least distance is found among the rows with the greatest bounds: they
     are compared with all that differ less in size than the bound, twice as many each round, and rows whose bound
-    is no more than what was found are out.
+    is no more than what was found are out. No join broadcasts rows: written, they are few bytes, but not in memory.
     """
     spark = heights.sparkSession
 
@@ -326,26 +326,30 @@ def row_hausdorff(a: DataFrame, b: DataFrame, heights: DataFrame, keys: list[str
         return F.col(f"{p}_n") + F.col(f"{q}_n") - 2 * both
 
     named = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("y", "n", "runs")])
+    # few bytes, much work: dealt to a number of tasks that isn't coalesced
+    spread_out = lambda df, c: many(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, c))
+    salts = F.least(F.lit(SALTS), F.floor(F.col("h") / SALTED) + 1).cast("int")
+    sized = heights.select(*keys, salts.alias("salts")).distinct()
     held: list[str] = []
     mine, other = rows(a), cut(rows(b), "rows", held)
     # equal rows are one, and those that the other mask has too are settled
-    single = mine.groupBy(*keys, "n", "runs").agg(F.min("y").alias("y")).join(other.select(*keys, "n", "runs").distinct(), [*keys, "n", "runs"], "left_anti")
-    near = named(single, "a").withColumn("b_y", F.explode(F.array(*[F.col("a_y") + d for d in (-1, 0, 1)]))).join(named(other, "b"), [*keys, "b_y"])
+    single = mine.groupBy(*keys, "n", "runs").agg(F.min("y").alias("y")).join(many(other.select(*keys, "n", "runs").distinct()), [*keys, "n", "runs"], "left_anti")
+    near = spread_out(named(single, "a").withColumn("b_y", F.explode(F.array(*[F.col("a_y") + d for d in (-1, 0, 1)]))), "b_y").join(spread_out(named(other, "b"), "b_y"), [*keys, "b_y"])
     bounds = near.groupBy(*keys, "a_y").agg(F.min(apart("a", "b")).alias("bound"))
-    left = cut(named(single, "a").join(bounds, [*keys, "a_y"]), "left", own := [])
+    left = cut(named(single, "a").join(many(bounds), [*keys, "a_y"]), "left", own := [])
     found = cut(heights.select(*keys, F.lit(0).cast("long").alias("most")).distinct(), "found", own)
     held += own
-    goal = named(other, "b").withColumn("salt", F.pmod(F.xxhash64("b_y"), F.lit(SALTS)).cast("int"))
+    goal = named(other, "b").join(many(sized), keys).withColumn("salt", F.pmod(F.xxhash64("b_y"), F.col("salts")).cast("int")).drop("salts")
     tried = TRIED
     while not left.isEmpty():
         place = Window.partitionBy(*keys).orderBy(F.desc("bound"), "a_y")
         picked = cut(left.withColumn("k", F.row_number().over(place)).filter(F.col("k") <= tried), "picked", held)
-        dealt = picked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = dealt.join(goal, [*keys, "salt"]).filter(F.abs(F.col("a_n") - F.col("b_n")) < F.col("bound"))
+        dealt = picked.join(many(sized), keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        met = spread_out(dealt, "salt").join(spread_out(goal, "salt"), [*keys, "salt"]).filter(F.abs(F.col("a_n") - F.col("b_n")) < F.col("bound"))
         exact = met.groupBy(*keys, "a_y").agg(F.min(apart("a", "b")).alias("d"))
-        own_least = picked.join(exact, [*keys, "a_y"], "left").groupBy(*keys).agg(F.max(F.least("bound", F.coalesce("d", F.col("bound")))).alias("d"))
-        found = cut(found.join(own_least, keys, "left").select(*keys, F.greatest("most", F.coalesce("d", F.lit(0))).alias("most")), "found", held)
-        rest = left.join(picked.select(*keys, "a_y"), [*keys, "a_y"], "left_anti").join(found, keys).filter(F.col("bound") > F.col("most")).drop("most")
+        own_least = picked.join(many(exact), [*keys, "a_y"], "left").groupBy(*keys).agg(F.max(F.least("bound", F.coalesce("d", F.col("bound")))).alias("d"))
+        found = cut(found.join(many(own_least), keys, "left").select(*keys, F.greatest("most", F.coalesce("d", F.lit(0))).alias("most")), "found", held)
+        rest = left.join(many(picked.select(*keys, "a_y")), [*keys, "a_y"], "left_anti").join(many(found), keys).filter(F.col("bound") > F.col("most")).drop("most")
         left, tried = cut(rest, "left", held), 2 * tried
     out = cut(found.select(*keys, F.sqrt(F.col("most").cast("double")).alias("distance")), "hausdorff")
     drop(spark, held)

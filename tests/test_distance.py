@@ -148,3 +148,22 @@ def test_strips_of_many_images_are_taken_together(spark):
         own = sorted(d[r.y, r.x] for d in every[r.slide].values())
         assert r.d1 == (pytest.approx(own[0]) if own else None) and r.d2 == (pytest.approx(own[1]) if len(own) > 1 else None)
         assert r.near == pytest.approx(sum(np.exp(-d * d / 8) for d in own), abs=1e-9)
+
+
+def test_row_hausdorff_broadcasts_no_rows(spark, monkeypatch):
+    """What rounds write is few bytes, so that joins would send it to the driver and every executor."""
+    plans, cut = [], distance.cut
+
+    def watched(df, name="cut", held=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name, held)
+
+    monkeypatch.setattr(distance, "cut", watched)
+    rng = np.random.default_rng(9)
+    a = {f"s{k}": (rng.random((20, 15)) < 0.4).astype(int) for k in range(6)}
+    b = {s: (rng.random(m.shape) < 0.5).astype(int) for s, m in a.items()}
+    heights = spark.createDataFrame([(s, len(m)) for s, m in a.items()], "slide string, h int")
+    got = {r.slide: r.distance for r in distance.row_hausdorff(row_runs(spark, a), row_runs(spark, b), heights, ["slide"]).collect()}
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+    for s in a:
+        assert got[s] == pytest.approx(np.sqrt(np.abs(a[s][:, None] - b[s][None]).sum(-1).min(axis=1).max()))
