@@ -38,6 +38,11 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: int, keys: list[str]) -> DataFra
     return many(met.filter(own).drop("__cx", "__cy"))
 
 
+def kinds(boxes: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
+    """boxes with kind: the least name of those that are equal in keys and box. What boxes say of one object holds for all of its kind."""
+    return boxes.withColumn("kind", F.min(name).over(Window.partitionBy(*keys, "x0", "y0", "x1", "y1")))
+
+
 def overlapping(a: DataFrame, b: DataFrame, cell: int, keys: list[str], name: str = "id") -> DataFrame:
     """keys and name of the boxes of a (x0, y0, x1, y1) that any box of b overlaps: a semi-join on grid cells, which makes no pairs."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell)))
@@ -115,6 +120,88 @@ def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, least
             return left.select(group, a, b, score)
 
 
+#: Rows of a group, its pairs of kinds and its objects, that a task matches in one pass.
+WHOLE = 1 << 20
+
+
+def in_order(pairs: pd.DataFrame, a_objects: pd.DataFrame, b_objects: pd.DataFrame) -> Iterator[tuple]:
+    """(a, b, score) of a group: each a (kind, other), by their order, takes its kind's best b that is free, of equal ones the least.
+
+    pairs are kind (of a), other (kind of b) and score; of several scores of a pair the greatest counts. Kinds of one score are
+    in a heap by their first free b: those only rise, so what has fallen behind is put right when it comes to the top.
+    """
+    free: dict = {}
+    for kind, b in b_objects.sort_values("other", ascending=False)[["kind", "other"]].itertuples(index=False, name=None):
+        free.setdefault(kind, []).append(b)
+    by_kind = pairs.groupby(["kind", "other"], as_index=False)["score"].max().sort_values(["kind", "score"], kind="stable")
+    to, score = by_kind["other"].tolist(), by_kind["score"].tolist()
+    n = by_kind.groupby("kind", sort=True).size()
+    begins = dict(zip(n.index.tolist(), zip((n.cumsum() - n).tolist(), n.cumsum().tolist(), strict=True), strict=True))
+    left, ways = a_objects["kind"].value_counts().to_dict(), {}
+    for kind, a in a_objects.sort_values("other")[["kind", "other"]].itertuples(index=False, name=None):
+        left[kind] -= 1
+        if kind not in ways:
+            own: list[tuple[float, list]] = []  # the best score is the last
+            for k in range(*begins.get(kind, (0, 0))):
+                if not own or own[-1][0] != score[k]:
+                    own.append((score[k], []))
+                if free.get(to[k]):
+                    own[-1][1].append((free[to[k]][-1], to[k]))
+            for _, heap in own:
+                heapq.heapify(heap)
+            ways[kind] = own
+        own = ways[kind] if left[kind] else ways.pop(kind)
+        while own:
+            s, heap = own[-1]
+            while heap:
+                first, other = heap[0]
+                if free[other] and free[other][-1] == first:
+                    break
+                if free[other]:
+                    heapq.heapreplace(heap, (free[other][-1], other))
+                else:
+                    heapq.heappop(heap)
+            if heap:
+                yield a, free[heap[0][1]].pop(), s
+                break
+            own.pop()
+
+
+def greedy_match_kinds(pairs: DataFrame, a_objects: DataFrame, b_objects: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:
+    """greedy_match() of objects of kinds: pairs (group, a_kind, b_kind, score) hold for all a's (group, kind, a) and b's (group, kind, b) of two kinds.
+
+    Pairs of objects aren't made. A group whose pairs of kinds and objects are up to WHOLE rows is matched in one pass in a task; of
+    larger ones the pairs of objects are made and matched in rounds, so that no task holds a group of any size. a and b are of one type.
+    """
+    spark, held = pairs.sparkSession, []
+    best = pairs.select(group, "a_kind", "b_kind", score).dropna().filter((F.col(score) >= least) & (F.col(score) > 0))
+    none = F.lit(None).cast(pairs.schema[score].dataType).alias("score")
+    member = lambda df, c, side: df.select(group, F.lit(side).alias("side"), "kind", F.col(c).alias("other"), none).dropna(subset=[group, "kind", "other"]).distinct()
+    rows = best.select(group, F.lit(0).alias("side"), F.col("a_kind").alias("kind"), F.col("b_kind").alias("other"), F.col(score).alias("score"))
+    rows = cut(rows.unionByName(member(a_objects, a, 1)).unionByName(member(b_objects, b, 2)), "kinds", held)
+    large = cut(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select(group), "large", held)
+    some = not large.isEmpty()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = in_order(*(pdf[pdf["side"] == k] for k in (0, 1, 2)))
+        out = pd.DataFrame(list(found), columns=[a, b, score])
+        out.insert(0, group, pdf[group].iloc[0])
+        return out
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    small = rows.join(many(large), group, "left_anti") if some else rows
+    out = small.groupBy(group).applyInPandas(run, f"{group} {types[group]}, {a} {types['other']}, {b} {types['other']}, {score} {types['score']}")
+    if some:
+        mine = rows.join(many(large), group, "left_semi")
+        side = lambda k, kind, c: many(mine.filter(F.col("side") == k).select(group, F.col("kind").alias(kind), F.col("other").alias(c)))
+        both = mine.filter("side = 0").select(group, F.col("kind").alias("a_kind"), F.col("other").alias("b_kind"), F.col("score").alias(score))
+        every = both.join(side(1, "a_kind", a), [group, "a_kind"]).join(side(2, "b_kind", b), [group, "b_kind"])
+        out = out.unionByName(greedy_match(every, group, a, b, score, least))
+    out = cut(out, "matched")
+    drop(spark, held)
+    return out
+
+
 def classify(score: Column, revised: float) -> Column:
     """same at .999 or more, revised at `revised` or more, else added."""
     return F.when(score >= 0.999, "same").when(score >= revised, "revised").otherwise("added")

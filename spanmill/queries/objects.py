@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanmill.operators import components, geometry, match, pixels
+from spanmill.plans.session import cut, drop, many
 from spanmill.queries.base import M1D, R2D, RECTS, Registry, m1d, r2d, rects, rnd
 
 _r = Registry()
@@ -17,7 +18,10 @@ _SIDES = f"WITH {_SIDES_PARTS}"
 
 def _pairs(spark, sf, **rings):
     """Pairs whose boxes overlap, with rings of a's and b's (columns of the objects) where given."""
-    r = rects(spark, sf).withColumns(rings)
+    return _pairs_of(rects(spark, sf).withColumns(rings), rings)
+
+
+def _pairs_of(r, rings=()):
     size = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0"))
     met = match.box_pairs(r.filter("grp = 'A'"), r.filter("grp = 'B'"), 128, ["slide"])
     return met.select("slide", F.col("a_id").alias("a"), F.col("b_id").alias("b"), match.overlap_area().alias("inter"), size("a").alias("aa"), size("b").alias("ab"), *[f"{p}_{c}" for c in rings for p in "ab"])
@@ -66,11 +70,14 @@ _GREEDY = """, d AS (SELECT slide, a, b, 2.0 * inter / (aa + ab) AS dice FROM p)
 @query(f"WITH RECURSIVE {_SIDES_PARTS}{_GREEDY}")
 def object_match_greedy(spark, sf):
     """Greedy matching in order of A, with A's unmatched and B's leftover objects."""
-    scored = _pairs(spark, sf).withColumn("dice", 2.0 * F.col("inter") / (F.col("aa") + F.col("ab")))
-    taken = match.greedy_match(scored, "slide", "a", "b", "dice", 0.2)
     r = rects(spark, sf)
-    a = r.filter("grp = 'A'").select(F.col("id").alias("a")).join(taken.select("a", "b", "dice"), "a", "left")
-    left = r.filter("grp = 'B'").select(F.col("id").alias("b")).join(taken.select("b"), "b", "left_anti")
+    objects = cut(match.kinds(r.filter("slide IS NOT NULL"), ["slide", "grp"]), "objects", held := [])
+    scored = _pairs_of(objects.filter("id = kind").dropDuplicates(["slide", "id"])).withColumn("dice", 2.0 * F.col("inter") / (F.col("aa") + F.col("ab")))
+    side = lambda grp, c: objects.filter(F.col("grp") == grp).select("slide", "kind", F.col("id").alias(c))
+    taken = match.greedy_match_kinds(scored.withColumnsRenamed({"a": "a_kind", "b": "b_kind"}), side("A", "a"), side("B", "b"), "slide", "a", "b", "dice", 0.2)
+    drop(spark, held)
+    a = r.filter("grp = 'A'").select(F.col("id").alias("a")).join(many(taken.select("a", "b", "dice")), "a", "left")
+    left = r.filter("grp = 'B'").select(F.col("id").alias("b")).join(many(taken.select("b")), "b", "left_anti")
     kind = match.classify(F.coalesce("dice", F.lit(0.0)), 0.2)
     return a.select("a", "b", rnd(F.col("dice")).alias("dice"), kind.alias("kind")).unionByName(left.select(F.lit(None).cast("long").alias("a"), "b", F.lit(None).cast("double").alias("dice"), F.lit("deleted").alias("kind")))
 

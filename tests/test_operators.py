@@ -507,3 +507,43 @@ def test_no_local_scratch_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_path(Session, "x")
+
+
+def test_greedy_match_of_kinds_is_that_of_objects(spark, monkeypatch):
+    """Kinds of several objects, equal scores of kinds whose numbers alternate, kinds without objects; in one pass and in rounds."""
+    rng = random.Random(5)
+    a_of = [(g, rng.randrange(9), a) for g in "xyz" for a in range(60)]
+    b_of = [(g, rng.randrange(9), b) for g in "xyz" for b in range({"x": 60, "y": 25, "z": 90}[g])]
+    pairs = [(g, p, q, rng.choice([0.1, 0.2, 0.5, 0.5, 0.9])) for g in "xyz" for p in range(10) for q in range(10) if rng.random() < 0.5]
+    every = [(g, a, b, s) for g, p, q, s in pairs for h, k, a in a_of if (h, k) == (g, p) for i, m, b in b_of if (i, m) == (g, q)]
+    want = in_order(every, 0.2)
+    tables = [spark.createDataFrame(pairs + pairs[:5] + [("x", 1, 1, None)], "slide string, a_kind long, b_kind long, iou double")]
+    tables += [spark.createDataFrame(rows + rows[:9] + [(None, 1, 1)], f"slide string, kind long, {c} long") for c, rows in (("a", a_of), ("b", b_of))]
+    for whole in (match.WHOLE, 150, 0):
+        monkeypatch.setattr(match, "WHOLE", whole)
+        got = match.greedy_match_kinds(*tables, "slide", "a", "b", "iou", 0.2)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 100
+
+
+def test_objects_of_one_box_are_not_paired_to_be_matched(spark, monkeypatch, tmp_path):
+    """40 times 40 objects of two boxes, and others: rows written are no more than objects and kinds' pairs."""
+    import duckdb
+
+    from spanmill.queries import QUERIES, SQL, objects
+
+    keys = [k * 9000 + d for k in range(40) for d in (2, 1813)] + list(range(20, 60))
+    spark.createDataFrame([(k, 1) for k in keys], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    written, cut = [], match.cut
+
+    def watched(df, name="cut", held=None):
+        out = cut(df, name, held)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(match, "cut", watched)
+    monkeypatch.setattr(objects, "cut", watched, raising=False)
+    got = {tuple(r[c] for c in ("a", "b", "dice", "kind")) for r in QUERIES["object_match_greedy"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == set(con.execute(f"SELECT a, b, dice, kind FROM ({SQL['object_match_greedy']})").fetchall())
+    assert sum(r[3] == "revised" for r in got) >= 40 and max(written) < 2 * len(keys)
