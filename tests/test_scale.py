@@ -145,3 +145,33 @@ def test_deformed_places_meet_pixels_by_block_without_joins(spark):
     found = {(r.slide, r.y, r.x): r.val for r in got.collect()}
     assert 0 < len(want) < 2 * h * w and found.keys() == want.keys()
     assert all(abs(found[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_a_tile_index_is_written_in_runs(spark, tmp_path, monkeypatch):
+    """Rows are slides times objects: as runs of the same objects for slide after slide they take little room."""
+    import duckdb
+
+    from spanmill.operators import sampling
+    from spanmill.queries import SQL
+
+    monkeypatch.setattr(sampling, "TOGETHER", 500, raising=False)
+    for name, kind, key, n in (("supplier", "s", "suppkey", 400), ("customer", "c", "custkey", 9000)):
+        rows = spark.range(n).select((F.col("id") * 7).alias(f"{kind}_{key}"), F.when(F.col("id") % 100 > 0, F.xxhash64("id", F.lit(kind)) % 3).cast("int").alias(f"{kind}_nationkey"))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables are that don't fit
+    try:
+        index = QUERIES["tile_index_rows"](spark, str(tmp_path))
+        assert "hashpartitioning(slide" not in _plan(index)  # nothing deals out the rows made
+        index.write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    con = duckdb.connect()
+    for name in ("supplier", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    con.execute(f"CREATE TABLE want AS {SQL['tile_index_rows']}")
+    con.execute(f"CREATE VIEW got AS SELECT slide, obj, draw, placed FROM '{tmp_path}/out/*.parquet'")
+    n = con.execute("SELECT count(*) FROM got").fetchone()[0]
+    assert n == con.execute("SELECT count(*) FROM want").fetchone()[0] > 500_000
+    assert not con.execute("(SELECT * FROM want EXCEPT ALL SELECT * FROM got) UNION ALL (SELECT * FROM got EXCEPT ALL SELECT * FROM want)").fetchall()
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.3 * n
