@@ -43,6 +43,17 @@ def kinds(boxes: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     return boxes.withColumn("kind", F.min(name).over(Window.partitionBy(*keys, "x0", "y0", "x1", "y1")))
 
 
+#: Objects in one row of members().
+MEMBERS = 1024
+
+
+def members(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by and members: the names (not null) of the rows that are equal in `by`, in lists of up to MEMBERS, as many rows as it takes."""
+    place = Window.partitionBy(*by).orderBy(name)
+    listed = rows.select(*by, name).withColumn("__list", F.floor((F.row_number().over(place) - 1) / MEMBERS))
+    return many(listed.groupBy(*by, "__list").agg(F.sort_array(F.collect_list(name)).alias("members")).drop("__list"))
+
+
 def overlapping(a: DataFrame, b: DataFrame, cell: int, keys: list[str], name: str = "id") -> DataFrame:
     """keys and name of the boxes of a (x0, y0, x1, y1) that any box of b overlaps: a semi-join on grid cells, which makes no pairs."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell)))

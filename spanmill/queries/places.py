@@ -58,13 +58,17 @@ def polygon_clips(spark, sf):
 
 @query(f"WITH {RECTS}, b AS (SELECT slide, id, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y FROM rects WHERE grp = 'B') SELECT a.id AS a, b.id AS b FROM rects a JOIN b USING (slide) WHERE grp = 'A' AND sqrt(greatest(a.x0 - x, 0, x - a.x1) ** 2 + greatest(a.y0 - y, 0, y - a.y1) ** 2) <= 15.03")
 def polygon_buffer_contains(spark, sf):
-    """Centres of B's objects inside A's objects widened by 15.03."""
-    r = rects(spark, sf)
-    wide = r.filter("grp = 'A'").select("slide", "id", (F.col("x0") - 16).alias("x0"), (F.col("y0") - 16).alias("y0"), (F.col("x1") + 16).alias("x1"), (F.col("y1") + 16).alias("y1"), geometry.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
-    x, y = (F.col("x0") + F.col("x1")) / 2.0, (F.col("y0") + F.col("y1")) / 2.0
-    points = r.filter("grp = 'B'").select("slide", "id", x.alias("x"), y.alias("y"), F.floor(x).alias("x0"), F.floor(y).alias("y0"), (F.floor(x) + 1).alias("x1"), (F.floor(y) + 1).alias("y1"))
+    """Centres of B's objects inside A's objects widened by 15.03.
+
+    Of objects of one box or centre one is looked at; pairs of objects are made of what holds for it.
+    """
+    r = rects(spark, sf).withColumns({"x": (F.col("x0") + F.col("x1")) / 2.0, "y": (F.col("y0") + F.col("y1")) / 2.0})
+    boxes = match.members(r.filter("grp = 'A'"), ["slide", "x0", "y0", "x1", "y1"], "id")
+    centres = match.members(r.filter("grp = 'B'"), ["slide", "x", "y"], "id")
+    wide = boxes.select("slide", "members", (F.col("x0") - 16).alias("x0"), (F.col("y0") - 16).alias("y0"), (F.col("x1") + 16).alias("x1"), (F.col("y1") + 16).alias("y1"), geometry.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
+    points = centres.select("slide", "members", "x", "y", F.floor("x").alias("x0"), F.floor("y").alias("y0"), (F.floor("x") + 1).alias("x1"), (F.floor("y") + 1).alias("y1"))
     near = match.box_pairs(wide, points, 128, ["slide"])
-    return near.filter(geometry.in_buffer(F.col("b_x"), F.col("b_y"), F.col("a_ring"), 15.03)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return near.filter(geometry.in_buffer(F.col("b_x"), F.col("b_y"), F.col("a_ring"), 15.03)).select("b_members", F.explode("a_members").alias("a")).select("a", F.explode("b_members").alias("b"))
 
 
 @query(f"WITH {RECTS} SELECT slide, id FROM rects WHERE abs((x0 + x1) / 2.0 - 500) + abs((y0 + y1) / 2.0 - 500) < 499.75 QUALIFY row_number() OVER (PARTITION BY slide ORDER BY id) <= 20")

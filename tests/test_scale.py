@@ -175,3 +175,22 @@ def test_a_tile_index_is_written_in_runs(spark, tmp_path, monkeypatch):
     assert n == con.execute("SELECT count(*) FROM want").fetchone()[0] > 500_000
     assert not con.execute("(SELECT * FROM want EXCEPT ALL SELECT * FROM got) UNION ALL (SELECT * FROM got EXCEPT ALL SELECT * FROM want)").fetchall()
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.3 * n
+
+
+def test_centres_of_equal_objects_are_looked_at_once(spark, tmp_path, monkeypatch):
+    """40 times 60 objects of two boxes, in lists of 7: the test of a pair of them is made for lists, not for each two."""
+    import duckdb
+
+    from spanmill.operators import match
+    from spanmill.queries import SQL, places
+
+    monkeypatch.setattr(match, "MEMBERS", 7, raising=False)
+    keys = [k * 9000 + 2 for k in range(40)] + [k * 9000 + 1813 for k in range(60)] + list(range(40, 90))
+    spark.createDataFrame([(k, 1) for k in keys], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    looked, pairs = [], match.box_pairs
+    monkeypatch.setattr(places.match, "box_pairs", lambda *a: looked.append(pairs(*a)) or looked[-1])
+    got = sorted((r.a, r.b) for r in QUERIES["polygon_buffer_contains"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(con.execute(SQL["polygon_buffer_contains"]).fetchall())
+    assert len(got) >= 2400 and looked[0].count() < 200
