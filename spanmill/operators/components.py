@@ -109,7 +109,7 @@ def relabelled(labelled: DataFrame) -> DataFrame:
     """labelled runs with label 1 .. n within the slide, in the order of the labels they had."""
     ranked = running(labelled.select("slide", "label").distinct(), ["slide"], ["label"], {"number": F.lit(1).cast("long")})
     named = ranked.select(F.col("slide").alias("__s"), F.col("label").alias("__l"), "number")
-    return labelled.join(named, (F.col("slide") == F.col("__s")) & (F.col("label") == F.col("__l"))).select("slide", "x", "lo", "hi", F.col("number").alias("label"))
+    return labelled.join(many(named), (F.col("slide") == F.col("__s")) & (F.col("label") == F.col("__l"))).select("slide", "x", "lo", "hi", F.col("number").alias("label"))
 
 
 def label_mask(mask: DataFrame, sizes: DataFrame, min_pixel: int = 1, exclude_border: bool = False, do_watershed: bool = False) -> DataFrame:
@@ -124,11 +124,11 @@ def label_mask(mask: DataFrame, sizes: DataFrame, min_pixel: int = 1, exclude_bo
         spans = encode_spans(parts.select("slide", "part", "x", "y"), ["slide", "part", "x"], "y")
         # named as runs are: by the least run of each part
         least = spans.groupBy("slide", "part").agg(F.min(F.struct("x", "lo")).alias("label"))
-        found = spans.join(least, ["slide", "part"]).select("slide", "x", "lo", "hi", "label")
+        found = spans.join(many(least), ["slide", "part"]).select("slide", "x", "lo", "hi", "label")
     if exclude_border:
         found = without_border(found, sizes)
     if min_pixel > 1:
-        found = found.join(component_stats(found, min_pixel).select("slide", "label"), ["slide", "label"], "left_semi")
+        found = found.join(many(component_stats(found, min_pixel).select("slide", "label")), ["slide", "label"], "left_semi")
     return relabelled(found)
 
 

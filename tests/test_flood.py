@@ -72,3 +72,38 @@ def test_components_apart_and_images_wholly_set(spark):
     full = np.ones((6, 7), dtype=bool)
     assert flood.watershed(pixels_of(spark, full), sizes_of(spark, full), 10).select("part").distinct().count() == 1
     assert flood.watershed(pixels_of(spark, np.zeros((3, 3), dtype=bool)), sizes_of(spark, full), 2).count() == 0
+
+
+def test_small_images_are_flooded_together(spark, monkeypatch):
+    """Images of many sizes, in batches cut anywhere, against one flood of each and against strips; no group of pixels for each image."""
+    rng = np.random.default_rng(11)
+    masks = {s: rng.random(rng.integers(3, 40, 2)) < rng.choice([0.6, 0.85, 0.95]) for s in range(25)}
+    for m in masks.values():
+        m[0, 0] = False
+    rows = [(s, 7, int(y), int(x)) for s, m in masks.items() for y, x in np.argwhere(m)]
+    px = spark.createDataFrame(rows + rows[:9], "slide long, label long, y long, x long")
+    sizes = spark.createDataFrame([(s, *m.shape) for s, m in masks.items()], "slide long, h int, w int")
+    want = {(s, *p, part) for s, m in masks.items() for p, part in whole(m, 2).items()}
+    found = lambda rows: [(r.slide, r.y, r.x, r.part) for r in rows.collect()]
+    by_strips = found(flood.by_strips(px, sizes, 2))
+    assert set(by_strips) == want and len(by_strips) == len(want)
+    monkeypatch.setattr(flood, "by_strips", None)  # small images don't go there
+    for at_once in (flood.AT_ONCE, 3000):
+        monkeypatch.setattr(flood, "AT_ONCE", at_once)
+        got = found(flood.watershed(px, sizes, 2))
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_small_and_large_images_and_components_on_each_other(spark, monkeypatch):
+    """An image over SMALL, one without a size, and two components that share pixels."""
+    monkeypatch.setattr(flood, "SMALL", 600)
+    mask = discs(20, 28, (9, 8, 6), (10, 18, 7))
+    large = discs(40, 40, (14, 14, 9), (27, 24, 9))
+    two = [("two", k, int(y), int(x)) for k in (1, 2) for y, x in np.argwhere(mask) if (x < 16) == (k == 1) or 12 < x < 20]
+    rows = [(s, 1, int(y), int(x)) for s, m in (("small", mask), ("large", large), ("unsized", mask)) for y, x in np.argwhere(m)] + two
+    px = spark.createDataFrame(rows, "slide string, label long, y long, x long")
+    sizes = spark.createDataFrame([("small", 20, 28), ("large", 40, 40), ("two", 20, 28)], "slide string, h int, w int")
+    same = lambda rows: sorted(tuple(r) for r in rows.collect())
+    got = same(flood.watershed(px, sizes, 3))
+    assert got == same(flood.by_strips(px, sizes, 3)) and len(got) == len(rows)
+    assert {r[0] for r in got} == {"small", "large", "unsized", "two"} and len({r[2] for r in got if r[0] == "large"}) == 2
